@@ -84,3 +84,69 @@ def on_chunks(
         return out
 
     return spread.groupBy(*keys, "chunk").applyInPandas(run, f"{head}, chunk int, {schema}")
+
+
+def _renewed(df: DataFrame) -> DataFrame:
+    """Same rows under fresh column ids, so that a table can meet its own descendants."""
+    return df.select(*[F.col(c).alias(f"_{c}") for c in df.columns]).toDF(*df.columns)
+
+
+def on_chunks_with(
+    sized: DataFrame, keys, side: DataFrame, kernel: Callable, schema: str, chunk: int = CHUNK, margin: int = 0,
+) -> DataFrame:
+    """``on_chunks`` with one row of ``side`` per series handed to ``kernel(frame, lo, hi, row)``.
+
+    The row is sent once per chunk, not once per value.
+    """
+    keys = list(keys)
+    head = ", ".join(f"`{k}` {sized.schema[k].dataType.simpleString()}" for k in keys)
+    spread = spread_chunks(sized.select(*keys, "pos", "value", "n"), chunk, margin)
+    last = F.floor((F.col("n") - 1) / chunk).cast("int")
+    sent = _renewed(side.join(series_size(sized, keys), keys).withColumn("chunk", F.explode(F.sequence(F.lit(0), last))))
+
+    def run(frame: pd.DataFrame, row: pd.DataFrame) -> pd.DataFrame:
+        source = row if len(row) else frame
+        number = int(source["chunk"].iloc[0])
+        if not len(frame) or not len(row):
+            out = kernel(None, 0, 0, None)
+        else:
+            frame = frame.sort_values("pos", ignore_index=True)
+            lo, hi = np.searchsorted(frame["pos"].to_numpy(), [number * chunk, (number + 1) * chunk])
+            out = kernel(frame, int(lo), int(hi), row.iloc[0])
+        for i, k in enumerate(keys):
+            out.insert(i, k, [source[k].iloc[0]] * len(out))
+        return out
+
+    grouped = spread.groupBy(*keys, "chunk").cogroup(sent.groupBy(*keys, "chunk"))
+    return grouped.applyInPandas(run, f"{head}, {schema}")
+
+
+def fold_series(
+    series: DataFrame, keys, state: DataFrame, kernel: Callable, schema: str, chunk: int, chunks: int,
+) -> DataFrame:
+    """Sequential recursion over bounded pieces of every series.
+
+    ``kernel(values, row)`` advances a series' state by one chunk. All series advance in
+    parallel; a series longer than one chunk takes one Spark job per chunk, so no
+    task holds more than ``chunk`` rows.
+    """
+    from gridtide.session import cut_lineage
+
+    keys = list(keys)
+    head = ", ".join(f"`{k}` {series.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(frame: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(held):
+            return pd.DataFrame(columns=held.columns)
+        row = held.iloc[0].to_dict()
+        if len(frame):
+            values = frame.sort_values("pos")["value"].to_numpy(float)
+            row = {**{k: row[k] for k in keys}, **kernel(values, row)}
+        return pd.DataFrame([row])
+
+    for c in range(chunks):
+        part = series.where(F.col("pos").between(c * chunk, (c + 1) * chunk - 1)).select(*keys, "pos", "value")
+        state = part.groupBy(*keys).cogroup(_renewed(state).groupBy(*keys)).applyInPandas(run, f"{head}, {schema}")
+        if chunks > 1:
+            state = cut_lineage(state)
+    return state

@@ -40,19 +40,24 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df):
-    """Reliable checkpoint in the cluster's shared folder.
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Make sure reliable checkpoints have a folder.
 
     The folder comes from ``spark.checkpoint.dir``. Only a local master gets a
     temporary folder when nothing is set; a cluster without one is an error,
-    since a machine-local folder would be lost with its executor.
+    since a machine-local folder would be lost with its machine.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="gridtide-ckpt-")
         context.setCheckpointDir(folder)
+
+
+def cut_lineage(df):
+    """Reliable checkpoint of a DataFrame, for plans that would grow round by round."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
