@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridtide.operators import spatial
+from gridtide.plans import forecast
 from gridtide.plans.fixtures import GRID_SQL, MASK_SQL, grid, rings
-from gridtide.plans.queries_tables import r
+from gridtide.plans.queries_tables import _cycle_sql, r
 from gridtide.plans.registry import query
+from gridtide.sources import weather
 
 MEANS_SQL = f"""WITH {GRID_SQL}, {MASK_SQL},
 timed AS (SELECT variable, time + to_hours(step_hours) AS datetime, level, latitude, longitude, value FROM grid),
@@ -64,3 +66,54 @@ def first_slice(spark, sf_dir):
 )
 def grid_summary(spark, sf_dir):
     return spatial.grid_summary(grid(spark, sf_dir))
+
+
+@query(
+    "missing_steps",
+    f"""WITH {GRID_SQL}, runs AS (SELECT DISTINCT variable, time FROM grid),
+    cal AS (SELECT unnest(list_concat(generate_series(0, 120), generate_series(123, 384, 3))) AS h),
+    seen AS (SELECT DISTINCT variable, time, step_hours FROM grid)
+    SELECT variable, time, CAST(h AS INTEGER) AS step_hours, lpad(CAST(h AS VARCHAR), 3, '0') AS label FROM runs, cal
+    WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.variable = runs.variable AND s.time = runs.time AND s.step_hours = h)""",
+)
+def missing_steps(spark, sf_dir):
+    return weather.missing_steps(grid(spark, sf_dir))
+
+
+def _wide(spark, sf_dir):
+    return forecast.regional_table(grid(spark, sf_dir), rings(spark), ["South", "North"])
+
+
+LEVEL_SQL = MEANS_SQL + """,
+lm AS (SELECT variable, datetime, region, level, avg(value) AS m FROM timed JOIN mask USING (latitude, longitude) GROUP BY ALL),
+rm AS (SELECT variable, datetime, region, avg(m) AS mean_value FROM lm GROUP BY ALL),
+wide AS (SELECT variable, (datetime AT TIME ZONE 'UTC') AT TIME ZONE 'America/Santiago' AS datetime,
+  max(mean_value) FILTER (WHERE region = 'South') AS South, max(mean_value) FILTER (WHERE region = 'North') AS North FROM rm GROUP BY 1, 2)
+"""
+
+
+def _rounded(df, names):
+    return df.withColumns({c: r(F.col(c)) for c in names}).withColumns(
+        {c: r(F.col(c)) for c in df.columns if c[-4:] in ("_sin", "_cos")},
+    )
+
+
+@query(
+    "wind_features",
+    LEVEL_SQL + f"""SELECT u.datetime, round(u.South, 6) + 0.0 AS South_u100_means, round(u.North, 6) + 0.0 AS North_u100_means,
+    round(v.South, 6) + 0.0 AS South_v100_means, round(v.North, 6) + 0.0 AS North_v100_means, 120 AS total_plants,
+    {_cycle_sql('u.datetime')}, CAST(year(u.datetime) AS INTEGER) AS year
+    FROM wide u JOIN wide v ON u.datetime = v.datetime WHERE u.variable = 'u100' AND v.variable = 'v100'""",
+)
+def wind_features(spark, sf_dir):
+    out = forecast.wind_features(_wide(spark, sf_dir), 120)
+    return _rounded(out, [f"{a}_{b}_means" for a in ("South", "North") for b in ("u100", "v100")])
+
+
+@query(
+    "solar_features",
+    LEVEL_SQL + f"""SELECT datetime, round(South, 6) + 0.0 AS South, round(North, 6) + 0.0 AS North, 80 AS total_plants,
+    {_cycle_sql('datetime')}, CAST(year(datetime) AS INTEGER) AS year FROM wide WHERE variable = 'sdswrf'""",
+)
+def solar_features(spark, sf_dir):
+    return _rounded(forecast.solar_features(_wide(spark, sf_dir), 80), ["South", "North"])
