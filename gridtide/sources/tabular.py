@@ -101,8 +101,11 @@ def ingest_csv(spark: SparkSession, paths, schema: str, datetime_col: str = "dat
     )
     bad_time = F.col(datetime_col).isNull()
     bad_line = F.col(CORRUPT).isNotNull()
+    # A field is only parsed, and a bad one only seen, if its column is used: hence the null count.
+    nulls = sum(F.col(f).isNull().cast("bigint") for f in fields.fieldNames())
     report = raw.groupBy("file").agg(
         F.count("*").alias("rows"), F.count_if(bad_line).alias("bad_lines"), F.count_if(bad_time).alias("bad_times"),
+        F.sum(nulls).alias("null_cells"),
     )
     outcome = F.when(F.col("bad_times") == F.col("rows"), "unreadable times").when(
         F.col("bad_lines") + F.col("bad_times") > 0, "partly read",
