@@ -38,8 +38,17 @@ def combine_steps(spark: SparkSession, paths: list[str], output: str) -> DataFra
 
 
 def landed_files(spark: SparkSession, pattern: str, smallest: int = SMALLEST_FILE) -> DataFrame:
-    """Path, size and acceptance of landed files (A7); contents are not read."""
-    listing = spark.read.format("binaryFile").load(pattern).select("path", "length")
+    """Path, size and acceptance of landed files (A7); contents are not read.
+
+    A scan passes over files of zero bytes, so those come from the source's own file listing.
+    """
+    source = spark.read.format("binaryFile").load(pattern)
+    bare = F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/")
+    sizes = source.select(bare.alias("path"), "length")
+    names = spark.createDataFrame([(p,) for p in source.inputFiles()], "path string").select(
+        F.url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))).alias("path"),
+    )
+    listing = names.join(sizes, "path", "left").select("path", F.coalesce("length", F.lit(0)).alias("length"))
     return listing.withColumn("accepted", F.col("length") > smallest)
 
 
