@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gridtide.functions.columns import confidence_word, interval_text
-from gridtide.operators.ordering import DAY, time_deltas
+from gridtide.operators.ordering import time_deltas
 
 # Named steps and their length in seconds.
 NAMED_STEPS = [
@@ -29,14 +29,14 @@ NAMED_STEPS = [
 TOLERANCE = 0.1
 
 
-def delta_counts(df: DataFrame, keys, ts: str, bucket_seconds: int = DAY) -> DataFrame:
+def delta_counts(df: DataFrame, keys, ts: str) -> DataFrame:
     """How often each gap between consecutive times occurs."""
-    return time_deltas(df, keys, ts, bucket_seconds).groupBy(*keys, "delta_seconds").agg(F.count("*").alias("n"))
+    return time_deltas(df, keys, ts).groupBy(*keys, "delta_seconds").agg(F.count("*").alias("n"))
 
 
-def common_deltas(df: DataFrame, keys, ts: str, top: int = 5, bucket_seconds: int = DAY) -> DataFrame:
+def common_deltas(df: DataFrame, keys, ts: str, top: int = 5) -> DataFrame:
     """The most frequent gaps per keys, ranked."""
-    counts = delta_counts(df, keys, ts, bucket_seconds)
+    counts = delta_counts(df, keys, ts)
     order = [F.desc("n"), F.asc("delta_seconds")]
     if not keys:
         counts = counts.orderBy(*order).limit(top)
@@ -44,14 +44,14 @@ def common_deltas(df: DataFrame, keys, ts: str, top: int = 5, bucket_seconds: in
     return counts.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= top)
 
 
-def detect_step(df: DataFrame, keys, ts: str, bucket_seconds: int = DAY) -> DataFrame:
+def detect_step(df: DataFrame, keys, ts: str) -> DataFrame:
     """Nearest named step, confidence and details per keys.
 
     The modal gap decides, the smaller one on ties. Confidence is its share, reduced
     when the gap is more than 10 % off the named step and halved when over half of
     the gaps differ from each other. Keys without a positive gap give no row.
     """
-    counts = delta_counts(df, keys, ts, bucket_seconds)
+    counts = delta_counts(df, keys, ts)
     found = counts.groupBy(*keys).agg(
         F.sum("n").alias("total_intervals"),
         F.count("*").alias("unique_deltas"),

@@ -1,86 +1,144 @@
-"""Ordered computations that never gather a whole series in one task.
+"""Ordered computations that never gather a large series in one task.
 
-Rows are cut into fixed time buckets. A window runs inside each (keys, bucket)
-and a small table with one row per bucket carries totals from bucket to bucket.
-The cut depends on the data alone, so recomputed partitions agree.
+A measured row count decides: keys whose rows fit one task use a plain window. Larger
+ones are cut into order-preserving slices at quantiles of the ordering column; the
+window runs inside each (keys, slice) and a small table with one row per slice carries
+totals from slice to slice. A single time stamp that holds very many rows becomes a
+slice of its own and is cut again along the next ordering column.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import NumericType
 
 from gridtide.functions.timeparts import epoch_us
+from gridtide.session import cut_lineage
 
-DAY = 86400
+SLICE_ROWS = 4_000_000
+MOST_SLICES = 4096
+FANOUT = 64
 
 
-def time_bucket(c, seconds: int) -> Column:
-    """Number of the fixed-width time bucket a timestamp falls in."""
-    return F.floor(epoch_us(c) / F.lit(seconds * 1000000)).cast("bigint")
+def largest_group(df: DataFrame, keys) -> int:
+    """Row count of the biggest key; reads the key columns only."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_c"))
+    return counts.agg(F.max("_c")).first()[0] or 0
 
 
-def previous_in_order(df: DataFrame, keys, ts: str, out: str = "previous", bucket_seconds: int = DAY) -> DataFrame:
+def add_slices(
+    df: DataFrame, keys, value: Column, out: str, largest: int, sizing: DataFrame | None = None,
+    slice_rows: int | None = None,
+) -> DataFrame:
+    """Adds an order-preserving slice number of a numeric value within the keys.
+
+    Cut points are quantiles of ``sizing`` (by default the table itself), stored so that
+    every later use sees the same ones. Values equal to a cut point get a slice of their
+    own (odd numbers). Keys below the slice size stay whole.
+    """
+    slice_rows = SLICE_ROWS if slice_rows is None else slice_rows
+    wanted = max(2, min(MOST_SLICES, -(-largest // slice_rows)))
+    shares = [i / wanted for i in range(1, wanted)]
+    source = (df if sizing is None else sizing).withColumn("_v", value).where(F.col("_v").isNotNull())
+    cuts = source.groupBy(*keys).agg(
+        F.count("*").alias("_c"), F.percentile_approx("_v", shares, 4 * wanted).alias("_cuts"),
+    )
+    cuts = cuts.where(F.col("_c") > slice_rows).drop("_c")
+    # Every FANOUT-th cut first, then the cuts in between: two short scans instead of a long one.
+    coarse = F.filter("_cuts", lambda _, i: i % FANOUT == FANOUT - 1)
+    cuts = cut_lineage(cuts.withColumn("_coarse", coarse))
+    joined = df.withColumn("_v", value)
+    joined = joined.join(cuts, list(keys), "left") if keys else joined.join(F.broadcast(cuts), how="left")
+    block = F.size(F.filter("_coarse", lambda c: c < F.col("_v")))
+    within = F.size(F.filter(F.slice("_cuts", block * FANOUT + 1, FANOUT), lambda c: c < F.col("_v")))
+    place = block * FANOUT + within
+    alone = F.coalesce(F.get("_cuts", place) == F.col("_v"), F.lit(False)).cast("int")
+    number = F.when(F.col("_cuts").isNull() | F.col("_v").isNull(), 0).otherwise(2 * place + alone)
+    return joined.withColumn(out, number).drop("_v", "_cuts", "_coarse")
+
+
+def time_slices(df: DataFrame, keys, ts: str, order=(), sizing: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """The table with slice columns for (ts, order), or unchanged if every key fits one task."""
+    largest = largest_group(df if sizing is None else sizing, keys)
+    if largest <= SLICE_ROWS:
+        return df, []
+    cut = add_slices(df, keys, epoch_us(ts), "_b", largest, sizing)
+    slices = ["_b"]
+    if order and isinstance(df.schema[order[0]].dataType, NumericType):
+        crowded = largest_group(cut, [*keys, "_b"])
+        if crowded > SLICE_ROWS:
+            # Only slices of one single time may be cut along the next column.
+            second = F.when(F.col("_b") % 2 == 1, F.col(order[0])).otherwise(0)
+            cut = add_slices(cut, [*keys, "_b"], second, "_b2", crowded)
+            slices.append("_b2")
+    return cut, slices
+
+
+def previous_in_order(df: DataFrame, keys, ts: str, out: str = "previous", slices=()) -> DataFrame:
     """Adds the preceding row's time within the keys.
 
-    Neighbours across a bucket edge come from the last time of the nearest earlier bucket.
+    Neighbours across a slice edge come from the last time of the nearest earlier slice.
     """
-    cut = df.withColumn("_b", time_bucket(ts, bucket_seconds))
-    inside = W.partitionBy(*keys, "_b").orderBy(ts)
-    ends = cut.groupBy(*keys, "_b").agg(F.max(ts).alias("_last"))
-    between = W.partitionBy(*keys).orderBy("_b")
-    ends = ends.select(*keys, "_b", F.lag("_last").over(between).alias("_before"))
+    inside = W.partitionBy(*keys, *slices).orderBy(ts)
+    if not slices:
+        return df.withColumn(out, F.lag(ts).over(inside))
+    by = [*keys, *slices]
+    ends = df.groupBy(*by).agg(F.max(ts).alias("_last"))
+    between = W.partitionBy(*keys).orderBy(*slices)
+    ends = ends.select(*by, F.lag("_last").over(between).alias("_before"))
     return (
-        cut.withColumn("_inside", F.lag(ts).over(inside))
-        .join(ends, [*keys, "_b"])
+        df.withColumn("_inside", F.lag(ts).over(inside))
+        .join(ends, by)
         .withColumn(out, F.coalesce("_inside", "_before"))
-        .drop("_b", "_inside", "_before")
+        .drop("_inside", "_before")
     )
 
 
-def running_sum(
-    df: DataFrame, keys, ts: str, amounts: dict[str, Column], order=(), bucket_seconds: int = DAY,
-) -> DataFrame:
-    """Adds inclusive running sums in (ts, order) within the keys."""
-    cut = df.withColumns({"_b": time_bucket(ts, bucket_seconds), **{f"_a_{n}": c for n, c in amounts.items()}})
-    inside = W.partitionBy(*keys, "_b").orderBy(ts, *order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    totals = cut.groupBy(*keys, "_b").agg(*[F.sum(f"_a_{n}").alias(f"_t_{n}") for n in amounts])
-    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+def running_sum(df: DataFrame, keys, order, amounts: dict[str, Column], slices=()) -> DataFrame:
+    """Adds inclusive running sums in the given order within the keys."""
+    inside = W.partitionBy(*keys, *slices).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    if not slices:
+        return df.withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in amounts.items()})
+    by = [*keys, *slices]
+    cut = df.withColumns({f"_a_{n}": c for n, c in amounts.items()})
+    totals = cut.groupBy(*by).agg(*[F.sum(f"_a_{n}").alias(f"_t_{n}") for n in amounts])
+    before = W.partitionBy(*keys).orderBy(*slices).rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, "_b", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in amounts],
-    )
-    running = cut.withColumns({f"_r_{n}": F.sum(f"_a_{n}").over(inside) for n in amounts}).join(
-        offsets, [*keys, "_b"],
+        *by, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in amounts],
     )
+    running = cut.withColumns({f"_r_{n}": F.sum(f"_a_{n}").over(inside) for n in amounts}).join(offsets, by)
     return running.withColumns({n: F.coalesce(f"_r_{n}", F.lit(0)) + F.col(f"_o_{n}") for n in amounts}).drop(
-        "_b", *[f"_{p}_{n}" for p in "aro" for n in amounts],
+        *[f"_{p}_{n}" for p in "aro" for n in amounts],
     )
 
 
-def position_in_order(df: DataFrame, keys, ts: str, order=(), out: str = "pos", bucket_seconds: int = DAY) -> DataFrame:
+def position_in_order(df: DataFrame, keys, ts: str, order=(), out: str = "pos") -> DataFrame:
     """Adds the zero-based row number in (ts, order) within the keys."""
-    numbered = running_sum(df, keys, ts, {out: F.lit(1).cast("bigint")}, order, bucket_seconds)
-    return numbered.withColumn(out, F.col(out) - 1)
+    cut, slices = time_slices(df, keys, ts, order)
+    numbered = running_sum(cut, keys, [ts, *order], {out: F.lit(1).cast("bigint")}, slices)
+    return numbered.withColumn(out, F.col(out) - 1).drop(*slices)
 
 
-def time_deltas(df: DataFrame, keys, ts: str, bucket_seconds: int = DAY) -> DataFrame:
+def time_deltas(df: DataFrame, keys, ts: str) -> DataFrame:
     """Positive gaps in seconds between consecutive times.
 
     Repeated times give zero gaps, which do not count, so distinct times suffice.
     """
-    times = df.select(*keys, ts).where(F.col(ts).isNotNull()).distinct()
-    paired = previous_in_order(times, keys, ts, "_prev", bucket_seconds)
+    stamped = df.select(*keys, ts).where(F.col(ts).isNotNull())
+    cut, slices = time_slices(stamped.distinct(), keys, ts, sizing=stamped)
+    paired = previous_in_order(cut, keys, ts, "_prev", slices)
     return paired.where(F.col("_prev").isNotNull()).select(
         *keys, ts, ((epoch_us(ts) - epoch_us("_prev")) / F.lit(1000000.0)).alias("delta_seconds"),
     )
 
 
-def islands(df: DataFrame, keys, ts: str, gap_hours: int = 48, bucket_seconds: int = 366 * DAY) -> DataFrame:
+def islands(df: DataFrame, keys, ts: str, gap_hours: int = 48) -> DataFrame:
     """Groups of times less than ``gap_hours`` apart: start, end, size."""
-    times = df.select(*keys, ts).where(F.col(ts).isNotNull())
-    paired = previous_in_order(times, keys, ts, "_prev", bucket_seconds)
+    cut, slices = time_slices(df.select(*keys, ts).where(F.col(ts).isNotNull()), keys, ts)
+    paired = previous_in_order(cut, keys, ts, "_prev", slices)
     gap = epoch_us(ts) - epoch_us("_prev")
     opens = F.when(F.col("_prev").isNull() | (gap >= gap_hours * 3600 * 1000000), 1).otherwise(0)
-    labelled = running_sum(paired, keys, ts, {"island": opens.cast("bigint")}, (), bucket_seconds)
+    labelled = running_sum(paired, keys, [ts], {"island": opens.cast("bigint")}, slices)
     return labelled.groupBy(*keys, "island").agg(
         F.min(ts).alias("island_start"), F.max(ts).alias("island_end"), F.count("*").alias("island_size"),
     )
@@ -153,12 +211,12 @@ def random_rows(df: DataFrame, n: int = 20, seed: int = 12) -> DataFrame:
 
 
 def expanding_distinct(
-    df: DataFrame, kinds: list[str], kind: str, name: str, ts: str, order: str, bucket_seconds: int = 3600,
+    df: DataFrame, kinds: list[str], kind: str, name: str, ts: str, order: str,
 ) -> DataFrame:
     """Per row, how many distinct names of each kind appeared so far.
 
     The first row of every (kind, name) comes from one aggregate; the counts are
-    running sums of those flags over time buckets.
+    running sums of those flags over slices of time.
     """
     firsts = df.groupBy(kind, name).agg(F.min(F.struct(ts, order)).alias("_f")).select(
         kind, name, F.col(f"_f.{ts}").alias(ts), F.col(f"_f.{order}").alias(order), F.lit(1).alias("_new"),
@@ -168,4 +226,5 @@ def expanding_distinct(
         f"unique_count_{k}": F.when((F.col(kind) == k) & F.col("_new").isNotNull(), 1).otherwise(0).cast("bigint")
         for k in kinds
     }
-    return running_sum(flagged, [], ts, amounts, (order,), bucket_seconds).drop("_new")
+    cut, slices = time_slices(flagged, [], ts, (order,), sizing=df)
+    return running_sum(cut, [], [ts, order], amounts, slices).drop("_new", *slices)

@@ -172,9 +172,8 @@ def kpss_test(series: DataFrame, keys, alpha: float = 0.05, chunk: int = CHUNK)
         *keys, F.least(F.coalesce(auto, F.lit(0)), F.col("n") - 1).cast("bigint").alias("lags"),
     )
 
-    # Partial sums; the bucket of the running sum is the chunk, told by a synthetic clock of one second per row.
-    clocked = dev.where(enough).withColumn("_clock", F.timestamp_seconds("pos"))
-    sums = running_sum(clocked, keys, "_clock", {"c": F.col("value")}, (), chunk).join(lags, keys).select(
+    sliced = dev.where(enough).withColumn("_b", F.floor(F.col("pos") / chunk))
+    sums = running_sum(sliced, keys, ["pos"], {"c": F.col("value")}, ["_b"]).join(lags, keys).select(
         *keys, "pos", "n", "lags", "c",
     )
     shifted = sums.select(*keys, (F.col("pos") + F.col("lags") + 1).alias("pos"), F.col("c").alias("_back"))

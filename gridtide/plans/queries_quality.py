@@ -147,7 +147,7 @@ def _delta_sql(source, key, ts):
     f"WITH {_delta_sql('orders', 'o_orderpriority', 'o_orderdate')} SELECT * FROM counts",
 )
 def order_date_deltas(spark, sf_dir):
-    return granularity.delta_counts(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderdate", 366 * ordering.DAY)
+    return granularity.delta_counts(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderdate")
 
 
 STEP_ROWS = ", ".join(f"({i}, '{n}', {s})" for i, (n, s) in enumerate(granularity.NAMED_STEPS))
@@ -171,14 +171,14 @@ def _step_sql(source, key, ts):
       modal_delta_seconds, round(score, 6) + 0.0 AS confidence_score, total_intervals, matching_intervals, unique_deltas FROM named"""
 
 
-def _step(df, keys, ts, bucket=ordering.DAY):
-    out = granularity.detect_step(df, keys, ts, bucket).drop("modal_delta_text")
+def _step(df, keys, ts):
+    out = granularity.detect_step(df, keys, ts).drop("modal_delta_text")
     return out.withColumns({c: r(F.col(c)) for c in ("confidence", "confidence_score")})
 
 
 @query("granularity_orders", _step_sql("orders", "o_custkey", "o_orderdate"))
 def granularity_orders(spark, sf_dir):
-    return _step(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate", 366 * ordering.DAY)
+    return _step(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate")
 
 
 @query("granularity_events", _step_sql("events", "event_type", "ts"))
@@ -203,13 +203,13 @@ def granularity_hourly(spark, sf_dir):
 )
 def common_deltas(spark, sf_dir):
     return granularity.common_deltas(
-        table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate", 5, 366 * ordering.DAY,
+        table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate", 5,
     ).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("step_report")
 def step_report(spark, sf_dir):
-    steps = granularity.detect_step(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate", 366 * ordering.DAY)
+    steps = granularity.detect_step(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate")
     return granularity.describe_step(steps).select("o_custkey", "info")
 
 

@@ -437,8 +437,8 @@ def distinct_plants(spark, sf_dir):
 
 @query(
     "largest_orders",
-    """SELECT * FROM (SELECT o_orderpriority, o_orderkey, o_totalprice, row_number() OVER (
-         PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 5""",
+    """SELECT * FROM (SELECT o_orderpriority, o_orderkey, o_totalprice, CAST(row_number() OVER (
+         PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank FROM orders) WHERE rank <= 5""",
 )
 def largest_orders(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice")

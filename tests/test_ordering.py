@@ -16,7 +16,7 @@ def days(spark, numbers, key="a"):
 
 
 def test_islands(spark):
-    got = O.islands(days(spark, [1, 2, 3, 7, 8, 20]), ["k"], "t", bucket_seconds=3 * O.DAY).orderBy("island").collect()
+    got = O.islands(days(spark, [1, 2, 3, 7, 8, 20]), ["k"], "t").orderBy("island").collect()
     assert [r.island_size for r in got] == [3, 2, 1]
 
 
@@ -25,23 +25,43 @@ def test_island_gap(spark, gap, groups):
     assert O.islands(days(spark, [0, gap]), ["k"], "t").count() == groups
 
 
-def test_bucketed_equals_plain_order(spark):
+@pytest.mark.parametrize("rows_per_slice", [10**9, 60, 3])
+def test_slices_equal_plain_order(spark, monkeypatch, rows_per_slice):
+    monkeypatch.setattr(O, "SLICE_ROWS", rows_per_slice)
     rng = random.Random(3)
     base = dt.datetime(2024, 1, 1)
-    rows = [(rng.choice("ab"), base + dt.timedelta(hours=rng.randrange(500)), i, rng.randrange(9)) for i in range(400)]
+    # One key has most rows and one time stamp holds a third of them.
+    hours = [250 if rng.random() < 0.35 else rng.randrange(500) for _ in range(400)]
+    rows = [("a" if rng.random() < 0.9 else "b", base + dt.timedelta(hours=h), i, rng.randrange(9)) for i, h in enumerate(hours)]
     df = spark.createDataFrame(rows, "k string, t timestamp_ntz, i int, v int")
-    out = O.running_sum(df, ["k"], "t", {"total": F.col("v")}, ["i"], 7200)
-    out = O.position_in_order(out, ["k"], "t", ["i"], bucket_seconds=50 * 3600).toPandas()
+    cut, slices = O.time_slices(df, ["k"], "t", ["i"])
+    assert bool(slices) == (rows_per_slice < 400)
+    if rows_per_slice == 3:
+        assert O.largest_group(cut, ["k", *slices]) < 40
+    out = O.running_sum(cut, ["k"], ["t", "i"], {"total": F.col("v")}, slices).drop(*slices)
+    out = O.position_in_order(out, ["k"], "t", ["i"])
     pdf = pd.DataFrame(rows, columns=["k", "t", "i", "v"]).sort_values(["k", "t", "i"])
     pdf["total"] = pdf.groupby("k").v.cumsum()
     pdf["pos"] = pdf.groupby("k").cumcount()
-    both = pdf.merge(out, on="i", suffixes=("", "_s"))
-    assert (both.total == both.total_s).all() and (both.pos == both.pos_s).all()
+    both = pdf.merge(out.toPandas(), on="i", suffixes=("", "_s"))
+    assert len(both) == 400 and (both.total == both.total_s).all() and (both.pos == both.pos_s).all()
+    gaps = O.time_deltas(df, ["k"], "t").toPandas().sort_values(["k", "t"])
+    want = pdf.drop_duplicates(["k", "t"]).groupby("k").t.diff().dropna().dt.total_seconds()
+    assert gaps.delta_seconds.tolist() == want.tolist()
 
 
-def test_previous_across_empty_buckets(spark):
-    got = O.previous_in_order(days(spark, [0, 0.2, 40]), ["k"], "t", "p").orderBy("t").collect()
-    assert [r.p for r in got] == [None, got[0].t, got[1].t]
+@pytest.mark.parametrize("rows_per_slice", [10**9, 4])
+def test_islands_over_slices(spark, monkeypatch, rows_per_slice):
+    monkeypatch.setattr(O, "SLICE_ROWS", rows_per_slice)
+    numbers = [1, 2, 3, 7, 8, 20, 21, 22, 23, 24, 25, 40]
+    got = O.islands(days(spark, numbers), ["k"], "t").orderBy("island").collect()
+    assert [r.island_size for r in got] == [3, 2, 6, 1]
+
+
+def test_slices_without_keys(spark, monkeypatch):
+    monkeypatch.setattr(O, "SLICE_ROWS", 5)
+    got = O.position_in_order(days(spark, range(40)).drop("k"), [], "t").orderBy("t").collect()
+    assert [r.pos for r in got] == list(range(40))
 
 
 def test_folds(spark):
@@ -67,8 +87,8 @@ def test_best_and_first(spark):
     assert {r.k: r.i for r in O.keep_first(df, ["k"], ["i"]).collect()} == {"a": 1, "b": 5}
 
 
-@pytest.mark.parametrize("direct", [10, 100_000])
-def test_quantiles(spark, direct):
+@pytest.mark.parametrize("direct, rows_per_slice", [(100_000, 10**9), (10, 10**9), (10, 3)])
+def test_quantiles(spark, direct, rows_per_slice):
     rng = np.random.default_rng(1)
     frames = {
         "wide": rng.normal(0, 100, 3001), "ties": np.repeat([0.0, 0.0, 5.0], 700), "two": np.array([1.0, 2.0]),
@@ -76,7 +96,9 @@ def test_quantiles(spark, direct):
     }
     df = spark.createDataFrame(pd.concat([pd.DataFrame({"k": k, "v": v}) for k, v in frames.items()]))
     wanted = {"low": 0.0, "q1": 0.25, "mid": 0.5, "q9": 0.9, "high": 1.0}
-    for row in exact_quantiles(df, ["k"], "v", wanted, direct).collect():
+    rows = exact_quantiles(df, ["k"], "v", wanted, direct, rows_per_slice).collect()
+    assert len(rows) == len(frames)
+    for row in rows:
         for name, q in wanted.items():
             assert row[name] == pytest.approx(np.quantile(frames[row.k], q), rel=1e-12), (row.k, name)
 
