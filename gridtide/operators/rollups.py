@@ -52,11 +52,23 @@ def roll_up(df: DataFrame, ts: str, resolution: str, functions="sum", columns=No
 
 def plant_hours(
     df: DataFrame, date: str = "fecha_opreal", hour: str = "hora_opreal", plant: str = "central_nombre",
-    kind: str = "central_tipo_nemotecnico", energy: str = "generacion_real_mwh",
+    kind: str = "central_tipo_nemotecnico", energy: str = "generacion_real_mwh", kinds: list[str] | None = None,
 ) -> DataFrame:
-    """Energy per plant and hour with the plant's type."""
-    return df.na.drop(subset=[date, hour, plant]).groupBy(date, hour, plant).agg(
-        F.coalesce(F.sum(energy), F.lit(0.0)).alias(energy), F.min(kind).alias(kind),
+    """Energy per plant and hour with the plant's type.
+
+    With ``kinds`` the type travels as its place in that list: a numeric buffer keeps the
+    aggregate hashed, a text one would make every task sort its rows first. Types
+    outside the list become null.
+    """
+    rows = df.na.drop(subset=[date, hour, plant])
+    total = F.coalesce(F.sum(energy), F.lit(0.0)).alias(energy)
+    if kinds is None:
+        return rows.groupBy(date, hour, plant).agg(total, F.min(kind).alias(kind))
+    names = sorted(kinds)
+    place = F.coalesce(*[F.when(F.col(kind) == k, i) for i, k in enumerate(names)])
+    table = F.array(*[F.lit(k) for k in names])
+    return rows.groupBy(date, hour, plant).agg(total, F.min(place).alias(kind)).withColumn(
+        kind, F.get(table, F.col(kind)),
     )
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridtide.functions.timeparts import epoch_us, truncate
 
@@ -22,7 +22,8 @@ CHUNK = 65536
 def regular_series(df: DataFrame, keys, ts: str, value: str, step: str = "hour", fill: float | None = 0.0) -> DataFrame:
     """Sum per step with absent steps filled: (keys, ts, pos, value).
 
-    The position is arithmetic on the time, so no ordering window is needed.
+    The table is read and shuffled once. Each summed step then fills the gap up to the
+    next one; that window sees at most one row per step of a key's time span.
     """
     keys = list(keys)
     seconds = STEP_SECONDS[step]
@@ -30,15 +31,17 @@ def regular_series(df: DataFrame, keys, ts: str, value: str, step: str = "hour",
         df.select(*keys, truncate(F.col(ts), step).alias("ts"), F.col(value).alias("_v"))
         .na.drop(subset=[*keys, "ts"])
         .groupBy(*keys, "ts")
-        .agg(F.coalesce(F.sum("_v"), F.lit(fill)).alias("value"))
+        .agg(F.coalesce(F.sum("_v"), F.lit(fill)).alias("_sum"))
     )
-    spans = sums.groupBy(*keys).agg(F.min("ts").alias("_from"), F.max("ts").alias("_to"))
-    spine = spans.withColumn(
-        "ts", F.explode(F.sequence("_from", "_to", F.expr(f"interval {seconds} seconds"))),
+    line = W.partitionBy(*keys).orderBy("ts")
+    width = F.expr(f"interval {seconds} seconds")
+    spans = sums.withColumns(
+        {"_first": F.min("ts").over(line), "_until": F.coalesce(F.lead("ts").over(line) - width, F.col("ts"))},
     )
-    joined = spine.join(sums, [*keys, "ts"], "left")
-    pos = ((epoch_us("ts") - epoch_us("_from")) / (seconds * 1000000)).cast("bigint")
-    return joined.select(*keys, "ts", pos.alias("pos"), F.coalesce("value", F.lit(fill)).alias("value"))
+    filled = spans.withColumn("_at", F.explode(F.sequence("ts", "_until", width)))
+    pos = ((epoch_us("_at") - epoch_us("_first")) / (seconds * 1000000)).cast("bigint")
+    amount = F.when(F.col("_at") == F.col("ts"), F.col("_sum")).otherwise(F.lit(fill))
+    return filled.select(*keys, F.col("_at").alias("ts"), pos.alias("pos"), amount.alias("value"))
 
 
 def series_size(series: DataFrame, keys) -> DataFrame:

@@ -34,7 +34,7 @@ def _share_sql(k):
     f"{', '.join(_share_sql(k) for k in KINDS)} FROM plants WHERE hora_opreal <> 25 GROUP BY 1",
 )
 def plant_tech_hourly(spark, sf_dir):
-    wide = rollups.technology_table(rollups.plant_hours(generation(spark, sf_dir)), KINDS)
+    wide = rollups.technology_table(rollups.plant_hours(generation(spark, sf_dir), kinds=KINDS), KINDS)
     timed = T.market_datetime(wide).drop("fecha_opreal", "hora_opreal")
     return timed.withColumns({f"percentage_active_{k}": r(F.col(f"percentage_active_{k}")) for k in KINDS})
 
@@ -47,7 +47,7 @@ def plant_tech_hourly(spark, sf_dir):
       FROM plants GROUP BY 1, 2, 3""",
 )
 def technology_hours(spark, sf_dir):
-    hours = rollups.technology_hours(rollups.plant_hours(generation(spark, sf_dir)))
+    hours = rollups.technology_hours(rollups.plant_hours(generation(spark, sf_dir), kinds=KINDS))
     return hours.withColumn("percentage_active", r(F.col("percentage_active")))
 
 
@@ -368,7 +368,7 @@ def daily_sums(spark, sf_dir):
 )
 def active_total_pivot(spark, sf_dir):
     return rollups.active_total_pivot(
-        rollups.plant_hours(generation(spark, sf_dir)), KINDS, ["fecha_opreal", "hora_opreal"],
+        rollups.plant_hours(generation(spark, sf_dir), kinds=KINDS), KINDS, ["fecha_opreal", "hora_opreal"],
         "central_tipo_nemotecnico", "central_nombre", "generacion_real_mwh",
     )
 
