@@ -93,17 +93,19 @@ def among(df: DataFrame, column: str, wanted) -> DataFrame:
     return df.where(F.col(column).isin(list(wanted)))
 
 
+def fixed_text(value, digits: int) -> Column:
+    """Number with fixed decimals; exact halves go to the even digit, as in C and Python."""
+    return F.format_string(f"%.{digits}f", F.bround(_col(value), digits))
+
+
 def period_label(hours) -> Column:
     """A period in hours, worded in the largest fitting unit."""
     h = _col(hours)
-    day, week, month, year = 24.0, 168.0, 720.0, 8760.0
-    return (
-        F.when(h < day, F.format_string("%.2f hours", h))
-        .when(h < week, F.format_string("%.2f days", h / day))
-        .when(h < month, F.format_string("%.2f weeks", h / week))
-        .when(h < year, F.format_string("%.2f months", h / month))
-        .otherwise(F.format_string("%.2f years", h / year))
-    )
+    limits = [(24.0, 1.0, "hours"), (168.0, 24.0, "days"), (720.0, 168.0, "weeks"), (8760.0, 720.0, "months")]
+    text = F.concat(fixed_text(h / 8760.0, 2), F.lit(" years"))
+    for below, unit, word in reversed(limits):
+        text = F.when(h < below, F.concat(fixed_text(h / unit, 2), F.lit(f" {word}"))).otherwise(text)
+    return text
 
 
 def confidence_word(confidence) -> Column:

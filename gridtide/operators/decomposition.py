@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridtide.operators.loess import bisquare, inner_loop
 from gridtide.operators.quantiles import exact_quantiles
-from gridtide.operators.series import CHUNK, on_chunks, with_size
+from gridtide.operators.series import CHUNK, on_chunks, series_size, with_size
 from gridtide.session import cut_lineage
 
 
@@ -72,10 +72,8 @@ def _long_enough(sized: DataFrame, period: int) -> DataFrame:
 
 def too_short(series: DataFrame, keys, period: int) -> DataFrame:
     """Series that cannot be decomposed, with the reason."""
-    short = with_size(series.select(*keys, "pos"), keys).where(F.col("n") < 2 * period)
-    return short.groupBy(*keys, "n").agg(
-        F.format_string("length %d is below two periods of %d", F.max("n"), F.lit(period)).alias("error"),
-    )
+    short = series_size(series, keys).where(F.col("n") < 2 * period)
+    return short.withColumn("error", F.format_string("length %d is below two periods of %d", F.col("n"), F.lit(period)))
 
 
 def stl(

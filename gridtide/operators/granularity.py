@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from gridtide.functions.columns import confidence_word, interval_text
+from gridtide.functions.columns import confidence_word, fixed_text, interval_text
 from gridtide.operators.ordering import time_deltas
 
 # Named steps and their length in seconds.
@@ -97,8 +97,8 @@ def detect_step(df: DataFrame, keys, ts: str) -> DataFrame:
 def describe_step(steps: DataFrame) -> DataFrame:
     """Adds the display text of a detected step."""
     head = F.format_string(
-        "**%s** (Confidence: %s - %.1f%%)",
-        F.col("granularity"), F.col("confidence_level"), F.col("confidence") * 100,
+        "**%s** (Confidence: %s - %s%%)",
+        F.col("granularity"), F.col("confidence_level"), fixed_text(F.col("confidence") * 100, 1),
     )
     lines = [
         head,

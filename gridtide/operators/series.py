@@ -20,7 +20,7 @@ CHUNK = 65536
 
 
 def regular_series(df: DataFrame, keys, ts: str, value: str, step: str = "hour", fill: float | None = 0.0) -> DataFrame:
-    """Sum per step with absent steps filled: (keys, ts, pos, value).
+    """Sum per step with absent steps filled: (keys, ts, pos, value, n), n being the series length.
 
     The table is read and shuffled once. Each summed step then fills the gap up to the
     next one; that window sees at most one row per step of a key's time span.
@@ -36,12 +36,20 @@ def regular_series(df: DataFrame, keys, ts: str, value: str, step: str = "hour",
     line = W.partitionBy(*keys).orderBy("ts")
     width = F.expr(f"interval {seconds} seconds")
     spans = sums.withColumns(
-        {"_first": F.min("ts").over(line), "_until": F.coalesce(F.lead("ts").over(line) - width, F.col("ts"))},
+        {
+            "_first": F.min("ts").over(line), "_until": F.coalesce(F.lead("ts").over(line) - width, F.col("ts")),
+            "_last": F.max("ts").over(W.partitionBy(*keys)),
+        },
     )
     filled = spans.withColumn("_at", F.explode(F.sequence("ts", "_until", width)))
-    pos = ((epoch_us("_at") - epoch_us("_first")) / (seconds * 1000000)).cast("bigint")
+
+    def steps(until: str) -> Column:
+        return ((epoch_us(until) - epoch_us("_first")) / (seconds * 1000000)).cast("bigint")
+
     amount = F.when(F.col("_at") == F.col("ts"), F.col("_sum")).otherwise(F.lit(fill))
-    return filled.select(*keys, F.col("_at").alias("ts"), pos.alias("pos"), amount.alias("value"))
+    return filled.select(
+        *keys, F.col("_at").alias("ts"), steps("_at").alias("pos"), amount.alias("value"), (steps("_last") + 1).alias("n"),
+    )
 
 
 def series_size(series: DataFrame, keys) -> DataFrame:
@@ -50,7 +58,12 @@ def series_size(series: DataFrame, keys) -> DataFrame:
 
 
 def with_size(series: DataFrame, keys) -> DataFrame:
-    return series.join(series_size(series, keys), list(keys))
+    """(keys, pos, value, n); a series that knows its length is not counted again."""
+    keys = list(keys)
+    if "n" in series.columns:
+        return series.select(*keys, "pos", "value", "n")
+    rows = series.select(*keys, "pos", "value")
+    return rows.join(series_size(rows, keys), keys)
 
 
 def spread_chunks(sized: DataFrame, chunk: int, margin: int | Column) -> DataFrame:
@@ -105,7 +118,8 @@ def on_chunks_with(
     head = ", ".join(f"`{k}` {sized.schema[k].dataType.simpleString()}" for k in keys)
     spread = spread_chunks(sized.select(*keys, "pos", "value", "n"), chunk, margin)
     last = F.floor((F.col("n") - 1) / chunk).cast("int")
-    sent = _renewed(side.join(series_size(sized, keys), keys).withColumn("chunk", F.explode(F.sequence(F.lit(0), last))))
+    lengths = sized.groupBy(*keys).agg(F.max("n").alias("n"))
+    sent = _renewed(side.join(lengths, keys).withColumn("chunk", F.explode(F.sequence(F.lit(0), last))))
 
     def run(frame: pd.DataFrame, row: pd.DataFrame) -> pd.DataFrame:
         source = row if len(row) else frame

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridtide.functions.columns import period_label
 from gridtide.operators.ordering import top_rows
-from gridtide.operators.series import CHUNK, on_chunks, with_size
+from gridtide.operators.series import CHUNK, on_chunks
 
 SINGLE_TASK_STEPS = 65536
 
@@ -29,7 +29,7 @@ def centred(series: DataFrame, keys) -> DataFrame:
     """Adds ``n`` and replaces the value by its deviation from the series mean."""
     keys = list(keys)
     means = series.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("_mean"))
-    return series.join(means, keys).withColumn("value", F.col("value") - F.col("_mean")).drop("_mean")
+    return series.drop("n").join(means, keys).withColumn("value", F.col("value") - F.col("_mean")).drop("_mean")
 
 
 def lag_products(sized: DataFrame, keys, lags: int | Column, chunk: int = CHUNK) -> DataFrame:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from gridtide.operators.ordering import running_sum
-from gridtide.operators.series import CHUNK, on_chunks, with_size
+from gridtide.operators.series import CHUNK, on_chunks
 from gridtide.operators.spectrum import _key_schema, centred, lag_products
 
 MIN_ROWS = 10
@@ -97,7 +97,7 @@ def adf_test(series: DataFrame, keys, alpha: float = 0.05, chunk: int = CHUNK) -
     top = F.least(F.ceil(12.0 * F.pow(F.col("n") / 100.0, F.lit(0.25))), F.floor(F.col("n") / 2) - 2)
     scale = scale.withColumn("_top", F.greatest(top, F.lit(0)).cast("int"))
     fit = (F.col("n") >= MIN_ROWS) & (F.col("_sd") > 0)
-    sized = series.join(scale.where(fit), keys).withColumn("value", (F.col("value") - F.col("_mean")) / F.col("_sd"))
+    sized = series.select(*keys, "pos", "value").join(scale.where(fit), keys).withColumn("value", (F.col("value") - F.col("_mean")) / F.col("_sd"))
 
     def kernel(frame, lo, hi):
         z = frame["value"].to_numpy(float)

@@ -120,7 +120,7 @@ def fit_holt_winters(
         raise ValueError("a season needs at least two steps")
     keys = list(keys)
     chunk = max(chunk, 2 * seasonal_periods)
-    sized = with_size(series.select(*keys, "pos", "value"), keys)
+    sized = with_size(series, keys)
     rows = sized.where(F.col("n") >= (2 * seasonal_periods if seasonal else 3)).drop("n").persist()
     chunks = _chunks(rows, chunk)
     empty = {a: F.lit(None).cast("array<double>") for a in _HW_ARRAYS}
@@ -356,7 +356,7 @@ def fit_arima(series: DataFrame, keys, order: tuple[int, int, int] = (1, 1, 1),
     k = p + q + constant
     chunk = max(chunk, 4 * (p + d + q + 16))
     need = d + 2 * max(p, q) + (12 if q else 0) + k + 5
-    sized = with_size(series.select(*keys, "pos", "value"), keys).where(F.col("n") >= need).persist()
+    sized = with_size(series, keys).where(F.col("n") >= need).persist()
     chunks = _chunks(sized, chunk)
     guess = _first_guess(sized, keys, p, d, q, chunk)
     zeros = F.array_repeat(F.lit(0.0), p + q)
@@ -518,10 +518,11 @@ def grid_forecasts(series: DataFrame, keys, settings: list[dict], name: str, tes
     Each setting is one job over all series; the winner per series is an aggregate.
     """
     keys = list(keys)
-    sized = with_size(series.select(*keys, "pos", "value"), keys)
+    sized = with_size(series, keys)
     cut = (F.col("n") * (1 - test_size)).cast("bigint")
     sized = sized.withColumn("_cut", cut)
-    train, test = sized.where(F.col("pos") < F.col("_cut")), sized.where(F.col("pos") >= F.col("_cut"))
+    train = sized.where(F.col("pos") < F.col("_cut")).withColumn("n", F.col("_cut"))
+    test = sized.where(F.col("pos") >= F.col("_cut"))
     horizon = int(test.agg(F.max(F.col("pos") - F.col("_cut") + 1)).first()[0])
     scored = []
     for s in settings:

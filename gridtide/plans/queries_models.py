@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from gridtide.functions import timeparts as T
 from gridtide.operators import models as M, univariate as U, validation as V
 from gridtide.operators.statistics import regression_scores
-from gridtide.plans.fixtures import HOURLY_SQL, hourly_by_kind, hourly_total, table
-from gridtide.plans.queries_tables import _cycle_sql, r
+from gridtide.plans.fixtures import HOURLY_KIND_SQL, HOURLY_SQL, hourly_by_kind, hourly_total
+from gridtide.plans.queries_tables import r
 from gridtide.plans.registry import query
 
 CYCLES = ["hour_sin", "hour_cos", "dayofweek_sin", "dayofweek_cos"]
@@ -91,6 +91,57 @@ def importance(spark, sf_dir):
     return M.top_importances(model.importance(spark))
 
 
+ONE_SQL = f"""WITH {HOURLY_SQL},
+f AS (SELECT a.pos - 24 AS pos, a.value AS y, b.value AS x FROM hourly a JOIN hourly b ON a.pos = b.pos + 24),
+n AS (SELECT count(*) AS n FROM f)"""
+
+
+@query(
+    "linear_attribution_one",
+    ONE_SQL + """, tr AS (SELECT f.* FROM f, n WHERE pos < CAST(floor(n * 0.8) AS BIGINT)),
+    s AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my FROM tr),
+    c AS (SELECT sum((x - mx) / sx * (y - my)) / (sum((x - mx) / sx * (x - mx) / sx) + 100.0) AS w FROM tr, s)
+    SELECT f.pos, round(w * (x - mx) / sx, 4) + 0.0 AS attribution_lag24, round(my, 4) + 0.0 AS base_value
+    FROM f, s, c, n WHERE pos >= CAST(floor(n.n * 0.8) AS BIGINT)""",
+)
+def linear_attribution_one(spark, sf_dir):
+    _, train, test = _split(spark, sf_dir)
+    parts = M.LinearForecaster("ridge", alpha=100.0).fit(train, ["lag24"], "value").attributions(test)
+    return parts.select("pos", *[r(F.col(c), 4).alias(c) for c in ("attribution_lag24", "base_value")])
+
+
+def _folds_sql(k: int, alphas: str) -> str:
+    return ONE_SQL + f""", al(alpha) AS (VALUES {alphas}),
+    b AS (SELECT CAST(i AS INTEGER) AS fold, n - ({k} - i) * (n // {k + 1}) AS lo, n - ({k} - i) * (n // {k + 1}) + n // {k + 1} AS hi FROM n, generate_series(0, {k - 1}) g(i)),
+    s AS (SELECT fold, lo, hi, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my FROM b JOIN f ON pos < lo GROUP BY ALL),
+    c AS (SELECT alpha, s.fold, sum((x - mx) / sx * (y - my)) / (sum((x - mx) / sx * (x - mx) / sx) + CAST(alpha AS DOUBLE)) AS w FROM al, s JOIN f ON pos < lo GROUP BY alpha, s.fold),
+    p AS (SELECT alpha, c.fold, y, my + w * (x - mx) / sx AS p FROM c JOIN s USING (fold) JOIN f ON pos >= lo AND pos < hi),
+    m AS (SELECT alpha, fold, avg(abs(y - p)) AS mae, avg((y - p) * (y - p)) AS mse, 1 - avg((y - p) * (y - p)) / var_pop(y) AS r2 FROM p GROUP BY ALL)"""
+
+
+@query(
+    "cv_one_feature",
+    _folds_sql(4, "(10.0)") + """ SELECT round(avg(mae), 4) + 0.0 AS mae, round(avg(mse), 2) + 0.0 AS mse, round(avg(r2), 6) + 0.0 AS r2,
+    round(stddev_pop(mae), 4) + 0.0 AS mae_std, 4 AS cv_folds FROM m""",
+)
+def cv_one_feature(spark, sf_dir):
+    frame, _, _ = _split(spark, sf_dir)
+    out = V.cross_validate(frame, ["lag24"], "value", "ridge", {"alpha": 10.0}, 4)
+    return out.withColumns({c: r(F.col(c), d) for c, d in (("mae", 4), ("mse", 2), ("r2", 6), ("mae_std", 4))})
+
+
+@query(
+    "grid_one_feature",
+    _folds_sql(3, "('0.1'), ('10.0'), ('1000.0')") + """, g AS (SELECT alpha, avg(-mse) AS a, stddev_pop(-mse) AS d FROM m GROUP BY 1)
+    SELECT '{"alpha": ' || alpha || '}' AS params, round(a, 2) + 0.0 AS mean_test_score, round(d, 2) + 0.0 AS std_test_score,
+      CAST(rank() OVER (ORDER BY a DESC) AS INTEGER) AS rank_test_score FROM g""",
+)
+def grid_one_feature(spark, sf_dir):
+    frame, _, _ = _split(spark, sf_dir)
+    out = V.grid_search(frame, ["lag24"], "value", "ridge", {"alpha": [0.1, 10.0, 1000.0]}, 3)[1]
+    return out.withColumns({c: r(F.col(c), 2) for c in ("mean_test_score", "std_test_score")})
+
+
 @query("linear_attribution")
 def linear_attribution(spark, sf_dir):
     _, train, test = _split(spark, sf_dir)
@@ -129,6 +180,24 @@ def arima(spark, sf_dir):
     return U.forecast_arima(fitted, KEYS, (1, 1, 1), 48)
 
 
+@query(
+    "arima_differenced_ar",
+    f"""WITH {HOURLY_KIND_SQL}, w AS (SELECT series_id, pos, value, value - lag(value) OVER (PARTITION BY series_id ORDER BY pos) AS w FROM hk),
+    v AS (SELECT *, lag(w) OVER (PARTITION BY series_id ORDER BY pos) AS b FROM w),
+    phi AS (SELECT series_id, sum(w * b) / sum(b * b) AS phi, max(pos) AS last FROM v WHERE pos >= 2 GROUP BY 1),
+    var AS (SELECT v.series_id, phi, sum((w - phi * b) * (w - phi * b)) / count(*) AS s2, arg_max(value, pos) AS y, arg_max(w, pos) AS w
+            FROM v JOIN phi USING (series_id) WHERE pos >= 2 GROUP BY v.series_id, phi),
+    h AS (SELECT CAST(h AS INTEGER) AS h FROM generate_series(1, 24) g(h)),
+    f AS (SELECT series_id, h, y + w * list_sum([pow(phi, i) for i in range(1, h + 1)]) AS p,
+                 1.959963984540054 * sqrt(s2 * list_sum([pow(list_sum([pow(phi, i) for i in range(0, j + 1)]), 2) for j in range(0, h)])) AS half FROM var, h)
+    SELECT series_id, h, round(p, 3) + 0.0 AS predicted, round(p - half, 3) + 0.0 AS predicted_lower, round(p + half, 3) + 0.0 AS predicted_upper FROM f""",
+)
+def arima_differenced_ar(spark, sf_dir):
+    fitted = U.fit_arima(hourly_by_kind(spark, sf_dir), KEYS, (1, 1, 0))
+    out = U.forecast_arima(fitted, KEYS, (1, 1, 0), 24)
+    return out.withColumns({c: r(F.col(c), 3) for c in ("predicted", "predicted_lower", "predicted_upper")})
+
+
 @query("arima_grid")
 def arima_grid(spark, sf_dir):
     settings = [{"order": o} for o in ((1, 0, 0), (0, 1, 1), (1, 1, 1))]

@@ -207,7 +207,14 @@ def common_deltas(spark, sf_dir):
     ).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query("step_report")
+@query(
+    "step_report",
+    f"""SELECT o_custkey, '**' || granularity || '** (Confidence: ' || confidence_level || ' - ' || printf('%.1f%%', confidence * 100) || ')'
+      || chr(10) || '- Most common interval: ' || CAST(CAST(modal_delta_seconds AS BIGINT) // 86400 AS VARCHAR) || ' days 00:00:00'
+      || chr(10) || '- ' || matching_intervals || '/' || total_intervals || ' intervals match'
+      || CASE WHEN unique_deltas > 1 THEN chr(10) || '- ' || unique_deltas || ' different interval types detected' ELSE '' END AS info
+    FROM ({_step_sql("orders", "o_custkey", "o_orderdate")})""",
+)
 def step_report(spark, sf_dir):
     steps = granularity.detect_step(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate")
     return granularity.describe_step(steps).select("o_custkey", "info")

@@ -15,7 +15,7 @@ KEYS = ["series_id"]
 
 @query("hourly_series", f"WITH {HOURLY_KIND_SQL} SELECT series_id, ts, pos, round(value, 4) + 0.0 AS value FROM hk")
 def hourly_series(spark, sf_dir):
-    return hourly_by_kind(spark, sf_dir).withColumn("value", r(F.col("value"), 4))
+    return hourly_by_kind(spark, sf_dir).drop("n").withColumn("value", r(F.col("value"), 4))
 
 
 PATTERN_SQL = f"WITH {HOURLY_KIND_SQL}, pat AS (SELECT series_id, pos % 24 AS phase, avg(value) AS pattern FROM hk GROUP BY ALL) "
@@ -89,14 +89,40 @@ def top_periods(spark, sf_dir):
     return out.select("series_id", "k", "rank", r(F.col("power") / 1000).alias("power_k"), "label")
 
 
-@query("spectrum_view")
+DFT_SQL = f"""WITH {HOURLY_KIND_SQL}, m AS (SELECT series_id, count(*) AS n, avg(value) AS mean FROM hk GROUP BY 1),
+ks AS (SELECT series_id, n, mean, unnest(generate_series(1, n // 2)) AS k FROM m),
+dft AS (SELECT ks.series_id, k, n, sum((value - mean) * cos(2 * pi() * ((k * pos) % n) / n)) AS re, sum((value - mean) * sin(2 * pi() * ((k * pos) % n) / n)) AS im
+        FROM hk JOIN ks USING (series_id) GROUP BY ALL),
+p AS (SELECT series_id, k, (re * re + im * im) / n * CASE WHEN k * 2 = n THEN 1 ELSE 2 END AS power, CAST(n AS DOUBLE) / k AS period FROM dft),
+c(label, hours) AS (VALUES {', '.join(f"('{label}', {hours}.0)" for label, hours in S.COMMON_PERIODS)})
+"""
+
+
+@query(
+    "spectrum_view",
+    DFT_SQL + """SELECT series_id, k, round(period, 6) AS period, round(power / 1000, 6) + 0.0 AS power_k,
+      arg_min(label, abs(period - hours)) AS common_period, CAST(arg_min(hours, abs(period - hours)) AS DOUBLE) AS common_length
+    FROM p, c WHERE period <= 200 GROUP BY series_id, k, period, power""",
+)
 def spectrum_view(spark, sf_dir):
-    return S.spectrum_view(S.periodogram(hourly_by_kind(spark, sf_dir), KEYS), "hour")
+    shown = S.spectrum_view(S.periodogram(hourly_by_kind(spark, sf_dir), KEYS), "hour", 200)
+    return shown.select(
+        "series_id", "k", F.round("period", 6).alias("period"), r(F.col("power") / 1000).alias("power_k"),
+        "common_period", "common_length",
+    )
 
 
-@query("common_periods")
+@query(
+    "common_periods",
+    DFT_SQL + """SELECT series_id, label, CAST(hours AS DOUBLE) AS length, round(arg_min(period, (abs(period - hours), period)), 6) AS period,
+      round(arg_min(power, (abs(period - hours), period)) / 1000, 6) + 0.0 AS power_k
+    FROM p, c GROUP BY series_id, label, hours HAVING hours BETWEEN min(period) AND max(period)""",
+)
 def common_periods(spark, sf_dir):
-    return S.common_periods(S.periodogram(hourly_by_kind(spark, sf_dir), KEYS), KEYS)
+    found = S.common_periods(S.periodogram(hourly_by_kind(spark, sf_dir), KEYS), KEYS)
+    return found.select(
+        "series_id", "label", "length", F.round("period", 6).alias("period"), r(F.col("power") / 1000).alias("power_k"),
+    )
 
 
 @query(
@@ -111,9 +137,23 @@ def acf(spark, sf_dir):
     return S.acf(hourly_by_kind(spark, sf_dir), KEYS, 200).withColumn("acf", r(F.col("acf")))
 
 
-@query("pacf")
+@query(
+    "pacf",
+    f"""WITH RECURSIVE {HOURLY_KIND_SQL}, m AS (SELECT series_id, avg(value) AS mean FROM hk GROUP BY 1),
+    e AS (SELECT hk.series_id, pos, value - mean AS e FROM hk JOIN m USING (series_id)),
+    lags AS (SELECT unnest(generate_series(0, 200)) AS lag),
+    prod AS (SELECT a.series_id, lag, sum(a.e * b.e) AS s FROM lags, e a JOIN e b ON a.series_id = b.series_id AND a.pos = b.pos + lag GROUP BY ALL),
+    rho AS (SELECT series_id, list(s ORDER BY lag) AS s FROM prod GROUP BY 1),
+    dl AS (
+      SELECT series_id, 0 AS k, [x / s[1] for x in s[2:]] AS r, CAST([] AS DOUBLE[]) AS c, CAST(1.0 AS DOUBLE) AS v FROM rho
+      UNION ALL
+      SELECT series_id, k + 1, r, [c[i] - g * c[k + 1 - i] for i in range(1, k + 1)] || [g], g FROM (
+        SELECT series_id, k, r, c, (r[k + 1] - coalesce(list_sum([c[i] * r[k + 1 - i] for i in range(1, k + 1)]), 0))
+          / (1 - coalesce(list_sum([c[i] * r[i] for i in range(1, k + 1)]), 0)) AS g FROM dl WHERE k < 200))
+    SELECT series_id, CAST(k AS INTEGER) AS lag, round(v, 6) + 0.0 AS pacf FROM dl""",
+)
 def pacf(spark, sf_dir):
-    return S.pacf(hourly_by_kind(spark, sf_dir), KEYS, 200)
+    return S.pacf(hourly_by_kind(spark, sf_dir), KEYS, 200).withColumn("pacf", r(F.col("pacf")))
 
 
 @query("adf_test")

@@ -52,9 +52,9 @@ def test_roll_up_nulls(spark):
 
 
 def test_labels(spark):
-    df = frame(spark, [(5.0,), (30.0,), (200.0,), (1000.0,), (9000.0,)], "h double")
+    df = frame(spark, [(5.0,), (30.0,), (200.0,), (1000.0,), (9000.0,), (27.0,)], "h double")
     got = [r[0] for r in df.select(C.period_label("h")).collect()]
-    assert got == ["5.00 hours", "1.25 days", "1.19 weeks", "1.39 months", "1.03 years"]
+    assert got == ["5.00 hours", "1.25 days", "1.19 weeks", "1.39 months", "1.03 years", "1.12 days"]
     text = frame(spark, [(93600.0,), (0.5,)], "s double").select(C.interval_text("s")).collect()
     assert [r[0] for r in text] == ["1 days 02:00:00", "0 days 00:00:00.500000"]
 
