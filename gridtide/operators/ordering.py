@@ -59,6 +59,8 @@ def add_slices(
 
 def time_slices(df: DataFrame, keys, ts: str, order=(), sizing: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """The table with slice columns for (ts, order), or unchanged if every key fits one task."""
+    if keys:  # a missing key is no group
+        df = df.na.drop(subset=list(keys))
     largest = largest_group(df if sizing is None else sizing, keys)
     if largest <= SLICE_ROWS:
         return df, []

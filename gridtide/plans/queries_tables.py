@@ -462,3 +462,45 @@ def hydrated_rows(spark, sf_dir):
         "event_id", F.when(e % 50 != 0, F.col("value")).alias("v"), F.when(e % 100 != 0, F.col("user_id")).alias("u"),
     )
     return joins.drop_empty_rows(rows, ["v", "u"])
+
+
+@query(
+    "two_pivots_join",
+    PLANT_SQL + "SELECT fecha_opreal, hora_opreal, "
+    + ", ".join(f"count(*) FILTER (WHERE kind = '{k}' AND mwh > 0) AS {k}_active, count(*) FILTER (WHERE kind = '{k}') AS {k}_total" for k in KINDS)
+    + " FROM plants GROUP BY 1, 2",
+)
+def two_pivots_join(spark, sf_dir):
+    """Flags and plants pivoted apart and joined with suffixes."""
+    by = ["fecha_opreal", "hora_opreal"]
+    plants = rollups.plant_hours(generation(spark, sf_dir), kinds=KINDS).withColumn("flag", C.active_flag("generacion_real_mwh"))
+    kinds = plants.groupBy(*by).pivot("central_tipo_nemotecnico", KINDS)
+    active = kinds.agg(F.coalesce(F.sum("flag"), F.lit(0))).na.fill(0, KINDS)
+    total = kinds.agg(F.count("central_nombre")).na.fill(0, KINDS)
+    return joins.join_with_suffixes(active, total, by, "_active", "_total", "left", always=True)
+
+
+@query(
+    "typed_dates",
+    """SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE date_trunc('day', ts) END AS fecha, CAST(hour(ts) AS INTEGER) AS hora FROM events""",
+)
+def typed_dates(spark, sf_dir):
+    text = table(spark, sf_dir, "events").select(
+        "event_id", F.when(F.col("event_id") % 9 == 0, "unknown").otherwise(T.iso_date("ts")).alias("fecha"),
+        (F.hour("ts") + 1).alias("hora"),
+    )
+    return C.typed_dates(text, "fecha", "hora")
+
+
+@query(
+    "prediction_alignment",
+    """WITH h AS (SELECT date_trunc('hour', ts) AS datetime, round(sum(value), 4) AS v FROM events GROUP BY 1),
+    p AS (SELECT datetime + INTERVAL 1 DAY AS datetime, v AS predicted FROM h)
+    SELECT datetime, v AS actual, predicted FROM h FULL JOIN p USING (datetime)""",
+)
+def prediction_alignment(spark, sf_dir):
+    """Hourly totals beside the value of a day before as forecast."""
+    hours = rollups.roll_up(table(spark, sf_dir, "events"), "ts", "hour", "sum", ["value"])
+    actual = hours.select("datetime", F.round("value_sum", 4).alias("actual"))
+    naive = hours.select((F.col("datetime") + F.expr("interval 1 day")).alias("datetime"), F.round("value_sum", 4).alias("predicted"))
+    return joins.align_predictions(actual, naive, "datetime")

@@ -151,3 +151,17 @@ def test_pattern_windows(spark):
     assert [r.pattern for r in line] == pytest.approx([0, 1, 2, 3, 4, 5])
     ends = P.smooth_moving_average(df, [], 6, 2).orderBy("phase").collect()
     assert ends[0].pattern == pytest.approx(0.5)
+
+
+def test_custom_coordinates_and_preview(spark):
+    cells = frame(spark, [(-40.0, -70.0)], "lat double, lon double")
+    assert S.mask_cells(C.lonlat_columns(cells, "lon", "lat"), rings(spark)).first().region == "South"
+    preview = {r.region: (r.n_rings, r.n_vertices) for r in S.region_preview(rings(spark)).collect()}
+    assert preview == {"South": (1, 4), "North": (1, 3)}
+
+
+def test_missing_keys_are_no_group(spark):
+    from gridtide.operators.ordering import position_in_order
+
+    df = frame(spark, [("a", DAY), (None, DAY), ("a", DAY + dt.timedelta(hours=1))], "k string, t timestamp_ntz")
+    assert sorted(r.pos for r in position_in_order(df, ["k"], "t").collect()) == [0, 1]

@@ -115,3 +115,13 @@ def test_components(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "one")).count() == 3
     info = T.table_info(parts).orderBy("place").collect()
     assert [(r.column, r.type, r.non_null) for r in info][:2] == [("series_id", "string", 3), ("pos", "bigint", 3)]
+
+
+def test_region_table_and_means(spark, sf_dir, tmp_path):
+    rings(spark).withColumnRenamed("region", "Comuna").write.parquet(str(tmp_path / "rings"))
+    boundaries = W.read_regions(spark, str(tmp_path / "rings"), "Comuna")
+    wide = forecast.regional_table(grid(spark, sf_dir), boundaries, ["South", "North"], None)
+    T.write_means(wide, str(tmp_path / "means"))
+    assert {p.name for p in (tmp_path / "means").iterdir() if p.is_dir()} == {f"variable={v}" for v in ("u100", "v100", "sdswrf")}
+    back = spark.read.option("header", True).csv(str(tmp_path / "means"))
+    assert back.count() == wide.count()
