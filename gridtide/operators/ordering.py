@@ -29,32 +29,38 @@ def largest_group(df: DataFrame, keys) -> int:
 def add_slices(
     df: DataFrame, keys, value: Column, out: str, largest: int, sizing: DataFrame | None = None,
     slice_rows: int | None = None,
-) -> DataFrame:
+) -> tuple[DataFrame, bool]:
     """Adds an order-preserving slice number of a numeric value within the keys.
 
     Cut points are quantiles of ``sizing`` (by default the table itself), stored so that
     every later use sees the same ones. Values equal to a cut point get a slice of their
-    own (odd numbers). Keys below the slice size stay whole.
+    own (odd numbers). Keys below the slice size stay whole. The flag tells whether some
+    single value fills more than a slice: only then does it occur among the cuts twice.
     """
     slice_rows = SLICE_ROWS if slice_rows is None else slice_rows
     wanted = max(2, min(MOST_SLICES, -(-largest // slice_rows)))
     shares = [i / wanted for i in range(1, wanted)]
-    source = (df if sizing is None else sizing).withColumn("_v", value).where(F.col("_v").isNotNull())
-    cuts = source.groupBy(*keys).agg(
-        F.count("*").alias("_c"), F.percentile_approx("_v", shares, 4 * wanted).alias("_cuts"),
-    )
-    cuts = cuts.where(F.col("_c") > slice_rows).drop("_c")
+    keys = list(keys)
+    source = (df if sizing is None else sizing).select(*keys, value.alias("_v")).where(F.col("_v").isNotNull())
+    if keys:  # the sketch is only worth its cost for keys that need cutting
+        large = source.groupBy(*keys).agg(F.count("*").alias("_c")).where(F.col("_c") > slice_rows).drop("_c")
+        source = source.join(large, keys)
+    cuts = source.groupBy(*keys).agg(F.percentile_approx("_v", shares, 4 * wanted).alias("_cuts"))
     # Every FANOUT-th cut first, then the cuts in between: two short scans instead of a long one.
     coarse = F.filter("_cuts", lambda _, i: i % FANOUT == FANOUT - 1)
     cuts = cut_lineage(cuts.withColumn("_coarse", coarse))
+    tied = F.max(F.size("_cuts") > F.size(F.array_distinct("_cuts")))
+    crowded = bool(cuts.agg(tied).first()[0])
     joined = df.withColumn("_v", value)
-    joined = joined.join(cuts, list(keys), "left") if keys else joined.join(F.broadcast(cuts), how="left")
-    block = F.size(F.filter("_coarse", lambda c: c < F.col("_v")))
-    within = F.size(F.filter(F.slice("_cuts", block * FANOUT + 1, FANOUT), lambda c: c < F.col("_v")))
-    place = block * FANOUT + within
+    joined = joined.join(cuts, keys, "left") if keys else joined.join(F.broadcast(cuts), how="left")
+    if wanted <= FANOUT:
+        place = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    else:
+        block = F.size(F.filter("_coarse", lambda c: c < F.col("_v")))
+        place = block * FANOUT + F.size(F.filter(F.slice("_cuts", block * FANOUT + 1, FANOUT), lambda c: c < F.col("_v")))
     alone = F.coalesce(F.get("_cuts", place) == F.col("_v"), F.lit(False)).cast("int")
     number = F.when(F.col("_cuts").isNull() | F.col("_v").isNull(), 0).otherwise(2 * place + alone)
-    return joined.withColumn(out, number).drop("_v", "_cuts", "_coarse")
+    return joined.withColumn(out, number).drop("_v", "_cuts", "_coarse"), crowded
 
 
 def time_slices(df: DataFrame, keys, ts: str, order=(), sizing: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
@@ -64,14 +70,14 @@ def time_slices(df: DataFrame, keys, ts: str, order=(), sizing: DataFrame | None
     largest = largest_group(df if sizing is None else sizing, keys)
     if largest <= SLICE_ROWS:
         return df, []
-    cut = add_slices(df, keys, epoch_us(ts), "_b", largest, sizing)
+    cut, crowded = add_slices(df, keys, epoch_us(ts), "_b", largest, sizing)
     slices = ["_b"]
-    if order and isinstance(df.schema[order[0]].dataType, NumericType):
-        crowded = largest_group(cut, [*keys, "_b"])
-        if crowded > SLICE_ROWS:
+    if crowded and order and isinstance(df.schema[order[0]].dataType, NumericType):
+        crowd = largest_group(cut, [*keys, "_b"])
+        if crowd > SLICE_ROWS:
             # Only slices of one single time may be cut along the next column.
             second = F.when(F.col("_b") % 2 == 1, F.col(order[0])).otherwise(0)
-            cut = add_slices(cut, [*keys, "_b"], second, "_b2", crowded)
+            cut, _ = add_slices(cut, [*keys, "_b"], second, "_b2", crowd)
             slices.append("_b2")
     return cut, slices
 

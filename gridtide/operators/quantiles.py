@@ -96,7 +96,7 @@ def _bracketed(rows: DataFrame, keys, shares, largest: int, direct_rows: int, sl
         counted = cut_lineage(counted)
         crowded = largest_group(counted, keys)
         if crowded > slice_rows:
-            counted = add_slices(counted, keys, F.col("_x").cast("double"), "_b", crowded, slice_rows=slice_rows)
+            counted, _ = add_slices(counted, keys, F.col("_x").cast("double"), "_b", crowded, slice_rows=slice_rows)
             slices = ["_b"]
             counted = counted.withColumn("_b", F.when(F.col("_x").isNull(), -1).otherwise(F.col("_b")))
     counted = running_sum(counted, keys, order, {"_cum": F.col("_c")}, slices)
