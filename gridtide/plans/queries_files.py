@@ -9,8 +9,7 @@ from gridtide.plans import forecast
 from gridtide.plans.fixtures import (
     GENERATION_SQL, GRID_SQL, HOURLY_KIND_SQL, generation, grid, hourly_by_kind, rings, table,
 )
-from gridtide.plans.queries_tables import r
-from gridtide.plans.registry import query
+from gridtide.plans.registry import query, steady_round as r
 from gridtide.plans.scratch import fresh_folder
 from gridtide.sources import tabular, weather
 

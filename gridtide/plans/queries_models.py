@@ -8,8 +8,7 @@ from gridtide.functions import timeparts as T
 from gridtide.operators import models as M, univariate as U, validation as V
 from gridtide.operators.statistics import regression_scores
 from gridtide.plans.fixtures import HOURLY_KIND_SQL, HOURLY_SQL, hourly_by_kind, hourly_total
-from gridtide.plans.queries_tables import r
-from gridtide.plans.registry import query
+from gridtide.plans.registry import query, steady_round as r
 
 CYCLES = ["hour_sin", "hour_cos", "dayofweek_sin", "dayofweek_cos"]
 FEATURES = ["lag24", *CYCLES]

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from gridtide.functions import timeparts as T
 from gridtide.operators import granularity, ordering, quality
 from gridtide.plans.fixtures import GENERATION_SQL, KINDS, generation, table
-from gridtide.plans.queries_tables import r
-from gridtide.plans.registry import query
+from gridtide.plans.registry import query, steady_round as r
 
 MISSING_SQL = """
 days AS (SELECT DISTINCT date_trunc('day', o_orderdate)::TIMESTAMP AS d FROM orders),

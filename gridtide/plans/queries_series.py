@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from gridtide.operators import decomposition as D, patterns as P, spectrum as S, stationarity as Z
 from gridtide.operators.statistics import covariance_matrix
 from gridtide.plans.fixtures import HOURLY_KIND_SQL, HOURLY_SQL, KINDS, hourly_by_kind, hourly_total
-from gridtide.plans.queries_tables import r
-from gridtide.plans.registry import query
+from gridtide.plans.registry import query, steady_round as r
 
 KEYS = ["series_id"]
 
@@ -67,8 +66,8 @@ def pattern_savgol(spark, sf_dir):
 def periodogram(spark, sf_dir):
     out = S.periodogram(hourly_total(spark, sf_dir), KEYS)
     return out.select(
-        "series_id", "k", F.round("frequency", 9).alias("frequency"), r(F.col("power") / 1000).alias("power_k"),
-        F.round("period", 6).alias("period"),
+        "series_id", "k", r(F.col("frequency"), 9).alias("frequency"), r(F.col("power") / 1000).alias("power_k"),
+        r(F.col("period"), 6).alias("period"),
     )
 
 
@@ -107,7 +106,7 @@ c(label, hours) AS (VALUES {', '.join(f"('{label}', {hours}.0)" for label, hours
 def spectrum_view(spark, sf_dir):
     shown = S.spectrum_view(S.periodogram(hourly_by_kind(spark, sf_dir), KEYS), "hour", 200)
     return shown.select(
-        "series_id", "k", F.round("period", 6).alias("period"), r(F.col("power") / 1000).alias("power_k"),
+        "series_id", "k", r(F.col("period"), 6).alias("period"), r(F.col("power") / 1000).alias("power_k"),
         "common_period", "common_length",
     )
 
@@ -121,7 +120,7 @@ def spectrum_view(spark, sf_dir):
 def common_periods(spark, sf_dir):
     found = S.common_periods(S.periodogram(hourly_by_kind(spark, sf_dir), KEYS), KEYS)
     return found.select(
-        "series_id", "label", "length", F.round("period", 6).alias("period"), r(F.col("power") / 1000).alias("power_k"),
+        "series_id", "label", "length", r(F.col("period"), 6).alias("period"), r(F.col("power") / 1000).alias("power_k"),
     )
 
 
@@ -180,7 +179,7 @@ def adf_test(spark, sf_dir):
 )
 def kpss_test(spark, sf_dir):
     out = Z.kpss_test(hourly_by_kind(spark, sf_dir), KEYS)
-    return out.select("series_id", "lags", r(F.col("test_statistic")).alias("test_statistic"), F.round("p_value", 6).alias("p_value"))
+    return out.select("series_id", "lags", r(F.col("test_statistic")).alias("test_statistic"), r(F.col("p_value"), 6).alias("p_value"))
 
 
 @query("stl_components")

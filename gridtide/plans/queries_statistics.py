@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from gridtide.functions import columns as C, timeparts as T
 from gridtide.operators import joins, statistics as S
 from gridtide.plans.fixtures import KINDS, table
-from gridtide.plans.queries_tables import TYPE_PIVOT_SQL, _type_pivot, r
-from gridtide.plans.registry import query
+from gridtide.plans.queries_tables import TYPE_PIVOT_SQL, _type_pivot
+from gridtide.plans.registry import query, steady_round as r
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridtide.functions import columns as C, timeparts as T
 from gridtide.operators import joins, ordering, rollups
 from gridtide.plans.fixtures import GENERATION_SQL, KINDS, SUBTYPES, generation, table
-from gridtide.plans.registry import query
+from gridtide.plans.registry import query, steady_round as r
 
 PLANT_SQL = f"""WITH {GENERATION_SQL},
 plants AS (SELECT fecha_opreal, hora_opreal, central_nombre, sum(generacion_real_mwh) AS mwh,
@@ -15,11 +15,6 @@ plants AS (SELECT fecha_opreal, hora_opreal, central_nombre, sum(generacion_real
 """
 
 
-def r(c, digits=6):
-    """Rounded and free of negative zero, as the SQL side writes it."""
-    return F.round(c, digits) + F.lit(0.0)
-
-
 def _share_sql(k):
     a, t = f"count(*) FILTER (WHERE kind = '{k}' AND mwh > 0)", f"count(*) FILTER (WHERE kind = '{k}')"
     return (
@@ -182,7 +177,7 @@ DEMAND_SQL = "demand AS (SELECT date_trunc('day', ts) AS fecha, CAST(hour(ts) AS
 def decimal_comma(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     text = events.groupBy(T.truncate("ts", "day").alias("fecha"), F.hour("ts").alias("hora")).agg(
-        F.replace(F.round(F.sum("value"), 2).cast("string"), F.lit("."), F.lit(",")).alias("demanda"),
+        F.replace(r(F.sum("value"), 2).cast("string"), F.lit("."), F.lit(",")).alias("demanda"),
     )
     return text.withColumn("demanda", C.comma_decimal("demanda"))
 
@@ -219,7 +214,7 @@ def hour_text(spark, sf_dir):
 def _by_kind(spark, sf_dir, kind, skip):
     events = table(spark, sf_dir, "events").where((F.col("event_type") == kind) & (F.hour("ts") != skip))
     return rollups.roll_up(events, "ts", "hour", "sum", ["value"]).select(
-        "datetime", F.round("value_sum", 4).alias("value"),
+        "datetime", r(F.col("value_sum"), 4).alias("value"),
     )
 
 
@@ -254,11 +249,11 @@ for _how, _word in (("outer", "FULL"), ("inner", "INNER"), ("left", "LEFT"), ("r
 )
 def demand_generation_join(spark, sf_dir):
     gen = generation(spark, sf_dir).groupBy("fecha_opreal", "hora_opreal").agg(
-        F.round(F.sum("generacion_real_mwh"), 4).alias("generacion"),
+        r(F.sum("generacion_real_mwh"), 4).alias("generacion"),
     )
     events = table(spark, sf_dir, "events")
     demand = events.groupBy(T.truncate("ts", "day").alias("fecha_opreal"), (F.hour("ts") + 1).alias("hora_opreal")).agg(
-        F.round(F.sum("value"), 2).alias("demanda"),
+        r(F.sum("value"), 2).alias("demanda"),
     )
     return joins.join_on(gen, demand, ["fecha_opreal", "hora_opreal"])
 
@@ -501,6 +496,6 @@ def typed_dates(spark, sf_dir):
 def prediction_alignment(spark, sf_dir):
     """Hourly totals beside the value of a day before as forecast."""
     hours = rollups.roll_up(table(spark, sf_dir, "events"), "ts", "hour", "sum", ["value"])
-    actual = hours.select("datetime", F.round("value_sum", 4).alias("actual"))
-    naive = hours.select((F.col("datetime") + F.expr("interval 1 day")).alias("datetime"), F.round("value_sum", 4).alias("predicted"))
+    actual = hours.select("datetime", r(F.col("value_sum"), 4).alias("actual"))
+    naive = hours.select((F.col("datetime") + F.expr("interval 1 day")).alias("datetime"), r(F.col("value_sum"), 4).alias("predicted"))
     return joins.align_predictions(actual, naive, "datetime")

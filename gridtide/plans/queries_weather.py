@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from gridtide.operators import spatial
 from gridtide.plans import forecast
 from gridtide.plans.fixtures import GRID_SQL, MASK_SQL, grid, rings
-from gridtide.plans.queries_tables import _cycle_sql, r
-from gridtide.plans.registry import query
+from gridtide.plans.queries_tables import _cycle_sql
+from gridtide.plans.registry import query, steady_round as r
 from gridtide.sources import weather
 
 MEANS_SQL = f"""WITH {GRID_SQL}, {MASK_SQL},
