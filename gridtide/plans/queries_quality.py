@@ -152,7 +152,8 @@ def order_date_deltas(spark, sf_dir):
 STEP_ROWS = ", ".join(f"({i}, '{n}', {s})" for i, (n, s) in enumerate(granularity.NAMED_STEPS))
 
 
-def _step_sql(source, key, ts):
+def _step_sql(source, key, ts, digits=6):
+    """Step detection; without digits the confidence stays unrounded."""
     k = f"{key}, " if key else ""
     return f"""WITH {_delta_sql(source, key, ts)},
     steps(place, name, seconds) AS (VALUES {STEP_ROWS}),
@@ -165,7 +166,7 @@ def _step_sql(source, key, ts):
     named AS (SELECT *, CASE WHEN unique_deltas > total_intervals * 0.5 THEN score * 0.5 ELSE score END AS conf FROM scored)
     SELECT {k}CASE WHEN unique_deltas > total_intervals * 0.5 THEN 'Irregular (' || name || '-like)'
                 WHEN score < 0.7 THEN 'Mixed (' || name || '-dominant)' ELSE name END AS granularity,
-      round(conf, 6) + 0.0 AS confidence,
+      {f"round(conf, {digits}) + 0.0" if digits else "conf"} AS confidence,
       CASE WHEN conf >= 0.9 THEN 'Very High' WHEN conf >= 0.7 THEN 'High' WHEN conf >= 0.5 THEN 'Medium' ELSE 'Low' END AS confidence_level,
       modal_delta_seconds, round(score, 6) + 0.0 AS confidence_score, total_intervals, matching_intervals, unique_deltas FROM named"""
 
@@ -212,7 +213,7 @@ def common_deltas(spark, sf_dir):
       || chr(10) || '- Most common interval: ' || CAST(CAST(modal_delta_seconds AS BIGINT) // 86400 AS VARCHAR) || ' days 00:00:00'
       || chr(10) || '- ' || matching_intervals || '/' || total_intervals || ' intervals match'
       || CASE WHEN unique_deltas > 1 THEN chr(10) || '- ' || unique_deltas || ' different interval types detected' ELSE '' END AS info
-    FROM ({_step_sql("orders", "o_custkey", "o_orderdate")})""",
+    FROM ({_step_sql("orders", "o_custkey", "o_orderdate", None)})""",
 )
 def step_report(spark, sf_dir):
     steps = granularity.detect_step(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate")

@@ -75,13 +75,13 @@ for _unit in ("month", "quarter", "year"):
     "rollup_per_column",
     """SELECT o_orderpriority, date_trunc('month', o_orderdate)::TIMESTAMP AS datetime,
        round(sum(o_totalprice), 2) + 0.0 AS o_totalprice_sum, max(o_totalprice) AS o_totalprice_max,
-       count(o_orderkey) AS o_orderkey_count, round(var_samp(o_orderkey), 4) + 0.0 AS o_orderkey_var
+       count(o_orderkey) AS o_orderkey_count, round(var_samp(o_orderkey) / 1e6, 4) + 0.0 AS o_orderkey_var
        FROM orders GROUP BY 1, 2""",
 )
 def rollup_per_column(spark, sf_dir):
     spec = {"o_totalprice": ["sum", "max"], "o_orderkey": ["count", "var"]}
     out = rollups.roll_up(table(spark, sf_dir, "orders"), "o_orderdate", "M", spec, keys=["o_orderpriority"])
-    return out.withColumns({"o_totalprice_sum": r(F.col("o_totalprice_sum"), 2), "o_orderkey_var": r(F.col("o_orderkey_var"), 4)})
+    return out.withColumns({"o_totalprice_sum": r(F.col("o_totalprice_sum"), 2), "o_orderkey_var": r(F.col("o_orderkey_var") / 1e6, 4)})
 
 
 @query(
