@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gridtide.functions.timeparts import iso_date
-from gridtide.operators.ordering import islands
+from gridtide.operators.ordering import islands, previous_in_order, time_slices
 from gridtide.operators.quantiles import attach_one
 
 STEPS = {
@@ -27,11 +27,19 @@ def _times(df: DataFrame, ts: str, step: str, keys) -> DataFrame:
 def missing_times(df: DataFrame, ts: str, step: str = "day", keys=()) -> DataFrame:
     """Times between the first and last that do not occur (Q1).
 
-    The expected calendar is as long as the span divided by the step, whatever the row count.
+    Days fill the gap between neighbours directly, so only missing days are made. Other steps
+    count from the first time, and times off that grid are not expected; there the
+    calendar, as long as the span divided by the step, is matched against the times.
     """
     if step not in STEPS:
         raise ValueError(f"unknown step {step!r}")
+    keys = list(keys)
     actual = _times(df, ts, step, keys)
+    if step == "day":
+        cut, slices = time_slices(actual, keys, ts, sizing=actual)
+        day = F.expr(STEPS["day"])
+        gaps = previous_in_order(cut, keys, ts, "_prev", slices).where(F.col(ts) > F.col("_prev") + day)
+        return gaps.select(*keys, F.explode(F.sequence(F.col("_prev") + day, F.col(ts) - day, day)).alias(ts))
     span = actual.groupBy(*keys).agg(F.min(ts).alias("_from"), F.max(ts).alias("_to"))
     expected = span.where(F.col("_from").isNotNull()).select(
         *keys, F.explode(F.sequence("_from", "_to", F.expr(STEPS[step]))).alias(ts),
@@ -101,13 +109,21 @@ def duplicate_hour_maps(df: DataFrame, date: str, hour: str, keys=()) -> DataFra
 
 
 def date_completeness(df: DataFrame, ts: str, step: str = "day", keys=()) -> DataFrame:
-    """Range, record count and number of missing times (Q6); the list itself is ``missing_times``."""
+    """Range, record count and number of missing times (Q6); the list itself is ``missing_times``.
+
+    For days the missing number is the span less the days present, without a calendar.
+    """
     keys = list(keys)
     base = df.groupBy(*keys).agg(
         F.min(ts).alias("first"), F.max(ts).alias("last"), F.count("*").alias("records"),
     )
-    gaps = missing_times(df, ts, step, keys).groupBy(*keys).agg(F.count("*").alias("missing"))
-    joined = base.join(gaps, keys, "left") if keys else attach_one(base, gaps)
+    if step == "day":
+        present = _times(df, ts, step, keys).groupBy(*keys).agg(
+            (F.date_diff(F.max(ts), F.min(ts)) + 1 - F.count("*")).cast("bigint").alias("missing"),
+        )
+    else:
+        present = missing_times(df, ts, step, keys).groupBy(*keys).agg(F.count("*").alias("missing"))
+    joined = base.join(present, keys, "left") if keys else attach_one(base, present)
     missing = F.coalesce("missing", F.lit(0))
     return joined.select(
         *keys, "first", "last", "records", missing.alias("missing"), (missing == 0).alias("complete"),

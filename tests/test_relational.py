@@ -165,3 +165,20 @@ def test_missing_keys_are_no_group(spark):
 
     df = frame(spark, [("a", DAY), (None, DAY), ("a", DAY + dt.timedelta(hours=1))], "k string, t timestamp_ntz")
     assert sorted(r.pos for r in position_in_order(df, ["k"], "t").collect()) == [0, 1]
+
+
+def test_missing_times_by_hand(spark, monkeypatch):
+    from gridtide.operators import ordering
+
+    days = [DAY + dt.timedelta(days=i, hours=5) for i in (0, 1, 4, 4, 9)]
+    df = frame(spark, [(k, d) for k in "ab" for d in days], "k string, t timestamp_ntz")
+    want = sorted((k, DAY + dt.timedelta(days=i)) for k in "ab" for i in (2, 3, 5, 6, 7, 8))
+    for size in (10**9, 2):
+        monkeypatch.setattr(ordering, "SLICE_ROWS", size)
+        assert sorted((r.k, r.t) for r in Q.missing_times(df, "t", "day", ["k"]).collect()) == want
+    # Hours count from the first time; 02:10 is off the grid of 00:30, 01:30, ...
+    odd = frame(spark, [(DAY + dt.timedelta(minutes=m),) for m in (30, 130, 270)], "t timestamp_ntz")
+    assert sorted(r.t for r in Q.missing_times(odd, "t", "hour").collect()) == [DAY + dt.timedelta(minutes=m) for m in (90, 150, 210, 270) if m != 270]
+    assert Q.date_completeness(odd, "t", "hour").first().missing == 3
+    months = frame(spark, [(dt.datetime(2024, m, 1),) for m in (1, 2, 5)], "t timestamp_ntz")
+    assert Q.missing_times(months, "t", "month").count() == 2
