@@ -8,6 +8,7 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK = 1 << 21  # weights held at once
+FFT_WINDOW = 256
 
 
 def _weights(target, left, width, span, robust, n):
@@ -49,6 +50,15 @@ def smooth_at(y, window, target, robust=None):
     return out, ok
 
 
+def _weighted_runs(y, w):
+    """Weighted sums over every run of ``len(w)`` values; long windows go through the FFT."""
+    if len(w) <= FFT_WINDOW:
+        return np.convolve(y, w[::-1], mode="valid")
+    size = 1 << int(np.ceil(np.log2(len(y) + len(w) - 1)))
+    full = np.fft.irfft(np.fft.rfft(y, size) * np.fft.rfft(w[::-1], size), size)
+    return full[len(w) - 1 : len(y)]
+
+
 def smooth(y, window, robust=None):
     """Local-line smoothing at every position; interior weights are shared when not robust."""
     n = len(y)
@@ -58,7 +68,7 @@ def smooth(y, window, robust=None):
     if robust is None and n > 2 * window:
         target = np.array([half])
         _, w, _ = _weights(target, np.array([0]), window, np.array([float(half)]), None, n)
-        middle = np.convolve(y, w[0][::-1], mode="valid")
+        middle = _weighted_runs(y, w[0])
         edge = np.concatenate([np.arange(half), np.arange(n - half, n)])
         ends, _ = smooth_at(y, window, edge)
         return np.concatenate([ends[:half], middle, ends[half:]])

@@ -28,16 +28,17 @@ def attach_one(rows: DataFrame, single: DataFrame) -> DataFrame:
 
 def rank_values(
     df: DataFrame, keys, value: str, targets: dict[str, tuple[float, Column]],
-    direct_rows: int = DIRECT_ROWS, span: int = 1, slice_rows: int = SLICE_ROWS,
+    direct_rows: int = DIRECT_ROWS, span: int = 1, slice_rows: int = SLICE_ROWS, largest: int | None = None,
 ) -> DataFrame:
     """Values at wanted zero-based ranks: one row per keys with ``_n`` and the targets.
 
     ``targets`` maps an output name to (share of the group the rank lies at, rank as
     a column of ``_n``). With ``span=2`` the next higher value is added as ``{name}_next``.
+    ``largest`` is an upper bound of a group's rows if the caller knows one.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"))
-    largest = largest_group(rows, keys)
+    largest = largest_group(rows, keys) if largest is None else largest
     if largest <= direct_rows:
         counted = rows.groupBy(*keys, "_x").agg(F.count("*").alias("_c")).withColumn("_skipped", F.lit(0))
         line = W.partitionBy(*keys).orderBy("_x").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -105,13 +106,13 @@ def _bracketed(rows: DataFrame, keys, shares, largest: int, direct_rows: int, sl
 
 def exact_quantiles(
     df: DataFrame, keys, value: str, quantiles: dict[str, float], direct_rows: int = DIRECT_ROWS,
-    slice_rows: int = SLICE_ROWS,
+    slice_rows: int = SLICE_ROWS, largest: int | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles per keys, equal to pandas' and NumPy's default."""
     targets = {
         f"_q_{name}": (q, F.floor((F.col("_n") - 1) * F.lit(float(q)))) for name, q in quantiles.items()
     }
-    ranked = rank_values(df, keys, value, targets, direct_rows, 2, slice_rows)
+    ranked = rank_values(df, keys, value, targets, direct_rows, 2, slice_rows, largest)
     outputs = []
     for name, q in quantiles.items():
         h = (F.col("_n") - 1) * F.lit(float(q))

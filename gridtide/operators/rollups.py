@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridtide.functions.columns import numeric_columns
 from gridtide.functions.timeparts import truncate
+from gridtide.operators.ordering import largest_group
 from gridtide.operators.quantiles import exact_quantiles
 
 AGGREGATES = {
@@ -45,8 +46,11 @@ def roll_up(df: DataFrame, ts: str, resolution: str, functions="sum", columns=No
     sources = sources.na.drop(subset=by)
     plain = [AGGREGATES[f](F.col(f"_v_{c}")).alias(f"{c}_{f}") for c, f in wanted if f != "median"]
     result = sources.groupBy(*by).agg(*plain) if plain else sources.select(*by).distinct()
-    for c in (c for c, f in wanted if f == "median"):
-        result = result.join(exact_quantiles(sources, by, f"_v_{c}", {f"{c}_median": 0.5}), by, "left")
+    medians = [c for c, f in wanted if f == "median"]
+    largest = largest_group(sources, by) if medians else 0
+    for c in medians:
+        middle = exact_quantiles(sources, by, f"_v_{c}", {f"{c}_median": 0.5}, largest=largest)
+        result = result.join(middle, by, "left")
     return result.select(*by, *[f"{c}_{f}" for c, f in wanted])
 
 

@@ -40,6 +40,17 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(spark: SparkSession, input_bytes: int, per_task: int = 128 << 20) -> int:
+    """Shuffle partitions for an input size; AQE merges the small ones again.
+
+    The default of 200 leaves gigabytes per task on a large input.
+    """
+    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = min(100_000, max(current, -(-input_bytes // per_task)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return wanted
+
+
 def checkpoint_folder(spark: SparkSession) -> None:
     """Make sure reliable checkpoints have a folder.
 

@@ -194,3 +194,25 @@ def test_residual_suite(spark, noisy):
         Z.residual_tests(parts.drop("resid"), KEYS)
     few = parts.limit(12)
     assert Z.residual_tests(few.withColumn("pos", F.monotonically_increasing_id()), KEYS).first().error
+
+
+def test_long_windows():
+    from gridtide.operators import loess
+
+    y = np.random.default_rng(4).normal(size=3000).cumsum()
+    w = np.random.default_rng(5).random(501)
+    np.testing.assert_allclose(loess._weighted_runs(y, w), np.convolve(y, w[::-1], mode="valid"), rtol=1e-9, atol=1e-9)
+    fast = loess.smooth(y, 601)
+    slow, _ = loess.smooth_at(y, 601, np.arange(3000))
+    np.testing.assert_allclose(fast, slow, atol=1e-9)
+
+
+def test_shuffle_size(spark):
+    from gridtide.session import size_shuffles
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert size_shuffles(spark, 1 << 30, 64 << 20) == 16
+        assert size_shuffles(spark, 1, 64 << 20) == 16
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
