@@ -141,12 +141,12 @@ def market_datetime_utc(
     lone row is the second one. Wall times skipped in spring move forward.
     Hour 25 is the second pass of the hour repeated on that date (23:00 at the end
     of day or 00:00 of the next); where none repeats, and with
-    ``hour25="reference"``, it is 01:00 of the same date.
+    ``hour25="same_date"``, it is 01:00 of the same date.
     """
     from gridtide.operators.quantiles import rank_values
 
-    if hour25 not in ("repeated", "reference"):
-        raise ValueError("hour25 is 'repeated' or 'reference'")
+    if hour25 not in ("repeated", "same_date"):
+        raise ValueError("hour25 is 'repeated' or 'same_date'")
     one_hour = F.expr("interval 1 hour")
     wall = _date_plus_hours(F.col(date), F.col(hour) - 1)
     timed = df.withColumn("_wall", wall).withColumn("_first", to_utc("_wall", zone))

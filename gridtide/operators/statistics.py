@@ -191,7 +191,7 @@ def category_statistics(
 
 
 def density_curves(
-    df: DataFrame, category: str, value: str, points: int = 100, bandwidth: float = 0.5, cut: float = 3.0,
+    df: DataFrame, category: str, value: str, points: int = 200, bandwidth: float = 0.5, cut: float = 3.0,
 ) -> DataFrame:
     """Gaussian kernel density per category on an even evaluation grid.
 

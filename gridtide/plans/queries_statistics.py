@@ -105,7 +105,7 @@ def median_value(spark, sf_dir):
     "kde",
     """WITH s AS (SELECT event_type, count(*) AS n, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1),
     h AS (SELECT *, sd * pow(CAST(n AS DOUBLE), -0.2) * 0.5 AS h FROM s),
-    g AS (SELECT h.*, i AS point, lo - 3 * h + i * ((hi - lo + 6 * h) / 99) AS x FROM h, generate_series(0, 99) t(i))
+    g AS (SELECT h.*, i AS point, lo - 3 * h + i * ((hi - lo + 6 * h) / 199) AS x FROM h, generate_series(0, 199) t(i))
     SELECT g.event_type, point, round(x, 6) + 0.0 AS x,
       round(sum(exp(-((x - value) / h) * ((x - value) / h) / 2)) / (n * h * sqrt(2 * pi())), 9) + 0.0 AS density
     FROM g JOIN events USING (event_type) GROUP BY g.event_type, point, x, n, h""",

@@ -144,7 +144,7 @@ def local_datetime_dst(spark, sf_dir):
         "o_orderkey", F.to_date("o_orderdate").alias("fecha_opreal"),
         (F.col("o_orderkey") % 25 + 1).cast("int").alias("hora_opreal"),
     )
-    return T.market_datetime_utc(rows, "o_orderkey", hour25="reference").select("o_orderkey", "datetime_utc")
+    return T.market_datetime_utc(rows, "o_orderkey", hour25="same_date").select("o_orderkey", "datetime_utc")
 
 
 @query(

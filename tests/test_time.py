@@ -64,7 +64,7 @@ def test_skipped_hour_moves_forward(spark):
 def test_hour_25(spark):
     day = dt.date(2024, 4, 6)
     assert utc_of(spark, [(1, day, 25)])[1] == at(2024, 4, 7, 3)
-    assert utc_of(spark, [(1, day, 25)], hour25="reference")[1] == at(2024, 4, 6, 4)
+    assert utc_of(spark, [(1, day, 25)], hour25="same_date")[1] == at(2024, 4, 6, 4)
     assert utc_of(spark, [(1, dt.date(2024, 6, 1), 25)])[1] == at(2024, 6, 1, 5)
     with pytest.raises(ValueError):
         utc_of(spark, [(1, day, 25)], hour25="other")
