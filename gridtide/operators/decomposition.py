@@ -92,6 +92,11 @@ def stl(
     return _stl_robust(sized, keys, plan, chunk)
 
 
+def _place(frame) -> dict:
+    """Length of the whole series and where the chunk begins in it."""
+    return {"total": int(frame["n"].iloc[0]), "start": int(frame["pos"].iloc[0])}
+
+
 def _components(pos, y, trend, season, lo, hi) -> pd.DataFrame:
     cut = slice(lo, hi)
     return pd.DataFrame(
@@ -108,7 +113,7 @@ def _stl_plain(sized: DataFrame, keys, plan: StlPlan, chunk: int) -> DataFrame:
     def kernel(frame, lo, hi):
         y = frame["value"].to_numpy(float)
         season, trend = inner_loop(
-            y, plan.period, plan.seasonal, plan.trend, plan.low, INNER_PLAIN, np.zeros(len(y)),
+            y, plan.period, plan.seasonal, plan.trend, plan.low, INNER_PLAIN, np.zeros(len(y)), **_place(frame),
         )
         return _components(frame["pos"].to_numpy(), y, trend, season, lo, hi)
 
@@ -142,7 +147,7 @@ def _stl_robust(sized: DataFrame, keys, plan: StlPlan, chunk: int) -> DataFrame:
         y = frame["value"].to_numpy(float)
         weights = frame["weight"].to_numpy(float)
         season, trend = inner_loop(
-            y, *windows, frame["trend"].to_numpy(float), None if np.isnan(weights).all() else weights,
+            y, *windows, frame["trend"].to_numpy(float), None if np.isnan(weights).all() else weights, **_place(frame),
         )
         return _components(frame["pos"].to_numpy(), y, trend, season, lo, hi)
 
@@ -195,7 +200,7 @@ def mstl(series: DataFrame, keys, periods: list[int], windows: list[int] | None
             for i, p in enumerate(plans):
                 rest = rest + parts[i]
                 parts[i], trend = inner_loop(
-                    rest, p.period, p.seasonal, p.trend, p.low, INNER_PLAIN, np.zeros(len(y)),
+                    rest, p.period, p.seasonal, p.trend, p.low, INNER_PLAIN, np.zeros(len(y)), **_place(frame),
                 )
                 rest = rest - parts[i]
         cut = slice(lo, hi)

@@ -11,8 +11,11 @@ BLOCK = 1 << 21  # weights held at once
 FFT_WINDOW = 256
 
 
-def _weights(target, left, width, span, robust, n):
-    """Local-line weights of each target position over ``left .. left + width - 1``."""
+def _weights(target, left, width, span, robust, total):
+    """Local-line weights of each target position over ``left .. left + width - 1``.
+
+    The fit is flat where the points spread little against ``total``, the length of the whole series.
+    """
     at = left[:, None] + np.arange(width)[None, :]
     away = np.abs(at - target[:, None])
     w = (1.0 - np.minimum(away / np.maximum(span, 1e-300)[:, None], 1.0) ** 3) ** 3
@@ -20,19 +23,23 @@ def _weights(target, left, width, span, robust, n):
     w[away > 0.999 * span[:, None]] = 0.0
     if robust is not None:
         w = w * robust[at]
-    total = w.sum(axis=1)
-    usable = total > 0
-    w = w / np.where(usable, total, 1.0)[:, None]
+    mass = w.sum(axis=1)
+    usable = mass > 0
+    w = w / np.where(usable, mass, 1.0)[:, None]
     centre = (w * at).sum(axis=1)
     spread = (w * (at - centre[:, None]) ** 2).sum(axis=1)
-    tilts = np.sqrt(spread) > 0.001 * (n - 1)
+    tilts = np.sqrt(spread) > 0.001 * (total - 1)
     slope = np.where(tilts, (target - centre) / np.where(tilts, spread, 1.0), 0.0)
     return at, w * (1.0 + slope[:, None] * (at - centre[:, None])), usable
 
 
-def smooth_at(y, window, target, robust=None):
-    """Local-line fit at the given positions (may lie one step outside the data)."""
+def smooth_at(y, window, target, robust=None, total=None):
+    """Local-line fit at the given positions (may lie one step outside the data).
+
+    ``total`` is the length of the whole series when ``y`` is a chunk of it.
+    """
     n = len(y)
+    total = n if total is None else total
     width = min(window, n)
     inside = np.clip(target, 0, n - 1).astype(int)
     left = np.clip(inside - (width - 1) // 2, 0, n - width)
@@ -44,7 +51,7 @@ def smooth_at(y, window, target, robust=None):
     rows = max(1, BLOCK // width)
     for a in range(0, len(target), rows):
         part = slice(a, a + rows)
-        at, w, usable = _weights(target[part], left[part], width, span[part], robust, n)
+        at, w, usable = _weights(target[part], left[part], width, span[part], robust, total)
         out[part] = (w * y[at]).sum(axis=1)
         ok[part] = usable
     return out, ok
@@ -59,20 +66,21 @@ def _weighted_runs(y, w):
     return full[len(w) - 1 : len(y)]
 
 
-def smooth(y, window, robust=None):
+def smooth(y, window, robust=None, total=None):
     """Local-line smoothing at every position; interior weights are shared when not robust."""
     n = len(y)
+    total = n if total is None else total
     if n == 1:
         return y.copy()
     half = (window - 1) // 2
     if robust is None and n > 2 * window:
         target = np.array([half])
-        _, w, _ = _weights(target, np.array([0]), window, np.array([float(half)]), None, n)
+        _, w, _ = _weights(target, np.array([0]), window, np.array([float(half)]), None, total)
         middle = _weighted_runs(y, w[0])
         edge = np.concatenate([np.arange(half), np.arange(n - half, n)])
-        ends, _ = smooth_at(y, window, edge)
+        ends, _ = smooth_at(y, window, edge, None, total)
         return np.concatenate([ends[:half], middle, ends[half:]])
-    fit, ok = smooth_at(y, window, np.arange(n), robust)
+    fit, ok = smooth_at(y, window, np.arange(n), robust, total)
     return np.where(ok, fit, y)
 
 
@@ -81,29 +89,35 @@ def _running_mean(y, k):
     return (total[k:] - total[:-k]) / k
 
 
-def _smooth_phase(y, window, robust):
+def _smooth_phase(y, window, robust, total):
     """Smoothed values with one extrapolated point at each end."""
     n = len(y)
-    ends, ok = smooth_at(y, window, np.array([-1, n]), robust)
-    body = smooth(y, window, robust)
+    ends, ok = smooth_at(y, window, np.array([-1, n]), robust, total)
+    body = smooth(y, window, robust, total)
     first = ends[0] if ok[0] else body[0]
     last = ends[1] if ok[1] else body[-1]
     return np.concatenate([[first], body, [last]])
 
 
-def inner_loop(y, period, seasonal, trend_window, low_window, rounds, trend, robust=None):
-    """``rounds`` passes of seasonal and trend smoothing; returns (seasonal, trend)."""
+def inner_loop(y, period, seasonal, trend_window, low_window, rounds, trend, robust=None, total=None, start=0):
+    """``rounds`` passes of seasonal and trend smoothing; returns (seasonal, trend).
+
+    A chunk gives the length ``total`` of its whole series and its own ``start`` in it, so that
+    every fit tilts as it would there.
+    """
     n = len(y)
+    total = n if total is None else total
     season = np.zeros(n)
     for _ in range(rounds):
         detrended = y - trend
         cycle = np.empty(n + 2 * period)
         for phase in range(period):
             weights = None if robust is None else robust[phase::period]
-            cycle[phase::period] = _smooth_phase(detrended[phase::period], seasonal, weights)
+            cycles = -(-(total - (start + phase) % period) // period)  # of this phase in the whole series
+            cycle[phase::period] = _smooth_phase(detrended[phase::period], seasonal, weights, cycles)
         low = _running_mean(_running_mean(_running_mean(cycle, period), period), 3)
-        season = cycle[period : period + n] - smooth(low, low_window)
-        trend = smooth(y - season, trend_window, robust)
+        season = cycle[period : period + n] - smooth(low, low_window, None, total)
+        trend = smooth(y - season, trend_window, robust, total)
     return season, trend
 
 

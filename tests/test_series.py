@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridtide.operators import decomposition as D, patterns as P, spectrum as S, stationarity as Z
+from gridtide.operators.loess import bisquare, inner_loop
 
 KEYS = ["s"]
 
@@ -39,6 +40,32 @@ def test_chunked_stl_equals_whole(spark, noisy, monkeypatch):
     np.testing.assert_allclose(whole[:, 0], whole[:, 1:].sum(axis=1), atol=1e-9)
 
 
+@pytest.mark.parametrize("n, seed", [(70_128, 1), (87_672, 2), (200_000, 3)])
+def test_long_series_are_cut_without_a_trace(spark, n, seed):
+    """At the real chunk size, against the whole series in one piece."""
+    rng = np.random.default_rng(seed)
+    t = np.arange(n)
+    y = 10 * np.sin(2 * np.pi * t / 24) + 4 * np.sin(2 * np.pi * t / 168) + rng.normal(0, 3, n) + t / n
+    df = spark.createDataFrame(pd.DataFrame({"s": "a", "pos": t, "value": y})).repartition(4)
+    plan = D.StlPlan.make(24, 7, None)
+    season, trend = inner_loop(y, plan.period, plan.seasonal, plan.trend, plan.low, D.INNER_PLAIN, np.zeros(n))
+    got = D.stl(df, KEYS, 24).orderBy("pos").toPandas()
+    np.testing.assert_allclose(got.seasonal, season, atol=1e-8)
+    np.testing.assert_allclose(got.trend, trend, atol=1e-8)
+    if n < 100_000:
+        names = ["trend", "seasonal_24", "seasonal_168"]
+        np.testing.assert_allclose(columns(D.mstl(df, KEYS, [24, 168]), names), columns(D.mstl(df, KEYS, [24, 168], chunk=1 << 20), names), atol=1e-8)
+    else:
+        one = inner_loop(y, plan.period, plan.seasonal, plan.trend, plan.low, D.INNER_ROBUST, np.zeros(n))
+        size = np.abs(y - one[0] - one[1])
+        want = inner_loop(y, plan.period, plan.seasonal, plan.trend, plan.low, D.INNER_ROBUST, one[1], bisquare(size, np.median(size)))
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(D, "OUTER_ROBUST", 1)
+            got = D.stl(df, KEYS, 24, robust=True).orderBy("pos").toPandas()
+        np.testing.assert_allclose(got.seasonal, want[0], atol=1e-8)
+        np.testing.assert_allclose(got.trend, want[1], atol=1e-8)
+
+
 def test_chunked_mstl_equals_whole(spark, noisy, monkeypatch):
     monkeypatch.setattr(D, "_chunk_size", lambda chunk, margin: chunk)
     df = series(spark, a=noisy)
