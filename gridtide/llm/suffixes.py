@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -168,9 +169,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. Every 100-byte string has an anchor in it that depends on the string alone. Runs of strings with one anchor,
        about one in 24 bytes, are written once as (hash, document, place); those whose hash occurs once are dropped.
-    2. The others' contexts (the bytes of a run's strings) are cut from the texts. Equal contexts, told by 128-bit
-       hashes, are classes: all but the first are removed whole. This takes out copies before anything is compared.
-    3. First contexts whose anchor has other contexts are dealt by anchor into chunks. In a chunk an enhanced suffix
+    2. The others' contexts (the bytes of a run's strings) are hashed beside the texts. Equal contexts, told by the
+       64-bit hashes of both anchor and context, are classes: all but the first are removed whole. This takes out
+       copies before anything is compared. From here on only hashes and places are shuffled.
+    3. First contexts whose anchor has other contexts are cut out and dealt by anchor into chunks. In a chunk an enhanced suffix
        array gives all maximal repeats with all occurrences; every occurrence but the first is removed. An anchor with
        more than ``crowd`` different contexts would fill a task: its strings are grouped by 128-bit hashes instead,
        which combine before the shuffle.
@@ -195,36 +197,25 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     release(spark)
 
     lists = again.groupBy("key").agg(F.collect_list(F.struct("h", "place")).alias("anchors"))  # no longer than the text
-    texts = stored(rows.join(lists, "key", "left").select("key", "doc_id", "text", "rest", "anchors"), "anchored-texts")
+    joined = rows.join(lists, "key", "left").select("key", "doc_id", "text", "rest", "anchors")
+    kind = dict(joined.dtypes)
+    schema = f"key long, doc_id long, text string, rest {kind['rest']}, marks array<struct<h:bigint,cid:bigint,start:int,size:int,again:boolean>>"
+    texts = stored(joined.mapInArrow(_contexts, schema), "anchored-texts")
     discard(again)
     release(spark)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                out: list[tuple] = []
-                for key, text, found in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    data = text.encode()
-                    for a in found:
-                        place = a["place"]
-                        start = place >> 14
-                        ctx = data[start : start + (place & 127) - 1 + LEAST]
-                        out.append((a["h"], xxhash.xxh3_128_digest(ctx), ctx, key, start))
-                columns = list(zip(*out, strict=True)) or [()] * 5
-                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "cid", "ctx", "key", "start"])
-
-    contexts = texts.where("anchors is not null").select("key", "text", "anchors").mapInArrow(cut, "h long, cid binary, ctx binary, key long, start long")
-    order = F.col("key").cast("decimal(20,0)") * F.lit(1 << 40).cast("decimal(18,0)") + F.col("start")
-    least = contexts.select("cid", order.cast("decimal(38,0)").alias("o")).groupBy("cid").agg(F.min("o").alias("least"))
-    marked = contexts.join(least, "cid").withColumn("earliest", order.cast("decimal(38,0)") == F.col("least"))
-    marked = stored(marked.select("h", F.when(F.col("earliest"), F.col("ctx")).alias("ctx"), F.length("ctx").alias("size"), "key", "start", "earliest"), "contexts")
+    contexts = texts.select("key", F.explode("marks").alias("m")).select("key", "m.*")
+    least = contexts.where("not again").groupBy("h", "cid").agg(F.min("key").alias("least"))
+    marked = contexts.join(least, ["h", "cid"]).withColumn("earliest", F.expr("key = least and not again"))
+    marked = stored(marked.select("h", "key", "start", "size", "earliest"), "contexts")
     release(spark)
     copies = marked.where("not earliest").select("key", F.col("start").alias("low"), (F.col("start") + F.col("size")).alias("high"))
-    single = marked.where("earliest").select("h", "ctx", "key", "start")
+    single = marked.where("earliest").select("h", "key", "start", "size")
     many = single.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    several = stored(single.join(many, "h"), "first-contexts")
+    wanted = single.join(many, "h").groupBy("key").agg(F.collect_list(F.struct("h", "n", "start", "size")).alias("marks"))
+    cut = texts.select("key", "text").join(wanted, "key").mapInArrow(_cut, "h long, n long, key long, start long, ctx binary")
+    several = stored(cut, "first-contexts")
+    release(spark)
     chunks = max(1, -(-several.count() // chunk))
     usual = several.where(F.col("n") <= crowd).withColumn("chunk", F.pmod(F.xxhash64("h"), F.lit(chunks)))
     compared = usual.select("chunk", "ctx", "key", "start").groupBy("chunk").applyInPandas(_later_spans, "key long, low long, high long")
@@ -236,13 +227,51 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = strings.groupBy("sid").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1")
     hashed = strings.join(first, "sid").where(place != F.col("least")).select("key", "low", (F.col("low") + LEAST).alias("high"))
 
-    spans = copies.unionByName(compared).unionByName(hashed).groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    with_spans = texts.join(spans, "key", "left").select("doc_id", "text", "spans", "rest")
-    rest_type = dict(texts.dtypes)["rest"]
-    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, rest {rest_type}"
+    compared = stored(compared.unionByName(hashed), "repeat-spans")
+    discard(several)
+    release(spark)
+    spans = copies.unionByName(compared).groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    with_spans = texts.select("key", "doc_id", "text", "rest").join(spans, "key", "left").select("doc_id", "text", "spans", "rest")
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, rest {kind['rest']}"
     return with_spans.mapInArrow(_apply, schema)
 
 
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to each text the hashes of its contexts, and which of them it has had before."""
+    digest = xxhash.xxh3_64_intdigest
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            texts = [t.encode() for t in part.column(2).to_pylist()]
+            row = np.repeat(np.arange(len(texts)), pa.compute.list_value_length(part.column(4)).fill_null(0).to_numpy(zero_copy_only=False))
+            h, place = (x.to_numpy(zero_copy_only=False) for x in part.column(4).flatten().flatten())
+            order = np.lexsort((place, row))
+            row, h, place = row[order], h[order], place[order]
+            start, size = place >> 14, (place & 127) - 1 + LEAST
+            cid = np.array([digest(texts[r][a:b]) for r, a, b in zip(row.tolist(), start.tolist(), (start + size).tolist(), strict=True)], np.uint64).view(np.int64)
+            same = np.lexsort((np.arange(len(row)), cid, h, row))
+            again = np.zeros(len(row), bool)
+            again[same[1:]] = (row[same[1:]] == row[same[:-1]]) & (h[same[1:]] == h[same[:-1]]) & (cid[same[1:]] == cid[same[:-1]])
+            marks = pa.StructArray.from_arrays(
+                [pa.array(h), pa.array(cid), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(again)], names=["h", "cid", "start", "size", "again"]
+            )
+            offsets = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.ListArray.from_arrays(pa.array(offsets), marks)], names=["key", "doc_id", "text", "rest", "marks"])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the listed contexts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            texts = [t.encode() for t in part.column(1).to_pylist()]
+            row = np.repeat(np.arange(len(texts)), pa.compute.list_value_length(part.column(2)).to_numpy(zero_copy_only=False))
+            h, n, start, size = part.column(2).flatten().flatten()
+            ctx = [texts[r][a : a + k] for r, a, k in zip(row.tolist(), start.to_pylist(), size.to_pylist(), strict=True)]
+            key = part.column(0).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([h, n, key, start.cast(pa.int64()), pa.array(ctx, pa.binary())], names=["h", "n", "key", "start", "ctx"])
+
+
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
