@@ -77,8 +77,8 @@ def training_shards(
     0..n-1, so the slots are dense and the order follows from ``key`` alone. Shard s holds slots s * ``per_shard``
     onwards, each ``length`` 16-bit little-endian ids wide; shorter sequences are filled up with ``end_id``.
     Reading shards one after another is reading in training order, and a reader resumes at any slot by
-    seeking. Shards are written in ``waves`` of consecutive shards, range-partitioned by shard, which bounds what is
-    shuffled at once. A file is written beside its place and moved there; a shard that already lies there
+    seeking. A shard is a range of slots that one task writes whole. Shards are written in ``waves`` of consecutive ones,
+    which bounds what is shuffled at once. A file is written beside its place and moved there; a shard that already lies there
     complete is left, so a job that is run again with the same input goes on where it stopped.
 
     Null text gives one sequence with the end id alone. Rows without id or with a repeated one are written
@@ -139,7 +139,7 @@ def training_shards(
         low, high = shards * wave // waves, shards * (wave + 1) // waves
         if low < high:
             some = numbered.where((F.col("shard") >= low) & (F.col("shard") < high)).drop("split", "place", "before")
-            ordered = some.repartitionByRange(min(high - low, 2000), "shard").sortWithinPartitions("slot")
+            ordered = some.repartition(min(high - low, 2000), "shard").sortWithinPartitions("slot")
             written.append(stored(ordered.mapInArrow(write, MANIFEST), "manifest"))
             del ordered, some
             release(spark)
