@@ -55,7 +55,7 @@ def labelled_groups(labels: DataFrame, most: int, id_col: str = "doc_id") -> pd.
     one = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     every = max(1, -(-one.count() // most))
     kind = F.when(F.col("t") == 1, 2).when(F.col("q") == 0, 1).otherwise(0)
-    return one.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("doc_id", kind.cast("int").alias("kind")).toPandas()
+    return one.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("doc_id", kind.cast("int").alias("kind")).toArrow().to_pandas()
 
 
 def languages(docs: DataFrame) -> list[str]:
@@ -113,19 +113,24 @@ def fit(docs: DataFrame, labels: DataFrame, known_languages: list[str], most_lab
         yield pa.RecordBatch.from_arrays([pa.array(place), *(pa.array(t) for t in out)], names=["bucket", *names])
 
     rows = _with_slot(docs, known_languages).mapInArrow(count, "bucket long, raw long, target long, low long, toxic long")
-    seen = rows.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in names)).toPandas()
+    seen = rows.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
     totals = np.zeros((4, (SLOTS + 1) * BUCKETS))
-    totals[:, seen["bucket"]] = seen[list(names)].to_numpy(np.float64).T
+    place = seen["bucket"].to_numpy()
+    for i, c in enumerate(names):
+        totals[i, place] = seen[c].to_numpy()
+    del seen, place
     docs_of = totals[1:, SLOTS * BUCKETS : SLOTS * BUCKETS + SLOTS].T
     totals = totals[:, : SLOTS * BUCKETS].reshape(4, SLOTS, BUCKETS)
-    base = (totals[0] + 1) / (totals[0].sum(axis=1, keepdims=True) + BUCKETS)
-    ratio = []
-    for counted in totals[1:]:
-        expected = counted.sum(axis=1, keepdims=True) * base + pull
-        r = np.log((counted + pull) / expected)
-        ratio.append(np.sign(r) * np.maximum(0, np.abs(r) - doubt / np.sqrt(expected)))
+    ratio = np.zeros((SLOTS, BUCKETS, len(GROUPS)), np.float32)
+    for slot in range(SLOTS):
+        base = (totals[0, slot] + 1) / (totals[0, slot].sum() + BUCKETS)
+        for k in range(len(GROUPS)):
+            counted = totals[k + 1, slot]
+            expected = counted.sum() * base + pull
+            r = np.log((counted + pull) / expected)
+            ratio[slot, :, k] = np.sign(r) * np.maximum(0, np.abs(r) - doubt / np.sqrt(expected))
     share = (docs_of + 1) / (docs_of.sum(axis=1, keepdims=True) + 3)
-    return Model(np.stack(ratio, axis=2).astype(np.float32), share)
+    return Model(ratio, share)
 
 
 def importance(

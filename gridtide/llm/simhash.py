@@ -142,6 +142,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, id_col:
 def keep_one(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
     """``docs`` (all columns) with the smallest id of each component; of repeated rows with that id, one."""
     found = near_duplicates(docs, words, distance)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = found.where("doc_id = component_id").select("doc_id").distinct().hint("merge")
     nameless = docs.where("doc_id is null")
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(nameless)
