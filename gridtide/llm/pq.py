@@ -105,9 +105,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
 
     packed = classes.select("node", "n", "v").mapInPandas(blobs, "node long, n long, blob binary")
     every = max(1, -(-total // sample))
-    fitted = packed.where(F.pmod(F.xxhash64("blob"), F.lit(every)) == 0).select("blob").toPandas()
+    fitted = packed.where(F.pmod(F.xxhash64("blob"), F.lit(every)) == 0).select("blob").toArrow().to_pandas()
     if fitted.empty:
-        fitted = packed.select("blob").limit(sample).toPandas()
+        fitted = packed.select("blob").limit(sample).toArrow().to_pandas()
     lists = int(min(len(fitted), max(1, total // 1500)))
     index = fit_index(_unit(fitted["blob"].sort_values(), width, padded)[1], lists, subspaces)
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
