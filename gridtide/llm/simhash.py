@@ -81,7 +81,8 @@ def links(marks: DataFrame, distance: int = 3) -> DataFrame:
     rows = signatures(marks)
     held = rows.groupBy("sig").agg(F.count("*").alias("n"), F.min("bit").alias("low"), F.max("bit").alias("high"))
     held = held.where("n > 1 and (low < 0 or low < high)").select("sig", "n")
-    shared = stored(rows.join(held, "sig"), "simhash-shared")
+    # merged: the table of a broadcast would take many times the space its rows do
+    shared = stored(rows.join(held.hint("merge"), "sig"), "simhash-shared")
     few = shared.where(F.col("n") <= SMALL).select("sig", "bit", "fp")
     near = few.alias("x").join(few.alias("y"), F.expr(f"x.sig = y.sig and x.fp < y.fp and (x.bit < 0 or x.bit <> y.bit) and bit_count(x.fp ^ y.fp) <= {distance}"))
     near = near.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
