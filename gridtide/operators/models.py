@@ -18,13 +18,15 @@ from pyspark.ml.regression import (
     GBTRegressor,
     LinearRegression,
 )
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gridtide.operators.quantiles import ACCURACY
 from gridtide.session import checkpoint_folder, cut_lineage
 
 PREDICTED, LOWER, UPPER = "predicted", "predicted_lower", "predicted_upper"
 _VECTOR = "features_"
+BUCKET_ROWS = 50_000  # distinct background rows numbered by one task
+BLOCK_ROWS = 64  # background positions that share a join key
 
 
 @runtime_checkable
@@ -285,34 +287,53 @@ def top_importances(importance: DataFrame, top: int = 20) -> DataFrame:
     return importance.orderBy(F.desc("importance"), F.asc("feature")).limit(top)
 
 
-def shapley_attributions(
-    model, df: DataFrame, background: DataFrame, row_id: str, permutations: int = 8, background_rows: int = 64, seed: int = 12,
-) -> DataFrame:
+def _positions(background: DataFrame, features) -> tuple[DataFrame, int]:
+    """Distinct background rows ``_b`` with the positions ``_from`` up to ``_to`` they take, and the count of all rows.
+
+    Positions follow from the values alone. Distinct rows are dealt by hash, so a crowded row is one row here.
+    """
+    values = F.array(*[F.col(f).cast("double") for f in features])
+    rows = cut_lineage(background.groupBy(values.alias("_b")).agg(F.count("*").alias("_n")))
+    n, distinct = rows.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count("*")).first()
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_b"), F.lit(max(1, -(-distinct // BUCKET_ROWS)))))
+    sums = rows.groupBy("_bucket").agg(F.sum("_n").alias("_all"))
+    earlier = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select("_bucket", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_before"))
+    inside = W.partitionBy("_bucket").orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = rows.withColumn("_to", F.sum("_n").over(inside)).join(before, "_bucket")
+    end = F.col("_before") + F.col("_to")
+    return placed.select("_b", (end - F.col("_n")).alias("_from"), end.alias("_to")), n
+
+
+def shapley_attributions(model, df: DataFrame, background: DataFrame, row_id: str, permutations: int = 8, seed: int = 12) -> DataFrame:
     """Sampled Shapley values of any model, long form (M14; Strumbelj and Kononenko 2014).
 
-    Every row is scored along random feature orders that replace a random background row
-    value by value. Copies per row are ``permutations * (features + 1)``; the
-    background is a fixed-size sample. The parts of a row sum to its prediction
-    minus the mean prediction of the background rows it met.
+    Every row is scored along random feature orders that replace a background row value by value, the
+    row being drawn by hash from all of ``background``. Copies per row are ``permutations * (features + 1)``.
+    ``base_value`` is the mean prediction of the background rows a row met; it and the row's parts sum to the
+    row's prediction.
     """
     if not getattr(model, "supports_attribution", False):
         raise ValueError("this model has no attributions")
     features = model.features
     d = len(features)
-    sample = background.select(*[F.col(f).cast("double") for f in features]).orderBy(F.rand(seed)).limit(background_rows)
-    base = sample.agg(F.collect_list(F.array(*features)).alias("_base"))
+    placed, n = _positions(background, features)
+    if not n:
+        raise ValueError("no background rows")
+    block = F.sequence(F.expr(f"_from div {BLOCK_ROWS}"), F.expr(f"(_to - 1) div {BLOCK_ROWS}"))
     walk = (
         df.select(row_id, F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
-        .join(F.broadcast(base))
         .withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-        .withColumn("_pick", F.expr(f"int(pmod(xxhash64(`{row_id}`, _p, {seed}), size(_base)))"))
-        .withColumn("_b", F.expr("_base[_pick]"))
+        .withColumn("_pick", F.expr(f"pmod(xxhash64(`{row_id}`, _p, {seed}), {n}L)"))
+        .withColumn("_block", F.expr(f"_pick div {BLOCK_ROWS}"))
+        .join(placed.withColumn("_block", F.explode(block)), "_block")
+        .where("_pick >= _from and _pick < _to")
         # A random order of the features: ranks of hashed feature numbers.
         .withColumn(
             "_order",
             F.expr(f"transform(array_sort(transform(sequence(0, {d - 1}), i -> struct(xxhash64(`{row_id}`, _p, i, {seed}) as h, i as i))), s -> s.i)"),
         )
-        .drop("_base")
+        .drop("_block", "_pick", "_from", "_to")
         .withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(d))))
     )
     for i, f in enumerate(features):
@@ -326,9 +347,12 @@ def shapley_attributions(
         row_id, F.posexplode("_order").alias("_at", "_feature"), "_path",
     ).select(
         row_id, "_feature", (F.col("_path")[F.col("_at") + 1][PREDICTED] - F.col("_path")[F.col("_at")][PREDICTED]).alias("_gain"),
+        F.col("_path")[0][PREDICTED].alias("_start"),
     )
     names = F.array(*[F.lit(f) for f in features])
-    return parts.groupBy(row_id, names[F.col("_feature")].alias("feature")).agg(F.avg("_gain").alias("attribution"))
+    return parts.groupBy(row_id, names[F.col("_feature")].alias("feature")).agg(
+        F.avg("_gain").alias("attribution"), F.avg("_start").alias("base_value"),
+    )
 
 
 def save_bundle(model, path: str, spark, metadata: dict | None = None) -> None:

@@ -22,6 +22,14 @@ AGGREGATES = {
 }
 
 
+def listed(column: str, values) -> Column:
+    """The column itself; a value outside the list is an error, since its rows would get lost."""
+    value = F.col(column)
+    return F.when(value.isNull() | value.isin(list(values)), value).otherwise(
+        F.raise_error(F.concat(F.lit(f"{column} is not listed: "), value.cast("string"))),
+    )
+
+
 def roll_up(df: DataFrame, ts: str, resolution: str, functions="sum", columns=None, keys=()) -> DataFrame:
     """Aggregate numeric columns per period, output ``{column}_{function}``.
 
@@ -61,15 +69,16 @@ def plant_hours(
     """Energy per plant and hour with the plant's type.
 
     With ``kinds`` the type travels as its place in that list: a numeric buffer keeps the
-    aggregate hashed, a text one would make every task sort its rows first. Types
-    outside the list become null.
+    aggregate hashed, a text one would make every task sort its rows first. A type
+    outside the list is an error.
     """
     rows = df.na.drop(subset=[date, hour, plant])
     total = F.coalesce(F.sum(energy), F.lit(0.0)).alias(energy)
     if kinds is None:
         return rows.groupBy(date, hour, plant).agg(total, F.min(kind).alias(kind))
     names = sorted(kinds)
-    place = F.coalesce(*[F.when(F.col(kind) == k, i) for i, k in enumerate(names)])
+    unlisted = F.when(F.col(kind).isNotNull(), listed(kind, names).cast("int"))
+    place = F.coalesce(*[F.when(F.col(kind) == k, i) for i, k in enumerate(names)], unlisted)
     table = F.array(*[F.lit(k) for k in names])
     return rows.groupBy(date, hour, plant).agg(total, F.min(place).alias(kind)).withColumn(
         kind, F.get(table, F.col(kind)),
@@ -103,7 +112,7 @@ def technology_table(
     """Wide hourly table ``{metric}_{technology}`` with absent cells as zero.
 
     One shuffle on (date, hour): every technology is a conditional aggregate,
-    which is the same plan a pivot over a literal list ends in.
+    which is the same plan a pivot over a literal list ends in. Another technology is an error.
     """
     metrics = []
     for k in kinds:
@@ -115,7 +124,7 @@ def technology_table(
             total.alias(f"total_plants_{k}"),
             F.coalesce(F.try_divide(active, total), F.lit(0.0)).alias(f"percentage_active_{k}"),
         ]
-    return plants.groupBy(date, hour).agg(*metrics)
+    return plants.withColumn(kind, listed(kind, kinds)).groupBy(date, hour).agg(*metrics)
 
 
 def active_total_pivot(plants: DataFrame, kinds: list[str], by, kind: str, plant: str, energy: str) -> DataFrame:
@@ -125,12 +134,12 @@ def active_total_pivot(plants: DataFrame, kinds: list[str], by, kind: str, plant
         here = F.col(kind) == k
         cells.append(F.count_if(here & (F.col(energy) > 0)).alias(f"{k}_active"))
         cells.append(F.count_if(here & F.col(plant).isNotNull()).alias(f"{k}_total"))
-    return plants.groupBy(*by).agg(*cells)
+    return plants.withColumn(kind, listed(kind, kinds)).groupBy(*by).agg(*cells)
 
 
 def pivot_sum(df: DataFrame, by, column: str, values: list[str], amount: str) -> DataFrame:
-    """Sum per group with one column per listed value."""
-    return df.na.drop(subset=list(by)).groupBy(*by).pivot(column, values).agg(F.sum(amount))
+    """Sum per group with one column per listed value (D5); another value is an error."""
+    return df.withColumn(column, listed(column, values)).na.drop(subset=list(by)).groupBy(*by).pivot(column, values).agg(F.sum(amount))
 
 
 def melt(df: DataFrame, ids, values, variable: str = "variable", value: str = "value") -> DataFrame:

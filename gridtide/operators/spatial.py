@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from gridtide.operators.rollups import listed
+
 BAND_DEGREES = 1.0
 
 
@@ -93,7 +95,8 @@ def regional_means(grid: DataFrame, rings: DataFrame, by_level: bool | None = No
 
 
 def regions_wide(means: DataFrame, regions: list[str]) -> DataFrame:
-    """One column per region; times without any value are dropped."""
+    """One column per region; times without any value are dropped, a region outside the list is an error."""
+    means = means.withColumn("region", listed("region", regions))
     by = [c for c in ("variable", "datetime") if c in means.columns]
     cells = [F.max(F.when(F.col("region") == r, F.col("mean_value"))).alias(r) for r in regions]
     wide = means.groupBy(*by).agg(*cells)

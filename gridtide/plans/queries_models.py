@@ -154,6 +154,20 @@ def tree_attribution(spark, sf_dir):
     return M.shapley_attributions(model, test, train, "pos", permutations=4)
 
 
+@query(
+    "tree_attribution_sums",
+    ONE_SQL + """ SELECT pos, CAST(0 AS DOUBLE) AS gap, CAST(5 AS BIGINT) AS features FROM f, n WHERE pos >= CAST(floor(n * 0.8) AS BIGINT)""",
+)
+def tree_attribution_sums(spark, sf_dir):
+    """What the parts and the base value leave of each prediction, which is nothing."""
+    _, train, test = _split(spark, sf_dir)
+    model = M.make_model("xgboost", **SMALL_TREES).fit(train, FEATURES, "value")
+    parts = M.shapley_attributions(model, test, train, "pos", permutations=2)
+    sums = parts.groupBy("pos").agg((F.sum("attribution") + F.max("base_value")).alias("told"), F.count_distinct("feature").alias("features"))
+    told = sums.join(model.predict(test).select("pos", M.PREDICTED), "pos")
+    return told.select("pos", r(F.col("told") - F.col(M.PREDICTED)).alias("gap"), "features")
+
+
 @query("training_session")
 def training_session(spark, sf_dir):
     frame = hourly_features(spark, sf_dir)

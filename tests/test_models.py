@@ -81,13 +81,32 @@ def test_shapley_sums_to_prediction_gap(data):
     model = M.make_model("xgboost", n_estimators=3, max_depth=3).fit(df, ["a", "b", "c"], "y")
     some = df.where("pos < 5")
     one = df.where("pos = 100")  # a single background row makes the gap exact
-    parts = M.shapley_attributions(model, some, one, "pos", permutations=3, background_rows=1)
+    parts = M.shapley_attributions(model, some, one, "pos", permutations=3)
     sums = parts.groupBy("pos").agg(F.sum("attribution").alias("s"), F.count("*").alias("n"))
     base = model.predict(one).first().predicted
     got = sums.join(model.predict(some), "pos").select(F.abs(F.col("predicted") - base - F.col("s")).alias("gap"), "n").collect()
     assert max(r.gap for r in got) < 1e-9 and {r.n for r in got} == {3}
     with pytest.raises(ValueError):
         M.shapley_attributions(M.make_model("arima"), some, one, "pos")
+    with pytest.raises(ValueError):
+        M.shapley_attributions(model, some, df.where("pos < 0"), "pos")
+
+
+def test_shapley_draws_from_the_whole_background(data):
+    _, df = data
+    model = M.make_model("xgboost", n_estimators=3, max_depth=3).fit(df, ["a", "b", "c"], "y")
+    crowded = df.unionByName(df.where("pos < 3").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(50)))).drop("i"))
+    parts = M.shapley_attributions(model, df, crowded, "pos", permutations=8)
+    sums = parts.groupBy("pos").agg(F.sum("attribution").alias("s"), F.max("base_value").alias("base"))
+    gap = sums.join(model.predict(df), "pos").agg(F.count("*").alias("n"), F.max(F.abs(F.col("predicted") - F.col("base") - F.col("s"))).alias("gap")).first()
+    assert gap.n == df.count() and gap.gap < 1e-9
+    mean, sd = model.predict(crowded).agg(F.avg("predicted"), F.stddev("predicted")).first()
+    drawn = sums.agg(F.avg("base")).first()[0]
+    assert abs(drawn - mean) < 5 * sd / (8 * gap.n) ** 0.5
+    placed, n = M._positions(crowded, ["a", "b", "c"])
+    ends = sorted((x._from, x._to) for x in placed.collect())
+    assert n == crowded.count() and ends[0][0] == 0 and ends[-1][1] == n
+    assert all(x[1] == y[0] for x, y in zip(ends, ends[1:]))
 
 
 def test_quantile_intervals(data, spark, tmp_path):

@@ -182,3 +182,25 @@ def test_missing_times_by_hand(spark, monkeypatch):
     assert Q.date_completeness(odd, "t", "hour").first().missing == 3
     months = frame(spark, [(dt.datetime(2024, m, 1),) for m in (1, 2, 5)], "t timestamp_ntz")
     assert Q.missing_times(months, "t", "month").count() == 2
+
+
+def test_unlisted_values_are_errors(spark):
+    rows = frame(spark, [(DAY, 1, "p", "solar", 2.0), (DAY, 1, "q", "nuclear", 1.0), (DAY, 1, "s", None, 1.0)], "d timestamp_ntz, h int, plant string, kind string, mwh double")
+    names = {"date": "d", "hour": "h", "plant": "plant", "kind": "kind", "energy": "mwh"}
+    plants = R.plant_hours(rows, **names)
+    means = frame(spark, [("t2m", DAY, "East", 1.0)], "variable string, datetime timestamp_ntz, region string, mean_value double")
+    short, whole = ["solar"], ["solar", "nuclear"]
+
+    def tables(kinds, regions):
+        return [
+            R.plant_hours(rows, kinds=kinds, **names),
+            R.technology_table(plants, kinds, **names),
+            R.active_total_pivot(plants, kinds, ["d", "h"], "kind", "plant", "mwh"),
+            R.pivot_sum(rows, ["d", "h"], "kind", kinds, "mwh"),
+            S.regions_wide(means, regions),
+        ]
+
+    assert [len(t.collect()) for t in tables(whole, ["East"])] == [3, 1, 1, 1, 1]
+    for t in tables(short, ["West"]):
+        with pytest.raises(Exception, match="is not listed: (nuclear|East)"):
+            t.collect()
