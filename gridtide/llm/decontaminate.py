@@ -25,7 +25,7 @@ _KIND[0x80:] = _LETTER
 _KIND[ord("0") : ord("9") + 1] = _DIGIT
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?:\n"]] = True
-_NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x4E554D, 0x4E414D45, 0x554E4954))
+_NUMBER, _NAME, _UNIT, _RAW = (np.uint64(x) for x in (0x4E554D, 0x4E414D45, 0x554E4954, 0x524157))
 
 
 def _unit_hashes() -> np.ndarray:
@@ -92,11 +92,14 @@ def windows(shape: np.ndarray, slot: np.ndarray, first: np.ndarray, size: int) -
     return mixed(h[at] + np.uint64(size)), at
 
 
-_ROWS = "id long, pos int, hash long, size int, n int, slots array<long>"
+_ROWS = "id long, pos int, hash long, size int, n int, raw boolean, slots array<long>"
 
 
-def _window_rows(rows: DataFrame, sizes: list[int] | None, bits: np.ndarray | None) -> DataFrame:
-    """Windows of every text. Without ``sizes``: of WINDOW tokens, or of all tokens of a shorter text. ``bits``: only those in the filter."""
+def _window_rows(rows: DataFrame, sizes: list[int] | None, bits: np.ndarray | None, any_case: bool) -> DataFrame:
+    """Windows of every text. Without ``sizes``: of WINDOW tokens, or of all tokens of a shorter text. ``bits``: only those in the filter.
+
+    ``any_case``: besides the template's, ``raw`` windows of the tokens themselves in lower case, without slots.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,8 +108,11 @@ def _window_rows(rows: DataFrame, sizes: list[int] | None, bits: np.ndarray | No
                 shape, value, slot, first = template(data, offsets)
                 count = np.diff(first)
                 out: list[tuple] = []
-                for size in sizes or sorted({min(WINDOW, int(c)) for c in np.unique(count)} - {0}):
-                    h, at = windows(shape, slot, first, size)
+                every = sizes or sorted({min(WINDOW, int(c)) for c in np.unique(count)} - {0})
+                for size, raw in [(size, raw) for size in every for raw in ((False, True) if any_case else (False,))]:
+                    h, at = windows(value, np.zeros_like(slot), first, size) if raw else windows(shape, slot, first, size)
+                    if raw:
+                        h = mixed(h + _RAW)
                     text = np.searchsorted(first, at, side="right") - 1
                     if bits is not None:
                         key = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
@@ -114,33 +120,40 @@ def _window_rows(rows: DataFrame, sizes: list[int] | None, bits: np.ndarray | No
                     else:
                         keep = np.minimum(count[text], WINDOW) == size
                     for a, t, x in zip(at[keep].tolist(), text[keep].tolist(), h[keep].view(np.int64).tolist(), strict=True):
-                        some = value[a : a + size][slot[a : a + size]]
-                        out.append((ids[row + t], a - int(first[t]), x, size, int(count[t]), some.view(np.int64).tolist()))
-                columns = list(zip(*out, strict=True)) or [()] * 6
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "pos", "hash", "size", "n", "slots"])
+                        some = [] if raw else value[a : a + size][slot[a : a + size]].view(np.int64).tolist()
+                        out.append((ids[row + t], a - int(first[t]), x, size, int(count[t]), raw, some))
+                columns = list(zip(*out, strict=True)) or [()] * 7
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "pos", "hash", "size", "n", "raw", "slots"])
 
     return rows.mapInArrow(run, _ROWS)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, least: float = 0.8, id_col: str = "doc_id", item_col: str = "item_id", any_case: bool = False
+) -> DataFrame:
     """``doc_id``, ``item_id``, ``coverage``, ``verbatim`` of every document that holds a benchmark item.
 
     Texts become templates: numbers, names and units are typed placeholders. Windows of eight template tokens
     (an item with fewer: all of it) are hash-joined. Matches of an item lie on diagonals (place in the
     document less place in the item); on a diagonal every slot value of the item must stand for one value in
     the document, so a question with changed numbers is caught while a sentence that only shares its frame is
-    not. The item counts as found if its matched windows on consistent diagonals are ``least`` or more of all.
-    ``verbatim`` tells that no slot differs.
+    not. A token of the item is covered if a matched window on a consistent diagonal holds it. The item counts as
+    found if ``least`` or more of the tokens that windows can cover are. ``verbatim`` tells that no slot differs.
+
+    Capitals alone tell names, so a template misses a copy in other capitals, or one whose first word stands within
+    a sentence. With ``any_case`` windows of the lower-case tokens themselves are joined too; they cover any token,
+    slots included, on any diagonal, and the item is also found if ``least`` of all its tokens are covered.
 
     A filter of fixed size (2 MB) over the item windows goes to the scan of the documents, so that only windows that
     may match are shuffled; the exact join decides. Rows are counted before they are grouped, nothing is capped. Null
     and blank texts match nothing; items and documents without id are left out; rows that repeat an id count as
-    one document or item. Windows more than half of slots say too little and are skipped. Other columns are ignored.
+    one document or item. Template windows more than half of slots say too little and are skipped. Other columns are ignored.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
-    asked = stored(_window_rows(items, None, None).distinct(), "item-windows")
-    totals = asked.select("id", "pos").distinct().groupBy("id").agg(F.count("*").alias("windows"))
+    asked = stored(_window_rows(items, None, None, any_case).distinct(), "item-windows")
+    token = F.explode(F.expr("sequence(pos, pos + size - 1)")).alias("token")
+    totals = asked.select("id", "n", "raw", token).groupBy("id").agg(F.count_distinct(F.expr("if(raw, null, token)")).alias("tokens"), F.max("n").alias("n"))
     sizes = sorted(r["size"] for r in asked.select("size").distinct().collect())  # eight at most
     if not sizes:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, coverage double, verbatim boolean")
@@ -150,10 +163,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, id_c
     for r in filled:
         bits[r["byte"]] = r["bits"]
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
-    seen = _window_rows(texts, sizes, bits)
-    hit = seen.alias("d").join(asked.alias("b"), F.expr("d.hash = b.hash and d.size = b.size and size(d.slots) = size(b.slots)"))
+    seen = _window_rows(texts, sizes, bits, any_case)
+    hit = seen.alias("d").join(asked.alias("b"), F.expr("d.hash = b.hash and d.size = b.size and d.raw = b.raw and size(d.slots) = size(b.slots)"))
     hit = hit.select(
-        F.col("d.id").alias("doc_id"), F.col("b.id").alias("item_id"), (F.col("d.pos") - F.col("b.pos")).alias("diagonal"), F.col("b.pos").alias("pos"),
+        F.col("d.id").alias("doc_id"), F.col("b.id").alias("item_id"), (F.col("d.pos") - F.col("b.pos")).alias("diagonal"), F.col("b.pos").alias("pos"), "b.size", "b.raw",
         F.arrays_zip(F.col("b.slots").alias("asked"), F.col("d.slots").alias("found")).alias("pairs"),
     )
     hit = stored(hit, "item-hits")
@@ -161,13 +174,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, id_c
     pair = hit.select(*where, F.explode("pairs").alias("p")).select(*where, "p.*").toDF(*where, "asked", "found")
     value = pair.groupBy(*where, "asked").agg(F.min("found").alias("low"), F.max("found").alias("high"))
     slots = value.groupBy(*where).agg(F.max(F.expr("low <> high")).alias("torn"), F.max(F.expr("low <> asked or high <> asked")).alias("changed"))
-    place = hit.select(*where, "pos").distinct().join(slots, where, "left").where("torn is null or not torn")
-    found = place.groupBy("doc_id", "item_id").agg(F.count_distinct("pos").alias("matched"), F.max(F.coalesce("changed", F.lit(False))).alias("changed"))
-    found = found.join(totals, found["item_id"] == totals["id"]).withColumn("coverage", F.col("matched") / F.col("windows"))
+    place = hit.select(*where, "pos", "size", "raw").distinct().join(slots, where, "left").where("raw or torn is null or not torn")
+    place = place.select("doc_id", "item_id", "changed", "raw", token)
+    found = place.groupBy("doc_id", "item_id").agg(
+        F.count_distinct(F.expr("if(raw, null, token)")).alias("framed"), F.count_distinct("token").alias("covered"), F.max(F.coalesce("changed", F.lit(False))).alias("changed")
+    )
+    found = found.join(totals, found["item_id"] == totals["id"])
+    framed = F.when(F.col("tokens") > 0, F.col("framed") / F.col("tokens")).otherwise(0.0)
+    found = found.withColumn("coverage", F.greatest(framed, F.col("covered") / F.col("n")) if any_case else framed)
     return found.where(F.col("coverage") >= least).select("doc_id", "item_id", "coverage", (~F.col("changed")).alias("verbatim"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, any_case: bool = False) -> DataFrame:
     """``docs`` (all columns) without the documents that hold a benchmark item; rows without id stay."""
-    found = contaminated(docs, benchmark, least).select("doc_id").distinct()
+    found = contaminated(docs, benchmark, least, any_case=any_case).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti")

@@ -62,3 +62,20 @@ def test_planted_passages_are_all_found(spark):
     for i, k in got - want:  # what else is reported shares most of the words
         words = dict(asked)[k].lower().split()
         assert np.mean([w.strip(".,") in lowered[i] for w in words]) > 0.75
+
+
+def test_items_in_any_case(spark, documents, tmp_path):
+    from gridtide.llm.queries import op3_benchmark_contamination
+
+    three, eight, eleven = "What is entropy?", "What is the capital of the old kingdom?", "Which of these rivers flows north into the wide cold sea?"
+    rich = "Alice, Bob, Carol, David, Erin, Frank, Grace and Heidi met Ivan, Judy, Mallory and Niaj."
+    asked = [(1, three), (2, eight), (3, eleven), (4, ITEMS[0][1]), (5, rich)]
+    docs = [
+        (10, f'he asked "{three}" again'), (11, f"| {eight}"), (12, f"then, {eleven}"), (13, ITEMS[0][1].upper()), (14, ITEMS[0][1].lower()),
+        (15, f"he said {rich}"), (16, rich.lower()), (17, "what is the matter"), (18, "Which of these rivers flows south"),
+        (19, ITEMS[0][1].replace("14 km per", "99 km per")), (20, ITEMS[0][1].replace("14 km", "99 mi").replace("Anna", "Boris")),
+    ]
+    documents(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r["doc_id"], r["item_id"], r["verbatim"]) for r in op3_benchmark_contamination(spark, str(tmp_path)).collect())
+    assert got == [(10, 1, True), (11, 2, True), (12, 3, True), (13, 4, True), (14, 4, True), (15, 5, True), (16, 5, True), (20, 4, False)]
