@@ -33,9 +33,13 @@ class Model:
 
     ratio: np.ndarray  # slots x buckets x groups, float32
     share: np.ndarray  # slots x groups
+    pooled: float  # the target's share of all labelled documents
 
     def weights(self, data: np.ndarray, offsets: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log importance weight log p(text | target) - log p(text | raw), and the target's posterior share."""
+        """Log importance weight log p(text, slot | target) - log p(text, slot | raw), and the target's posterior share.
+
+        The slot's own part is its target share over that of all slots, so weights of different languages compare.
+        """
         bucket, first = grams(data, offsets)
         place = np.repeat(slot, np.diff(first)) * BUCKETS + bucket
         flat = self.ratio.reshape(-1, len(GROUPS))
@@ -44,7 +48,8 @@ class Model:
         top = together.max(axis=1)
         raw = top + np.log(np.exp(together - top[:, None]).sum(axis=1))
         weight = fit[:, 0] - raw
-        return weight, np.exp(np.minimum(0.0, weight + np.log(self.share[slot, 0])))
+        of_slot = np.log(self.share[slot, 0])
+        return weight + of_slot - np.log(self.pooled), np.exp(np.minimum(0.0, weight + of_slot))
 
 
 def labelled_groups(labels: DataFrame, most: int, id_col: str = "doc_id") -> pd.DataFrame:
@@ -81,7 +86,10 @@ def fit(docs: DataFrame, labels: DataFrame, known_languages: list[str], most_lab
     pseudo-grams, and its log ratio shrunk by ``doubt`` standard errors, so that the noise of many rare buckets
     does not outweigh a few telling ones. Raw text is a mixture of the groups: one bag of grams for good, low
     and toxic text together would hide the telling grams among the common ones. Languages are apart, since a
-    group's share of a language says nothing about a text. Without any target label there is no model (None).
+    group's share of a language says nothing about a text. A language without target labels, and the slot that all
+    rarer languages and rows without one share, take a model of all labelled documents together: its corpus model
+    counts these alone, so that words no label speaks of say nothing for or against a text. Without any target
+    label there is no model (None).
     """
     known = labelled_groups(labels, most_labels).sort_values("doc_id")
     ids, kinds = known["doc_id"].to_numpy(np.int64), known["kind"].to_numpy(np.int64)
@@ -122,15 +130,19 @@ def fit(docs: DataFrame, labels: DataFrame, known_languages: list[str], most_lab
     docs_of = totals[1:, SLOTS * BUCKETS : SLOTS * BUCKETS + SLOTS].T
     totals = totals[:, : SLOTS * BUCKETS].reshape(4, SLOTS, BUCKETS)
     ratio = np.zeros((SLOTS, BUCKETS, len(GROUPS)), np.float32)
+    pooled, pooled_docs = totals[1:].sum(axis=1), docs_of.sum(axis=0)
     for slot in range(SLOTS):
-        base = (totals[0, slot] + 1) / (totals[0, slot].sum() + BUCKETS)
+        raw, groups = totals[0, slot], totals[1:, slot]
+        if not docs_of[slot, 0] or (slot == SLOTS - 1 and known_languages):
+            raw, groups, docs_of[slot] = pooled.sum(axis=0), pooled, pooled_docs
+        base = (raw + 1) / (raw.sum() + BUCKETS)
         for k in range(len(GROUPS)):
-            counted = totals[k + 1, slot]
+            counted = groups[k]
             expected = counted.sum() * base + pull
             r = np.log((counted + pull) / expected)
             ratio[slot, :, k] = np.sign(r) * np.maximum(0, np.abs(r) - doubt / np.sqrt(expected))
     share = (docs_of + 1) / (docs_of.sum(axis=1, keepdims=True) + 3)
-    return Model(ratio, share)
+    return Model(ratio, share, (pooled_docs[0] + 1) / (pooled_docs.sum() + 3))
 
 
 def importance(
@@ -141,7 +153,7 @@ def importance(
     ``noisy_weight`` adds Gumbel noise times ``temperature``, drawn from a hash of the id, and the ``keep``
     largest are kept: a draw without replacement in proportion to weight ** (1 / temperature). By default
     as many are kept as have a target share of one half or more. All rows that tie with the last one kept
-    are kept too. Null and blank texts have weight one (log 0). Rows without id share one noise value.
+    are kept too. Null and blank texts have the weight of their language alone. Rows without id share one noise value.
     Without any target label every row is kept with log weight 0. Columns besides id, text and ``lang``
     (which may be missing or null) are ignored.
     """

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 
@@ -66,3 +68,27 @@ def test_edge_rows(spark, documents):
     assert kept.columns == docs.columns and kept.where("doc_id = 4").count() == 0 and kept.where("doc_id is null").count() == 1
     clash = docs.selectExpr("doc_id", "text", "1 as kind", "2 as kept", "3 as bucket")
     assert quality.keep_good(clash, labels).columns == clash.columns
+
+
+def test_languages_without_labels_are_kept(spark):
+    """Clean rows of a null language, an unlabelled one and those beyond the seven most frequent; toxic ones among them go."""
+    rng = random.Random(9)
+    rows, bad, labelled = [], set(), []
+    names = ["en", "de", "fr", "es", "it", "pl", "nl", "fi", "sv", None]  # the last three share a slot
+    for k, lang in enumerate(names):
+        for i in range(600 - 40 * k):
+            words = [f"{lang}{rng.randrange(40)}" for _ in range(30)]
+            if i % 4 == 0:
+                words = [w if rng.random() < 0.5 else f"vile{rng.randrange(5)}" for w in words]
+                bad.add(len(rows))
+            if lang in ("en", "de", "fr", "es"):
+                labelled.append((len(rows), 1, int(len(rows) in bad)))
+            rows.append((len(rows), " ".join(words), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    kept = {r["doc_id"] for r in quality.keep_good(docs, labels_of(spark, labelled)).collect()}
+    for lang in names:
+        of = [i for i, _, x in rows if x == lang]
+        clean = [i in kept for i in of if i not in bad]
+        assert np.mean(clean) > 0.95, (lang, np.mean(clean))
+        assert np.mean([i in kept for i in of if i in bad]) < 0.1, lang
+    assert quality.languages(docs) == ["en", "de", "fr", "es", "it", "pl", "nl"]
