@@ -189,3 +189,13 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, any_ca
     """``docs`` (all columns) without the documents that hold a benchmark item; rows without id stay."""
     found = contaminated(docs, benchmark, least, any_case=any_case).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti")
+
+
+def keep_clean_rows(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
+    """:func:`keep_clean` in any case that judges rows, not ids: rows without id or with a repeated one by their own text."""
+    n, ids, distinct = docs.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if n == ids == distinct:
+        return keep_clean(docs, benchmark, least, any_case=True)
+    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = contaminated(numbered, benchmark, least, id_col="_row", any_case=True).select(F.col("doc_id").alias("_row")).distinct()
+    return numbered.join(found, "_row", "left_anti").select(*docs.columns)

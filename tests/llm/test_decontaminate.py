@@ -79,3 +79,12 @@ def test_items_in_any_case(spark, documents, tmp_path):
     spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = sorted((r["doc_id"], r["item_id"], r["verbatim"]) for r in op3_benchmark_contamination(spark, str(tmp_path)).collect())
     assert got == [(10, 1, True), (11, 2, True), (12, 3, True), (13, 4, True), (14, 4, True), (15, 5, True), (16, 5, True), (20, 4, False)]
+
+
+def test_rows_of_any_id_are_judged(spark, documents):
+    docs = documents([(None, PAD + ITEMS[0][1]), (None, "Nothing of that kind"), (7, ITEMS[2][1]), (7, "Nothing of this kind"), (8, "Other words")])
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    kept = d.keep_clean_rows(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted(r["text"] for r in kept.collect()) == ["Nothing of that kind", "Nothing of this kind", "Other words"]
+    assert d.keep_clean_rows(docs.where("doc_id = 8"), items).count() == 1
