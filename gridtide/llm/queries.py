@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridtide.llm import binary, chat, decontaminate, maxent, packing, pq, quality, simhash, suffixes, urls
+from gridtide.llm import binary, chat, decontaminate, maxent, packing, pq, quality, simhash, suffixes, target_sampling, urls
 from gridtide.llm.tables import stored, table
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -84,11 +84,17 @@ def op10_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = target_sampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_importance_resampling, op2_simhash_near_duplicates, op3_benchmark_contamination, op4_vector_near_duplicates, op5_chat_schemas,
         op6_suffix_repeats, op7_url_rules, op8_maxent_scores, op9_training_shards, op10_packed_sequences,
+        op13_target_resampling,
     )
 }
 
