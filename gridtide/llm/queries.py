@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridtide.llm import binary, chat, decontaminate, maxent, packing, pq, quality, simhash, suffixes, target_sampling, urls
+from gridtide.llm import binary, chat, decontaminate, interactions, maxent, packing, pq, quality, simhash, suffixes, target_sampling, urls
 from gridtide.llm.tables import stored, table
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -84,6 +84,10 @@ def op10_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = target_sampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
@@ -94,7 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_importance_resampling, op2_simhash_near_duplicates, op3_benchmark_contamination, op4_vector_near_duplicates, op5_chat_schemas,
         op6_suffix_repeats, op7_url_rules, op8_maxent_scores, op9_training_shards, op10_packed_sequences,
-        op13_target_resampling,
+        op11_filter_interactions, op13_target_resampling,
     )
 }
 
@@ -135,5 +139,33 @@ m AS (
   FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY page_id
 )
 SELECT page_id, host, path, w.rule AS rule, coalesce(w.verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)
+""",
+    "op11_filter_interactions": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), k AS (
+  SELECT part, coalesce(good, false)::INT AS good, coalesce(toxic, false)::INT AS toxic,
+    CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS f
+  FROM d LEFT JOIN g USING (doc_id)
+), cell AS (SELECT part, f, good, toxic, count(*) AS n FROM k GROUP BY part, f, good, toxic),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (SELECT unnest([1, 2, 3, 4, 5]) AS step),
+r AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS x, f, good, toxic, n, contains(f, x) AS fails,
+    length(translate(left(filter_order, step - 1), f, '')) = step - 1 AS alive FROM cell, o, s
+), m AS (
+  SELECT part, filter_order, step, x, coalesce(sum(n) FILTER (alive AND NOT fails), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (alive AND fails), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (NOT alive AND fails), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (f = x), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n * good) FILTER (alive AND fails), 0)::BIGINT AS good_lost, coalesce(sum(n * toxic) FILTER (alive AND fails), 0)::BIGINT AS toxic_lost
+  FROM r GROUP BY part, filter_order, step, x
+)
+SELECT * EXCLUDE (x), (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM m
 """,
 }
