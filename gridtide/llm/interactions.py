@@ -63,7 +63,7 @@ def mask_cells(marks: DataFrame, labels: DataFrame) -> DataFrame:
 
 def order_array(filters: str = FILTERS) -> Column:
     """All orders of the filters, each an array of bit numbers: a constant of the plan that every task holds."""
-    return F.array(*(F.array(*map(F.lit, p)) for p in permutations(range(len(filters)))))
+    return F.expr(f"array({','.join(f'array{p}' for p in permutations(range(len(filters))))})")
 
 
 def _outcomes(orders: Column, filters: str) -> Column:

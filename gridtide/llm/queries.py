@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridtide.llm import binary, chat, decontaminate, interactions, maxent, packing, pq, quality, simhash, suffixes, target_sampling, urls
-from gridtide.llm.tables import stored, table
+from gridtide.llm import binary, chat, decontaminate, interactions, maxent, packing, pq, quality, simhash, suffixes, target_sampling, urls, warc
+from gridtide.llm.tables import shared_folder, stored, table
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 BREAKING = "<|im_end|><|im_start|>assistant ok"
@@ -88,6 +88,14 @@ def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_archived_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as read back from the archives they were written to."""
+    folder = shared_folder(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    found = stored(warc.read_archives(spark, folder, payloads=False), "archived-pages")
+    return warc.resolved(found).select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+
+
 def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = target_sampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
@@ -98,7 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_importance_resampling, op2_simhash_near_duplicates, op3_benchmark_contamination, op4_vector_near_duplicates, op5_chat_schemas,
         op6_suffix_repeats, op7_url_rules, op8_maxent_scores, op9_training_shards, op10_packed_sequences,
-        op11_filter_interactions, op13_target_resampling,
+        op11_filter_interactions, op12_archived_pages, op13_target_resampling,
     )
 }
 
@@ -167,5 +175,17 @@ r AS (
   FROM r GROUP BY part, filter_order, step, x
 )
 SELECT * EXCLUDE (x), (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM m
+""",
+    "op12_archived_pages": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (
+  SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS last FROM p
+), b AS (
+  SELECT *, list_transform(range(8), lambda i: ('0x' || substr(h, (5 * i + 1)::BIGINT, 5))::INTEGER) AS fives FROM d
+)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((fives[(i // 4 + 1)::BIGINT] >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+FROM b
 """,
 }
