@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridtide.llm import decontaminate, jaccard, packing, quality, suffixes
+from gridtide.llm import decontaminate, packing, quality, simhash, suffixes
 from gridtide.llm.tables import stored, table
 
 
@@ -14,8 +14,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 0.8 or more of five-word shingles, whatever their fingerprints."""
-    return jaccard.keep_one(docs)
+    """One document of each group whose SimHash fingerprints over three words link at three or fewer differing bits."""
+    return simhash.keep_one(docs)
 
 
 def first_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
