@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gridtide.llm.tables import stored, text_slices
+from gridtide.llm.tables import free_name, stored, text_slices
 from gridtide.llm.words import LOWER, mixed, span_hashes, split_words, sums_by_text
 
 BUCKETS = 1 << 17
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, known_languages: list[str], most_lab
 
 
 def importance(
-    docs: DataFrame, labels: DataFrame, temperature: float = 0.1, keep: int | None = None, seed: int = 7, most_labels: int = 50_000
+    docs: DataFrame, labels: DataFrame, temperature: float = 0.1, keep: int | None = None, seed: int = 7, most_labels: int = 50_000, row_col: str | None = None
 ) -> DataFrame:
     """``doc_id``, ``log_weight``, ``target_share``, ``noisy_weight``, ``kept`` for every row of ``docs``.
 
@@ -155,10 +155,12 @@ def importance(
     as many are kept as have a target share of one half or more. All rows that tie with the last one kept
     are kept too. Null and blank texts have the weight of their language alone. Rows without id share one noise value.
     Without any target label every row is kept with log weight 0. Columns besides id, text and ``lang``
-    (which may be missing or null) are ignored.
+    (which may be missing or null) are ignored. With ``row_col`` rows are told by that column: ``doc_id`` of the result is its
+    value, and only labels are looked up by id.
     """
     spoken = languages(docs)
     model = fit(docs, labels, spoken, most_labels)
+    docs = docs if row_col is None else docs.withColumn("doc_id", F.col(row_col))
     if model is None:
         return docs.select(F.col("doc_id").cast("long"), F.lit(0.0).alias("log_weight"), F.lit(1.0).alias("target_share"), F.lit(0.0).alias("noisy_weight"), F.lit(True).alias("kept"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size
@@ -211,9 +213,12 @@ def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 4096, few: int
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` (all columns) that :func:`importance` keeps. A row without id is judged by its text like any other.
+    """The rows of ``docs`` (all columns) that :func:`importance` keeps. Labels are known by id; of a repeated id every row has them.
 
-    Rows are matched by id; of several texts under one id, all stay if one of them is kept.
+    Judged are rows: one without id or with a repeated one by its own text.
     """
-    judged = importance(docs, labels, **options)
-    return docs.join(judged.where("kept").select(F.col("doc_id").alias("_kept")).distinct(), docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    n, ids, distinct = docs.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    row = free_name(docs, "_row")
+    numbered = docs.withColumn(row, F.col("doc_id").cast("long")) if n == ids == distinct else stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    judged = importance(numbered, labels, row_col=row, **options)
+    return numbered.join(judged.where("kept").select(F.col("doc_id").alias(row)).hint("merge"), row, "left_semi").select(*docs.columns)

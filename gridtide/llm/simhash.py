@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from gridtide.llm.components import components
-from gridtide.llm.tables import stored
+from gridtide.llm.tables import free_name, stored
 from gridtide.llm.words import LOWER_BYTES
 
 SMALL = 32  # signatures shared by at most so many fingerprints are joined row by row
@@ -141,8 +141,18 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, id_col:
 
 
 def keep_one(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
-    """``docs`` (all columns) with the smallest id of each component; of repeated rows with that id, one."""
-    found = near_duplicates(docs, words, distance)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct().hint("merge")
-    nameless = docs.where("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(nameless)
+    """``docs`` (all columns) with one row of each component: the one of the smallest id.
+
+    Judged are rows: one without id or with a repeated one by its own text. A row without id stays only if its whole component
+    has none; of several rows with the smallest id any one stays.
+    """
+    n, ids, distinct = docs.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if n == ids == distinct:
+        kept = near_duplicates(docs, words, distance).where("doc_id = component_id").select("doc_id")
+        return docs.join(kept.hint("merge"), "doc_id", "left_semi")
+    row = free_name(docs, "_row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered, words, distance, id_col=row).select(F.col("doc_id").alias("r"), "component_id")
+    own = numbered.select(F.col(row).alias("r"), F.col("doc_id").cast("long").alias("own"))
+    least = found.join(own.hint("merge"), "r").groupBy("component_id").agg(F.min(F.struct(F.isnull("own").alias("none"), "own", "r")).alias("least"))
+    return numbered.join(least.select(F.col("least.r").alias(row)).hint("merge"), row, "left_semi").select(*docs.columns)

@@ -66,10 +66,18 @@ def test_edge_rows(spark, documents):
     assert all(r["kept"] for r in quality.importance(docs, labels_of(spark, [])).collect())
     kept = quality.keep_good(docs, labels)
     assert kept.columns == docs.columns and kept.where("doc_id = 4").count() == 0 and kept.where("doc_id is null").count() == 1
-    clash = docs.selectExpr("doc_id", "text", "1 as kind", "2 as kept", "3 as bucket")
+    clash = docs.selectExpr("doc_id", "text", "1 as kind", "2 as kept", "3 as bucket", "4 as _kept", "5 as _row", "6 as slot")
     assert quality.keep_good(clash, labels).columns == clash.columns
 
 
+def test_rows_of_any_id_are_judged(spark, documents):
+    docs = documents([(i, "good text all along" if i % 2 else "vile text all along") for i in range(100, 200)])
+    docs = docs.union(documents([(None, "good text all along"), (None, "vile text all along"), (101, "vile text all along"), (None, "vile text all along")]))
+    kept = quality.keep_good(docs, labels_of(spark, [(i, 1, 1 - i % 2) for i in range(100, 200)]))
+    assert {r["text"] for r in kept.collect()} == {"good text all along"}
+    assert kept.where("doc_id is null").count() == 1 and kept.where("doc_id = 101").count() == 1
+
+
 def test_languages_without_labels_are_kept(spark):
     """Clean rows of a null language, an unlabelled one and those beyond the seven most frequent; toxic ones among them go."""
     rng = random.Random(9)

@@ -73,8 +73,16 @@ def test_edge_rows(spark, documents):
     assert got == sorted([(5, zero, 4), (4, zero, 4), (9, zero, 4), (3, ab, 3), (8, ab, 3), (7, x, 2), (2, x, 2), (-1, x, 2), (2, x, 2)])
     assert simhash.near_duplicates(documents([])).collect() == []
     kept = simhash.keep_one(docs)
-    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 2, 3, 4]
+    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [2, 3, 4]
     assert kept.columns == docs.columns
+    named = documents([(1, "some words of one text"), (2, "some words of one text"), (3, "other")]).selectExpr("*", "7 as _row", "8 as r", "9 as own")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(named).collect()) == [1, 3]
+    nameless = named.union(named.selectExpr("cast(null as long)", "text", "lang", "source", "n_chars", "_row", "r", "own")).union(named.selectExpr("3L", "'a third text'", "lang", "source", "n_chars", "_row", "r", "own"))
+    left = simhash.keep_one(nameless)
+    assert left.columns == named.columns and {r["_row"] for r in left.collect()} == {7}
+    assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == [(1, "some words of one text"), (3, "a third text"), (3, "other")]
+    lost = documents([(None, "only without id"), (None, "only without id"), (None, "another one here")])
+    assert sorted(r["text"] for r in simhash.keep_one(lost).collect()) == ["another one here", "only without id"]
     clash = docs.selectExpr("doc_id", "text", "1 as fp", "2 as label", "3 as node", "4 as component_id")
     assert simhash.near_duplicates(clash).count() == 9
 
