@@ -107,19 +107,16 @@ def _renewed(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(f"_{c}") for c in df.columns]).toDF(*df.columns)
 
 
-def on_chunks_with(
+def on_chunks_joined(
     sized: DataFrame, keys, side: DataFrame, kernel: Callable, schema: str, chunk: int = CHUNK, margin: int = 0,
 ) -> DataFrame:
-    """``on_chunks`` with one row of ``side`` per series handed to ``kernel(frame, lo, hi, row)``.
+    """``on_chunks`` with the row of ``side`` for each series and ``chunk`` handed to ``kernel(frame, lo, hi, row)``.
 
-    The row is sent once per chunk, not once per value.
+    A chunk without a row, or a row without values, calls the kernel with None.
     """
     keys = list(keys)
     head = ", ".join(f"`{k}` {sized.schema[k].dataType.simpleString()}" for k in keys)
     spread = spread_chunks(sized.select(*keys, "pos", "value", "n"), chunk, margin)
-    last = F.floor((F.col("n") - 1) / chunk).cast("int")
-    lengths = sized.groupBy(*keys).agg(F.max("n").alias("n"))
-    sent = _renewed(side.join(lengths, keys).withColumn("chunk", F.explode(F.sequence(F.lit(0), last))))
 
     def run(frame: pd.DataFrame, row: pd.DataFrame) -> pd.DataFrame:
         source = row if len(row) else frame
@@ -134,10 +131,24 @@ def on_chunks_with(
             out.insert(i, k, [source[k].iloc[0]] * len(out))
         return out
 
-    grouped = spread.groupBy(*keys, "chunk").cogroup(sent.groupBy(*keys, "chunk"))
+    grouped = spread.groupBy(*keys, "chunk").cogroup(_renewed(side).groupBy(*keys, "chunk"))
     return grouped.applyInPandas(run, f"{head}, {schema}")
 
 
+def on_chunks_with(
+    sized: DataFrame, keys, side: DataFrame, kernel: Callable, schema: str, chunk: int = CHUNK, margin: int = 0,
+) -> DataFrame:
+    """``on_chunks`` with one row of ``side`` per series handed to ``kernel(frame, lo, hi, row)``.
+
+    The row is sent once per chunk, not once per value.
+    """
+    keys = list(keys)
+    last = F.floor((F.col("n") - 1) / chunk).cast("int")
+    lengths = sized.groupBy(*keys).agg(F.max("n").alias("n"))
+    sent = side.join(lengths, keys).withColumn("chunk", F.explode(F.sequence(F.lit(0), last))).drop("n")
+    return on_chunks_joined(sized, keys, sent, kernel, schema, chunk, margin)
+
+
 def fold_series(
     series: DataFrame, keys, state: DataFrame, kernel: Callable, schema: str, chunk: int, chunks: int,
 ) -> DataFrame:

@@ -1,7 +1,8 @@
 """Forecasts of many series from their own past: exponential smoothing and ARIMA.
 
-The recursions are sequential in time, so they run as a fold over bounded chunks of all
-series at once. Regression stages only need sums and come from chunks in parallel.
+A series of up to one chunk is fitted by one task, all series in parallel. Longer ones advance chunk by chunk in parallel
+too: the recursions are affine in their state, so a pass from zero states gives each chunk's map, the maps composed give the
+true states, and a second pass starts from those.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from gridtide.operators.series import CHUNK, fold_series, on_chunks_with, with_size
+from gridtide.operators import scan
+from gridtide.operators.series import CHUNK, fold_series, on_chunks_joined, on_chunks_with, with_size
 from gridtide.operators.spectrum import _key_schema
 from gridtide.session import cut_lineage
 
@@ -20,9 +22,8 @@ FORECAST = "h int, predicted double, predicted_lower double, predicted_upper dou
 KINDS = ("add", "mul", None)
 
 
-def _chunks(series: DataFrame, chunk: int) -> int:
-    last = series.agg(F.max("pos")).first()[0]
-    return 1 if last is None else int(last) // chunk + 1
+def _longest(series: DataFrame) -> int:
+    return series.agg(F.max("n")).first()[0] or 0
 
 
 # ---- exponential smoothing -------------------------------------------------
@@ -35,36 +36,50 @@ _HW_SCHEMA = (
     "alpha double, beta double, gamma double, radius double, rows bigint, "
     + ", ".join(f"{a} array<double>" for a in _HW_ARRAYS)
 )
+_HW_FITTED = "alpha double, beta double, gamma double, rows bigint, level double, slope double, season array<double>, sse double"
 
 
 def _lattice(center: float, radius: float, used: bool) -> np.ndarray:
     return np.unique(np.clip(center + radius * LATTICE, 1e-4, 0.9999)) if used else np.zeros(1)
 
 
-def _hw_start(values, row, trend, seasonal, period):
-    """Parameter lattice around the current best and first states from the opening cycles."""
+def _lattice_points(row, trend, seasonal) -> np.ndarray:
+    """Parameter rows around the current best."""
     radius = row["radius"]
     axes = np.meshgrid(
         _lattice(row["alpha"], radius, True), _lattice(row["beta"], radius, trend is not None),
         _lattice(row["gamma"], radius, seasonal is not None), indexing="ij",
     )
-    alphas, betas, gammas = (a.ravel() for a in axes)
+    return np.column_stack([a.ravel() for a in axes])
+
+
+def _opening(values, trend, seasonal, period):
+    """First level, slope and season from the opening cycles."""
     cycle = period if seasonal else min(10, max(1, len(values) // 2))
     first, second = values[:cycle], values[cycle : 2 * cycle]
     level = first.mean()
     if trend == "add":
         slope = (second.mean() - level) / cycle if len(second) == cycle else 0.0
-    else:
+    elif trend == "mul":
         slope = (second.mean() / level) ** (1.0 / cycle) if len(second) == cycle and level > 0 and second.mean() > 0 else 1.0
+    else:
+        slope = 0.0
     if seasonal == "add":
         season = first - level
     elif seasonal == "mul":
         season = first / level if level else np.ones(period)
     else:
         season = np.zeros(1)
-    p = len(alphas)
+    return level, slope, season
+
+
+def _hw_start(values, row, trend, seasonal, period):
+    """Parameter lattice and first states of the sequential fold."""
+    points = _lattice_points(row, trend, seasonal)
+    level, slope, season = _opening(values, trend, seasonal, period)
+    p = len(points)
     return {
-        "alphas": alphas, "betas": betas, "gammas": gammas, "level": np.full(p, level), "slope": np.full(p, slope),
+        "alphas": points[:, 0], "betas": points[:, 1], "gammas": points[:, 2], "level": np.full(p, level), "slope": np.full(p, slope),
         "season": np.tile(season, (p, 1)).T.copy(), "sse": np.zeros(p), "rows": 0,
     }
 
@@ -105,34 +120,15 @@ def _hw_advance(values, row, trend, seasonal, period):
     }
 
 
-def fit_holt_winters(
-    series: DataFrame, keys, trend: str | None = "add", seasonal: str | None = "add", seasonal_periods: int = 12,
-    chunk: int = CHUNK,
-) -> DataFrame:
-    """Smoothing parameters and final states per series (M5).
-
-    The parameters come from a lattice search: every pass over the data scores a whole lattice,
-    then the lattice contracts around the best point.
-    """
-    if trend not in KINDS or seasonal not in KINDS:
-        raise ValueError("trend and seasonal are 'add', 'mul' or None")
-    if seasonal and seasonal_periods < 2:
-        raise ValueError("a season needs at least two steps")
-    keys = list(keys)
-    chunk = max(chunk, 2 * seasonal_periods)
-    sized = with_size(series, keys)
-    rows = sized.where(F.col("n") >= (2 * seasonal_periods if seasonal else 3)).drop("n").persist()
-    chunks = _chunks(rows, chunk)
+def _hw_folded(rows: DataFrame, keys, best: DataFrame, trend, seasonal, period: int, chunk: int, rounds: int) -> DataFrame:
+    """Multiplicative parts are no affine maps: they fold over the chunks one after another."""
+    chunks = -(-_longest(rows) // chunk)
     empty = {a: F.lit(None).cast("array<double>") for a in _HW_ARRAYS}
-    center = rows.groupBy(*keys).agg(F.lit(0.5).alias("alpha"), F.lit(0.5).alias("beta"), F.lit(0.5).alias("gamma"))
-    best = center.withColumn("radius", F.lit(0.49))
-    for _ in range(LATTICE_ROUNDS):
+    for _ in range(rounds):
         state = best.select(*keys, "alpha", "beta", "gamma", "radius", F.lit(0).cast("bigint").alias("rows"), *[
             v.alias(a) for a, v in empty.items()
         ])
-        done = fold_series(
-            rows, keys, state, lambda v, r: _hw_advance(v, r, trend, seasonal, seasonal_periods), _HW_SCHEMA, chunk, chunks,
-        )
+        done = fold_series(rows, keys, state, lambda v, r: _hw_advance(v, r, trend, seasonal, period), _HW_SCHEMA, chunk, chunks)
         scores = F.transform("sse", lambda s: F.when(F.isnan(s), F.lit(float("inf"))).otherwise(s))
         done = done.withColumn("_at", (F.array_position(scores, F.array_min(scores)) - 1).cast("int"))
         points = F.size("alphas")
@@ -148,10 +144,134 @@ def fit_holt_winters(
                 season.alias("season"), F.get("sse", F.col("_at")).alias("sse"),
             ),
         )
-    rows.unpersist()
     return best.drop("radius")
 
 
+def _hw_state(values, points, trend, seasonal, period) -> np.ndarray:
+    level, slope, season = _opening(values, trend, seasonal, period)
+    return np.repeat(np.concatenate([[level, slope], season])[:, None], len(points), axis=1)
+
+
+def _hw_best(points, sse, state, radius, n) -> dict:
+    """The best point of a lattice; the season is turned back to begin at the series' start."""
+    at = int(np.argmin(np.where(np.isfinite(sse), sse, np.inf)))
+    alpha, beta, gamma = points[at]
+    season = np.roll(state[2:, at], n % (len(state) - 2))
+    return {
+        "alpha": alpha, "beta": beta, "gamma": gamma, "rows": n, "level": state[0, at], "slope": state[1, at],
+        "season": season, "sse": sse[at], "radius": radius / SHRINK,
+    }
+
+
+def _hw_fit(values: np.ndarray, trend, seasonal, period: int, start: dict, rounds: int) -> dict:
+    """All rounds of the lattice search over one series in memory."""
+    row = start
+    for _ in range(rounds):
+        points = _lattice_points(row, trend, seasonal)
+        state, sse = scan.smooth(values, points, _hw_state(values, points, trend, seasonal, period), trend == "add", seasonal == "add")
+        row = _hw_best(points, sse, state, row["radius"], len(values))
+    return row
+
+
+def _hw_scanned(rows: DataFrame, keys, best: DataFrame, trend, seasonal, period: int, chunk: int, rounds: int) -> DataFrame:
+    """Two parallel passes a round, however many chunks a series has."""
+    head = _key_schema(rows, keys)
+    kinds = (trend == "add", seasonal == "add")
+    cycle = period if seasonal else 1
+    length = scan.block_length(chunk, cycle)
+    chunk = chunk // length * length
+    named = ["alpha", "beta", "gamma", "radius"]
+    at = "chunk int, alpha double, beta double, gamma double, radius double"
+
+    def begin_of(frame, lo, hi, row, points):
+        if frame["chunk"].iloc[0] == 0:
+            return _hw_state(frame["value"].to_numpy(float)[lo:hi], points, trend, seasonal, period)
+        held = row.get("begin")
+        return np.zeros((cycle + 2, len(points))) if held is None else np.asarray(held, float).reshape(cycle + 2, -1)
+
+    def advance(frame, lo, hi, row, want):
+        columns = ["chunk", *named, "sse", "state", "n"]
+        if frame is None:
+            return pd.DataFrame(columns=columns)
+        points = _lattice_points(row, trend, seasonal)
+        state, sse = scan.smooth(frame["value"].to_numpy(float)[lo:hi], points, begin_of(frame, lo, hi, row, points), *kinds)
+        n, last = int(frame["n"].iloc[0]), int(frame["pos"].iloc[hi - 1])
+        state = state.ravel() if want == "all" or last == n - 1 else np.zeros(0)
+        return pd.DataFrame([{"chunk": int(frame["chunk"].iloc[0]), **{c: row[c] for c in named}, "sse": sse, "state": state, "n": n}], columns=columns)
+
+    passed = f"{at}, sse array<double>, state array<double>, n bigint"
+
+    def compose(frame: pd.DataFrame) -> pd.DataFrame:
+        """The state each chunk begins with, from the chunks' maps."""
+        frame = frame.sort_values("chunk", ignore_index=True)
+        row = frame.iloc[0]
+        points = _lattice_points(row, trend, seasonal)
+        with np.errstate(all="ignore"):
+            carry = np.linalg.matrix_power(scan.smoothing_map(points, cycle, length, *kinds), chunk // length)
+        out, state = [], None
+        for _, r in frame.iterrows():
+            out.append({**{c: r[c] for c in [*keys, "chunk", *named]}, "begin": np.zeros(0) if state is None else state.ravel()})
+            ends = np.asarray(r["state"], float).reshape(cycle + 2, -1)
+            state = ends if state is None else np.einsum("pij,jp->ip", carry, state) + ends
+        return pd.DataFrame(out, columns=[*keys, "chunk", *named, "begin"])
+
+    def settle(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("chunk")
+        row = frame.iloc[-1]
+        points = _lattice_points(row, trend, seasonal)
+        sse = np.sum([np.asarray(x, float) for x in frame["sse"]], axis=0)
+        found = _hw_best(points, sse, np.asarray(row["state"], float).reshape(cycle + 2, -1), row["radius"], int(row["n"]))
+        return pd.DataFrame([{**{k: row[k] for k in keys}, **found}], columns=[*keys, *names])
+
+    names = [f.split()[0] for f in _HW_FITTED.split(", ")] + ["radius"]
+    for _ in range(rounds):
+        ends = on_chunks_with(rows, keys, best.select(*keys, *named), lambda f, lo, hi, r: advance(f, lo, hi, r, "all"), passed, chunk)
+        begins = cut_lineage(ends.groupBy(*keys).applyInPandas(compose, f"{head}, {at}, begin array<double>"))
+        errors = on_chunks_joined(rows, keys, begins, lambda f, lo, hi, r: advance(f, lo, hi, r, "last"), passed, chunk)
+        best = cut_lineage(errors.groupBy(*keys).applyInPandas(settle, f"{head}, {_HW_FITTED}, radius double"))
+    return best.drop("radius")
+
+
+def fit_holt_winters(
+    series: DataFrame, keys, trend: str | None = "add", seasonal: str | None = "add", seasonal_periods: int = 12,
+    chunk: int = CHUNK, parameters: tuple[float, float, float] | None = None,
+) -> DataFrame:
+    """Smoothing parameters and final states per series (M5).
+
+    The parameters come from a lattice search: every round scores a whole lattice, then the lattice contracts around the best
+    point. Given ``parameters`` (alpha, beta, gamma) are used as they are. A series of up to ``chunk`` values takes one task
+    for all rounds; longer ones two passes a round, a chunk a task. Only multiplicative parts of longer series
+    go through their chunks one after another.
+    """
+    if trend not in KINDS or seasonal not in KINDS:
+        raise ValueError("trend and seasonal are 'add', 'mul' or None")
+    if seasonal and seasonal_periods < 2:
+        raise ValueError("a season needs at least two steps")
+    keys = list(keys)
+    chunk = max(chunk, 2 * seasonal_periods)
+    sized = with_size(series, keys)
+    rows = sized.where(F.col("n") >= (2 * seasonal_periods if seasonal else 3))
+    rounds = LATTICE_ROUNDS if parameters is None else 1
+    start = dict(zip(("alpha", "beta", "gamma", "radius"), (0.5, 0.5, 0.5, 0.49) if parameters is None else (*map(float, parameters), 0.0)))
+    if "mul" in (trend, seasonal):
+        best = rows.groupBy(*keys).agg(*[F.lit(v).alias(c) for c, v in start.items()])
+        return _hw_folded(rows, keys, best, trend, seasonal, seasonal_periods, chunk, rounds)
+    head = _key_schema(rows, keys)
+    names = [f.split()[0] for f in _HW_FITTED.split(", ")]
+
+    def whole(frame: pd.DataFrame) -> pd.DataFrame:
+        values = frame.sort_values("pos")["value"].to_numpy(float)
+        found = _hw_fit(values, trend, seasonal, seasonal_periods, start, rounds)
+        return pd.DataFrame([{**{k: frame[k].iloc[0] for k in keys}, **found}], columns=[*keys, *names])
+
+    fitted = rows.where(F.col("n") <= chunk).select(*keys, "pos", "value").groupBy(*keys).applyInPandas(whole, f"{head}, {_HW_FITTED}")
+    if _longest(rows) <= chunk:
+        return fitted
+    long = rows.where(F.col("n") > chunk)
+    best = long.groupBy(*keys).agg(*[F.lit(v).alias(c) for c, v in start.items()])
+    return fitted.unionByName(_hw_scanned(long, keys, best, trend, seasonal, seasonal_periods, chunk, rounds))
+
+
 def _hw_forecast(row, trend, seasonal, period, horizon, level_of):
     h = np.arange(1, horizon + 1)
     base = row["level"] + h * row["slope"] if trend == "add" else row["level"] * row["slope"] ** h if trend == "mul" else np.full(horizon, row["level"])
@@ -193,13 +313,13 @@ def forecast_holt_winters(
 
 # ---- ARIMA -----------------------------------------------------------------
 
-NEWTON_ROUNDS = 10
+NEWTON_ROUNDS = 50  # at most
 SHARES = (1.0, 0.5, 0.25, 0.1, 0.0)  # of the way from zero to the first guess
 DAMPING = (0.0, 0.1, 1.0, 10.0)  # Levenberg-Marquardt candidates of a round; staying put is the fifth
 CANDIDATES = 5
-_ARIMA_SCHEMA = (
-    "coefficients array<double>, moves array<double>, rows bigint, tail array<double>, carried array<double>, "
-    "sums array<double>"
+SETTLED = 1e-11  # relative gain at which a series stops
+_ARIMA_FITTED = (
+    "coefficients array<double>, rows bigint, tail array<double>, residuals array<double>, sse double, gradient double, variance double"
 )
 
 
@@ -289,135 +409,193 @@ def _first_guess(sized: DataFrame, keys, p: int, d: int, q: int, chunk: int) ->
     return means.join(_regress(parts, keys, p + q + 1), keys, "left")
 
 
-def _arima_pass(values, row, p, d, q, constant):
-    """Residual and gradient recursions over one chunk for a few candidate parameter vectors."""
-    k = p + q + constant
-    base = np.asarray(row["coefficients"], float)
-    moves = np.asarray(row["moves"], float)
-    candidates = base + moves.reshape(CANDIDATES, k)
-    tail = np.asarray(row["tail"], float)
-    seen = int(row["rows"])
-    y = np.concatenate([tail, values])
-    w = y.copy()
-    for _ in range(d):
-        w = np.concatenate([[np.nan], np.diff(w)])
-    own = np.arange(len(tail), len(y))
-    start = own[own - len(tail) + seen >= d + p] if seen < d + p else own
-    width = k + 1
-    carried = np.array(row["carried"], float).reshape(CANDIDATES, max(q, 1), width)
-    sums = np.array(row["sums"], float).reshape(CANDIDATES, 1 + k + k * k)
-    with np.errstate(all="ignore"):
-        for c, theta in enumerate(candidates):
-            ar, ma = theta[:p], theta[p : p + q]
-            shift = theta[-1] if constant else 0.0
-            x = np.column_stack(_lags(w, start, p)) if p else np.zeros((len(start), 0))
-            centred = w[start] - shift
-            x = x - shift
-            plain = centred - x @ ar
-            slopes = np.zeros((len(start), width))
-            slopes[:, 0] = plain
-            slopes[:, 1 : 1 + p] = -x
-            if constant:
-                slopes[:, -1] = -(1.0 - ar.sum())
-            back = carried[c].copy()
-            if q:
-                for t in range(len(start)):
-                    now = slopes[t]
-                    now[1 + p : 1 + p + q] -= back[:q, 0]
-                    now -= ma @ back[:q]
-                    back = np.vstack([now, back[:-1]]) if q > 1 else now[None, :].copy()
-            carried[c] = back
-            e, g = slopes[:, 0], slopes[:, 1:]
-            sums[c, 0] += e @ e
-            sums[c, 1 : 1 + k] += g.T @ e
-            sums[c, 1 + k :] += (g.T @ g).ravel()
+def _arima_need(order) -> int:
+    p, d, q = order
+    return d + 2 * max(p, q) + (12 if q else 0) + p + q + int(d == 0) + 5
+
+
+def _guess(values: np.ndarray, order) -> np.ndarray:
+    """:func:`_first_guess` of a series in memory."""
+    p, d, q = order
+    mean = values.mean()
+    w = np.concatenate([np.full(d, np.nan), np.diff(values, d)]) if d else values - mean
+    long = max(p, q) + 12 if q else 0
+    past = []
+    t = np.arange(d + long + max(p, q), len(w))
+    if q:
+        early = np.arange(d + long, len(w))
+        ar = _least_squares(np.column_stack([*_lags(w, early, long), w[early]]))
+        e = w.copy()
+        for i, x in enumerate(ar, 1):
+            e[i:] -= x * w[:-i]
+        past = _lags(e, t, q)
+    beta = _least_squares(np.column_stack([*_lags(w, t, p), *past, w[t]])) if p + q else np.zeros(0)
+    return np.concatenate([beta, [mean] if d == 0 else []])
+
+
+def _least_squares(x: np.ndarray) -> np.ndarray:
+    gram = x.T @ x
+    return np.linalg.lstsq(gram[:-1, :-1], gram[:-1, -1], rcond=None)[0]
+
+
+def _opening_moves(guess: np.ndarray, order) -> tuple[np.ndarray, np.ndarray]:
+    """From no dynamics to the first guess, so that a poor guess cannot win."""
+    origin = np.zeros(len(guess))
+    if order[1] == 0:
+        origin[-1] = guess[-1]
+    return origin, np.array([(guess - origin) * share for share in SHARES])
+
+
+def _next_moves(sums: np.ndarray, base: np.ndarray, moves: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, float, float]:
+    """(place of the best candidate, its coefficients, Gauss-Newton moves from there, its loss, cosine of its residuals and slopes)."""
+    k = len(base)
+    loss = np.where(np.isfinite(sums[:, 0]), sums[:, 0], np.inf)
+    at = int(np.argmin(loss))
+    g, hess = sums[at, 1 : 1 + k], sums[at, 1 + k :].reshape(k, k)
+    after = np.zeros((CANDIDATES, k))
+    if k and np.isfinite(hess).all():
+        for i, damp in enumerate(DAMPING):
+            after[i] = -np.linalg.lstsq(hess + damp * np.diag(np.diag(hess)), g, rcond=None)[0]
+    size = np.sqrt(np.maximum(np.diag(hess), 1e-300) * max(loss[at], 1e-300))
+    return at, base + moves[at], after, float(loss[at]), float(np.max(np.abs(g) / size, initial=0.0))
+
+
+def _arima_fit(values: np.ndarray, order, given=None) -> dict:
+    """Coefficients and closing values of one series in memory."""
+    p, d, q = order
     keep = p + d
+    guess = _guess(values, order) if given is None else np.asarray(given, float)
+    k = len(guess)
+    base, moves = _opening_moves(guess, order) if given is None else (guess, np.zeros((1, k)))
+    best = np.inf
+    for _ in range(1 if given is not None else NEWTON_ROUNDS):
+        done = [scan.residual_sums(values, keep, base + m, order, np.zeros((q, k + 1))) for m in moves]
+        at, base, moves, loss, gradient = _next_moves(np.array([x[0] for x in done]), base, moves)
+        closing = done[at][1]
+        if not np.isfinite(loss) or best - loss <= SETTLED * loss:
+            break
+        best = loss
     return {
-        "coefficients": base, "moves": moves, "rows": seen + len(values), "tail": y[-keep:] if keep else np.zeros(0),
-        "carried": carried.ravel(), "sums": sums.ravel(),
+        "coefficients": base, "rows": len(values), "tail": values[len(values) - keep :], "residuals": closing[:, 0],
+        "sse": loss, "gradient": gradient, "variance": loss / (len(values) - keep),
     }
 
 
-def _scaled(share: float):
-    return lambda x: x * share
+def _arima_scanned(sized: DataFrame, keys, order, chunk: int, given=None) -> DataFrame:
+    """Gauss-Newton rounds of two parallel passes (one without a moving average), however many chunks a series has."""
+    p, d, q = order
+    k = p + q + int(d == 0)
+    width, keep = k + 1, p + d
+    size = 1 + k + k * k
+    count = CANDIDATES if given is None else 1
+    head = _key_schema(sized, keys)
+    named = ["coefficients", "moves", "best"]
+    carried = "coefficients array<double>, moves array<double>, best double"
+    if given is None:
+        guess = _first_guess(sized, keys, p, d, q, chunk)
+
+        def opened(frames):
+            for frame in frames:
+                out = []
+                for row in frame.to_dict("records"):
+                    beta = np.zeros(p + q) if row["beta"] is None else np.asarray(row["beta"], float)
+                    base, moves = _opening_moves(np.concatenate([beta, [row["mean"]] if d == 0 else []]), order)
+                    out.append({**{c: row[c] for c in keys}, "coefficients": base, "moves": moves.ravel(), "best": np.inf})
+                yield pd.DataFrame(out, columns=[*keys, *named])
+
+        state = guess.mapInPandas(opened, f"{head}, {carried}")
+    else:
+        fixed = [F.array(*[F.lit(float(x)) for x in given]) if len(given) else F.array().cast("array<double>"), F.array_repeat(F.lit(0.0), k), F.lit(float("inf"))]
+        state = sized.select(*keys).distinct().select(*keys, *[c.alias(n) for c, n in zip(fixed, named)])
+    kinds = f"chunk int, {carried}, rows bigint, sums array<double>, after array<double>, tail array<double>, n bigint"
 
+    def candidates(row) -> np.ndarray:
+        return np.asarray(row["coefficients"], float) + np.asarray(row["moves"], float).reshape(count, k)
 
-def fit_arima(series: DataFrame, keys, order: tuple[int, int, int] = (1, 1, 1), chunk: int = CHUNK) -> DataFrame:
+    def advance(frame, lo, hi, row):
+        columns = [f.split()[0] for f in kinds.split(", ")]
+        if frame is None:
+            return pd.DataFrame(columns=columns)
+        y = frame["value"].to_numpy(float)[max(0, lo - keep) : hi]
+        held = row.get("begin")
+        begins = np.zeros((count, q, width)) if held is None or not len(held) else np.asarray(held, float).reshape(count, q, width)
+        done = [scan.residual_sums(y, keep, theta, order, begin) for theta, begin in zip(candidates(row), begins)]
+        return pd.DataFrame(
+            [{
+                "chunk": int(frame["chunk"].iloc[0]), **{c: row[c] for c in named}, "rows": len(y) - keep, "sums": np.concatenate([x[0] for x in done]),
+                "after": np.concatenate([x[1].ravel() for x in done]), "tail": y[len(y) - keep :], "n": int(frame["n"].iloc[0]),
+            }], columns=columns,
+        )
+
+    def compose(frame: pd.DataFrame) -> pd.DataFrame:
+        """The residuals and slopes each chunk begins with, from the chunks' maps."""
+        frame = frame.sort_values("chunk", ignore_index=True)
+        thetas = candidates(frame.iloc[0])
+        maps: dict[int, list] = {}
+        out, state = [], np.zeros((count, q * width))
+        for _, r in frame.iterrows():
+            out.append({**{c: r[c] for c in [*keys, "chunk", *named]}, "begin": state.ravel()})
+            steps = int(r["rows"])
+            if steps not in maps:
+                maps[steps] = [scan.residual_map(theta, order, steps) for theta in thetas]
+            with np.errstate(all="ignore"):
+                state = np.array([m @ x for m, x in zip(maps[steps], state)]) + np.asarray(r["after"], float).reshape(count, -1)
+        return pd.DataFrame(out, columns=[*keys, "chunk", *named, "begin"])
+
+    def settle(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("chunk")
+        row = frame.iloc[-1]
+        sums = np.sum([np.asarray(x, float) for x in frame["sums"]], axis=0).reshape(count, size)
+        at, base, moves, loss, gradient = _next_moves(sums, np.asarray(row["coefficients"], float), np.asarray(row["moves"], float).reshape(count, k))
+        closing = np.asarray(row["after"], float).reshape(count, q, width)[at, :, 0]
+        found = {"coefficients": base, "rows": row["n"], "tail": row["tail"], "residuals": closing, "sse": loss, "gradient": gradient, "variance": loss / (row["n"] - keep)}
+        settled = not np.isfinite(loss) or row["best"] - loss <= SETTLED * loss
+        more = {"moves": moves.ravel() * (not settled), "best": loss, "settled": settled}
+        return pd.DataFrame([{**{c: row[c] for c in keys}, **found, **more}], columns=[*keys, *found, *more])
+
+    chosen = None
+    for _ in range(NEWTON_ROUNDS if given is None else 1):
+        side = state.select(*keys, *named)
+        passed = on_chunks_with(sized, keys, side, advance, kinds, chunk, keep)
+        if q:
+            begins = cut_lineage(passed.groupBy(*keys).applyInPandas(compose, f"{head}, chunk int, {carried}, begin array<double>"))
+            passed = on_chunks_joined(sized, keys, begins, advance, kinds, chunk, keep)
+        chosen = cut_lineage(passed.groupBy(*keys).applyInPandas(settle, f"{head}, {_ARIMA_FITTED}, moves array<double>, best double, settled boolean"))
+        if chosen.where(~F.col("settled")).isEmpty():
+            break
+        state = chosen
+    return chosen.drop("moves", "best", "settled")
+
+
+def fit_arima(
+    series: DataFrame, keys, order: tuple[int, int, int] = (1, 1, 1), chunk: int = CHUNK, coefficients=None,
+) -> DataFrame:
     """Conditional least squares ARIMA per series (M6): coefficients, variance and closing values.
 
-    Starts from a two-stage regression, then refines by damped Gauss-Newton; each round is one
-    fold over the chunks that scores all candidates together. Without differencing a mean is fitted.
+    Starts from a two-stage regression, then refines by damped Gauss-Newton. Without differencing a mean is fitted. Given
+    ``coefficients`` (autoregressive, moving average, mean) are used as they are. ``gradient`` is the largest cosine
+    between the residuals and their derivative by a coefficient: zero at the least squares solution. A series of up to ``chunk``
+    values is fitted by one task; longer ones in parallel passes over their chunks.
     """
     p, d, q = order
     if min(order) < 0:
         raise ValueError("orders cannot be negative")
+    if coefficients is not None and len(coefficients) != p + q + int(d == 0):
+        raise ValueError("one coefficient for each lag, and the mean without differencing")
     keys = list(keys)
-    constant = int(d == 0)
-    k = p + q + constant
     chunk = max(chunk, 4 * (p + d + q + 16))
-    need = d + 2 * max(p, q) + (12 if q else 0) + k + 5
-    sized = with_size(series, keys).where(F.col("n") >= need).persist()
-    chunks = _chunks(sized, chunk)
-    guess = _first_guess(sized, keys, p, d, q, chunk)
-    zeros = F.array_repeat(F.lit(0.0), p + q)
-    begin = F.coalesce(F.col("beta"), zeros)
-    if constant:
-        begin = F.concat(begin, F.array(F.col("mean")))
-    # The first pass goes from the zero vector to the guess, so a poor guess cannot win.
-    origin = F.concat(zeros, F.array(F.col("mean"))) if constant else zeros
-    state = guess.select(
-        *keys, origin.cast("array<double>").alias("coefficients"),
-        F.flatten(
-            F.array(*[F.transform(F.zip_with(begin, origin, lambda a, b: a - b), _scaled(s)) for s in SHARES]),
-        ).cast("array<double>").alias("moves"),
-    )
-    head = _key_schema(series, keys)
-    size = 1 + k + k * k
+    sized = with_size(series, keys).where(F.col("n") >= _arima_need(order))
+    head = _key_schema(sized, keys)
+    names = [f.split()[0] for f in _ARIMA_FITTED.split(", ")]
 
-    def choose(frames):
-        """Best candidate of a pass and the next Gauss-Newton move from it."""
-        for frame in frames:
-            out = []
-            for row in frame.to_dict("records"):
-                sums = np.asarray(row["sums"], float).reshape(CANDIDATES, size)
-                loss = np.where(np.isfinite(sums[:, 0]), sums[:, 0], np.inf)
-                at = int(np.argmin(loss))
-                theta = np.asarray(row["coefficients"], float) + np.asarray(row["moves"], float).reshape(CANDIDATES, k)[at]
-                g, hess = sums[at, 1 : 1 + k], sums[at, 1 + k :].reshape(k, k)
-                moves = np.zeros((CANDIDATES, k))
-                if k and np.isfinite(hess).all():
-                    for i, damp in enumerate(DAMPING):
-                        eased = hess + damp * np.diag(np.diag(hess))
-                        moves[i] = -np.linalg.lstsq(eased, g, rcond=None)[0]
-                back = np.asarray(row["carried"], float).reshape(CANDIDATES, max(q, 1), k + 1)[at, :, 0]
-                out.append({
-                    **{key: row[key] for key in keys}, "coefficients": theta, "moves": moves.ravel(), "rows": row["rows"],
-                    "tail": row["tail"], "residuals": back[:q], "sse": float(loss[at]),
-                })
-            yield pd.DataFrame(out, columns=[*keys, "coefficients", "moves", "rows", "tail", "residuals", "sse"])
+    def whole(frame: pd.DataFrame) -> pd.DataFrame:
+        found = _arima_fit(frame.sort_values("pos")["value"].to_numpy(float), order, coefficients)
+        return pd.DataFrame([{**{c: frame[c].iloc[0] for c in keys}, **found}], columns=[*keys, *names])
 
-    chosen = None
-    for _ in range(NEWTON_ROUNDS):
-        opened = state.select(
-            *keys, "coefficients", "moves", F.lit(0).cast("bigint").alias("rows"),
-            F.array().cast("array<double>").alias("tail"),
-            F.array_repeat(F.lit(0.0), CANDIDATES * max(q, 1) * (k + 1)).alias("carried"),
-            F.array_repeat(F.lit(0.0), CANDIDATES * size).alias("sums"),
-        )
-        done = fold_series(
-            sized, keys, opened, lambda v, r: _arima_pass(v, r, p, d, q, constant), _ARIMA_SCHEMA, chunk, chunks,
-        )
-        chosen = cut_lineage(
-            done.mapInPandas(
-                choose,
-                f"{head}, coefficients array<double>, moves array<double>, rows bigint, tail array<double>, "
-                "residuals array<double>, sse double",
-            ),
-        )
-        state = chosen.select(*keys, "coefficients", "moves")
-    sized.unpersist()
-    used = F.col("rows") - d - p
-    return chosen.drop("moves").withColumn("variance", F.try_divide(F.col("sse"), used))
+    fitted = sized.where(F.col("n") <= chunk).select(*keys, "pos", "value").groupBy(*keys).applyInPandas(whole, f"{head}, {_ARIMA_FITTED}")
+    if _longest(sized) <= chunk:
+        return fitted
+    return fitted.unionByName(_arima_scanned(sized.where(F.col("n") > chunk), keys, order, chunk, coefficients))
 
 
 def _arima_forecast(row, order, horizon, alpha):
@@ -427,7 +605,7 @@ def _arima_forecast(row, order, horizon, alpha):
     shift = theta[-1] if d == 0 else 0.0
     full = _difference_polynomial(ar, d)
     past = list(np.asarray(row["tail"], float) - shift)
-    shocks = list(np.asarray(row["residuals"], float)[::-1])
+    shocks = list(np.asarray(row["residuals"], float)[::-1])  # the latest last
     mean, psi = [], [1.0]
     for h in range(1, horizon + 1):
         value = sum(a * past[-i] for i, a in enumerate(full, 1))
@@ -512,30 +690,61 @@ class Arima(_OwnPast):
         return _arima_forecast(state, self.order, horizon, self.alpha)
 
 
-def grid_forecasts(series: DataFrame, keys, settings: list[dict], name: str, test_size: float = 0.2) -> DataFrame:
-    """Best setting per series by mean squared error on its last rows.
+def _setting_error(values: np.ndarray, cut: int, setting: dict, name: str) -> float | None:
+    """Mean squared error of the forecasts for ``values[cut:]`` made from those before; None if they are too few."""
+    if name == "arima":
+        order = tuple(setting["order"])
+        if cut < _arima_need(order):
+            return None
+        table = _arima_forecast(_arima_fit(values[:cut], order), order, len(values) - cut, 0.05)
+    else:
+        trend, seasonal, period = setting.get("trend", "add"), setting.get("seasonal", "add"), setting.get("seasonal_periods", 12)
+        if cut < (2 * period if seasonal else 3):
+            return None
+        start = {"alpha": 0.5, "beta": 0.5, "gamma": 0.5, "radius": 0.49}
+        table = _hw_forecast(_hw_fit(values[:cut], trend, seasonal, period, start, LATTICE_ROUNDS), trend, seasonal, period, len(values) - cut, 0.05)
+    error = float(np.mean((values[cut:] - table["predicted"].to_numpy()) ** 2))
+    return error if np.isfinite(error) else None
+
 
-    Each setting is one job over all series; the winner per series is an aggregate.
+def grid_forecasts(series: DataFrame, keys, settings: list[dict], name: str, test_size: float = 0.2, chunk: int = CHUNK) -> DataFrame:
+    """Best setting per series by mean squared error on its last rows (M11), and that error.
+
+    The setting is a further key: one job fits all series of up to ``chunk`` values with all settings. Longer series, and
+    multiplicative parts, take a fit of their own per setting. A setting whose fit is impossible is left out.
     """
     keys = list(keys)
-    sized = with_size(series, keys)
-    cut = (F.col("n") * (1 - test_size)).cast("bigint")
-    sized = sized.withColumn("_cut", cut)
-    train = sized.where(F.col("pos") < F.col("_cut")).withColumn("n", F.col("_cut"))
-    test = sized.where(F.col("pos") >= F.col("_cut"))
-    horizon = int(test.agg(F.max(F.col("pos") - F.col("_cut") + 1)).first()[0])
-    scored = []
-    for s in settings:
+    sized = with_size(series, keys).withColumn("_cut", (F.col("n") * F.lit(1 - test_size)).cast("bigint"))
+    together = [i for i, s in enumerate(settings) if "mul" not in (s.get("trend"), s.get("seasonal"))]
+    in_memory = F.col("n") <= chunk
+    head = _key_schema(sized, keys)
+
+    def error(frame: pd.DataFrame) -> pd.DataFrame:
+        values = frame.sort_values("pos")["value"].to_numpy(float)
+        at = int(frame["at"].iloc[0])
+        mse = _setting_error(values, int(frame["_cut"].iloc[0]), settings[at], name)
+        return pd.DataFrame([{**{k: frame[k].iloc[0] for k in keys}, "mse": mse, "setting": str(settings[at])}], columns=[*keys, "mse", "setting"]).astype({"mse": float})
+
+    spread = sized.where(in_memory).withColumn("at", F.explode(F.array(*map(F.lit, together)) if together else F.array().cast("array<int>")))
+    table = spread.select(*keys, "at", "_cut", "pos", "value").groupBy(*keys, "at").applyInPandas(error, f"{head}, mse double, setting string")
+    longest = _longest(sized)
+    for i, s in enumerate(settings):
+        own = sized.where(~in_memory) if i in together else sized
+        if i in together and longest <= chunk:
+            continue
+        train = own.where(F.col("pos") < F.col("_cut")).withColumn("n", F.col("_cut"))
+        test = own.where(F.col("pos") >= F.col("_cut"))
+        horizon = int(test.agg(F.max(F.col("pos") - F.col("_cut") + 1)).first()[0] or 0)
+        if not horizon:
+            continue
         if name == "arima":
-            table = forecast_arima(fit_arima(train, keys, s["order"]), keys, s["order"], horizon)
+            steps = forecast_arima(fit_arima(train, keys, s["order"], chunk), keys, s["order"], horizon)
         else:
-            table = forecast_holt_winters(fit_holt_winters(train, keys, **s), keys, horizon, **s)
-        joined = test.withColumn("h", (F.col("pos") - F.col("_cut") + 1).cast("int")).join(table, [*keys, "h"])
+            steps = forecast_holt_winters(fit_holt_winters(train, keys, **s, chunk=chunk), keys, horizon, **s)
+        joined = test.withColumn("h", (F.col("pos") - F.col("_cut") + 1).cast("int")).join(steps, [*keys, "h"])
         mse = F.avg((F.col("value") - F.col("predicted")) * (F.col("value") - F.col("predicted")))
-        scored.append(joined.groupBy(*keys).agg(mse.alias("mse")).withColumn("setting", F.lit(str(s))))
-    table = scored[0]
-    for other in scored[1:]:
-        table = table.unionByName(other)
+        table = table.unionByName(joined.groupBy(*keys).agg(mse.alias("mse")).withColumn("setting", F.lit(str(s))))
+    table = table.where(F.col("mse").isNotNull() & ~F.isnan("mse"))
     return table.groupBy(*keys).agg(F.min_by("setting", "mse").alias("setting"), F.min("mse").alias("mse"))
 
 

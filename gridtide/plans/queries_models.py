@@ -211,6 +211,85 @@ def arima_differenced_ar(spark, sf_dir):
     return out.withColumns({c: r(F.col(c), 3) for c in ("predicted", "predicted_lower", "predicted_upper")})
 
 
+HW_GIVEN = (0.3, 0.05, 0.2)
+
+
+@query(
+    "holt_winters_given",
+    f"""WITH RECURSIVE {HOURLY_KIND_SQL},
+    o AS (SELECT series_id, avg(value) FILTER (pos < 24) AS level, (avg(value) FILTER (pos >= 24) - avg(value) FILTER (pos < 24)) / 24 AS slope,
+            list(value ORDER BY pos) FILTER (pos < 24) AS first FROM hk WHERE pos < 48 GROUP BY series_id),
+    v AS (SELECT series_id, list(value ORDER BY pos) AS y FROM hk GROUP BY series_id),
+    run AS (
+      SELECT series_id, 0 AS i, level, slope, list_transform(first, lambda x: x - level) AS season, CAST(0 AS DOUBLE) AS sse, y FROM o JOIN v USING (series_id)
+      UNION ALL
+      SELECT series_id, i + 1, 0.3 * (y[i + 1] - season[1]) + 0.7 * (level + slope),
+        0.05 * (0.3 * (y[i + 1] - season[1]) + 0.7 * (level + slope) - level) + 0.95 * slope,
+        list_append(season[2:], 0.2 * (y[i + 1] - level - slope) + 0.8 * season[1]), sse + (y[i + 1] - level - slope - season[1]) * (y[i + 1] - level - slope - season[1]), y
+      FROM run WHERE i < len(y)),
+    e AS (SELECT * FROM run WHERE i = len(y)), h AS (SELECT CAST(h AS INTEGER) AS h FROM generate_series(1, 48) g(h)),
+    f AS (SELECT series_id, h, level + h * slope + season[(h - 1) % 24 + 1] AS p, sse, i,
+            1 + coalesce(list_sum([pow(0.3 * (1 + j * 0.05) + CASE WHEN j % 24 = 0 THEN 0.2 ELSE 0 END, 2) for j in range(1, h)]), 0) AS growth FROM e, h)
+    SELECT series_id, h, round(sse / i, 3) + 0.0 AS mse, round(p, 3) + 0.0 AS predicted,
+      round(p - 1.959963984540054 * sqrt(sse / (i - 3) * growth), 3) + 0.0 AS predicted_lower, round(p + 1.959963984540054 * sqrt(sse / (i - 3) * growth), 3) + 0.0 AS predicted_upper FROM f""",
+)
+def holt_winters_given(spark, sf_dir):
+    """Forecasts with given smoothing parameters, in chunks of ten days."""
+    fitted = U.fit_holt_winters(hourly_by_kind(spark, sf_dir), KEYS, "add", "add", 24, chunk=240, parameters=HW_GIVEN)
+    out = U.forecast_holt_winters(fitted, KEYS, 48, "add", "add", 24).join(fitted.select(*KEYS, (F.col("sse") / F.col("rows")).alias("mse")), KEYS)
+    return out.withColumns({c: r(F.col(c), 3) for c in ("mse", "predicted", "predicted_lower", "predicted_upper")})
+
+
+@query(
+    "arima_given",
+    f"""WITH RECURSIVE {HOURLY_KIND_SQL},
+    v AS (SELECT series_id, list(value ORDER BY pos) AS y FROM hk GROUP BY series_id),
+    m(model, phi, theta, first) AS (VALUES ('011', 0.0::DOUBLE, -0.6::DOUBLE, 1), ('111', 0.25::DOUBLE, -0.7::DOUBLE, 2)),
+    run AS (
+      SELECT series_id, model, phi, theta, first AS i, first, CAST(0 AS DOUBLE) AS e, CAST(0 AS DOUBLE) AS sse, y FROM v, m
+      UNION ALL
+      SELECT series_id, model, phi, theta, i + 1, first, y[i + 1] - y[i] - phi * coalesce(y[i] - y[i - 1], 0) - theta * e,
+        sse + pow(y[i + 1] - y[i] - phi * coalesce(y[i] - y[i - 1], 0) - theta * e, 2), y
+      FROM run WHERE i < len(y)),
+    last AS (SELECT *, sse / (i - first) AS s2, y[i] AS y0, y[i] - y[i - 1] AS w0 FROM run WHERE i = len(y)), h AS (SELECT CAST(h AS INTEGER) AS h FROM generate_series(1, 24) g(h)),
+    f AS (SELECT series_id, model, h, s2, y0 + list_sum([pow(phi, j) * (phi * w0 + theta * e) for j in range(0, h)]) AS p,
+            list_sum([pow(CASE WHEN j = 0 THEN 1 ELSE 1 + (phi + theta) * list_sum([pow(phi, i) for i in range(0, j)]) END, 2) for j in range(0, h)]) AS growth FROM last, h)
+    SELECT series_id, model, h, round(s2, 3) + 0.0 AS variance, round(p, 3) + 0.0 AS predicted, round(p - 1.959963984540054 * sqrt(s2 * growth), 3) + 0.0 AS predicted_lower,
+      round(p + 1.959963984540054 * sqrt(s2 * growth), 3) + 0.0 AS predicted_upper FROM f""",
+)
+def arima_given(spark, sf_dir):
+    """Forecasts with given coefficients of a moving average, alone and beside an autoregressive part, in chunks of ten days."""
+    out = []
+    for name, order, given in (("011", (0, 1, 1), (-0.6,)), ("111", (1, 1, 1), (0.25, -0.7))):
+        fitted = U.fit_arima(hourly_by_kind(spark, sf_dir), KEYS, order, chunk=240, coefficients=given)
+        steps = U.forecast_arima(fitted, KEYS, order, 24).join(fitted.select(*KEYS, "variance"), KEYS)
+        out.append(steps.withColumn("model", F.lit(name)))
+    both = out[0].unionByName(out[1])
+    return both.withColumns({c: r(F.col(c), 3) for c in ("variance", "predicted", "predicted_lower", "predicted_upper")})
+
+
+@query(
+    "arima_moving_average",
+    f"""WITH RECURSIVE {HOURLY_KIND_SQL},
+    v AS (SELECT series_id, list(value ORDER BY pos) AS y FROM hk GROUP BY series_id),
+    """ + ", ".join(
+        f"""g{n} AS (SELECT series_id, y, list_transform(range(0, 41), lambda j: {'-0.9999 + 0.049995 * j' if n == 0 else f'least(greatest(best - {width} + {width} / 20 * j, -0.9999), 0.9999)'}) AS th FROM {'v' if n == 0 else f'v JOIN b{n - 1} USING (series_id)'}),
+    run{n} AS (
+      SELECT series_id, y, th, 1 AS i, list_transform(th, lambda x: CAST(0 AS DOUBLE)) AS e, list_transform(th, lambda x: CAST(0 AS DOUBLE)) AS sse FROM g{n}
+      UNION ALL
+      SELECT series_id, y, th, i + 1, now, list_transform(range(1, 42), lambda j: sse[j] + now[j] * now[j])
+      FROM (SELECT *, list_transform(range(1, 42), lambda j: y[i + 1] - y[i] - th[j] * e[j]) AS now FROM run{n} WHERE i < len(y))),
+    b{n} AS (SELECT series_id, th[list_position(sse, list_min(sse))] AS best, list_min(sse) AS sse, len(y) - 1 AS used FROM run{n} WHERE i = len(y))"""
+        for n, width in enumerate((1.0, 0.05, 0.0025, 0.000125, 0.00001))
+    ) + """
+    SELECT series_id, round(best, 4) + 0.0 AS theta, round(sse / used, 4) + 0.0 AS variance, true AS flat FROM b4""",
+)
+def arima_moving_average(spark, sf_dir):
+    """The least squares coefficient of a first-order moving average on the first differences."""
+    fitted = U.fit_arima(hourly_by_kind(spark, sf_dir), KEYS, (0, 1, 1))
+    return fitted.select(*KEYS, r(F.get("coefficients", F.lit(0)), 4).alias("theta"), r(F.col("variance"), 4).alias("variance"), (F.col("gradient") < 1e-4).alias("flat"))
+
+
 @query("arima_grid")
 def arima_grid(spark, sf_dir):
     settings = [{"order": o} for o in ((1, 0, 0), (0, 1, 1), (1, 1, 1))]

@@ -176,6 +176,94 @@ def test_arima(spark):
         assert cut[s].coefficients == pytest.approx(whole[s].coefficients, abs=1e-6)
 
 
+def residuals(y, theta, order):
+    """The recursion of conditional least squares, step by step."""
+    p, d, q = order
+    w, c = np.diff(y, d) if d else y, theta[-1] if d == 0 else 0.0
+    e = np.zeros(len(w))
+    for t in range(p, len(w)):
+        e[t] = w[t] - c - sum(theta[i] * (w[t - 1 - i] - c) for i in range(p)) - sum(theta[p + j] * e[t - 1 - j] for j in range(min(q, t - p)))
+    return e
+
+
+@pytest.mark.parametrize("order", [(0, 1, 1), (1, 1, 1), (2, 0, 2), (2, 1, 0), (0, 1, 3)])
+def test_arima_is_a_least_squares_solution(spark, order):
+    """Whole and in chunks: the loss is that of the plain recursion, no step aside lowers it, forecasts agree."""
+    df, _ = walks(spark)
+    y = df.where("s = 'arima'").orderBy("pos").toPandas()["value"].to_numpy()
+    df = df.where("s = 'arima'")
+    whole, cut = (U.fit_arima(df, ["s"], order, chunk=c) for c in (10_000, 130))
+    a, b = whole.first(), cut.first()
+    assert b.coefficients == pytest.approx(a.coefficients, abs=1e-6) and b.rows == a.rows and b.tail == pytest.approx(a.tail)
+    theta = np.array(a.coefficients)
+    e = residuals(y, theta, order)
+    assert a.sse == pytest.approx(e @ e, rel=1e-9) and a.gradient < 1e-5 and b.gradient < 1e-5
+    assert a.residuals == pytest.approx(e[::-1][: order[2]])
+    for i in range(len(theta)):
+        for step in (-1e-3, 1e-3):
+            aside = residuals(y, theta + step * np.eye(len(theta))[i], order)
+            assert aside @ aside > a.sse
+    steps = [U.forecast_arima(f, ["s"], order, 5).orderBy("h").toPandas()["predicted_upper"].to_numpy() for f in (whole, cut)]
+    np.testing.assert_allclose(steps[0], steps[1], rtol=1e-6)
+
+
+def test_given_coefficients(spark):
+    df, _ = walks(spark)
+    df = df.where("s = 'arima'")
+    y = df.orderBy("pos").toPandas()["value"].to_numpy()
+    for chunk in (10_000, 100):
+        one = U.fit_arima(df, ["s"], (1, 1, 1), chunk, coefficients=(0.5, 0.25)).first()
+        e = residuals(y, np.array([0.5, 0.25]), (1, 1, 1))
+        assert one.coefficients == [0.5, 0.25] and one.sse == pytest.approx(e @ e) and one.residuals == pytest.approx([e[-1]])
+    with pytest.raises(ValueError):
+        U.fit_arima(df, ["s"], (1, 1, 1), coefficients=(0.5,))
+
+
+@pytest.mark.parametrize("trend, seasonal, period", [("add", "add", 12), (None, "add", 7), ("add", None, 12), (None, None, 2)])
+def test_smoothing_in_chunks_equals_the_recursion(spark, trend, seasonal, period):
+    df, season = walks(spark)
+    df = df.where("s = 'season'")
+    a, b, g = 0.3, 0.2, 0.4
+    cycle = period if seasonal else 10
+    level, slope = season[:cycle].mean(), (season[cycle : 2 * cycle].mean() - season[:cycle].mean()) / cycle if trend else 0.0
+    states, sse = list(season[:cycle] - level) if seasonal else [0.0], 0.0
+    for t, y in enumerate(season):
+        now, base = states[t % len(states)], level + slope
+        sse += (y - base - now) ** 2
+        new = a * (y - now) + (1 - a) * base
+        slope = b * (new - level) + (1 - b) * slope if trend else 0.0
+        if seasonal:
+            states[t % len(states)] = g * (y - base) + (1 - g) * now
+        level = new
+    for chunk in (10_000, 50, 24):
+        got = U.fit_holt_winters(df, ["s"], trend, seasonal, period, chunk=chunk, parameters=(a, b, g)).first()
+        assert (got.sse, got.level, got.slope, got.rows) == pytest.approx((sse, level, slope, 600), rel=1e-9)
+        assert got.season == pytest.approx(states)
+    searched = [U.fit_holt_winters(df, ["s"], trend, seasonal, period, chunk=c).first() for c in (10_000, 100)]
+    assert searched[0][1:4] == pytest.approx(searched[1][1:4]) and searched[0].sse == pytest.approx(searched[1].sse) and searched[0].sse <= sse
+
+
+def test_multiplicative_season(spark):
+    t = np.arange(240)
+    y = (20 + 0.1 * t) * (1 + 0.5 * np.sin(2 * np.pi * t / 12))
+    df = spark.createDataFrame(pd.DataFrame({"s": "m", "pos": t, "value": y}))
+    whole, cut = (U.fit_holt_winters(df, ["s"], "add", "mul", 12, chunk=c) for c in (1000, 60))
+    assert whole.first().sse == pytest.approx(cut.first().sse)
+    fc = U.forecast_holt_winters(whole, ["s"], 12, "add", "mul", 12).orderBy("h").toPandas().predicted
+    h = np.arange(240, 252)
+    assert np.abs(fc - (20 + 0.1 * h) * (1 + 0.5 * np.sin(2 * np.pi * h / 12))).max() < 1
+
+
+def test_grid_is_the_same_in_memory_and_by_chunks(spark):
+    df, _ = walks(spark)
+    settings = [{"order": o} for o in ((1, 0, 0), (0, 1, 1), (1, 1, 1))]
+    a, b = (U.grid_forecasts(df, ["s"], settings, "arima", 0.1, chunk=c).orderBy("s").collect() for c in (1000, 200))
+    assert [r.setting for r in a] == [r.setting for r in b] and [r.mse for r in a] == pytest.approx([r.mse for r in b], rel=1e-4)
+    smooth = [{"trend": t, "seasonal": s, "seasonal_periods": 12} for t, s in (("add", "add"), (None, None), (None, "mul"))]
+    best = {r.s: r.setting for r in U.grid_forecasts(df, ["s"], smooth, "holt-winters", 0.1).collect()}
+    assert "'add', 'seasonal': 'add'" in best["season"]
+
+
 def test_random_walk_interval(spark):
     df, _ = walks(spark)
     fitted = U.fit_arima(df, ["s"], (0, 1, 0))
