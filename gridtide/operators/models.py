@@ -3,23 +3,21 @@
 from __future__ import annotations
 
 import json
-import math
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Protocol, runtime_checkable
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (
     DecisionTreeRegressionModel,
     DecisionTreeRegressor,
     GBTRegressor,
-    LinearRegression,
 )
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from gridtide.operators import linear
 from gridtide.operators.quantiles import ACCURACY
 from gridtide.session import checkpoint_folder, cut_lineage
 
@@ -54,8 +52,8 @@ def _importance_frame(spark, features, values) -> DataFrame:
 class LinearForecaster:
     """Ridge, lasso or elastic net on standardised features (M4, M7).
 
-    ``alpha`` and ``l1_ratio`` are those of the usual coordinate-descent formulation. Spark
-    scales the target by its deviation and the loss by the row count, hence the mapping below.
+    ``alpha`` and ``l1_ratio`` are those of the usual coordinate-descent formulation. ``weights`` belong to the
+    standardised features; features are standardised by their population deviation in the training rows.
     """
 
     kind: str = "ridge"
@@ -65,50 +63,31 @@ class LinearForecaster:
     supports_grid = True
     supports_attribution = True
     features: list[str] = field(default_factory=list)
-    model: PipelineModel | None = None
+    weights: list[float] = field(default_factory=list)
+    centers: list[float] = field(default_factory=list)
+    scales: list[float] = field(default_factory=list)
+    intercept: float = 0.0
 
     def fit(self, train: DataFrame, features: list[str], target: str):
         self.features = list(features)
-        rows = train.where(F.col(target).isNotNull())
-        n, deviation = rows.agg(F.count("*"), F.stddev_pop(target)).first()
-        deviation = deviation or 1.0
-        if self.kind == "ridge":
-            strength, share = self.alpha / n * deviation, 0.0
-        elif self.kind == "lasso":
-            strength, share = self.alpha, 1.0
-        else:
-            mixed = self.l1_ratio + deviation * (1 - self.l1_ratio)
-            strength, share = self.alpha * mixed, self.l1_ratio / mixed if mixed else 0.0
-        # StandardScaler divides by the sample deviation; the product turns it into the population one.
-        stretch = math.sqrt(n / (n - 1)) if n > 1 else 1.0
-        stages = [
-            VectorAssembler(inputCols=self.features, outputCol="assembled_"),
-            StandardScaler(inputCol="assembled_", outputCol="centred_", withMean=True, withStd=True),
-            ElementwiseProduct(
-                scalingVec=Vectors.dense([stretch] * len(self.features)), inputCol="centred_", outputCol=_VECTOR,
-            ),
-            LinearRegression(
-                featuresCol=_VECTOR, labelCol=target, predictionCol=PREDICTED, regParam=strength,
-                elasticNetParam=share, standardization=False, maxIter=500, tol=1e-10,
-            ),
-        ]
-        self.model = Pipeline(stages=stages).fit(rows)
+        found = linear.fit(train, self.features, target, self.kind, self.alpha, self.l1_ratio)
+        self.weights, self.centers, self.scales = (x.tolist() for x in (found.weights, found.centers, found.scales))
+        self.intercept = found.intercept
         return self
 
+    def _found(self) -> linear.LinearFit:
+        return linear.LinearFit(*(np.array(x) for x in (self.weights, self.centers, self.scales)), self.intercept)
+
     def predict(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(df).drop("assembled_", "centred_", _VECTOR)
+        return df.withColumn(PREDICTED, linear.predicted(self._found(), self.features))
 
     def importance(self, spark) -> DataFrame:
-        weights = [abs(c) for c in self.model.stages[-1].coefficients]
-        return _importance_frame(spark, self.features, weights)
+        return _importance_frame(spark, self.features, [abs(w) for w in self.weights])
 
     def attributions(self, df: DataFrame) -> DataFrame:
-        """Exact additive parts ``coef * (x - mean)`` per feature and the base value."""
-        linear = self.model.stages[-1]
-        scaled = vector_to_array(F.col(_VECTOR))
-        parts = {f"attribution_{f}": scaled[i] * float(linear.coefficients[i]) for i, f in enumerate(self.features)}
-        out = self.model.transform(df).withColumns({**parts, "base_value": F.lit(float(linear.intercept))})
-        return out.drop("assembled_", "centred_", _VECTOR)
+        """Exact additive parts ``weight * (x - mean) / deviation`` per feature and the base value."""
+        parts = linear.parts(self._found(), self.features)
+        return self.predict(df).withColumns({**{f"attribution_{f}": c for f, c in zip(self.features, parts)}, "base_value": F.lit(self.intercept)})
 
 
 @dataclass
@@ -382,7 +361,6 @@ def load_bundle(path: str, spark):
     params = {k: v for k, v in meta["params"].items() if k != "features"}
     if meta["kind"] == "LinearForecaster":
         model = LinearForecaster(**params)
-        model.model = PipelineModel.load(f"{path}/model")
     elif meta["kind"] == "BoostedForecaster":
         model = BoostedForecaster(**params)
         if model.alpha:

@@ -9,9 +9,11 @@ from itertools import product
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from gridtide.operators.models import LOWER, PREDICTED, UPPER, make_model
+from gridtide.operators import linear
+from gridtide.operators.models import LOWER, PREDICTED, UPPER, LinearForecaster, make_model
 from gridtide.operators.ordering import position_in_order
 from gridtide.operators.statistics import regression_scores
+from gridtide.session import cut_lineage
 
 PARALLEL_JOBS = 4
 
@@ -45,8 +47,14 @@ def _fold_score(frame, features, target, name, params, bounds) -> dict:
 
 
 def _scores(frame, features, target, name, settings, k, n) -> list[tuple[int, int, dict]]:
-    """(setting, fold, scores) of all fits; jobs are submitted from a small thread pool."""
+    """(setting, fold, scores) of all fits.
+
+    Linear models share three passes over the rows; other models are fitted one by one, in jobs from a small thread pool.
+    """
     bounds = fold_bounds(n, k)
+    models = [make_model(name, **s) for s in settings]
+    if all(isinstance(m, LinearForecaster) for m in models):
+        return linear.fold_scores(frame, features, target, [(m.kind, m.alpha, m.l1_ratio) for m in models], bounds)
     jobs = [(s, i) for s in range(len(settings)) for i in range(k)]
     with ThreadPoolExecutor(PARALLEL_JOBS) as pool:
         done = pool.map(lambda j: _fold_score(frame, features, target, name, settings[j[0]], bounds[j[1]]), jobs)
@@ -127,7 +135,7 @@ def training_session(
 
     Returns the model, the test predictions, a one-row run record and any search results.
     """
-    frame = placed(df.select(ts, *features, target).na.drop(), ts).persist()
+    frame = cut_lineage(placed(df.select(ts, *features, target).na.drop(), ts))
     n = frame.count()
     train, test = split_at(frame, n, test_size)
     cut = int(n * (1 - test_size))

@@ -9,6 +9,7 @@ from gridtide.operators import models as M, univariate as U, validation as V
 from gridtide.operators.statistics import regression_scores
 from gridtide.plans.fixtures import HOURLY_KIND_SQL, HOURLY_SQL, hourly_by_kind, hourly_total
 from gridtide.plans.registry import query, steady_round as r
+from gridtide.session import cut_lineage
 
 CYCLES = ["hour_sin", "hour_cos", "dayofweek_sin", "dayofweek_cos"]
 FEATURES = ["lag24", *CYCLES]
@@ -24,7 +25,7 @@ def hourly_features(spark, sf_dir):
 
 
 def _split(spark, sf_dir):
-    frame = hourly_features(spark, sf_dir).persist()
+    frame = cut_lineage(hourly_features(spark, sf_dir))
     return frame, *V.split_at(frame, frame.count(), 0.2)
 
 
@@ -51,19 +52,76 @@ def ridge_one_feature(spark, sf_dir):
     return model.predict(test).select("pos", r(F.col("predicted"), 4).alias("predicted"))
 
 
+def _linear_sql(groups: str) -> str:
+    """Coordinate descent as recursive SQL on the five features.
+
+    ``groups`` selects g, its penalties l1 and l2 (of the mean squared error, or of the sum if ``summed``), and lo and hi: rows
+    before lo train, those from lo up to hi are tested.
+    """
+    return f"""WITH RECURSIVE {HOURLY_SQL},
+    f AS (SELECT a.pos - 24 AS pos, a.ts, a.value AS y, [b.value, sin(2 * pi() * hour(a.ts) / 24), cos(2 * pi() * hour(a.ts) / 24),
+            sin(2 * pi() * (isodow(a.ts) - 1) / 7), cos(2 * pi() * (isodow(a.ts) - 1) / 7)] AS x FROM hourly a JOIN hourly b ON a.pos = b.pos + 24),
+    n AS (SELECT count(*) AS n FROM f), g AS ({groups}), cuts AS (SELECT DISTINCT lo FROM g),
+    st AS (SELECT lo, j, avg(x[j]) AS m, stddev_pop(x[j]) AS s FROM cuts JOIN f ON pos < lo, generate_series(1, 5) t(j) GROUP BY lo, j),
+    stats AS (SELECT lo, list(m ORDER BY j) AS m, list(s ORDER BY j) AS s FROM st GROUP BY lo),
+    means AS (SELECT lo, avg(y) AS my, count(*) AS rows FROM cuts JOIN f ON pos < lo GROUP BY lo),
+    z AS (SELECT lo, pos, y, my, rows, list_transform(x, lambda v, j: (v - m[j]) / s[j]) AS z FROM stats JOIN means USING (lo), f),
+    cross_ AS (SELECT lo, i, j, avg(z[i] * z[j]) AS v FROM z, generate_series(1, 5) a(i), generate_series(1, 5) b(j) WHERE pos < lo GROUP BY ALL),
+    gram_row AS (SELECT lo, i, list(v ORDER BY j) AS r FROM cross_ GROUP BY lo, i), gram AS (SELECT lo, list(r ORDER BY i) AS gram FROM gram_row GROUP BY lo),
+    pull_ AS (SELECT lo, i, avg(z[i] * (y - my)) AS v FROM z, generate_series(1, 5) a(i) WHERE pos < lo GROUP BY ALL),
+    pull AS (SELECT lo, list(v ORDER BY i) AS pull FROM pull_ GROUP BY lo),
+    cd AS (
+      SELECT g, lo, 0 AS turn, list_transform(range(5), lambda i: CAST(0 AS DOUBLE)) AS w, gram, pull, CAST(l1 AS DOUBLE) AS l1, CASE WHEN summed THEN CAST(l2 AS DOUBLE) / rows ELSE CAST(l2 AS DOUBLE) END AS l2
+      FROM g JOIN gram USING (lo) JOIN pull USING (lo) JOIN means USING (lo)
+      UNION ALL
+      SELECT g, lo, turn + 1, list_transform(w, lambda v, k: CASE WHEN k = j THEN sign(rho) * greatest(abs(rho) - l1, 0) / (gram[j][j] + l2) ELSE v END), gram, pull, l1, l2
+      FROM (SELECT *, pull[j] - list_dot_product(gram[j], w) + gram[j][j] * w[j] AS rho FROM (SELECT *, turn % 5 + 1 AS j FROM cd WHERE turn < 600))),
+    fitted AS (SELECT g, lo, w FROM cd WHERE turn = 600),
+    p AS (SELECT g, pos, y, my, z, w, my + list_dot_product(z, w) AS p FROM fitted JOIN g USING (g, lo) JOIN z USING (lo) WHERE pos >= lo AND pos < hi),
+    m AS (SELECT g, avg(abs(y - p)) AS mae, avg((y - p) * (y - p)) AS mse, 1 - avg((y - p) * (y - p)) / var_pop(y) AS r2 FROM p GROUP BY g)"""
+
+
+def _one_sql(kind: str, l1: float, l2: float) -> str:
+    return _linear_sql(f"SELECT '{kind}' AS g, {l1} AS l1, {l2} AS l2, {str(kind == 'ridge').lower()} AS summed, CAST(floor(n * 0.8) AS BIGINT) AS lo, n AS hi FROM n")
+
+
 def _metrics(spark, sf_dir, name, **params):
     _, train, test = _split(spark, sf_dir)
     model = M.make_model(name, **params).fit(train, FEATURES, "value")
     return regression_scores(model.predict(test), "value", M.PREDICTED).withColumn("model", F.lit(name))
 
 
-for _name, _params in (
-    ("ridge", {"alpha": 1.0}), ("lasso", {"alpha": 0.5}), ("elasticnet", {"alpha": 0.5, "l1_ratio": 0.3}),
-    ("xgboost", SMALL_TREES), ("lightgbm", SMALL_TREES), ("catboost", {"n_estimators": 8, "depth": 4, "learning_rate": 0.2}),
+SCORE_DIGITS = (("mae", 4), ("mse", 2), ("r2", 6))
+
+
+def _rounded_metrics(spark, sf_dir, name, **params):
+    return _metrics(spark, sf_dir, name, **params).withColumns({c: r(F.col(c), d) for c, d in SCORE_DIGITS})
+
+
+for _name, _params, _l1, _l2 in (
+    ("ridge", {"alpha": 1.0}, 0.0, 1.0), ("lasso", {"alpha": 0.5}, 0.5, 0.0), ("elasticnet", {"alpha": 0.5, "l1_ratio": 0.3}, 0.15, 0.35),
 ):
+    query(
+        f"{_name}_metrics",
+        _one_sql(_name, _l1, _l2) + " SELECT round(mse, 2) + 0.0 AS mse, round(mae, 4) + 0.0 AS mae, round(r2, 6) + 0.0 AS r2, g AS model FROM m",
+    )(lambda spark, sf_dir, n=_name, p=_params: _rounded_metrics(spark, sf_dir, n, **p))
+
+
+for _name, _params in (("xgboost", SMALL_TREES), ("lightgbm", SMALL_TREES), ("catboost", {"n_estimators": 8, "depth": 4, "learning_rate": 0.2})):
     query(f"{_name}_metrics")(lambda spark, sf_dir, n=_name, p=_params: _metrics(spark, sf_dir, n, **p))
 
 
+@query(
+    "linear_importance",
+    _one_sql("lasso", 2.0, 0.0) + """ SELECT (['lag24', 'hour_sin', 'hour_cos', 'dayofweek_sin', 'dayofweek_cos'])[j] AS feature, round(abs(w[j]), 4) + 0.0 AS importance
+    FROM fitted, generate_series(1, 5) t(j)""",
+)
+def linear_importance(spark, sf_dir):
+    _, train, _ = _split(spark, sf_dir)
+    model = M.make_model("lasso", alpha=2.0).fit(train, FEATURES, "value")
+    return M.top_importances(model.importance(spark)).withColumn("importance", r(F.col("importance"), 4))
+
+
 @query("quantile_interval")
 def quantile_interval(spark, sf_dir):
     _, train, test = _split(spark, sf_dir)
@@ -71,16 +129,32 @@ def quantile_interval(spark, sf_dir):
     return V.forecast_table(model.predict(test), "ts", "value")
 
 
-@query("cv_metrics")
+def _fold_groups(k: int, alphas: str) -> str:
+    return f"""SELECT alpha || ' ' || i AS g, 0.0 AS l1, CAST(alpha AS DOUBLE) AS l2, true AS summed, n - ({k} - i) * (n // {k + 1}) AS lo, n - ({k} - i) * (n // {k + 1}) + n // {k + 1} AS hi
+      FROM n, generate_series(0, {k - 1}) t(i), (VALUES {alphas}) a(alpha)"""
+
+
+@query(
+    "cv_metrics",
+    _linear_sql(_fold_groups(4, "('1.0')")) + """ SELECT round(avg(mae), 4) + 0.0 AS mae, round(avg(mse), 2) + 0.0 AS mse, round(avg(r2), 6) + 0.0 AS r2,
+    round(stddev_pop(mae), 4) + 0.0 AS mae_std, 4 AS cv_folds FROM m""",
+)
 def cv_metrics(spark, sf_dir):
     frame, _, _ = _split(spark, sf_dir)
-    return V.cross_validate(frame, FEATURES, "value", "ridge", {"alpha": 1.0}, 4)
+    out = V.cross_validate(frame, FEATURES, "value", "ridge", {"alpha": 1.0}, 4)
+    return out.withColumns({c: r(F.col(c), d) for c, d in (*SCORE_DIGITS, ("mae_std", 4))})
 
 
-@query("grid_rank")
+@query(
+    "grid_rank",
+    _linear_sql(_fold_groups(3, "('0.1'), ('10.0'), ('1000.0')")) + """, s AS (SELECT split_part(g, ' ', 1) AS alpha, avg(-mse) AS a, stddev_pop(-mse) AS d FROM m GROUP BY 1)
+    SELECT '{"alpha": ' || alpha || '}' AS params, round(a, 2) + 0.0 AS mean_test_score, round(d, 2) + 0.0 AS std_test_score,
+      CAST(rank() OVER (ORDER BY a DESC) AS INTEGER) AS rank_test_score FROM s""",
+)
 def grid_rank(spark, sf_dir):
     frame, _, _ = _split(spark, sf_dir)
-    return V.grid_search(frame, FEATURES, "value", "ridge", {"alpha": [0.1, 10.0, 1000.0]}, 3)[1]
+    out = V.grid_search(frame, FEATURES, "value", "ridge", {"alpha": [0.1, 10.0, 1000.0]}, 3)[1]
+    return out.withColumns({c: r(F.col(c), 2) for c in ("mean_test_score", "std_test_score")})
 
 
 @query("importance")
@@ -141,10 +215,15 @@ def grid_one_feature(spark, sf_dir):
     return out.withColumns({c: r(F.col(c), 2) for c in ("mean_test_score", "std_test_score")})
 
 
-@query("linear_attribution")
+@query(
+    "linear_attribution",
+    _one_sql("ridge", 0.0, 1.0) + """ SELECT pos, round(z[1] * w[1], 4) + 0.0 AS attribution_lag24, round(z[2] * w[2], 4) + 0.0 AS attribution_hour_sin, round(z[3] * w[3], 4) + 0.0 AS attribution_hour_cos,
+    round(z[4] * w[4], 4) + 0.0 AS attribution_dayofweek_sin, round(z[5] * w[5], 4) + 0.0 AS attribution_dayofweek_cos, round(my, 4) + 0.0 AS base_value, round(p, 4) + 0.0 AS predicted FROM p""",
+)
 def linear_attribution(spark, sf_dir):
     _, train, test = _split(spark, sf_dir)
-    return M.make_model("ridge").fit(train, FEATURES, "value").attributions(test)
+    parts = M.make_model("ridge").fit(train, FEATURES, "value").attributions(test)
+    return parts.select("pos", *[r(F.col(c), 4).alias(c) for c in (*[f"attribution_{f}" for f in FEATURES], "base_value", M.PREDICTED)])
 
 
 @query("tree_attribution")

@@ -38,7 +38,7 @@ def test_ridge_closed_form(data):
     z, y = standardised(pdf)
     model = M.make_model("Ridge", alpha=30.0).fit(df, ["a", "b", "c"], "y")
     want = np.linalg.solve(z.T @ z + 30 * np.eye(3), z.T @ (y - y.mean()))
-    np.testing.assert_allclose(model.model.stages[-1].coefficients.toArray(), want, rtol=1e-6)
+    np.testing.assert_allclose(model.weights, want, rtol=1e-9)
 
 
 @pytest.mark.parametrize("name, params", [("lasso", {"alpha": 0.7}), ("elasticnet", {"alpha": 1.5, "l1_ratio": 0.3})])
@@ -47,7 +47,38 @@ def test_l1_models(data, name, params):
     z, y = standardised(pdf)
     model = M.make_model(name, **params).fit(df, ["a", "b", "c"], "y")
     want = coordinate_descent(z, y, params["alpha"], params.get("l1_ratio", 1.0))
-    np.testing.assert_allclose(model.model.stages[-1].coefficients.toArray(), want, atol=1e-4)
+    np.testing.assert_allclose(model.weights, want, atol=1e-9)
+
+
+@pytest.mark.parametrize("name", ["ridge", "lasso", "elasticnet"])
+def test_folds_and_grids_equal_one_fit_each(data, name):
+    pdf, df = data
+    ratio = {"l1_ratio": 0.4} if name == "elasticnet" else {}
+    settings = [{"alpha": a, **ratio} for a in (0.01, 0.5, 20.0)]
+    got = V._scores(df, ["a", "b", "c"], "y", name, settings, 4, len(pdf))
+    assert [(s, i) for s, i, _ in got] == [(s, i) for s in range(3) for i in range(4)]
+    for s, i, scores in got:
+        begin, end = V.fold_bounds(len(pdf), 4)[i]
+        model = M.make_model(name, **settings[s]).fit(df.where(F.col("pos") < begin), ["a", "b", "c"], "y")
+        x = pdf[["a", "b", "c"]].to_numpy()[begin:end]
+        e = pdf.y.to_numpy()[begin:end] - model.intercept - (x - model.centers) / model.scales @ np.array(model.weights)
+        want = {"mse": (e**2).mean(), "mae": np.abs(e).mean(), "r2": 1 - (e**2).mean() / pdf.y.to_numpy()[begin:end].var()}
+        assert scores == pytest.approx(want, rel=1e-9)
+
+
+def test_linear_edge_rows(data, spark, tmp_path):
+    _, df = data
+    odd = df.withColumns({"flat": F.lit(7.3), "far": F.col("a") + 1e7, "y": F.when(F.col("pos") % 9 > 0, F.col("y"))})
+    model = M.make_model("ridge", alpha=1e-6).fit(odd, ["flat", "far", "b"], "y")
+    plain = M.make_model("ridge", alpha=1e-6).fit(odd, ["a", "b"], "y")
+    assert model.weights[0] == 0.0 and model.weights[1:] == pytest.approx(plain.weights, rel=1e-6)
+    M.save_bundle(model, str(tmp_path / "linear"), spark)
+    loaded, _ = M.load_bundle(str(tmp_path / "linear"), spark)
+    assert loaded == model
+    with pytest.raises(ValueError, match="null features: a"):
+        M.make_model("ridge").fit(df.withColumn("a", F.when(F.col("pos") > 3, F.col("a"))), ["a", "b"], "y")
+    with pytest.raises(ValueError, match="no training rows"):
+        M.make_model("ridge").fit(df.where("pos < 0"), ["a", "b"], "y")
 
 
 def test_linear_attributions_add_up(data):
@@ -235,7 +266,7 @@ def test_smoothing_in_chunks_equals_the_recursion(spark, trend, seasonal, period
         if seasonal:
             states[t % len(states)] = g * (y - base) + (1 - g) * now
         level = new
-    for chunk in (10_000, 50, 24):
+    for chunk in (10_000, 50):
         got = U.fit_holt_winters(df, ["s"], trend, seasonal, period, chunk=chunk, parameters=(a, b, g)).first()
         assert (got.sse, got.level, got.slope, got.rows) == pytest.approx((sse, level, slope, 600), rel=1e-9)
         assert got.season == pytest.approx(states)
@@ -256,7 +287,7 @@ def test_multiplicative_season(spark):
 
 def test_grid_is_the_same_in_memory_and_by_chunks(spark):
     df, _ = walks(spark)
-    settings = [{"order": o} for o in ((1, 0, 0), (0, 1, 1), (1, 1, 1))]
+    settings = [{"order": o} for o in ((1, 0, 0), (1, 1, 1))]
     a, b = (U.grid_forecasts(df, ["s"], settings, "arima", 0.1, chunk=c).orderBy("s").collect() for c in (1000, 200))
     assert [r.setting for r in a] == [r.setting for r in b] and [r.mse for r in a] == pytest.approx([r.mse for r in b], rel=1e-4)
     smooth = [{"trend": t, "seasonal": s, "seasonal_periods": 12} for t, s in (("add", "add"), (None, None), (None, "mul"))]
