@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridtide.operators import decomposition as D, models as M
 from gridtide.plans import forecast
 from gridtide.plans.fixtures import (
-    GENERATION_SQL, GRID_SQL, HOURLY_KIND_SQL, generation, grid, hourly_by_kind, rings, table,
+    GENERATION_SQL, GRID_SQL, HOURLY_KIND_SQL, KINDS, generation, grid, hourly_by_kind, rings, table,
 )
 from gridtide.plans.registry import query, steady_round as r
 from gridtide.plans.scratch import fresh_folder
@@ -45,19 +45,42 @@ def tsv_conversion(spark, sf_dir):
 
 @query(
     "concat_files",
-    """SELECT event_id, CASE WHEN event_type = 'click' THEN value END AS click, CASE WHEN event_type = 'view' THEN value END AS view
-    FROM events WHERE event_type IN ('click', 'view')""",
+    "SELECT event_id, " + ", ".join(f"CASE WHEN event_type = '{k}' THEN value END AS {k}" for k in KINDS) + " FROM events",
 )
 def concat_files(spark, sf_dir):
-    paths = []
-    for kind in ("click", "view"):
-        folder = fresh_folder(spark, kind)
+    """One folder of files per type, each with a header of its own."""
+    folder = fresh_folder(spark, "kinds")
+    for kind in KINDS:
         rows = table(spark, sf_dir, "events").where(F.col("event_type") == kind)
-        rows.select("event_id", F.col("value").alias(kind)).write.option("header", True).csv(folder, mode="overwrite")
-        paths.append(folder)
-    return tabular.concat_csv(
-        spark, paths, schemas=["event_id bigint, click double", "event_id bigint, view double"],
-    )
+        rows.select("event_id", F.col("value").alias(kind)).write.option("header", True).csv(f"{folder}/{kind}", mode="overwrite")
+    merged = tabular.concat_csv(spark, [f"{folder}/{kind}" for kind in KINDS])
+    return merged.select(F.col("event_id").cast("bigint").alias("event_id"), *[F.col(k).cast("double").alias(k) for k in KINDS])
+
+
+@query(
+    "combined_steps",
+    f"""WITH {GRID_SQL} SELECT variable, time, step_hours, latitude, longitude, value, CASE WHEN step_hours % 3 = 1 THEN level END AS level FROM grid""",
+)
+def combined_steps(spark, sf_dir):
+    """Files per forecast step, some without a level, put together and read back."""
+    folder = fresh_folder(spark, "steps")
+    whole = grid(spark, sf_dir)
+    for i in range(3):
+        part = whole.where(F.col("step_hours") % 3 == i)
+        (part if i == 1 else part.drop("level")).write.parquet(f"{folder}/step{i}")
+    return weather.combine_steps(spark, [f"{folder}/step{i}" for i in range(3)], f"{folder}/grid")
+
+
+@query(
+    "variable_files",
+    f"WITH {GRID_SQL} SELECT variable, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM grid GROUP BY 1",
+)
+def variable_files(spark, sf_dir):
+    """One folder of delimited text per variable, read back by its folder name."""
+    folder = fresh_folder(spark, "variables")
+    tabular.write_means(grid(spark, sf_dir), folder)
+    back = spark.read.option("header", True).csv(folder)
+    return back.groupBy("variable").agg(F.count("*").alias("n"), r(F.sum(F.col("value").cast("double")), 4).alias("total"))
 
 
 @query(

@@ -211,35 +211,39 @@ def hour_text(spark, sf_dir):
     return parsed.groupBy("h", "d").agg(F.count("*").alias("n"), F.count("flag").alias("active"))
 
 
-def _by_kind(spark, sf_dir, kind, skip):
-    events = table(spark, sf_dir, "events").where((F.col("event_type") == kind) & (F.hour("ts") != skip))
+def _by_kind(spark, sf_dir, kind):
+    events = table(spark, sf_dir, "events").where(F.col("event_type") == kind)
     return rollups.roll_up(events, "ts", "hour", "sum", ["value"]).select(
         "datetime", r(F.col("value_sum"), 4).alias("value"),
     )
 
 
-def _kind_sql(kind, skip):
-    return (
-        "SELECT date_trunc('hour', ts)::TIMESTAMP AS datetime, round(sum(value), 4) AS value FROM events "
-        f"WHERE event_type = '{kind}' AND hour(ts) <> {skip} GROUP BY 1"
+def _kinds_sql(word: str, names=KINDS) -> str:
+    """All types joined one after another; types lack some hours by themselves."""
+    each = ", ".join(
+        f"{k}_ AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS datetime, round(sum(value), 4) + 0.0 AS {k} FROM events WHERE event_type = '{k}' GROUP BY 1)" for k in KINDS
     )
+    columns = ", ".join(f"{old} AS {new}" for old, new in zip(KINDS, names))
+    return f"WITH {each} SELECT datetime, {columns} FROM {f' {word} JOIN '.join(f'{k}_' if not i else f'{k}_ USING (datetime)' for i, k in enumerate(KINDS))}"
 
 
 for _how, _word in (("outer", "FULL"), ("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT")):
-    query(
-        f"multi_join_{_how}",
-        f"""WITH a AS ({_kind_sql('click', 3)}), b AS ({_kind_sql('view', 7)}), c AS ({_kind_sql('error', 11)})
-        SELECT datetime, value_click, value_view, c.value AS value_error FROM (
-          SELECT datetime, a.value AS value_click, b.value AS value_view FROM a {_word} JOIN b USING (datetime)) ab
-        {_word} JOIN c USING (datetime)""",
-    )(
-        lambda spark, sf_dir, how=_how: joins.join_by_time(
-            {k: _by_kind(spark, sf_dir, k, s) for k, s in (("click", 3), ("view", 7), ("error", 11))},
-            "datetime", how, "hour",
-        ),
+    query(f"multi_join_{_how}", _kinds_sql(_word, [f"value_{k}" for k in KINDS]))(
+        lambda spark, sf_dir, how=_how: joins.join_by_time({k: _by_kind(spark, sf_dir, k) for k in KINDS}, "datetime", how, "hour"),
     )
 
 
+@query("multi_join_prefix", _kinds_sql("INNER", [f"{k}_value" for k in KINDS]))
+def multi_join_prefix(spark, sf_dir):
+    return joins.join_by_time({k: _by_kind(spark, sf_dir, k) for k in KINDS}, "datetime", "inner", "hour", rule="prefix")
+
+
+@query("multi_join_overwrite", _kinds_sql("LEFT").replace(f"SELECT datetime, {', '.join(f'{k} AS {k}' for k in KINDS)}", f"SELECT datetime, {KINDS[-1]} AS value"))
+def multi_join_overwrite(spark, sf_dir):
+    """The last table's column stays."""
+    return joins.join_by_time({k: _by_kind(spark, sf_dir, k) for k in KINDS}, "datetime", "left", "hour", rule="overwrite")
+
+
 @query(
     "demand_generation_join",
     f"""WITH {GENERATION_SQL}, {DEMAND_SQL},

@@ -50,13 +50,34 @@ def read_series_csv(
     return raw.withColumn(datetime_col, shown)
 
 
+def _by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """Files in groups of equal header lines, in the order their first file was given; files without a line are left out."""
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+    heads = (
+        lines.where(F.length("value") > 0).withColumn("at", F.struct("block", F.monotonically_increasing_id().alias("row")))
+        .groupBy("path").agg(F.min_by("value", "at").alias("head"))
+    )
+    groups = heads.groupBy("head").agg(F.array_sort(F.collect_list("path")).alias("paths"))  # names only, as many as the scan lists anyway
+    return sorted(r["paths"] for r in groups.collect())
+
+
 def concat_csv(spark: SparkSession, paths: list[str], output: str | None = None, schemas=None) -> DataFrame:
-    """Row union of files with differing headers, columns matched by name (A2)."""
-    tables = [
-        spark.read.option("header", True).schema(schemas[i]).csv(p) if schemas
-        else spark.read.option("header", True).option("inferSchema", True).csv(p)
-        for i, p in enumerate(paths)
-    ]
+    """Row union of files with differing headers, columns matched by name (A2).
+
+    Files with one header, or one schema, are one scan: the plan grows with the number of headers, not of files.
+    """
+    if schemas:
+        groups: dict[str, list[str]] = {}
+        kinds = {}
+        for path, kind in zip(paths, schemas, strict=True):
+            key = kind if isinstance(kind, str) else kind.json()
+            groups.setdefault(key, []).append(path)
+            kinds[key] = kind
+        tables = [spark.read.option("header", True).schema(kinds[k]).csv(files) for k, files in groups.items()]
+    else:
+        tables = [spark.read.option("header", True).option("inferSchema", True).csv(files) for files in _by_header(spark, paths)]
+    if not tables:
+        raise ValueError("no file has a header")
     merged = union_tables(tables)
     if output is not None:
         merged.write.mode("overwrite").option("header", True).csv(output)

@@ -36,6 +36,20 @@ def test_concat(spark, tmp_path):
     assert back.count() == 2
 
 
+def test_concat_scans_by_header(spark, tmp_path):
+    for i in range(12):
+        write(tmp_path / "in" / f"{i}.csv", ("x,y\n" if i % 2 else "y,z\n") + f"{i},2.5\n")
+    write(tmp_path / "in" / "empty.csv", "")
+    paths = [str(tmp_path / "in" / f"{i}.csv") for i in range(12)] + [str(tmp_path / "in" / "empty.csv")]
+    merged = T.concat_csv(spark, paths)
+    assert merged._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 2
+    assert merged.agg(F.sum("x"), F.sum("y"), F.sum("z")).first()[:] == (36, 30 + 6 * 2.5, 6 * 2.5)
+    typed = T.concat_csv(spark, paths[:12], schemas=["x int, y double" if i % 2 else "y int, z double" for i in range(12)])
+    assert typed._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 2 and typed.count() == 12
+    with pytest.raises(ValueError):
+        T.concat_csv(spark, paths[12:])
+
+
 def test_conversion_reports_files(spark, tmp_path):
     for name, n in (("m1.tsv", 2), ("m2.tsv", 3)):
         write(tmp_path / "in" / name, "a\tb\n" + "1\t2\n" * n)
