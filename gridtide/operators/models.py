@@ -1,30 +1,18 @@
-"""Regression models on Spark ML behind one small protocol."""
+"""Regression models behind one small protocol."""
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
-from functools import reduce
 from typing import Protocol, runtime_checkable
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import (
-    DecisionTreeRegressionModel,
-    DecisionTreeRegressor,
-    GBTRegressor,
-)
-from pyspark.sql import DataFrame, Window as W, functions as F
-
-from gridtide.operators import linear
-from gridtide.operators.quantiles import ACCURACY
-from gridtide.session import checkpoint_folder, cut_lineage
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
+from gridtide.operators import boosting, linear
 
 PREDICTED, LOWER, UPPER = "predicted", "predicted_lower", "predicted_upper"
-_VECTOR = "features_"
-BUCKET_ROWS = 50_000  # distinct background rows numbered by one task
-BLOCK_ROWS = 64  # background positions that share a join key
 
 
 @runtime_checkable
@@ -92,129 +80,46 @@ class LinearForecaster:
 
 @dataclass
 class BoostedForecaster:
-    """Boosted trees; with ``alpha`` three quantile models give an interval (M2, M3)."""
+    """Boosted trees of one of three families; with ``alpha`` three quantile models give an interval (M2, M3).
+
+    Quantile models grow on the slopes of the pinball loss and set every leaf to the quantile of its residuals.
+    """
 
     family: str = "xgboost"
     n_estimators: int = 100
     max_depth: int = 6
     learning_rate: float = 0.1
     alpha: float | None = None
-    seed: int = 12
     needs_scaling = False
     supports_grid = True
     supports_attribution = True
     features: list[str] = field(default_factory=list)
-    model: PipelineModel | None = None
-    quantile_models: dict = field(default_factory=dict)
+    trees: dict[str, boosting.Trees] = field(default_factory=dict)
+
+    def _levels(self) -> dict[str, float | None]:
+        return {PREDICTED: 0.5, LOWER: self.alpha / 2, UPPER: 1 - self.alpha / 2} if self.alpha else {PREDICTED: None}
 
     def fit(self, train: DataFrame, features: list[str], target: str):
         self.features = list(features)
-        checkpoint_folder(train.sparkSession)
-        rows = train.where(F.col(target).isNotNull())
-        if self.alpha:
-            levels = {PREDICTED: 0.5, LOWER: self.alpha / 2, UPPER: 1 - self.alpha / 2}
-            self.quantile_models = {
-                name: QuantileBoost(q, self.n_estimators, self.max_depth, self.learning_rate, self.seed).fit(
-                    rows, self.features, target,
-                )
-                for name, q in levels.items()
-            }
-            return self
-        gbt = GBTRegressor(
-            featuresCol=_VECTOR, labelCol=target, predictionCol=PREDICTED, maxIter=self.n_estimators,
-            maxDepth=self.max_depth, stepSize=self.learning_rate, seed=self.seed, checkpointInterval=10,
-        )
-        self.model = Pipeline(stages=[VectorAssembler(inputCols=self.features, outputCol=_VECTOR), gbt]).fit(rows)
+        levels = self._levels()
+        made = boosting.fit(train, self.features, target, self.family, self.n_estimators, self.max_depth, self.learning_rate, tuple(levels.values()))
+        self.trees = dict(zip(levels, made))
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
-        if self.quantile_models:
-            return reduce(lambda d, item: item[1].predict(d, item[0]), self.quantile_models.items(), df)
-        return self.model.transform(df).drop(_VECTOR)
-
-    def importance(self, spark) -> DataFrame:
-        if self.quantile_models:
-            return _importance_frame(spark, self.features, self.quantile_models[PREDICTED].importances())
-        return _importance_frame(spark, self.features, self.model.stages[-1].featureImportances.toArray())
+        trees = self.trees
 
+        @F.pandas_udf(", ".join(f"{name} double" for name in trees))
+        def score(x: pd.DataFrame) -> pd.DataFrame:
+            values = x.to_numpy(float)
+            return pd.DataFrame({name: t.predict(values) for name, t in trees.items()})
 
-@dataclass
-class QuantileBoost:
-    """Gradient boosting of the pinball loss with trees grown by Spark ML (M3).
-
-    Each round fits a tree to the loss gradient, then sets every leaf to the quantile of
-    the residuals that fall into it. Leaves are at most ``2 ** max_depth``; their quantiles
-    come from mergeable sketches.
-    """
+        inputs = F.struct(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))).alias(f"x{i}") for i, f in enumerate(self.features)])
+        scored = df.withColumn("scored_", score(inputs))
+        return scored.withColumns({name: F.col(f"scored_.{name}") for name in trees}).drop("scored_")
 
-    quantile: float
-    n_estimators: int = 100
-    max_depth: int = 6
-    learning_rate: float = 0.1
-    seed: int = 12
-    cut_every: int = 5
-    features: list[str] = field(default_factory=list)
-    start: float = 0.0
-    trees: list = field(default_factory=list)
-
-    def fit(self, rows: DataFrame, features: list[str], target: str):
-        self.features = list(features)
-        assembled = VectorAssembler(inputCols=self.features, outputCol=_VECTOR).transform(
-            rows.select(*self.features, F.col(target).alias("y_")),
-        ).select(_VECTOR, "y_")
-        self.start = float(assembled.agg(F.percentile_approx("y_", self.quantile, ACCURACY)).first()[0])
-        state = cut_lineage(assembled.withColumn("fit_", F.lit(self.start)))
-        for turn in range(self.n_estimators):
-            sloped = state.withColumn("slope_", F.when(F.col("y_") > F.col("fit_"), self.quantile).otherwise(self.quantile - 1))
-            tree = DecisionTreeRegressor(
-                featuresCol=_VECTOR, labelCol="slope_", predictionCol="tree_", leafCol="leaf_",
-                maxDepth=self.max_depth, seed=self.seed + turn,
-            ).fit(sloped)
-            placed = tree.transform(state)
-            leaves = placed.groupBy("leaf_").agg(
-                F.percentile_approx(F.col("y_") - F.col("fit_"), self.quantile, ACCURACY).alias("step"),
-            )
-            steps = {int(r.leaf_): float(r.step) * self.learning_rate for r in leaves.collect()}
-            self.trees.append((tree, steps))
-            state = placed.select(_VECTOR, "y_", (F.col("fit_") + _leaf_value(steps)).alias("fit_"))
-            if (turn + 1) % self.cut_every == 0:
-                state = cut_lineage(state)
-        return self
-
-    def predict(self, df: DataFrame, out: str = PREDICTED) -> DataFrame:
-        scored = VectorAssembler(inputCols=self.features, outputCol=_VECTOR).transform(df)
-        scored = scored.withColumn(out, F.lit(self.start))
-        for tree, steps in self.trees:
-            scored = tree.transform(scored).withColumn(out, F.col(out) + _leaf_value(steps)).drop("leaf_", "tree_")
-        return scored.drop(_VECTOR)
-
-    def importances(self):
-        total = sum(tree.featureImportances.toArray() for tree, _ in self.trees)
-        return total / total.sum() if total.sum() else total
-
-    def save(self, path: str, spark) -> None:
-        for i, (tree, _) in enumerate(self.trees):
-            tree.write().overwrite().save(f"{path}/tree_{i}")
-        meta = {
-            "quantile": self.quantile, "learning_rate": self.learning_rate, "max_depth": self.max_depth,
-            "features": self.features, "start": self.start, "steps": [s for _, s in self.trees],
-        }
-        _write_json(spark, meta, f"{path}/meta")
-
-    @classmethod
-    def load(cls, path: str, spark) -> QuantileBoost:
-        meta = _read_json(spark, f"{path}/meta")
-        model = cls(meta["quantile"], len(meta["steps"]), meta["max_depth"], meta["learning_rate"])
-        model.features, model.start = meta["features"], meta["start"]
-        for i, steps in enumerate(meta["steps"]):
-            tree = DecisionTreeRegressionModel.load(f"{path}/tree_{i}")
-            model.trees.append((tree, {int(k): v for k, v in steps.items()}))
-        return model
-
-
-def _leaf_value(steps: dict[int, float]):
-    table = F.create_map(*[F.lit(v) for k, s in sorted(steps.items()) for v in (k, s)])
-    return F.coalesce(table[F.col("leaf_").cast("int")], F.lit(0.0))
+    def importance(self, spark) -> DataFrame:
+        return _importance_frame(spark, self.features, self.trees[PREDICTED].importances(len(self.features)))
 
 
 def _write_json(spark, value: dict, path: str) -> None:
@@ -266,72 +171,22 @@ def top_importances(importance: DataFrame, top: int = 20) -> DataFrame:
     return importance.orderBy(F.desc("importance"), F.asc("feature")).limit(top)
 
 
-def _positions(background: DataFrame, features) -> tuple[DataFrame, int]:
-    """Distinct background rows ``_b`` with the positions ``_from`` up to ``_to`` they take, and the count of all rows.
+def shapley_attributions(model, df: DataFrame, background: DataFrame, row_id: str) -> DataFrame:
+    """Exact Shapley values against all rows of ``background``, long form.
 
-    Positions follow from the values alone. Distinct rows are dealt by hash, so a crowded row is one row here.
+    ``base_value`` is the mean prediction of the background; it and the row's parts sum to the row's prediction.
     """
-    values = F.array(*[F.col(f).cast("double") for f in features])
-    rows = cut_lineage(background.groupBy(values.alias("_b")).agg(F.count("*").alias("_n")))
-    n, distinct = rows.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count("*")).first()
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_b"), F.lit(max(1, -(-distinct // BUCKET_ROWS)))))
-    sums = rows.groupBy("_bucket").agg(F.sum("_n").alias("_all"))
-    earlier = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    before = sums.select("_bucket", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_before"))
-    inside = W.partitionBy("_bucket").orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = rows.withColumn("_to", F.sum("_n").over(inside)).join(before, "_bucket")
-    end = F.col("_before") + F.col("_to")
-    return placed.select("_b", (end - F.col("_n")).alias("_from"), end.alias("_to")), n
-
-
-def shapley_attributions(model, df: DataFrame, background: DataFrame, row_id: str, permutations: int = 8, seed: int = 12) -> DataFrame:
-    """Sampled Shapley values of any model, long form (M14; Strumbelj and Kononenko 2014).
-
-    Every row is scored along random feature orders that replace a background row value by value, the
-    row being drawn by hash from all of ``background``. Copies per row are ``permutations * (features + 1)``.
-    ``base_value`` is the mean prediction of the background rows a row met; it and the row's parts sum to the
-    row's prediction.
-    """
-    if not getattr(model, "supports_attribution", False):
+    if isinstance(model, BoostedForecaster):
+        return boosting.attributions(model.trees[PREDICTED], df, background, model.features, row_id)
+    if not isinstance(model, LinearForecaster):
         raise ValueError("this model has no attributions")
-    features = model.features
-    d = len(features)
-    placed, n = _positions(background, features)
-    if not n:
+    means = background.agg(F.count("*"), *[F.avg(f) for f in model.features]).first()
+    if not means[0]:
         raise ValueError("no background rows")
-    block = F.sequence(F.expr(f"_from div {BLOCK_ROWS}"), F.expr(f"(_to - 1) div {BLOCK_ROWS}"))
-    walk = (
-        df.select(row_id, F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
-        .withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-        .withColumn("_pick", F.expr(f"pmod(xxhash64(`{row_id}`, _p, {seed}), {n}L)"))
-        .withColumn("_block", F.expr(f"_pick div {BLOCK_ROWS}"))
-        .join(placed.withColumn("_block", F.explode(block)), "_block")
-        .where("_pick >= _from and _pick < _to")
-        # A random order of the features: ranks of hashed feature numbers.
-        .withColumn(
-            "_order",
-            F.expr(f"transform(array_sort(transform(sequence(0, {d - 1}), i -> struct(xxhash64(`{row_id}`, _p, i, {seed}) as h, i as i))), s -> s.i)"),
-        )
-        .drop("_block", "_pick", "_from", "_to")
-        .withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(d))))
-    )
-    for i, f in enumerate(features):
-        taken = F.expr(f"array_position(_order, {i}) <= _step")
-        walk = walk.withColumn(f, F.when(taken, F.col("_x")[i]).otherwise(F.col("_b")[i]))
-    scored = model.predict(walk).select(row_id, "_p", "_step", "_order", PREDICTED)
-    paths = scored.groupBy(row_id, "_p", "_order").agg(
-        F.array_sort(F.collect_list(F.struct("_step", PREDICTED))).alias("_path"),
-    )
-    parts = paths.select(
-        row_id, F.posexplode("_order").alias("_at", "_feature"), "_path",
-    ).select(
-        row_id, "_feature", (F.col("_path")[F.col("_at") + 1][PREDICTED] - F.col("_path")[F.col("_at")][PREDICTED]).alias("_gain"),
-        F.col("_path")[0][PREDICTED].alias("_start"),
-    )
-    names = F.array(*[F.lit(f) for f in features])
-    return parts.groupBy(row_id, names[F.col("_feature")].alias("feature")).agg(
-        F.avg("_gain").alias("attribution"), F.avg("_start").alias("base_value"),
-    )
+    weights = [w / s for w, s in zip(model.weights, model.scales)]
+    base = model.intercept + sum(w * (m - c) for w, m, c in zip(weights, means[1:], model.centers))
+    parts = F.array(*[F.struct(F.lit(f).alias("feature"), ((F.col(f) - F.lit(m)) * F.lit(w)).alias("attribution")) for f, m, w in zip(model.features, means[1:], weights)])
+    return df.select(row_id, F.explode(parts).alias("p")).select(row_id, "p.feature", "p.attribution", F.lit(float(base)).alias("base_value"))
 
 
 def save_bundle(model, path: str, spark, metadata: dict | None = None) -> None:
@@ -343,10 +198,8 @@ def save_bundle(model, path: str, spark, metadata: dict | None = None) -> None:
     }
     if hasattr(model, "state"):
         meta["state"] = model.state
-    if getattr(model, "model", None) is not None:
-        model.model.write().overwrite().save(f"{path}/model")
-    for name, part in getattr(model, "quantile_models", {}).items():
-        part.save(f"{path}/{name}", spark)
+    for name, trees in getattr(model, "trees", {}).items():
+        _write_json(spark, trees.to_json(), f"{path}/{name}")
     _write_json(spark, meta, f"{path}/metadata")
 
 
@@ -363,12 +216,7 @@ def load_bundle(path: str, spark):
         model = LinearForecaster(**params)
     elif meta["kind"] == "BoostedForecaster":
         model = BoostedForecaster(**params)
-        if model.alpha:
-            model.quantile_models = {
-                name: QuantileBoost.load(f"{path}/{name}", spark) for name in (PREDICTED, LOWER, UPPER)
-            }
-        else:
-            model.model = PipelineModel.load(f"{path}/model")
+        model.trees = {name: boosting.Trees(**_read_json(spark, f"{path}/{name}")) for name in model._levels()}
     else:
         from gridtide.operators import univariate
 

@@ -230,7 +230,7 @@ def linear_attribution(spark, sf_dir):
 def tree_attribution(spark, sf_dir):
     _, train, test = _split(spark, sf_dir)
     model = M.make_model("xgboost", **SMALL_TREES).fit(train, FEATURES, "value")
-    return M.shapley_attributions(model, test, train, "pos", permutations=4)
+    return M.shapley_attributions(model, test, train, "pos")
 
 
 @query(
@@ -241,12 +241,71 @@ def tree_attribution_sums(spark, sf_dir):
     """What the parts and the base value leave of each prediction, which is nothing."""
     _, train, test = _split(spark, sf_dir)
     model = M.make_model("xgboost", **SMALL_TREES).fit(train, FEATURES, "value")
-    parts = M.shapley_attributions(model, test, train, "pos", permutations=2)
+    parts = M.shapley_attributions(model, test, train, "pos")
     sums = parts.groupBy("pos").agg((F.sum("attribution") + F.max("base_value")).alias("told"), F.count_distinct("feature").alias("features"))
     told = sums.join(model.predict(test).select("pos", M.PREDICTED), "pos")
     return told.select("pos", r(F.col("told") - F.col(M.PREDICTED)).alias("gap"), "features")
 
 
+def _stump_sql(models: str, slope: str, start: str, leaf: str) -> str:
+    """Best single split by hour or weekday for every row (model, q, pull, least) of ``models``."""
+    return ONE_SQL + f""", c AS (SELECT a.pos - 24 AS pos, a.value AS y, CAST(hour(a.ts) AS DOUBLE) AS hour, CAST(isodow(a.ts) - 1 AS DOUBLE) AS weekday
+      FROM hourly a JOIN hourly b ON a.pos = b.pos + 24),
+    md(model, q, pull, least) AS (VALUES {models}),
+    s AS (SELECT model, q, pull, least, {start} AS start FROM md, c, n WHERE pos < CAST(floor(n * 0.8) AS BIGINT) GROUP BY model, q, pull, least),
+    g AS (SELECT s.*, pos, y, hour, weekday, {slope} AS g FROM s, c, n WHERE pos < CAST(floor(n * 0.8) AS BIGINT)),
+    l AS (SELECT model, pull, least, f, CASE WHEN f = 'hour' THEN hour ELSE weekday END AS x, g FROM g, (VALUES ('hour'), ('weekday')) t(f)),
+    b AS (SELECT model, pull, least, f, x, sum(g) AS g, count(*) AS n FROM l GROUP BY ALL),
+    cum AS (SELECT *, sum(g) OVER w AS gl, sum(n) OVER w AS nl, sum(g) OVER p AS ga, sum(n) OVER p AS na FROM b
+      WINDOW w AS (PARTITION BY model, f ORDER BY x ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY model, f)),
+    best AS (SELECT model, arg_max(struct_pack(f := f, x := x), gl * gl / (nl + pull) + (ga - gl) * (ga - gl) / (na - nl + pull) - ga * ga / (na + pull)) AS k
+      FROM cum WHERE nl >= least AND na - nl >= least GROUP BY model),
+    side AS (SELECT g.*, k.f AS f, CASE WHEN k.f = 'hour' THEN hour ELSE weekday END <= k.x AS low FROM g JOIN best USING (model)),
+    leaf AS (SELECT model, low, 0.5 * {leaf} AS step FROM side GROUP BY model, low, pull, q),
+    base AS (SELECT model, avg(start + step) AS base FROM side JOIN leaf USING (model, low) GROUP BY model),
+    told AS (SELECT s.model, pos, k.f AS f, start + step AS predicted, base FROM s JOIN best USING (model) JOIN base USING (model), c, n, leaf
+      WHERE pos >= CAST(floor(n.n * 0.8) AS BIGINT) AND leaf.model = s.model AND leaf.low = (CASE WHEN k.f = 'hour' THEN hour ELSE weekday END <= k.x))"""
+
+
+def _clock_features(spark, sf_dir):
+    frame = cut_lineage(hourly_features(spark, sf_dir).select("pos", "ts", "value", F.hour("ts").cast("double").alias("hour"), F.weekday("ts").cast("double").alias("weekday")))
+    return V.split_at(frame, frame.count(), 0.2)
+
+
+@query(
+    "boosted_stumps",
+    _stump_sql("('xgboost', 0.0, 1.0, 1), ('lightgbm', 0.0, 0.0, 20), ('catboost', 0.0, 3.0, 1)", "start - y", "avg(y)", "-sum(g) / (count(*) + pull)")
+    + """ SELECT model, pos, round(predicted, 4) + 0.0 AS predicted, round(CASE WHEN f = 'hour' THEN predicted - base ELSE 0 END, 4) + 0.0 AS attribution_hour,
+      round(CASE WHEN f = 'weekday' THEN predicted - base ELSE 0 END, 4) + 0.0 AS attribution_weekday, round(base, 4) + 0.0 AS base_value FROM told""",
+)
+def boosted_stumps(spark, sf_dir):
+    """One tree of one split by each family, with its exact attributions."""
+    train, test = _clock_features(spark, sf_dir)
+    out = []
+    for name in ("xgboost", "lightgbm", "catboost"):
+        model = M.make_model(name, n_estimators=1, max_depth=1, learning_rate=0.5).fit(train, ["hour", "weekday"], "value")
+        parts = M.shapley_attributions(model, test, train, "pos").groupBy("pos", "base_value").pivot("feature", ["hour", "weekday"]).agg(F.sum("attribution"))
+        told = parts.withColumnsRenamed({"hour": "attribution_hour", "weekday": "attribution_weekday"})
+        out.append(model.predict(test).select("pos", M.PREDICTED).join(told, "pos").withColumn("model", F.lit(name)))
+    all_ = out[0].unionByName(out[1]).unionByName(out[2])
+    return all_.withColumns({c: r(F.col(c), 4) for c in (M.PREDICTED, "attribution_hour", "attribution_weekday", "base_value")})
+
+
+@query(
+    "quantile_stumps",
+    _stump_sql("('predicted', 0.5, 0.0, 20), ('predicted_lower', 0.1, 0.0, 20), ('predicted_upper', 0.9, 0.0, 20)", "CASE WHEN y > start THEN -q ELSE 1 - q END", "quantile_cont(y, q)", "quantile_cont(y - start, q)")
+    .replace("quantile_cont(y, q)", "CASE q WHEN 0.5 THEN quantile_cont(y, 0.5) WHEN 0.1 THEN quantile_cont(y, 0.1) ELSE quantile_cont(y, 0.9) END")
+    .replace("quantile_cont(y - start, q)", "(CASE q WHEN 0.5 THEN quantile_cont(y - start, 0.5) WHEN 0.1 THEN quantile_cont(y - start, 0.1) ELSE quantile_cont(y - start, 0.9) END)")
+    + """ SELECT pos, round(max(predicted) FILTER (model = 'predicted'), 4) + 0.0 AS predicted, round(max(predicted) FILTER (model = 'predicted_lower'), 4) + 0.0 AS predicted_lower,
+      round(max(predicted) FILTER (model = 'predicted_upper'), 4) + 0.0 AS predicted_upper FROM told GROUP BY pos""",
+)
+def quantile_stumps(spark, sf_dir):
+    """The three quantile models of an interval, one split each."""
+    train, test = _clock_features(spark, sf_dir)
+    model = M.make_model("lightgbm", n_estimators=1, max_depth=1, learning_rate=0.5, alpha=0.2).fit(train, ["hour", "weekday"], "value")
+    return model.predict(test).select("pos", *[r(F.col(c), 4).alias(c) for c in (M.PREDICTED, M.LOWER, M.UPPER)])
+
+
 @query("training_session")
 def training_session(spark, sf_dir):
     frame = hourly_features(spark, sf_dir)

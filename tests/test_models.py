@@ -1,11 +1,12 @@
 import json
+import math
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridtide.operators import models as M, univariate as U, validation as V
+from gridtide.operators import boosting, models as M, univariate as U, validation as V
 
 
 @pytest.fixture(scope="module")
@@ -107,37 +108,85 @@ def test_boosted_family(data, spark, tmp_path):
     assert M.load_bundle(str(tmp_path / "none"), spark) == (None, None)
 
 
-def test_shapley_sums_to_prediction_gap(data):
-    _, df = data
-    model = M.make_model("xgboost", n_estimators=3, max_depth=3).fit(df, ["a", "b", "c"], "y")
-    some = df.where("pos < 5")
-    one = df.where("pos = 100")  # a single background row makes the gap exact
-    parts = M.shapley_attributions(model, some, one, "pos", permutations=3)
-    sums = parts.groupBy("pos").agg(F.sum("attribution").alias("s"), F.count("*").alias("n"))
-    base = model.predict(one).first().predicted
-    got = sums.join(model.predict(some), "pos").select(F.abs(F.col("predicted") - base - F.col("s")).alias("gap"), "n").collect()
-    assert max(r.gap for r in got) < 1e-9 and {r.n for r in got} == {3}
+def plain_shapley(predict, x, background):
+    """By all subsets of the features."""
+    d = x.shape[1]
+    out = np.zeros(x.shape)
+    for mask in range(1 << d):
+        taken = np.array([mask >> i & 1 for i in range(d)], bool)
+        value = np.array([predict(np.where(taken, row, background)).mean() for row in x])
+        size = int(taken.sum())
+        for i in range(d):
+            if taken[i]:
+                out[:, i] += value * math.factorial(size - 1) * math.factorial(d - size) / math.factorial(d)
+            else:
+                out[:, i] -= value * math.factorial(size) * math.factorial(d - size - 1) / math.factorial(d)
+    return out
+
+
+@pytest.mark.parametrize("name", ["xgboost", "lightgbm", "catboost"])
+def test_attributions_equal_all_subsets(spark, name):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 9, (300, 5)).astype(float)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    filled = np.nan_to_num(x, nan=11.0)
+    y = filled[:, 0] * filled[:, 1] + 5 * (filled[:, 2] > 4) - filled[:, 3] + rng.normal(size=300)
+    names = list("abcde")
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(y=y, pos=range(300))).repartition(3)
+    model = M.make_model(name, n_estimators=4, max_depth=4, learning_rate=0.5).fit(df, names, "y")
+    out = M.shapley_attributions(model, df.where("pos < 20"), df.where("pos >= 100"), "pos").toPandas()
+    assert len(out) == 100
+    got = out.pivot(index="pos", columns="feature", values="attribution").sort_index()[names].to_numpy()
+    trees = model.trees["predicted"]
+    np.testing.assert_allclose(got, plain_shapley(trees.predict, x[:20], x[100:]), atol=1e-9)
+    np.testing.assert_allclose(out.base_value, trees.predict(x[100:]).mean())
+    np.testing.assert_allclose(got.sum(axis=1) + out.base_value[0], trees.predict(x[:20]))
     with pytest.raises(ValueError):
-        M.shapley_attributions(M.make_model("arima"), some, one, "pos")
+        M.shapley_attributions(M.make_model("arima"), df, df, "pos")
     with pytest.raises(ValueError):
-        M.shapley_attributions(model, some, df.where("pos < 0"), "pos")
+        M.shapley_attributions(model, df, df.where("pos < 0"), "pos")
 
 
-def test_shapley_draws_from_the_whole_background(data):
+@pytest.mark.parametrize("name, quantiles", [("xgboost", (None,)), ("lightgbm", (None, 0.3)), ("catboost", (None,))])
+def test_boosting_is_the_same_in_passes_over_rows(data, name, quantiles):
     _, df = data
-    model = M.make_model("xgboost", n_estimators=3, max_depth=3).fit(df, ["a", "b", "c"], "y")
-    crowded = df.unionByName(df.where("pos < 3").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(50)))).drop("i"))
-    parts = M.shapley_attributions(model, df, crowded, "pos", permutations=8)
-    sums = parts.groupBy("pos").agg(F.sum("attribution").alias("s"), F.max("base_value").alias("base"))
-    gap = sums.join(model.predict(df), "pos").agg(F.count("*").alias("n"), F.max(F.abs(F.col("predicted") - F.col("base") - F.col("s"))).alias("gap")).first()
-    assert gap.n == df.count() and gap.gap < 1e-9
-    mean, sd = model.predict(crowded).agg(F.avg("predicted"), F.stddev("predicted")).first()
-    drawn = sums.agg(F.avg("base")).first()[0]
-    assert abs(drawn - mean) < 5 * sd / (8 * gap.n) ** 0.5
-    placed, n = M._positions(crowded, ["a", "b", "c"])
-    ends = sorted((x._from, x._to) for x in placed.collect())
-    assert n == crowded.count() and ends[0][0] == 0 and ends[-1][1] == n
-    assert all(x[1] == y[0] for x, y in zip(ends, ends[1:]))
+    a, b = (boosting.fit(df, ["a", "b", "c"], "y", name, 3, 3, 0.4, quantiles, n) for n in (10_000, 10))
+    for one, other in zip(a, b):
+        assert one.feature == other.feature and one.threshold == other.threshold
+        assert one.value == pytest.approx(other.value) and one.start == pytest.approx(other.start)
+
+
+def test_more_values_than_bins(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=3000)
+    x[:40] = np.nan
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": np.where(np.isnan(x), 9.0, np.sin(x)), "pos": range(3000)}))
+    (trees,) = boosting.fit(df, ["x"], "y", "xgboost", 20, 5, 0.3)
+    assert np.abs(trees.predict(x[40:, None]) - np.sin(x[40:])).mean() < 0.1
+    assert len(boosting.bin_cuts(df, ["x"])[0]) == boosting.BINS - 1
+    with pytest.raises(ValueError):
+        boosting.fit(df.where("pos < 0"), ["x"], "y", "xgboost", 1, 1, 0.3)
+
+
+def test_families_grow_differently(data):
+    pdf, df = data
+    x = pdf[["a", "b", "c"]].to_numpy()
+    found = {}
+    for name in boosting.FAMILIES:
+        model = M.make_model(name, n_estimators=30, max_depth=4, learning_rate=0.3).fit(df, ["a", "b", "c"], "y")
+        trees = model.trees["predicted"]
+        found[name] = trees.predict(x)
+        assert ((found[name] - pdf.y) ** 2).mean() < 0.2 * pdf.y.var()
+        np.testing.assert_allclose(model.predict(df).orderBy("pos").toPandas().predicted, found[name])
+        if name == "catboost":  # one condition a level
+            level = [trees.roots[0]]
+            while trees.feature[level[0]] >= 0:
+                assert len({(trees.feature[n], trees.threshold[n]) for n in level}) == 1
+                level = [c for n in level for c in (trees.left[n], trees.right[n])]
+        if name == "lightgbm":
+            node = trees.leaves_of(x)[:, 0]
+            assert min(np.bincount(node)[np.unique(node)]) >= 20
+    assert len({round(float(np.abs(f).sum()), 6) for f in found.values()}) == 3
 
 
 def test_quantile_intervals(data, spark, tmp_path):
