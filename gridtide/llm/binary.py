@@ -96,7 +96,8 @@ def training_shards(
     def slot_of(index: pd.Series) -> pd.Series:
         return pd.Series(feistel(index.to_numpy(), n, key))
 
-    numbered = cut.join(before, "split").withColumn("slot", slot_of(F.col("before") + F.col("place")))
+    # told to be nondeterministic, it is evaluated once a wave; as part of the filter too it would be twice
+    numbered = cut.join(before, "split").withColumn("slot", slot_of.asNondeterministic()(F.col("before") + F.col("place")))
     numbered = numbered.withColumn("shard", F.expr(f"slot div {per_shard}"))
     stride = 2 * length
 
