@@ -14,6 +14,8 @@ from gridtide.llm.tables import stored
 
 SAMPLE = 20_000  # vectors that centroids and code books are fitted on
 BLOCK = 2048  # members or queries of a list that one task compares
+LIST = 300  # vectors of a list, about
+PROBES = 8  # further lists that a vector visits
 
 
 @dataclass
@@ -50,6 +52,14 @@ def _kmeans(points: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -
     return centres
 
 
+def _nearest(d: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` least entries of each row (all, if there are fewer), least first."""
+    if k >= d.shape[1]:
+        return np.argsort(d, axis=1)
+    some = np.argpartition(d, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), axis=1), 1)
+
+
 def fit_index(sample: np.ndarray, lists: int, subspaces: int = 8, codes: int = 32, seed: int = 1) -> Index:
     """Fits on unit vectors (a bounded sample). The width is padded with zeros to a multiple of ``subspaces``."""
     rng = np.random.default_rng(seed)
@@ -69,7 +79,7 @@ def _unit(blobs: pd.Series, width: int, padded: int) -> tuple[np.ndarray, np.nda
     return full, unit
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", subspaces: int = 8, sample: int = SAMPLE) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", subspaces: int = 8, sample: int = SAMPLE, probes: int | None = PROBES) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id``, ``kept`` for every row of ``vectors``.
 
     Two vectors link if their cosine in double precision is ``threshold`` or more. Null or zero vectors, and
@@ -78,9 +88,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     smallest id reachable, the own one without links. Other columns are ignored.
 
     Every class goes to the list of its nearest centroid, coded by its residual. As a query it visits its own
-    list and every list of higher number whose bisecting plane with its own cell is within reach: a linked
-    vector lies at most r = sqrt(2 - 2 threshold) away on the unit sphere, so it cannot sit in any other cell,
-    and no link is lost. In a list a table lookup gives each query's distance to every coded member; members
+    list and, of the lists whose bisecting plane with its own cell is within reach, the ``probes`` nearest: a linked
+    vector lies at most r = sqrt(2 - 2 threshold) away on the unit sphere, so it cannot sit beyond such a plane. A pair
+    is missed only if neither vector visits the other's list; with ``probes`` None all lists within reach are visited and no link
+    is lost. Lists grow in number with the vectors (up to the size of the sample), so the work of a vector does
+    not. In a list a table lookup gives each query's distance to every coded member; members
     farther than r plus their own coding error are out, the rest are decided by the exact cosine. Lists are
     cut into blocks of members and of queries, each pair of blocks being one group. A group returns counts and
     a spanning forest, not its pairs.
@@ -108,11 +120,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     fitted = packed.where(F.pmod(F.xxhash64("blob"), F.lit(every)) == 0).select("blob").toArrow().to_pandas()
     if fitted.empty:
         fitted = packed.select("blob").limit(sample).toArrow().to_pandas()
-    lists = int(min(len(fitted), max(1, total // 1500)))
+    lists = int(min(len(fitted), max(1, total // LIST)))
     index = fit_index(_unit(fitted["blob"].sort_values(), width, padded)[1], lists, subspaces)
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
     centroids = index.centroids
-    between = np.sqrt(np.maximum((centroids**2).sum(1)[:, None] - 2 * centroids @ centroids.T + (centroids**2).sum(1), 1e-12))
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -120,22 +131,25 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
                 continue
             unit = _unit(f["blob"], width, padded)[1]
             d = index.distances(unit)
-            own = d.argmin(1)
+            order = np.argsort(d, axis=1) if probes is None else _nearest(d, probes + 1)
+            own, near = order[:, 0], order[:, 1:]
             code, off = index.codes(unit - centroids[own])
-            plane = (d - d[np.arange(len(f)), own][:, None]) / (2 * between[own])
-            visits = (plane <= reach) & (np.arange(len(centroids))[None] > own[:, None])
+            gap = np.take_along_axis(d, near, 1) - d[np.arange(len(f)), own][:, None]
+            between = np.sqrt(np.maximum(((centroids[near] - centroids[own][:, None]) ** 2).sum(2), 1e-12))
+            visits = gap <= 2 * between * reach
             row, place = np.nonzero(visits)
-            home = f.assign(place=own, own=True, code=[c.tobytes() for c in code], off=off)
-            away = f.iloc[row].assign(place=place, own=False, code=None, off=0.0)
-            yield pd.concat([home, away])[["place", "own", "node", "n", "blob", "code", "off"]]
+            seen = [x.tobytes() for x in np.where(visits, near, -1).astype(np.int32)]
+            home = f.assign(place=own, home=own, own=True, code=[c.tobytes() for c in code], off=off, visits=seen)
+            away = f.iloc[row].assign(place=near[row, place], home=own[row], own=False, code=None, off=0.0, visits=None)
+            yield pd.concat([home, away])[["place", "home", "own", "node", "n", "blob", "code", "off", "visits"]]
 
-    dealt = stored(packed.mapInPandas(deal, "place int, own boolean, node long, n long, blob binary, code binary, off double"), "vector-lists")
+    dealt = stored(packed.mapInPandas(deal, "place int, home int, own boolean, node long, n long, blob binary, code binary, off double, visits binary"), "vector-lists")
     blocks = dealt.groupBy("place").agg(
         F.ceil(F.sum(F.col("own").cast("int")) / BLOCK).cast("int").alias("m"), F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("q")
     )
     placed = dealt.join(blocks.where("m > 0"), "place")
-    member = placed.where("own").select("place", F.pmod(F.xxhash64("node"), F.col("m")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"), F.lit(True).alias("member"), "own", "node", "n", "blob", "code", "off")
-    query = placed.select("place", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"), F.pmod(F.xxhash64("node"), F.col("q")).cast("int").alias("j"), F.lit(False).alias("member"), "own", "node", "n", "blob", "code", "off")
+    member = placed.where("own").select("place", F.pmod(F.xxhash64("node"), F.col("m")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"), F.lit(True).alias("member"), "home", "own", "node", "n", "blob", "code", "off", "visits")
+    query = placed.select("place", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"), F.pmod(F.xxhash64("node"), F.col("q")).cast("int").alias("j"), F.lit(False).alias("member"), "home", "own", "node", "n", "blob", "code", "off", "visits")
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
         is_member = f["member"].to_numpy(bool)
@@ -149,6 +163,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
         m_id, q_id = m["node"].to_numpy(), q["node"].to_numpy()
         m_n, q_n = m["n"].to_numpy(), q["n"].to_numpy()
         q_own = q["own"].to_numpy(bool)
+        visited = np.frombuffer(b"".join(m["visits"]), np.int32).reshape(len(m), -1)
+        place, q_home = int(f["place"].iloc[0]), q["home"].to_numpy()
         m_count, q_count = np.zeros(len(m), np.int64), np.zeros(len(q), np.int64)
         label = {}
         m_scale, q_scale = np.abs(m_full).max(1)[:, None], np.abs(q_full).max(1)[:, None]
@@ -157,7 +173,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
         edges = []
         for at in range(0, len(q), 256):
             some = slice(at, at + 256)
-            rest = (q_unit[some] - centroids[int(f["place"].iloc[0])]).reshape(-1, subspaces, padded // subspaces)
+            rest = (q_unit[some] - centroids[place]).reshape(-1, subspaces, padded // subspaces)
             seen = np.zeros((len(rest), len(m)))
             for s in range(subspaces):
                 table = ((rest[:, s, None, :] - index.books[s][None]) ** 2).sum(2)
@@ -170,6 +186,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
                 continue
             cosine = np.concatenate([np.einsum("ij,ij->i", q_full[x[c : c + 65536]], m_full[y[c : c + 65536]]) for c in range(0, len(x), 65536)]) / (q_norm[x] * m_norm[y])
             x, y = x[cosine >= threshold], y[cosine >= threshold]
+            # a pair whose two vectors visit each other's list counts in the list of higher number
+            once = (q_home[x] <= place) | ~(visited[y] == q_home[x][:, None]).any(1)
+            x, y = x[once], y[once]
             np.add.at(q_count, x, m_n[y])
             np.add.at(m_count, y, q_n[x])
             for a, b in zip(q_id[x].tolist(), m_id[y].tolist(), strict=True):  # union by labels
