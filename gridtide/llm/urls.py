@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gridtide.llm.tables import stored
+
 PER_BUCKET = 100_000  # urls that one task sweeps
 
 
@@ -43,6 +45,23 @@ def stacks(rules: DataFrame) -> DataFrame:
     return found.withColumn("low", low).withColumn("k", F.col("low")).withColumn("high", high).select("low", "high", "stack")
 
 
+def _met(intervals: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``intervals`` with the first and last range, ``from`` and ``to``, that may hold keys from ``low`` to ``high``; others go.
+
+    Both tables are small beside the rows: one row a ruled host, and one a range. They are sorted together once for each end.
+    """
+
+    def sweep(ends: DataFrame, end: str, keys: str, before: int) -> DataFrame:
+        marks = ranges.select(F.col(keys).alias("at"), F.lit(1 - before).alias("kind"), F.col("part").alias("range"))
+        both = ends.withColumn("at", F.col(end)).withColumn("kind", F.lit(before)).unionByName(marks, allowMissingColumns=True)
+        line = Window.orderBy("at", "kind", F.col("range").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return both.withColumn("seen", F.max("range").over(line)).where(F.col("kind") == before).drop("at", "kind", "range")
+
+    begun = sweep(intervals, "low", "last", 0).withColumn("from", F.coalesce(F.col("seen") + 1, F.lit(0))).drop("seen")  # behind the last range that ends before
+    ended = sweep(begun, "high", "first", 1).withColumn("to", F.col("seen")).drop("seen")  # the last range that begins at it or before
+    return ended.where("from <= to")
+
+
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict`` for every row of ``pages``.
 
@@ -50,32 +69,21 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     starts with the rule's; of several the longest host wins, then the longest path. ``rule`` is null and the
     verdict ``default`` where none fits. Null urls and urls without ``://`` have empty host and path.
 
-    Keys are cut into ranges at quantiles of a sample of at most some thousand (key, tie) pairs, where the tie
-    hashes the row: a host or url that holds any share of the rows is spread over as many ranges as it
-    fills. Each ruled host joins the ranges that its interval meets. Within a range rows and intervals are
+    Rows are dealt by range of (key, tie), where the tie hashes the row: a host or url that holds any share of the rows is
+    spread over as many ranges as it fills. The ranges are written once; each ruled host joins those that its interval
+    meets, which a sweep over the ranges' first and last keys tells. Within a range rows and intervals are
     swept in key order, the last interval begun carrying the stack of those that enclose it: intervals of
     domains nest, so what is active at a row is that stack less the intervals that ended before the row.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     rows = rows.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     rows = rows.withColumn("key", host_key(F.col("host"))).withColumn("tie", F.xxhash64("page_id", "path"))
-    total = rows.count()
-    parts = max(1, -(-total // PER_BUCKET))
-    cuts: list = []
-    if parts > 1:
-        every = max(1, total // (32 * min(parts, 256)))
-        sample = sorted((r["key"].encode(), r["tie"], r["key"]) for r in rows.where(F.pmod("tie", F.lit(every)) == 0).select("key", "tie").collect())
-        cuts = [sample[len(sample) * i // parts] for i in range(1, parts)] if sample else []
-    points = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(t).alias("tie")) for _, t, k in cuts)) if cuts else None
-
-    def place(key: Column, tie: Column) -> Column:
-        if points is None:
-            return F.lit(0)
-        return F.size(F.filter(points, lambda c: c <= F.struct(key.alias("key"), tie.alias("tie"))))
-
-    least, most = F.lit(-(2**63)), F.lit(2**63 - 1)
-    begun = stacks(rules).withColumn("part", F.explode(F.sequence(place(F.col("low"), least), place(F.col("high"), most))))
-    swept = rows.withColumn("part", place(F.col("key"), F.col("tie"))).withColumn("begins", F.lit(1))
+    parts = max(1, -(-pages.count() // PER_BUCKET))
+    dealt = stored(rows.repartitionByRange(parts, "key", "tie").withColumn("part", F.spark_partition_id()), "url-ranges")
+    ranges = dealt.groupBy("part").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    ruled = stored(_met(stacks(rules), ranges), "url-rules")
+    begun = ruled.withColumn("part", F.explode(F.sequence("from", "to")))
+    swept = dealt.drop("tie").withColumn("begins", F.lit(1))
     begun = begun.select("part", F.col("low").alias("key"), F.lit(0).alias("begins"), F.struct("high", "stack").alias("open"))
     in_order = Window.partitionBy("part").orderBy("key", "begins").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = swept.unionByName(begun, allowMissingColumns=True).withColumn("open", F.last("open", ignorenulls=True).over(in_order))
