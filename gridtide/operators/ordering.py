@@ -213,9 +213,15 @@ def top_rows(df: DataFrame, order, n: int, keys=()) -> DataFrame:
     return numbered.where(F.col("rank") <= n)
 
 
-def random_rows(df: DataFrame, n: int = 20, seed: int = 12) -> DataFrame:
-    """A random sample of exactly ``n`` rows."""
-    return df.orderBy(F.rand(seed)).limit(n)
+def random_rows(df: DataFrame, n: int = 20, seed: int = 12, by=None) -> DataFrame:
+    """A random sample of exactly ``n`` rows (S5), the same whatever the partitioning.
+
+    Kept are the rows whose hash of ``seed`` and the columns ``by`` (all, if not given) is least, so each task keeps
+    ``n`` at most. Rows that agree in these columns go in or out together, but for the last place.
+    """
+    columns = list(df.columns if by is None else by)
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    return df.orderBy(F.md5(text.cast("binary"))).limit(n)
 
 
 def expanding_distinct(

@@ -116,3 +116,9 @@ def test_expanding_distinct_small(spark):
     got = O.expanding_distinct(df, ["a", "b"], "kind", "name", "t", "i").orderBy("i").collect()
     assert [r.unique_count_a for r in got] == [1, 1, 1, 2]
     assert [r.unique_count_b for r in got] == [0, 1, 1, 1]
+
+
+def test_random_rows_do_not_depend_on_partitions(spark):
+    df = spark.range(1000).selectExpr("id", "if(id % 3 = 0, null, id * 2) as v")
+    samples = [{r.id for r in O.random_rows(df.repartition(parts), 50, seed).collect()} for parts, seed in ((1, 5), (7, 5), (7, 6))]
+    assert samples[0] == samples[1] != samples[2] and {len(x) for x in samples} == {50}
