@@ -161,7 +161,10 @@ def with_region(places: DataFrame, rings: DataFrame, cover: Cover | None = None)
     held = held.withColumns({f"_{name}": c for name, c in zip(("ix", "iy"), cover.cell("longitude", "latitude", "_level"))})
     found = held.join(cover.leaves.withColumnsRenamed(named), list(named.values()))
     right, top = cover.right_of("_level", "_ix"), cover.top_of("_level", "_iy")
-    crossings = _crossings("longitude", "latitude", right, top, "e.")
+    if cover.levels == [0]:  # one cell: nothing lies beyond its right side
+        crossings = "if(latitude >= least(e.y1, e.y2) and latitude < greatest(e.y1, e.y2) and e.x1 + (latitude - e.y1) / nullif(e.y2 - e.y1, 0) * (e.x2 - e.x1) > longitude, 1, 0)"
+    else:
+        crossings = _crossings("longitude", "latitude", right, top, "e.")
     first = F.expr(f"get(filter(regions, r -> (r.odd + aggregate(r.edges, 0, (n, e) -> n + {crossings})) % 2 = 1), 0)")
     found = found.withColumn("_in", first).where("_in is not null")
     return found.select(*places.columns, F.col("_in.region_id").alias("region_id"), F.col("_in.region").alias("region"))
