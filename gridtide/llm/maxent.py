@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridtide.llm.tables import release, stored, text_slices
-from gridtide.llm.words import LOWER_BYTES, Words, mixed, split_words
+from gridtide.llm.words import Words, mixed, split_words
 
 CLASSES = 64
 HEAD = 32  # the most frequent words are classes of their own, the end token among them
-ROWS = 1 << 13  # hashed features
-BLOCK_BYTES = 24 << 20  # text that is scored together with its part of the vocabulary
+ROWS = 1 << 13  # hashed features of the class softmax
+BLOCK_BYTES = 12 << 20  # text that is counted and scored together
+PART_KEYS = 1 << 22  # about so many counted keys meet in one task
+PULL = 30.0  # pseudo-tokens that draw a word's share after another word towards its share of the class
 _END = np.uint64(0x656E64)
 _NONE = np.uint64(0x6E6F6E65)
 
@@ -31,16 +33,27 @@ class Tokens:
     kind: np.ndarray
     first: np.ndarray
 
+    def part(self, begin: int, end: int) -> Tokens:
+        """Texts ``begin`` to ``end``."""
+        some = slice(self.first[begin], self.first[end])
+        return Tokens(self.hash[some], self.kind[some], self.first[begin : end + 1] - self.first[begin])
+
+    def back(self, values: np.ndarray, k: int, none) -> np.ndarray:
+        """The value ``k`` tokens before, ``none`` where the text begins later."""
+        out = np.full(len(values), none, values.dtype)
+        out[k:] = values[:-k]
+        place = np.arange(len(values)) - np.repeat(self.first[:-1], np.diff(self.first))
+        return np.where(place >= k, out, none)
 
-def word_classes(data: np.ndarray, words: Words, head: np.ndarray) -> np.ndarray:
-    """Class of each word: its place in ``head`` (sorted hashes), else one by its shape.
+
+def word_shapes(data: np.ndarray, words: Words) -> np.ndarray:
+    """Class of each word that is none by itself: one by its shape, below ``CLASSES - HEAD``.
 
     The shape is the first two bytes' and the last byte's kind and which letters beyond ASCII it holds; these tell
     languages and styles apart.
     """
     if not len(words.hash):
-        return np.zeros(0, np.int64)
-    place = np.minimum(np.searchsorted(head, words.hash), len(head) - 1)
+        return np.zeros(0, np.uint8)
     wide = np.concatenate([[0], np.cumsum(np.where(data >= 0x80, data, 0).astype(np.int64))])
     accents = wide[words.end] - wide[words.start]
     lower = data | np.uint8(0x20)
@@ -48,30 +61,29 @@ def word_classes(data: np.ndarray, words: Words, head: np.ndarray) -> np.ndarray
     tail = np.where((last | 0x20).astype(np.uint8) - 97 < 26, 1, last.astype(np.int64))
     second = lower[np.minimum(words.start + 1, words.end - 1)].astype(np.int64)
     shape = tail + 512 * np.minimum(accents, 1 << 20) + (1 << 40) * (lower[words.start].astype(np.int64) // 4) + (1 << 48) * (second // 8)
-    return np.where(head[place] == words.hash, place, HEAD + (mixed(shape.astype(np.uint64)) % np.uint64(CLASSES - HEAD)).astype(np.int64))
+    return (mixed(shape.astype(np.uint64)) % np.uint64(CLASSES - HEAD)).astype(np.uint8)
+
+
+def ended(h: np.ndarray, shape: np.ndarray, first: np.ndarray, head: np.ndarray) -> Tokens:
+    """Words with an end token behind each text; a word's class is its place in ``head`` (sorted hashes), else by its shape."""
+    texts = len(first) - 1
+    spot = np.arange(len(h)) + np.repeat(np.arange(texts), np.diff(first))  # an end token behind each text before
+    place = np.minimum(np.searchsorted(head, h), len(head) - 1)
+    n = len(h) + texts
+    every, kind = np.full(n, _END), np.full(n, int(np.searchsorted(head, _END)))
+    every[spot], kind[spot] = h, np.where(head[place] == h, place, HEAD + shape.astype(np.int64))
+    return Tokens(every, kind, first + np.arange(texts + 1))
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray, head: np.ndarray) -> Tokens:
     words = split_words(data, offsets)
-    texts = len(offsets) - 1
-    spot = np.arange(len(words.hash)) + words.text  # an end token behind each text before
-    n = len(words.hash) + texts
-    h, kind = np.full(n, _END), np.full(n, int(np.searchsorted(head, _END)))
-    h[spot], kind[spot] = words.hash, word_classes(data, words, head)
-    return Tokens(h, kind, words.first + np.arange(texts + 1))
+    return ended(words.hash, word_shapes(data, words), words.first, head)
 
 
 def features(t: Tokens) -> np.ndarray:
     """Rows of each token's features: the word before, the two before, the word before with one skipped, and the three classes before."""
-
-    def back(values: np.ndarray, k: int, none) -> np.ndarray:
-        out = np.full(len(values), none, values.dtype)
-        out[k:] = values[:-k]
-        text = np.repeat(t.first[:-1], np.diff(t.first))
-        return np.where(np.arange(len(values)) - text >= k, out, none)
-
-    one, two = back(t.hash, 1, _NONE), back(t.hash, 2, _NONE)
-    kinds = [back(t.kind, k, CLASSES).astype(np.uint64) for k in (1, 2, 3)]
+    one, two = t.back(t.hash, 1, _NONE), t.back(t.hash, 2, _NONE)
+    kinds = [t.back(t.kind, k, CLASSES).astype(np.uint64) for k in (1, 2, 3)]
     seen = np.zeros(len(t.hash), np.uint64)
     for i, k in enumerate(kinds):
         seen += (k + np.uint64(1)) << np.uint64(9 * i)
@@ -82,6 +94,13 @@ def features(t: Tokens) -> np.ndarray:
     return np.stack([(f >> np.uint64(64 - 13)).astype(np.int64) for f in found], axis=1)
 
 
+def pair_keys(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the tokens whose class holds several words: where they are, key of (word before, word), key of (word before, class)."""
+    at = np.flatnonzero(t.kind >= HEAD)
+    before = t.back(t.hash, 1, _NONE)[at]
+    return at, mixed(before * np.uint64(3) + mixed(t.hash[at])), mixed(mixed(before + np.uint64(5)) + t.kind[at].astype(np.uint64))
+
+
 def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Scores of all classes, the largest zero."""
     logit = weights.take(rows[:, 0], axis=0)
@@ -128,39 +147,56 @@ def held_out(docs: DataFrame) -> Column:
     return F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def train(docs: DataFrame, head: np.ndarray, bias: np.ndarray, rounds: int = 2, rate: float = 1.0, batch: int = 2048) -> np.ndarray:
-    """Weights (ROWS x CLASSES) from one pass over ``docs``, dealt over ``rounds`` by a hash of the id.
+def gradient_step(weights: np.ndarray, energy: np.ndarray, met: np.ndarray, bias: np.ndarray, rows: np.ndarray, kind: np.ndarray, rate: float) -> None:
+    """One step over a small batch, in place; a row's step size shrinks with the squared gradients it has had."""
+    n, k = rows.shape
+    flat = rows.T.ravel().astype(np.uint16)  # sorted by radix
+    order = np.argsort(flat, kind="stable")
+    in_order = flat[order]
+    new = np.concatenate([[True], in_order[1:] != in_order[:-1]])
+    begin = np.flatnonzero(new)
+    row = in_order[begin].astype(np.int64)
+    local = np.empty(n * k, np.int64)
+    local[order] = np.cumsum(new) - 1
+    own = weights.take(row, axis=0)
+    slope = class_shares(own, bias, local.reshape(k, n).T)
+    slope[np.arange(n), kind] -= 1
+    token = order % n
+    length = np.diff(np.append(begin, n * k))
+    total = slope.take(token[begin], axis=0)
+    many = np.flatnonzero(length > 1)
+    if len(many):
+        runs = length[many]
+        total[many] = run_sums(slope.take(token[np.repeat(length > 1, length)], axis=0), np.concatenate([[0], np.cumsum(runs)[:-1]]))
+    spent = energy[row] + np.einsum("ij,ij->i", total, total)
+    energy[row] = spent
+    total *= (rate / np.sqrt(spent))[:, None]
+    weights[row] = own - total
+    met[row] += length
+
+
+def train(coded: DataFrame, head: np.ndarray, bias: np.ndarray, rounds: int = 2, rate: float = 1.0, batch: int = 4096) -> np.ndarray:
+    """Weights (ROWS x CLASSES) from one pass over the training rows of :func:`encoded`, dealt over ``rounds`` by a hash of their place.
 
     In a round every task starts from the weights so far and goes through its texts in small batches, each one a
-    gradient step with a step size per row that shrinks with the squared gradients it has had. Spark then averages
-    the tasks' rows, weighted by how often each task met the row. What reaches the driver has fixed size.
+    gradient step. Spark then averages the tasks' rows, weighted by how often each task met the row. What reaches
+    the driver has fixed size.
     """
     weights = np.zeros((ROWS, CLASSES), np.float32)
     for number in range(rounds):
-        some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(rounds)) == number).select(F.col("text").cast("string"))
-        shared = docs.sparkSession.sparkContext.broadcast(weights)  # fixed size
+        some = coded.where(~F.col("held_out") & (F.pmod(F.xxhash64("block", "place"), F.lit(rounds)) == number))
+        shared = coded.sparkSession.sparkContext.broadcast(weights)  # fixed size
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = shared.value.copy()
             energy, met = np.full(ROWS, 10, np.float32), np.zeros(ROWS)
-            for arrow in batches:
-                for _, data, offsets in text_slices(arrow.column(0), 1 << 17):
-                    t = tokens(data, offsets, head)
-                    rows = features(t)
+            for run in _runs(batches):
+                t = ended(run.hash, run.shape, run.first, head)
+                for begin, end in _cuts(t.first, 1 << 16):
+                    part = t.part(begin, end)
+                    rows = features(part)
                     for at in range(0, len(rows), batch):
-                        part, kind = rows[at : at + batch], t.kind[at : at + batch]
-                        slope = class_shares(own, bias, part)
-                        slope[np.arange(len(part)), kind] -= 1
-                        for j in range(part.shape[1]):
-                            order = np.argsort(part[:, j], kind="stable")
-                            sorted_rows = part[order, j]
-                            begin = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-                            total = run_sums(slope.take(order, axis=0), begin)
-                            row = sorted_rows[begin]
-                            energy[row] += np.einsum("ij,ij->i", total, total)
-                            total *= (rate / np.sqrt(energy[row]))[:, None]
-                            own[row] = own.take(row, axis=0) - total
-                            met[row] += np.diff(np.append(begin, len(part)))
+                        gradient_step(own, energy, met, bias, rows[at : at + batch], part.kind[at : at + batch], rate)
             seen = np.flatnonzero(met)
             for at in range(0, len(seen), 512):
                 r = seen[at : at + 512]
@@ -169,7 +205,7 @@ def train(docs: DataFrame, head: np.ndarray, bias: np.ndarray, rounds: int = 2,
                     [pa.array(r), pa.array(met[r]), pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1, dtype=np.int32) * CLASSES), flat)], names=["row", "met", "own"]
                 )
 
-        moved = some.mapInArrow(step, "row long, met double, own array<float>").withColumn("own", array_to_vector("own"))
+        moved = some.select(*RUN).mapInArrow(step, "row long, met double, own array<float>").withColumn("own", array_to_vector("own"))
         mean = moved.groupBy("row").agg(Summarizer.sum(F.col("own")).alias("own"), F.sum("met").alias("met")).select("row", "met", vector_to_array("own").alias("own"))
         found = mean.toArrow().combine_chunks()
         if found.num_rows:
@@ -179,104 +215,282 @@ def train(docs: DataFrame, head: np.ndarray, bias: np.ndarray, rounds: int = 2,
     return weights
 
 
-def scored(docs: DataFrame, rounds: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+RUN = ("block", "place", "held_out", "words", "shapes")
+
+
+@dataclass
+class Run:
+    """Consecutive texts of one block, the first one at ``start``."""
+
+    block: int
+    start: int
+    held: np.ndarray
+    hash: np.ndarray
+    shape: np.ndarray
+    first: np.ndarray
+
+
+def _binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """One binary entry per run of ``values`` between ``cuts``."""
+    places = np.ascontiguousarray(cuts * values.itemsize, np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _joined(column: pa.Array | pa.ChunkedArray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all binary entries, and where each entry begins, with one more entry."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    values, lengths = [np.zeros(0, dtype)], [np.zeros(0, np.int64)]
+    for c in chunks:
+        if len(c):
+            wide = c.cast(pa.large_binary())
+            offsets = np.frombuffer(wide.buffers()[1], np.int64, len(c) + 1 + wide.offset)[wide.offset :]
+            data = wide.buffers()[2]
+            if data is not None and offsets[-1] > offsets[0]:
+                values.append(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].copy().view(dtype))
+            lengths.append(np.diff(offsets) // np.dtype(dtype).itemsize)
+    return np.concatenate(values), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+
+
+def _run_of(batches: list[pa.RecordBatch]) -> Run:
+    rows = pa.Table.from_batches(batches)
+    words, first = _joined(rows["words"], np.uint64)
+    shapes, _ = _joined(rows["shapes"], np.uint8)
+    return Run(rows["block"][0].as_py(), rows["place"][0].as_py(), rows["held_out"].to_numpy(), words, shapes, first)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[Run]:
+    """Texts in the order read, cut where the block changes."""
+    kept, last = [], None
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1), len(block)]
+        for begin, end in zip(edges[:-1], edges[1:], strict=True):
+            if begin == end:
+                continue
+            if kept and block[begin] != last:
+                yield _run_of(kept)
+                kept = []
+            kept.append(batch.slice(begin, end - begin))
+            last = block[begin]
+    if kept:
+        yield _run_of(kept)
+
+
+def _cuts(first: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts with about ``most`` tokens; only a single longer text makes one larger."""
+    begin = 0
+    while begin < len(first) - 1:
+        end = max(begin + 1, int(np.searchsorted(first, first[begin] + most, side="right")) - 1)
+        yield begin, end
+        begin = end
+
+
+def encoded(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``block``, ``place`` in the block, ``doc_id``, ``held_out``, ``words`` (64-bit hashes), ``shapes`` of every text, stored.
+
+    A block is a run of consecutive documents of one task of at least ``block_bytes`` where there are as many, so no
+    id, null or repeated, makes a block crowded. Each text is split into words once.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("doc_id", held_out(rows).alias("held_out"), "text")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, place, filled = TaskContext.get().partitionId() << 32, 0, 0
+        for batch in batches:
+            for row, data, offsets in text_slices(batch.column(2), min(1 << 18, block_bytes)):
+                if filled >= block_bytes:
+                    block, place, filled = block + 1, 0, 0
+                words = split_words(data, offsets)
+                n = len(offsets) - 1
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(n, block)), pa.array(np.arange(place, place + n)), batch.column(0).slice(row, n), batch.column(1).slice(row, n),
+                        _binary(words.hash, words.first), _binary(word_shapes(data, words), words.first),
+                    ],
+                    names=["block", "place", "doc_id", "held_out", "words", "shapes"],
+                )
+                place, filled = place + n, filled + len(data)
+
+    return stored(rows.mapInArrow(encode, "block long, place long, doc_id long, held_out boolean, words binary, shapes binary"), "coded-texts")
+
+
+def _training(run: Run) -> np.ndarray:
+    """Marks the words of texts that are not held out."""
+    return np.repeat(~run.held, np.diff(run.first))
+
+
+def _word_keys(run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return run.hash, _training(run), run.shape
+
+
+def _pair_keys_by(head: np.ndarray) -> Callable[[Run], tuple[np.ndarray, np.ndarray, None]]:
+    def keys(run: Run) -> tuple[np.ndarray, np.ndarray, None]:
+        t = ended(run.hash, run.shape, run.first, head)
+        at, pair, context = pair_keys(t)
+        used = np.repeat(~run.held, np.diff(t.first))[at]
+        return np.concatenate([pair, context]), np.concatenate([used, used]), None
+
+    return keys
+
+
+def key_totals(coded: DataFrame, keys_of: Callable[[Run], tuple[np.ndarray, np.ndarray, np.ndarray | None]], parts: int) -> DataFrame:
+    """Counts of all keys over the training texts of the whole table, handed back to the runs of texts that hold them.
+
+    Every run lists its distinct keys in order with their counts; the range of hashes is cut into ``parts``, and one
+    task adds up a part. It gives each run the ``totals`` of the run's own keys, in their order (``block``, ``start``,
+    ``part``), so no task holds all keys. Rows without block sum the part up: words and tokens by shape (``shape``,
+    ``v``, ``n``), and its most frequent keys (``h``, ``shape``, ``n``).
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches):
+            keys, used, shape = keys_of(run)
+            if not len(keys):
+                continue
+            own, at = np.unique(keys, return_index=shape is not None) if shape is not None else (np.unique(keys), None)
+            n = np.zeros(len(own), np.uint32)
+            trained, times = np.unique(keys[used], return_counts=True)
+            n[np.searchsorted(own, trained)] = times
+            part = ((own >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            cuts = np.append(begin, len(own))
+            kind = shape[at] if shape is not None else np.zeros(len(own), np.uint8)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(part[begin].astype(np.int64)), pa.array(np.full(len(begin), run.block)), pa.array(np.full(len(begin), run.start)),
+                    _binary(own, cuts), _binary(n, cuts), _binary(kind, cuts),
+                ],
+                names=["part", "block", "start", "keys", "n", "shapes"],
+            )
+
+    def total(group: pa.Table) -> pa.Table:
+        keys, cuts = _joined(group["keys"], np.uint64)
+        n, _ = _joined(group["n"], np.uint32)
+        shapes, _ = _joined(group["shapes"], np.uint8)
+        own, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        sums = np.bincount(inverse, weights=n, minlength=len(own)).astype(np.int64)
+        kind = shapes[at].astype(np.int64)
+        back = pa.table({"block": group["block"], "start": group["start"], "part": group["part"], "totals": _binary(sums[inverse], cuts)})
+        v, of = np.bincount(kind[sums > 0], minlength=CLASSES - HEAD), np.bincount(kind, weights=sums, minlength=CLASSES - HEAD).astype(np.int64)
+        top = np.argsort(-sums, kind="stable")[: HEAD - 1]
+        top = top[sums[top] > 0]
+        by_shape = pa.table({"shape": pa.array(np.arange(CLASSES - HEAD)), "v": pa.array(v.astype(np.int64)), "n": pa.array(of)})
+        frequent = pa.table({"shape": pa.array(kind[top]), "n": pa.array(sums[top]), "h": pa.array(own[top].view(np.int64))})
+        full = pa.concat_tables([back, by_shape, frequent], promote_options="default")
+        return full.select(["block", "start", "part", "totals", "shape", "v", "n", "h"])
+
+    spreaded = coded.select(*RUN).mapInArrow(spread, "part long, block long, start long, keys binary, n binary, shapes binary")
+    return spreaded.groupBy("part").applyInArrow(total, "block long, start long, part long, totals binary, shape long, v long, n long, h long")
+
+
+def _per_key(keys: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """The total of each entry of ``keys``, from the totals of the distinct ones in order."""
+    own, inverse = np.unique(keys, return_inverse=True)
+    if len(own) != len(totals):
+        raise ValueError("totals of another run of texts")
+    return totals[inverse] if len(keys) else np.zeros(0, np.int64)
+
+
+def scored(docs: DataFrame, rounds: int = 2, block_bytes: int = BLOCK_BYTES, pull: float = PULL, part_keys: int = PART_KEYS) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` for every document.
 
-    Tokens are lower-cased words and one end per text. The model learns from documents that are not held out. The
-    probability of a token is that of its class, a softmax over hashed features of the tokens before, times its
-    share of the class: (count + 1) / (class tokens + class words + 1), where the added one of every class is for
-    unknown words. ``score`` sums the log10; ``base_score`` is a smoothed unigram model's. Counts are exact and cover
-    all training documents.
+    Tokens are lower-cased words and one end per text, told by 64-bit hashes. The model learns from documents that
+    are not held out. The probability of a token is that of its class times that of the word in the class, both
+    softmaxes over features of the tokens before. The class softmax has hashed n-gram and skip features, trained by
+    gradient steps. Within a class a word starts from its share q = (count + 1) / (class tokens + class words + 1),
+    where the added one is for unknown words, and has one feature per word before it, with weight
+    log(1 + pairs / (``pull`` q)). These weights sum to the normaliser 1 + (word before, class) / ``pull``, so they
+    need no further pass: the table of pairs grows with the corpus and is counted whole. ``score`` sums the log10;
+    ``base_score`` is a smoothed unigram model's. Counts are exact and cover all training documents.
 
-    Documents are dealt by hash into blocks of bounded text. Each block lists its distinct words, these are summed up
-    over all blocks by word, and each block gets back the counts of its own words: no task holds the vocabulary.
     Null texts are empty and score their end token. Rows without id count as id ''. An empty table gives an
-    empty one. Without training documents every count is 0 and both models are uniform.
+    empty one. Without training documents every count is 0 and both models are uniform. Repeated rows are scored each.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("held_out", held_out(rows))
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
-
-    def vocabulary(frame: pd.DataFrame) -> pd.DataFrame:
-        counts: dict[bytes, int] = {}
-        for text, out in zip(frame["text"], frame["held_out"], strict=True):
-            for w in text.encode().translate(LOWER_BYTES).split():
-                counts[w] = counts.get(w, 0) + (not out)
-        block = frame["block"].iloc[0]
-        return pd.DataFrame({"block": block, "word": list(counts), "n": list(counts.values())}, columns=["block", "word", "n"])
-
-    used = dealt.groupBy("block").applyInPandas(vocabulary, "block int, word binary, n long")
-    by_word = Window.partitionBy("word")  # a word has one row per block at most
-    known = used.withColumn("c", F.sum("n").over(by_word)).withColumn("once", F.row_number().over(by_word.orderBy("block")) == 1)
-    known = stored(known.where("c > 0").select("block", "word", "c", "once"), "vocabulary")
+    coded = encoded(docs, block_bytes)
+    sizes = coded.agg(F.coalesce(F.sum(F.length("words") / 8), F.lit(0)).cast("long"), F.coalesce(F.sum(F.when(~F.col("held_out"), 1)), F.lit(0))).first()
+    parts, ends = max(1, -(-sizes[0] // part_keys)), sizes[1]
+    words = stored(key_totals(coded, _word_keys, parts), "word-totals")
     release(spark)
-    once = known.where("once").select("word", "c")
-    ends = rows.where(~F.col("held_out")).count()
-    words, total = once.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    n, v = total + ends, words + (ends > 0)
-    top = [bytes(r["word"]) for r in once.orderBy(F.desc("c"), "word").limit(HEAD - 1).collect()]
-    head = np.sort(np.append(_hashes(top), _END))
+    by_shape = words.where("block is null and v is not null").groupBy("shape").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()  # one row a shape
+    top = words.where("block is null and h is not null").orderBy(F.desc("n"), "h").limit(HEAD - 1).collect()
+    v, n = sum(r["v"] for r in by_shape) + (ends > 0), sum(r["n"] for r in by_shape) + ends
+    head = np.sort(np.append(np.array([r["h"] for r in top], np.int64).view(np.uint64), _END))
     head = np.concatenate([head, np.full(HEAD - len(head), np.iinfo(np.uint64).max)])
-
-    def classes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"kind": _classes(f["word"].tolist(), head), "c": f["c"]})
-
-    sums = once.mapInPandas(classes, "kind long, c long").groupBy("kind").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in sums:
-        class_n[r["kind"]], class_v[r["kind"]] = r["n"], r["v"]
+    for r in by_shape:
+        class_n[HEAD + r["shape"]], class_v[HEAD + r["shape"]] = r["n"], r["v"]
+    for r in top:
+        own = int(np.searchsorted(head, np.int64(r["h"]).view(np.uint64)))
+        class_n[own], class_v[own] = r["n"], 1
+        class_n[HEAD + r["shape"]] -= r["n"]
+        class_v[HEAD + r["shape"]] -= 1
     end_kind = int(np.searchsorted(head, _END))
     class_n[end_kind] += ends
     class_v[end_kind] += ends > 0
     bias = np.log((class_n + 0.5) / (class_n.sum() + 0.5 * CLASSES)).astype(np.float32)
-    shared = spark.sparkContext.broadcast(train(rows.where(~F.col("held_out")), head, bias, rounds))  # fixed size
+    pairs = stored(key_totals(coded, _pair_keys_by(head), parts).where("block is not null").select("block", "start", "part", "totals"), "pair-totals")
+    release(spark)
+    shared = spark.sparkContext.broadcast(train(coded, head, bias, rounds))  # fixed size
+    release(spark)
 
-    def score(docs_of: pd.DataFrame, words_of: pd.DataFrame) -> pd.DataFrame:
+    def score(docs_of: pa.Table, totals_of: pa.Table) -> pa.Table:
+        docs_of = docs_of.sort_by("place")
+        counted = totals_of.sort_by([("family", "ascending"), ("start", "ascending"), ("part", "ascending")])
+        h, first = _joined(docs_of["words"], np.uint64)
+        shape, _ = _joined(docs_of["shapes"], np.uint8)
+        t = ended(h, shape, first, head)
+        place, family, start = docs_of["place"].to_numpy(), counted["family"].to_numpy(), counted["start"].to_numpy()
+        values, cuts = _joined(counted["totals"], np.int64)
+        count = np.full(len(t.hash), ends, np.int64)  # of end tokens, for a start
+        after, context = np.zeros(len(t.hash), np.int64), np.zeros(len(t.hash), np.int64)
+        word = np.ones(len(t.hash), bool)
+        word[t.first[1:] - 1] = False
+        for kind in (0, 1):
+            mine = np.flatnonzero(family == kind)
+            if not len(mine):
+                continue
+            begins = mine[np.flatnonzero(np.concatenate([[True], start[mine][1:] != start[mine][:-1]]))]
+            rows = np.searchsorted(place, start[begins])
+            for i, (row, at) in enumerate(zip(rows, begins, strict=True)):  # the runs of texts that were counted together
+                last = rows[i + 1] if i + 1 < len(rows) else len(place)
+                stop = begins[i + 1] if i + 1 < len(begins) else mine[-1] + 1
+                totals = values[cuts[at] : cuts[stop]]
+                low = t.first[row]
+                some = t.part(row, last)
+                if kind == 0:
+                    inside = low + np.flatnonzero(word[low : low + len(some.hash)])
+                    count[inside] = _per_key(t.hash[inside], totals)
+                else:
+                    where, pair, ahead = pair_keys(some)
+                    found = _per_key(np.concatenate([pair, ahead]), totals)
+                    after[low + where], context[low + where] = found[: len(where)], found[len(where) :]
+        known = np.where(word, count > 0, ends > 0)
+        base = np.log10((count + 1) / (n + v + 1))
+        share = (count + 1) / (class_n[t.kind] + class_v[t.kind] + 1)
+        model = np.log10((after + pull * share) / (context + pull))
         weights = shared.value
-        h = np.append(_hashes([bytes(w) for w in words_of["word"]]), _END)
-        c = np.append(words_of["c"].to_numpy(np.int64), ends)
-        order = np.argsort(h)
-        h, c = h[order], c[order]
-        out = []
-        for _, data, offsets in text_slices(pa.array(docs_of["text"], pa.large_string())):
-            t = tokens(data, offsets, head)
-            place = np.minimum(np.searchsorted(h, t.hash), len(h) - 1)
-            count = np.where(h[place] == t.hash, c[place], 0)
-            base = np.log10((count + 1) / (n + v + 1))
-            feature = features(t)
-            model = np.empty(len(count))
-            for at in range(0, len(count), 8192):  # in cache
-                model[at : at + 8192] = class_scores(weights, bias, feature[at : at + 8192], t.kind[at : at + 8192])
-            model = model / np.log(10) + np.log10((count + 1) / (class_n[t.kind] + class_v[t.kind] + 1))
-            some = t.first[:-1]
-            out.append(np.stack([np.diff(t.first), np.add.reduceat(count > 0, some, dtype=np.int64), np.add.reduceat(base, some), np.add.reduceat(model, some)], axis=1))
-        found = np.concatenate(out) if out else np.zeros((0, 4))
-        return pd.DataFrame(
+        for begin, end in _cuts(t.first, 1 << 16):
+            some = t.part(begin, end)
+            feature = features(some)
+            for at in range(0, len(feature), 8192):  # in cache
+                found = class_scores(weights, bias, feature[at : at + 8192], some.kind[at : at + 8192])
+                model[t.first[begin] + at : t.first[begin] + at + len(found)] += found / np.log(10)
+        some = t.first[:-1]
+        return pa.table(
             {
-                "doc_id": docs_of["doc_id"].astype("Int64"), "held_out": docs_of["held_out"], "n_tokens": found[:, 0].astype(np.int64), "n_known": found[:, 1].astype(np.int64),
-                "train_tokens": n, "base_score": found[:, 2], "score": found[:, 3],
+                "doc_id": docs_of["doc_id"], "held_out": docs_of["held_out"], "n_tokens": np.diff(t.first), "n_known": np.add.reduceat(known, some, dtype=np.int64),
+                "train_tokens": np.full(len(some), n, np.int64), "base_score": np.add.reduceat(base, some), "score": np.add.reduceat(model, some),
             }
         )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(known.select("block", "word", "c").groupBy("block")).applyInPandas(score, schema)
-
-
-def _run(words: list[bytes]) -> tuple[np.ndarray, Words]:
-    data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-    return data, split_words(data, np.array([0, len(data)]))
+    totals = words.where("block is not null").select("block", "start", "part", "totals", F.lit(0).alias("family")).union(pairs.withColumn("family", F.lit(1)))
+    return coded.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, schema)
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
-    return _run(words)[1].hash if words else np.zeros(0, np.uint64)
-
-
-def _classes(words: list[bytes], head: np.ndarray) -> np.ndarray:
     if not words:
-        return np.zeros(0, np.int64)
-    data, run = _run(words)
-    return word_classes(data, run, head)
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
+    return split_words(data, np.array([0, len(data)])).hash

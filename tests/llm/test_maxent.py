@@ -39,7 +39,73 @@ def test_counts_and_held_out_scores(spark):
     assert [f[:5] for f in found] == [w[:5] for w in want]
     assert np.allclose([f[5] for f in found], [w[5] for w in want], atol=1e-6)
     held = rows.where("held_out").selectExpr("sum(score) as s", "sum(base_score) as b", "sum(n_tokens) as n").first()
-    assert held["s"] / held["n"] > held["b"] / held["n"] + 0.05  # log10 a token, on text it has not seen
+    assert held["s"] / held["n"] > held["b"] / held["n"] + 0.2  # log10 a token, on text it has not seen
+
+
+def plain_scores(rows, pull):
+    """Scores of untrained class weights: class by its frequency, word in the class by the word before."""
+    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    counts, pairs, contexts = Counter(), Counter(), Counter()
+    for i, t in rows:
+        if not out[i]:
+            counts.update(words(t))
+    ends = sum(not out[i] for i, _ in rows)
+    key = {w: int(maxent._hashes([w.encode()])[0]) for i, t in rows for w in words(t)}
+    head = sorted(counts, key=lambda w: (-counts[w], np.uint64(key[w]).astype(np.int64)))[: maxent.HEAD - 1]
+
+    def kind(w):
+        if w is None or w in head:
+            return w
+        raw = np.frombuffer(w.encode(), np.uint8)
+        return int(maxent.word_shapes(raw, maxent.split_words(raw, np.array([0, len(raw)])))[0])
+
+    for i, t in rows:
+        if not out[i]:
+            for u, w in zip([None, *words(t)], words(t), strict=False):
+                pairs[u, w] += 1
+                contexts[u, kind(w)] += 1
+    counts[None] = ends
+    class_n, class_v = Counter(), Counter()
+    for w, c in counts.items():
+        class_n[kind(w)] += c
+        class_v[kind(w)] += c > 0
+    total = sum(class_n.values()) + 0.5 * maxent.CLASSES
+    got = []
+    for i, t in rows:
+        score = 0.0
+        for u, w in zip([None, *words(t)], [*words(t), None], strict=True):
+            k = kind(w)
+            q = (counts[w] + 1) / (class_n[k] + class_v[k] + 1)
+            inside = (pairs[u, w] + pull * q) / (contexts[u, k] + pull) if isinstance(k, int) else q
+            score += math.log10((class_n[k] + 0.5) / total * inside)
+        got.append((i, score))
+    return sorted(got)
+
+
+@pytest.mark.parametrize("block_bytes", [1, 400, 1 << 20])
+def test_scores_equal_plain_ones_whatever_the_blocks(spark, documents, block_bytes):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"{chr(97 + k % 26)}{chr(97 + k // 9)}{'é' * (k % 3)}{k}" for k in range(90)]
+    rows = [(i, " ".join(vocabulary[min(89, int(k))] for k in rng.exponential(25, rng.integers(0, 40)))) for i in range(120)]
+    rows += [(7, "twice the same"), (7, "twice the same"), (500, "x y " * 400)]
+    found = maxent.scored(documents(rows, 5), rounds=0, block_bytes=block_bytes, pull=3.0, part_keys=70).collect()
+    got, want = sorted((r["doc_id"], r["score"]) for r in found), plain_scores(rows, 3.0)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-4)
+
+
+def test_a_block_may_be_read_in_several_runs(spark, documents):
+    """A stored file that Spark cuts within a block gives totals of each run apart."""
+    rows = [(i, f"a b{i % 7} c{i % 5} d e{i}") for i in range(300)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        coded = maxent.encoded(documents(rows, 2), 1 << 20).repartition(6)
+        runs = maxent.key_totals(coded, maxent._word_keys, 3).where("block is not null").select("block", "start").distinct().count()
+        sums = maxent.key_totals(coded, maxent._word_keys, 3).where("v is not null").selectExpr("sum(n) as n", "sum(v) as v").first()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = plain(rows)[0][4]
+    assert runs > 2 and sums["n"] == want - sum(not r[1] for r in plain(rows))
 
 
 def test_edge_rows(spark, documents):
@@ -61,6 +127,21 @@ def test_probabilities_sum_to_one():
     assert np.allclose(maxent.class_scores(weights, bias, rows, kind), np.log(share[np.arange(50), kind]), atol=1e-4)
 
 
+def test_gradient_step_equals_a_plain_loop():
+    rng = np.random.default_rng(2)
+    bias = rng.normal(size=maxent.CLASSES).astype(np.float32)
+    weights = rng.normal(size=(maxent.ROWS, maxent.CLASSES)).astype(np.float32)
+    rows, kind = rng.integers(0, 40, (30, 4)), rng.integers(0, maxent.CLASSES, 30)
+    slope = maxent.class_shares(weights, bias, rows)
+    slope[np.arange(30), kind] -= 1
+    want, energy, met = weights.copy(), np.full(maxent.ROWS, 10, np.float32), np.zeros(maxent.ROWS)
+    for r in set(rows.ravel().tolist()):
+        total = sum(slope[i] * (rows[i] == r).sum() for i in range(30))
+        want[r] -= 0.5 * total / np.sqrt(10 + (total**2).sum())
+    maxent.gradient_step(weights, energy, met, bias, rows, kind, 0.5)
+    assert np.allclose(weights, want, atol=1e-4) and met.sum() == rows.size
+
+
 @pytest.mark.parametrize("text", ["", "a", "a b c d e f", "é ñandú straße x*** y!!"])
 def test_features_look_back_within_the_text(text):
     head = np.sort(np.append(maxent._hashes([b"a", b"b"]), maxent._END))
