@@ -94,11 +94,12 @@ def features(t: Tokens) -> np.ndarray:
     return np.stack([(f >> np.uint64(64 - 13)).astype(np.int64) for f in found], axis=1)
 
 
-def pair_keys(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the tokens whose class holds several words: where they are, key of (word before, word), key of (word before, class)."""
+def pair_keys(t: Tokens, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the tokens whose class holds several words: where they are, key of (word before, word), key of (word before, class), each with ``bits`` set at most."""
     at = np.flatnonzero(t.kind >= HEAD)
-    before = t.back(t.hash, 1, _NONE)[at]
-    return at, mixed(before * np.uint64(3) + mixed(t.hash[at])), mixed(mixed(before + np.uint64(5)) + t.kind[at].astype(np.uint64))
+    before, cut = t.back(t.hash, 1, _NONE)[at], np.uint64(64 - bits)
+    pair, context = mixed(before * np.uint64(3) + mixed(t.hash[at])), mixed(mixed(before + np.uint64(5)) + t.kind[at].astype(np.uint64))
+    return at, pair >> cut << cut, context >> cut << cut
 
 
 def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -176,7 +177,7 @@ def gradient_step(weights: np.ndarray, energy: np.ndarray, met: np.ndarray, bias
 
 
 def train(coded: DataFrame, head: np.ndarray, bias: np.ndarray, rounds: int = 2, rate: float = 1.0, batch: int = 4096) -> np.ndarray:
-    """Weights (ROWS x CLASSES) from one pass over the training rows of :func:`encoded`, dealt over ``rounds`` by a hash of their place.
+    """Weights (ROWS x CLASSES) from one pass over the training texts of :func:`encoded`, dealt over ``rounds`` by a hash of their place.
 
     In a round every task starts from the weights so far and goes through its texts in small batches, each one a
     gradient step. Spark then averages the tasks' rows, weighted by how often each task met the row. What reaches
@@ -184,14 +185,15 @@ def train(coded: DataFrame, head: np.ndarray, bias: np.ndarray, rounds: int = 2,
     """
     weights = np.zeros((ROWS, CLASSES), np.float32)
     for number in range(rounds):
-        some = coded.where(~F.col("held_out") & (F.pmod(F.xxhash64("block", "place"), F.lit(rounds)) == number))
+        some = coded.where(F.pmod(F.xxhash64("block", "place"), F.lit(rounds)) == number)
         shared = coded.sparkSession.sparkContext.broadcast(weights)  # fixed size
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = shared.value.copy()
             energy, met = np.full(ROWS, 10, np.float32), np.zeros(ROWS)
             for run in _runs(batches):
-                t = ended(run.hash, run.shape, run.first, head)
+                used, lengths = _training(run), np.diff(run.first)[~run.held]
+                t = ended(run.hash[used], run.shape[used], np.concatenate([[0], np.cumsum(lengths)]), head)
                 for begin, end in _cuts(t.first, 1 << 16):
                     part = t.part(begin, end)
                     rows = features(part)
@@ -215,7 +217,7 @@ def train(coded: DataFrame, head: np.ndarray, bias: np.ndarray, rounds: int = 2,
     return weights
 
 
-RUN = ("block", "place", "held_out", "words", "shapes")
+RUN = ("block", "place", "held_out", "words", "codes", "shapes", "lengths")
 
 
 @dataclass
@@ -230,32 +232,52 @@ class Run:
     first: np.ndarray
 
 
-def _binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """One binary entry per run of ``values`` between ``cuts``."""
-    places = np.ascontiguousarray(cuts * values.itemsize, np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(values))])
+def packed(values: np.ndarray) -> bytes:
+    """The numbers byte by byte of their width, compressed: bytes that rarely differ take next to nothing."""
+    plain = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T)
+    return np.int64(len(values)).tobytes() + pa.Codec("zstd", compression_level=1).compress(plain.tobytes(), asbytes=True)
 
 
-def _joined(column: pa.Array | pa.ChunkedArray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all binary entries, and where each entry begins, with one more entry."""
-    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
-    values, lengths = [np.zeros(0, dtype)], [np.zeros(0, np.int64)]
-    for c in chunks:
-        if len(c):
-            wide = c.cast(pa.large_binary())
-            offsets = np.frombuffer(wide.buffers()[1], np.int64, len(c) + 1 + wide.offset)[wide.offset :]
-            data = wide.buffers()[2]
-            if data is not None and offsets[-1] > offsets[0]:
-                values.append(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].copy().view(dtype))
-            lengths.append(np.diff(offsets) // np.dtype(dtype).itemsize)
-    return np.concatenate(values), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+def unpacked(blob: bytes, dtype: type) -> np.ndarray:
+    n, size = int(np.frombuffer(blob, np.int64, 1)[0]), np.dtype(dtype).itemsize
+    if not n:
+        return np.zeros(0, dtype)
+    plain = np.frombuffer(pa.Codec("zstd").decompress(blob[8:], n * size, asbytes=True), np.uint8)
+    return np.ascontiguousarray(plain.reshape(size, n).T).view(dtype).ravel()
+
+
+def _keys(blob: bytes) -> np.ndarray:
+    """Sorted keys, which are packed by their differences."""
+    return np.cumsum(unpacked(blob, np.uint64), dtype=np.uint64)
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _all(parts: list[np.ndarray], dtype: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype), *parts])
+
+
+def _words_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, their shapes and where each text's words begin, of rows of :func:`encoded`."""
+    h, shape, length = [], [], []
+    for own, codes, shapes, lengths in zip(*(rows[c].to_pylist() for c in ("words", "codes", "shapes", "lengths")), strict=True):
+        code = unpacked(codes, np.uint32)
+        h.append(_keys(own)[code])
+        shape.append(unpacked(shapes, np.uint8)[code])
+        length.append(unpacked(lengths, np.uint32))
+    return _all(h, np.uint64), _all(shape, np.uint8), np.concatenate([[0], np.cumsum(_all(length, np.int64))])
+
+
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks().flatten()
 
 
 def _run_of(batches: list[pa.RecordBatch]) -> Run:
     rows = pa.Table.from_batches(batches)
-    words, first = _joined(rows["words"], np.uint64)
-    shapes, _ = _joined(rows["shapes"], np.uint8)
-    return Run(rows["block"][0].as_py(), rows["place"][0].as_py(), rows["held_out"].to_numpy(), words, shapes, first)
+    words, shapes, first = _words_of(rows)
+    return Run(rows["block"][0].as_py(), rows["place"][0].as_py(), _flat(rows["held_out"]).to_numpy(zero_copy_only=False), words, shapes, first)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[Run]:
@@ -286,9 +308,11 @@ def _cuts(first: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 def encoded(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``block``, ``place`` in the block, ``doc_id``, ``held_out``, ``words`` (64-bit hashes), ``shapes`` of every text, stored.
+    """Runs of texts as rows, stored: ``block``, ``place`` of the first text in it, ``doc_id`` and ``held_out`` of all its texts, and their words.
 
-    A block is a run of consecutive documents of one task of at least ``block_bytes`` where there are as many, so no
+    ``words`` holds the run's distinct 64-bit hashes, ``shapes`` their shapes, ``codes`` each word's place among them,
+    ``lengths`` the words per text. A run takes about a quarter of a megabyte of text; only a longer text makes it larger. A
+    block is a run of consecutive documents of one task of at least ``block_bytes`` where there are as many, so no
     id, null or repeated, makes a block crowded. Each text is split into words once.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -301,17 +325,19 @@ def encoded(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 if filled >= block_bytes:
                     block, place, filled = block + 1, 0, 0
                 words = split_words(data, offsets)
-                n = len(offsets) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, block)), pa.array(np.arange(place, place + n)), batch.column(0).slice(row, n), batch.column(1).slice(row, n),
-                        _binary(words.hash, words.first), _binary(word_shapes(data, words), words.first),
-                    ],
-                    names=["block", "place", "doc_id", "held_out", "words", "shapes"],
-                )
+                own, at, codes = np.unique(words.hash, return_index=True, return_inverse=True)
+                n, held = len(offsets) - 1, batch.column(1).slice(row, len(offsets) - 1)
+                lengths, whole = np.diff(words.first), pa.array([0, len(offsets) - 1], pa.int32())
+                columns = {
+                    "block": [block], "place": [place], "doc_id": pa.ListArray.from_arrays(whole, batch.column(0).slice(row, n)), "held_out": pa.ListArray.from_arrays(whole, held),
+                    "words": [_packed_keys(own)], "codes": [packed(codes.astype(np.uint32))], "shapes": [packed(word_shapes(data, words)[at])],
+                    "lengths": [packed(lengths.astype(np.uint32))], "n_words": [len(words.hash)], "n_training": [n - held.true_count],
+                }
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
                 place, filled = place + n, filled + len(data)
 
-    return stored(rows.mapInArrow(encode, "block long, place long, doc_id long, held_out boolean, words binary, shapes binary"), "coded-texts")
+    schema = "block long, place long, doc_id array<long>, held_out array<boolean>, words binary, codes binary, shapes binary, lengths binary, n_words long, n_training long"
+    return stored(rows.mapInArrow(encode, schema), "coded-texts")
 
 
 def _training(run: Run) -> np.ndarray:
@@ -323,10 +349,15 @@ def _word_keys(run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return run.hash, _training(run), run.shape
 
 
-def _pair_keys_by(head: np.ndarray) -> Callable[[Run], tuple[np.ndarray, np.ndarray, None]]:
+def key_bits(tokens: int) -> int:
+    """Bits of a pair's hash: 20 more than the count of tokens has, so that a key meets another's by a chance of one in a million at any size."""
+    return min(64, 20 + int(tokens).bit_length())
+
+
+def _pair_keys_by(head: np.ndarray, bits: int) -> Callable[[Run], tuple[np.ndarray, np.ndarray, None]]:
     def keys(run: Run) -> tuple[np.ndarray, np.ndarray, None]:
         t = ended(run.hash, run.shape, run.first, head)
-        at, pair, context = pair_keys(t)
+        at, pair, context = pair_keys(t, bits)
         used = np.repeat(~run.held, np.diff(t.first))[at]
         return np.concatenate([pair, context]), np.concatenate([used, used]), None
 
@@ -353,24 +384,26 @@ def key_totals(coded: DataFrame, keys_of: Callable[[Run], tuple[np.ndarray, np.n
             n[np.searchsorted(own, trained)] = times
             part = ((own >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            cuts = np.append(begin, len(own))
             kind = shape[at] if shape is not None else np.zeros(len(own), np.uint8)
+            pieces = [slice(i, j) for i, j in zip(begin, [*begin[1:], len(own)], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(part[begin].astype(np.int64)), pa.array(np.full(len(begin), run.block)), pa.array(np.full(len(begin), run.start)),
-                    _binary(own, cuts), _binary(n, cuts), _binary(kind, cuts),
+                    pa.array([_packed_keys(own[p]) for p in pieces], pa.binary()), pa.array([packed(n[p]) for p in pieces], pa.binary()), pa.array([packed(kind[p]) for p in pieces], pa.binary()),
                 ],
                 names=["part", "block", "start", "keys", "n", "shapes"],
             )
 
     def total(group: pa.Table) -> pa.Table:
-        keys, cuts = _joined(group["keys"], np.uint64)
-        n, _ = _joined(group["n"], np.uint32)
-        shapes, _ = _joined(group["shapes"], np.uint8)
+        lists = [_keys(k) for k in group["keys"].to_pylist()]
+        cuts = np.cumsum([len(k) for k in lists])[:-1]
+        keys = _all(lists, np.uint64)
+        n = _all([unpacked(x, np.uint32) for x in group["n"].to_pylist()], np.uint32)
+        shapes = _all([unpacked(x, np.uint8) for x in group["shapes"].to_pylist()], np.uint8)
         own, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
         sums = np.bincount(inverse, weights=n, minlength=len(own)).astype(np.int64)
         kind = shapes[at].astype(np.int64)
-        back = pa.table({"block": group["block"], "start": group["start"], "part": group["part"], "totals": _binary(sums[inverse], cuts)})
+        back = pa.table({"block": group["block"], "start": group["start"], "part": group["part"], "totals": pa.array([packed(x) for x in np.split(sums[inverse], cuts)], pa.binary())})
         v, of = np.bincount(kind[sums > 0], minlength=CLASSES - HEAD), np.bincount(kind, weights=sums, minlength=CLASSES - HEAD).astype(np.int64)
         top = np.argsort(-sums, kind="stable")[: HEAD - 1]
         top = top[sums[top] > 0]
@@ -408,8 +441,8 @@ def scored(docs: DataFrame, rounds: int = 2, block_bytes: int = BLOCK_BYTES, pul
     """
     spark = docs.sparkSession
     coded = encoded(docs, block_bytes)
-    sizes = coded.agg(F.coalesce(F.sum(F.length("words") / 8), F.lit(0)).cast("long"), F.coalesce(F.sum(F.when(~F.col("held_out"), 1)), F.lit(0))).first()
-    parts, ends = max(1, -(-sizes[0] // part_keys)), sizes[1]
+    size, ends = coded.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_training"), F.lit(0))).first()
+    parts, bits = max(1, -(-size // part_keys)), key_bits(size)
     words = stored(key_totals(coded, _word_keys, parts), "word-totals")
     release(spark)
     by_shape = words.where("block is null and v is not null").groupBy("shape").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()  # one row a shape
@@ -429,7 +462,7 @@ def scored(docs: DataFrame, rounds: int = 2, block_bytes: int = BLOCK_BYTES, pul
     class_n[end_kind] += ends
     class_v[end_kind] += ends > 0
     bias = np.log((class_n + 0.5) / (class_n.sum() + 0.5 * CLASSES)).astype(np.float32)
-    pairs = stored(key_totals(coded, _pair_keys_by(head), parts).where("block is not null").select("block", "start", "part", "totals"), "pair-totals")
+    pairs = stored(key_totals(coded, _pair_keys_by(head, bits), parts).where("block is not null").select("block", "start", "part", "totals"), "pair-totals")
     release(spark)
     shared = spark.sparkContext.broadcast(train(coded, head, bias, rounds))  # fixed size
     release(spark)
@@ -437,11 +470,9 @@ def scored(docs: DataFrame, rounds: int = 2, block_bytes: int = BLOCK_BYTES, pul
     def score(docs_of: pa.Table, totals_of: pa.Table) -> pa.Table:
         docs_of = docs_of.sort_by("place")
         counted = totals_of.sort_by([("family", "ascending"), ("start", "ascending"), ("part", "ascending")])
-        h, first = _joined(docs_of["words"], np.uint64)
-        shape, _ = _joined(docs_of["shapes"], np.uint8)
-        t = ended(h, shape, first, head)
-        place, family, start = docs_of["place"].to_numpy(), counted["family"].to_numpy(), counted["start"].to_numpy()
-        values, cuts = _joined(counted["totals"], np.int64)
+        t = ended(*_words_of(docs_of), head)
+        ids, held = _flat(docs_of["doc_id"]), _flat(docs_of["held_out"])
+        family, start, totals_by_row = counted["family"].to_numpy(), counted["start"].to_numpy(), counted["totals"].to_pylist()
         count = np.full(len(t.hash), ends, np.int64)  # of end tokens, for a start
         after, context = np.zeros(len(t.hash), np.int64), np.zeros(len(t.hash), np.int64)
         word = np.ones(len(t.hash), bool)
@@ -451,18 +482,18 @@ def scored(docs: DataFrame, rounds: int = 2, block_bytes: int = BLOCK_BYTES, pul
             if not len(mine):
                 continue
             begins = mine[np.flatnonzero(np.concatenate([[True], start[mine][1:] != start[mine][:-1]]))]
-            rows = np.searchsorted(place, start[begins])
+            rows = start[begins]  # places in a block count its texts from 0
             for i, (row, at) in enumerate(zip(rows, begins, strict=True)):  # the runs of texts that were counted together
-                last = rows[i + 1] if i + 1 < len(rows) else len(place)
+                last = rows[i + 1] if i + 1 < len(rows) else len(ids)
                 stop = begins[i + 1] if i + 1 < len(begins) else mine[-1] + 1
-                totals = values[cuts[at] : cuts[stop]]
+                totals = _all([unpacked(x, np.int64) for x in totals_by_row[at:stop]], np.int64)
                 low = t.first[row]
                 some = t.part(row, last)
                 if kind == 0:
                     inside = low + np.flatnonzero(word[low : low + len(some.hash)])
                     count[inside] = _per_key(t.hash[inside], totals)
                 else:
-                    where, pair, ahead = pair_keys(some)
+                    where, pair, ahead = pair_keys(some, bits)
                     found = _per_key(np.concatenate([pair, ahead]), totals)
                     after[low + where], context[low + where] = found[: len(where)], found[len(where) :]
         known = np.where(word, count > 0, ends > 0)
@@ -479,14 +510,15 @@ def scored(docs: DataFrame, rounds: int = 2, block_bytes: int = BLOCK_BYTES, pul
         some = t.first[:-1]
         return pa.table(
             {
-                "doc_id": docs_of["doc_id"], "held_out": docs_of["held_out"], "n_tokens": np.diff(t.first), "n_known": np.add.reduceat(known, some, dtype=np.int64),
+                "doc_id": ids, "held_out": held, "n_tokens": np.diff(t.first), "n_known": np.add.reduceat(known, some, dtype=np.int64),
                 "train_tokens": np.full(len(some), n, np.int64), "base_score": np.add.reduceat(base, some), "score": np.add.reduceat(model, some),
             }
         )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     totals = words.where("block is not null").select("block", "start", "part", "totals", F.lit(0).alias("family")).union(pairs.withColumn("family", F.lit(1)))
-    return coded.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, schema)
+    texts = coded.drop("n_words", "n_training")
+    return texts.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, schema)
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
