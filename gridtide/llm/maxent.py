@@ -18,8 +18,8 @@ from gridtide.llm.words import Words, mixed, split_words
 CLASSES = 64
 HEAD = 32  # the most frequent words are classes of their own, the end token among them
 ROWS = 1 << 13  # hashed features of the class softmax
-BLOCK_BYTES = 12 << 20  # text that is counted and scored together
-PART_KEYS = 1 << 22  # about so many counted keys meet in one task
+BLOCK_BYTES = 6 << 20  # text that is counted and scored together
+PART_KEYS = 1 << 21  # about so many counted keys meet in one task
 PULL = 30.0  # pseudo-tokens that draw a word's share after another word towards its share of the class
 _END = np.uint64(0x656E64)
 _NONE = np.uint64(0x6E6F6E65)
