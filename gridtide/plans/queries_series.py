@@ -155,6 +155,27 @@ def pacf(spark, sf_dir):
     return S.pacf(hourly_by_kind(spark, sf_dir), KEYS, 200).withColumn("pacf", r(F.col("pacf")))
 
 
+@query(
+    "adf_given_lag",
+    f"""WITH {HOURLY_KIND_SQL}, d AS (SELECT series_id, pos, value,
+        lag(value) OVER w AS a, value - lag(value) OVER w AS y, lag(value) OVER w - lag(value, 2) OVER w AS b
+        FROM hk WINDOW w AS (PARTITION BY series_id ORDER BY pos)),
+    g AS (SELECT series_id, count(*) AS m, var_pop(a) * count(*) AS aa, var_pop(b) * count(*) AS bb, var_pop(y) * count(*) AS yy,
+        covar_pop(a, b) * count(*) AS ab, covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS yb
+        FROM d WHERE b IS NOT NULL GROUP BY 1),
+    s AS (SELECT *, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS slope, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS short FROM g)
+    SELECT series_id, CAST(1 AS INTEGER) AS used_lags, m AS n_observations,
+      round(slope / sqrt((yy - slope * ay - short * yb) / (m - 3) * bb / (aa * bb - ab * ab)), 6) + 0.0 AS test_statistic,
+      round(-2.86154 - 2.8903 / m - 4.234 / (m * m) - 40.040 / (CAST(m AS DOUBLE) * m * m), 6) AS critical_5 FROM s""",
+)
+def adf_given_lag(spark, sf_dir):
+    out = Z.adf_test(hourly_by_kind(spark, sf_dir), KEYS, lags=1)
+    return out.select(
+        "series_id", "used_lags", "n_observations", r(F.col("test_statistic")).alias("test_statistic"),
+        r(F.col("critical_values")["5%"]).alias("critical_5"),
+    )
+
+
 @query("adf_test")
 def adf_test(spark, sf_dir):
     return Z.adf_test(hourly_by_kind(spark, sf_dir), KEYS)

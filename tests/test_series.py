@@ -184,6 +184,21 @@ def test_adf(spark, noisy):
         assert "constant" in got["flat"].error and "Insufficient" in got["few"].error
 
 
+def test_adf_at_a_given_lag(spark, noisy):
+    df = series(spark, season=noisy, few=np.arange(12.0) ** 2)
+    for chunk in (65536, 90):
+        got = {r.s: r for r in Z.adf_test(df, KEYS, chunk=chunk, lags=5).collect()}
+        d = np.diff(noisy)
+        t = np.arange(6, len(noisy))
+        x = np.column_stack([np.ones(len(t)), noisy[t - 1], *[d[t - 1 - i] for i in range(1, 6)]])
+        b = np.linalg.lstsq(x, d[t - 1], rcond=None)[0]
+        s2 = ((d[t - 1] - x @ b) ** 2).sum() / (len(t) - 7)
+        want = b[1] / np.sqrt(s2 * np.linalg.inv(x.T @ x)[1, 1])
+        assert got["season"].test_statistic == pytest.approx(want, rel=1e-6)
+        assert (got["season"].used_lags, got["season"].n_observations) == (5, len(t))
+        assert got["few"].error and got["few"].test_statistic is None
+
+
 def test_adf_tables():
     # Published asymptotic critical values have their nominal p-values.
     for tau, p in ((-3.43, 0.01), (-2.86, 0.05), (-2.57, 0.10)):
@@ -213,6 +228,26 @@ def test_kpss(spark, noisy):
         assert "constant" in got["flat"].error and "Insufficient" in got["few"].error
 
 
+def test_kpss_window_beyond_the_record(spark):
+    # Alternating signs make the lag rule ask for windows far wider than the root of the length.
+    x = np.tile([1.0, -1.0], 150) + 0.02 * np.random.default_rng(3).normal(size=300).cumsum()
+    far = series(spark, a=x, b=np.random.default_rng(4).normal(size=300))
+    for chunk in (65536, 40):
+        got = {r.s: r for r in Z.kpss_test(far, KEYS, chunk=chunk).collect()}
+        stat, lags = direct_kpss(x)
+        assert lags > 1.1447 * 300 ** (13 / 27)
+        assert got["a"].lags == lags and got["a"].test_statistic == pytest.approx(stat, rel=1e-6)
+        assert got["b"].test_statistic is not None
+
+
+def test_tests_read_a_table_twice(spark, tmp_path, noisy):
+    path = str(tmp_path / "series")
+    series(spark, a=noisy).write.parquet(path)
+    plan = Z._solved(spark.read.parquet(path), KEYS, 65536, True, True)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan parquet") == 2
+    assert plan.count("FlatMapGroupsInPandas") == 2
+
+
 def test_residual_suite(spark, noisy):
     parts = D.stl(series(spark, a=noisy), KEYS, 24)
     row = Z.residual_tests(parts, KEYS).first()
