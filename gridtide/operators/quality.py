@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gridtide.functions.timeparts import iso_date
+from gridtide.functions.timeparts import epoch_us, iso_date
 from gridtide.operators.ordering import islands, previous_in_order, time_slices
 from gridtide.operators.quantiles import attach_one
+from gridtide.operators.series import STEP_SECONDS, expand_runs
 
 STEPS = {
     "day": "interval 1 day",
@@ -27,24 +28,35 @@ def _times(df: DataFrame, ts: str, step: str, keys) -> DataFrame:
 def missing_times(df: DataFrame, ts: str, step: str = "day", keys=()) -> DataFrame:
     """Times between the first and last that do not occur (Q1).
 
-    Days fill the gap between neighbours directly, so only missing days are made. Other steps
-    count from the first time, and times off that grid are not expected; there the
-    calendar, as long as the span divided by the step, is matched against the times.
+    Steps count from the first time; times off that grid are not expected. Neighbours on the grid give
+    the runs of missing steps, so only missing times are made, piece by piece. Months, whose
+    length varies, are matched against a calendar of the whole span.
     """
     if step not in STEPS:
         raise ValueError(f"unknown step {step!r}")
     keys = list(keys)
     actual = _times(df, ts, step, keys)
-    if step == "day":
-        cut, slices = time_slices(actual, keys, ts, sizing=actual)
-        day = F.expr(STEPS["day"])
-        gaps = previous_in_order(cut, keys, ts, "_prev", slices).where(F.col(ts) > F.col("_prev") + day)
-        return gaps.select(*keys, F.explode(F.sequence(F.col("_prev") + day, F.col(ts) - day, day)).alias(ts))
-    span = actual.groupBy(*keys).agg(F.min(ts).alias("_from"), F.max(ts).alias("_to"))
-    expected = span.where(F.col("_from").isNotNull()).select(
-        *keys, F.explode(F.sequence("_from", "_to", F.expr(STEPS[step]))).alias(ts),
+    width = F.expr(STEPS[step])
+    if step == "month":
+        span = actual.groupBy(*keys).agg(F.min(ts).alias("_from"), F.max(ts).alias("_to"))
+        expected = span.where(F.col("_from").isNotNull()).select(*keys, F.explode(F.sequence("_from", "_to", width)).alias(ts))
+        return expected.join(actual, [*keys, ts], "left_anti")
+    length = STEP_SECONDS[step] * 1_000_000
+    known = actual
+    if step != "day":  # days are cut to their start, so they all lie on the grid
+        span = actual.groupBy(*keys).agg(F.min(ts).alias("_from"), F.max(ts).alias("_to"))
+        off = (epoch_us(ts) - epoch_us("_from")) % length
+        on_grid = (actual.join(span, keys) if keys else attach_one(actual, span)).where(off == 0).select(*keys, ts)
+        # The step after the last time closes the grid, since that time may lie off it.
+        beyond = F.expr(f"timestampdiff(MICROSECOND, _from, _to) div {length}") + 1
+        ends = span.where(F.col("_from").isNotNull()).select(*keys, (F.col("_from") + width * beyond).alias(ts))
+        known = on_grid.unionByName(ends)
+    cut, slices = time_slices(known, keys, ts, sizing=actual)
+    gaps = previous_in_order(cut, keys, ts, "_prev", slices).withColumn(
+        "_missing", ((epoch_us(ts) - epoch_us("_prev")) / length).cast("bigint") - 1,
     )
-    return expected.join(actual, [*keys, ts], "left_anti")
+    gaps = gaps.where(F.col("_missing") > 0).select(*keys, (F.col("_prev") + width).alias("_start"), "_missing")
+    return expand_runs(gaps, "_start", F.col("_missing"), width, ts).select(*keys, ts)
 
 
 def missing_clusters(df: DataFrame, ts: str, step: str = "day", keys=()) -> DataFrame:

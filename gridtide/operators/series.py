@@ -17,6 +17,19 @@ from gridtide.functions.timeparts import epoch_us, truncate
 
 STEP_SECONDS = {"minute": 60, "hour": 3600, "day": 86400, "week": 604800}
 CHUNK = 65536
+PIECE = 10_000
+
+
+def expand_runs(runs: DataFrame, start: str, steps: Column, width: Column, out: str) -> DataFrame:
+    """One row per step of each run of ``steps`` times from ``start``, with the time as ``out``.
+
+    Runs are cut into pieces first, so no array is longer than ``PIECE`` or the number of pieces.
+    """
+    pieces = runs.withColumn("_steps", steps.cast("bigint")).where(F.col("_steps") > 0)
+    pieces = pieces.withColumn("_done", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_steps") - 1, F.lit(PIECE).cast("bigint"))))
+    first = F.col(start) + width * F.col("_done")
+    last = F.col(start) + width * (F.least(F.col("_done") + PIECE, F.col("_steps")) - 1)
+    return pieces.withColumn(out, F.explode(F.sequence(first, last, width))).drop("_steps", "_done")
 
 
 def regular_series(df: DataFrame, keys, ts: str, value: str, step: str = "hour", fill: float | None = 0.0) -> DataFrame:
@@ -41,11 +54,11 @@ def regular_series(df: DataFrame, keys, ts: str, value: str, step: str = "hour",
             "_last": F.max("ts").over(W.partitionBy(*keys)),
         },
     )
-    filled = spans.withColumn("_at", F.explode(F.sequence("ts", "_until", width)))
 
-    def steps(until: str) -> Column:
-        return ((epoch_us(until) - epoch_us("_first")) / (seconds * 1000000)).cast("bigint")
+    def steps(until: str, since: str = "_first") -> Column:
+        return ((epoch_us(until) - epoch_us(since)) / (seconds * 1000000)).cast("bigint")
 
+    filled = expand_runs(spans, "ts", steps("_until", "ts") + 1, width, "_at")
     amount = F.when(F.col("_at") == F.col("ts"), F.col("_sum")).otherwise(F.lit(fill))
     return filled.select(
         *keys, F.col("_at").alias("ts"), steps("_at").alias("pos"), amount.alias("value"), (steps("_last") + 1).alias("n"),

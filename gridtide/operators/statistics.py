@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridtide.functions.columns import numeric_columns
 from gridtide.operators.quantiles import attach_one, exact_quantiles
+from gridtide.session import cut_lineage
+
+MOST_SHAPES = 10_000
+VALUES_AT_ONCE = 4096
+VECTORS_HELD = 1000
 
 
 def _pairs(df: DataFrame, columns, statistic) -> DataFrame:
@@ -195,28 +203,51 @@ def density_curves(
 ) -> DataFrame:
     """Gaussian kernel density per category on an even evaluation grid.
 
-    Scott's factor ``n ** (-1/5)`` times ``bandwidth`` scales the sample deviation.
-    Equal values are counted first, so each distinct value meets the grid once.
+    Scott's factor ``n ** (-1/5)`` times ``bandwidth`` scales the sample deviation. A task adds
+    up one vector of kernel sums per category it meets, so values are not shuffled; grid and
+    deviation of each category are broadcast while there are at most ``MOST_SHAPES`` of them.
     """
     rows = df.na.drop(subset=[category, value]).select(category, F.col(value).cast("double").alias("_v"))
     shapes = rows.groupBy(category).agg(
         F.count("*").alias("_n"), F.stddev_samp("_v").alias("_sd"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
     )
     h = F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)) * F.lit(bandwidth)
-    shapes = shapes.withColumn("_h", h).where(F.col("_h") > 0)
-    distinct = rows.groupBy(category, "_v").agg(F.count("*").alias("_c"))
     start = F.col("_lo") - cut * F.col("_h")
     step = (F.col("_hi") - F.col("_lo") + 2 * cut * F.col("_h")) / (points - 1)
-    grid = (
-        distinct.join(shapes, category)
-        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .withColumn("x", start + F.col("point") * step)
+    shapes = shapes.withColumn("_h", h).where(F.col("_h") > 0)
+    shapes = cut_lineage(shapes.select(category, "_n", "_h", start.alias("_start"), step.alias("_step")))
+    known = F.broadcast(shapes) if shapes.count() <= MOST_SHAPES else shapes
+    grid = np.arange(points)
+
+    def kernel_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = {}
+
+        def drained() -> pd.DataFrame:
+            parts = [pd.DataFrame({category: name, "point": grid, "x": x, "_n": n, "_h": width, "_w": w}) for name, (x, n, width, w) in held.items()]
+            held.clear()
+            return pd.concat(parts)
+
+        for frame in frames:
+            for name, part in frame.groupby(category):
+                if name not in held:
+                    first = part.iloc[0]
+                    held[name] = (first["_start"] + grid * first["_step"], first["_n"], first["_h"], np.zeros(points))
+                x, _, width, w = held[name]
+                values, counts = np.unique(part["_v"].to_numpy(), return_counts=True)
+                for at in range(0, len(values), VALUES_AT_ONCE):
+                    z = (x[:, None] - values[at : at + VALUES_AT_ONCE]) / width
+                    w += np.exp(-z * z / 2) @ counts[at : at + VALUES_AT_ONCE]
+            if len(held) > VECTORS_HELD:
+                yield drained()
+        if held:
+            yield drained()
+
+    kind = df.schema[category].dataType.simpleString()
+    parts = rows.join(known, category).mapInPandas(
+        kernel_sums, f"`{category}` {kind}, point bigint, x double, _n bigint, _h double, _w double",
     )
-    z = (F.col("x") - F.col("_v")) / F.col("_h")
-    weight = F.sum(F.col("_c") * F.exp(-z * z / 2))
-    return grid.groupBy(category, "point", "x", "_n", "_h").agg(weight.alias("_w")).select(
-        category, F.col("point").cast("bigint").alias("point"), "x",
-        (F.col("_w") / (F.col("_n") * F.col("_h") * F.sqrt(F.lit(2.0) * F.pi()))).alias("density"),
+    return parts.groupBy(category, "point", "x", "_n", "_h").agg(F.sum("_w").alias("_w")).select(
+        category, "point", "x", (F.col("_w") / (F.col("_n") * F.col("_h") * F.sqrt(F.lit(2.0) * F.pi()))).alias("density"),
     )
 
 

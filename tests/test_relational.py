@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,6 +185,61 @@ def test_missing_times_by_hand(spark, monkeypatch):
     assert Q.missing_times(months, "t", "month").count() == 2
 
 
+@pytest.mark.parametrize("step, seconds", [("minute", 60), ("hour", 3600), ("week", 604800)])
+def test_missing_times_in_pieces(spark, monkeypatch, step, seconds):
+    from gridtide.operators import ordering, series
+
+    rng = np.random.default_rng(seconds)
+    width, rows, want = dt.timedelta(seconds=seconds), [], []
+    for k in "abc":
+        ticks = np.unique(rng.choice(200, 40)).tolist()
+        times = {DAY + width * t for t in ticks} | {DAY + width * t + dt.timedelta(seconds=17) for t in rng.choice(260, 5).tolist()}
+        rows += [(k, t) for t in times] + [(k, None)]
+        span = (max(times) - min(times)) // width
+        want += [(k, t) for t in (min(times) + width * i for i in range(span + 1)) if t not in times]
+    rows.append((None, DAY))
+    df = frame(spark, rows, "k string, t timestamp_ntz")
+    for size, piece in ((10**9, 10_000), (9, 7)):
+        monkeypatch.setattr(ordering, "SLICE_ROWS", size)
+        monkeypatch.setattr(series, "PIECE", piece)
+        assert sorted((r.k, r.t) for r in Q.missing_times(df, "t", step, ["k"]).collect()) == sorted(want)
+    assert Q.missing_times(df.limit(0), "t", step).count() == 0
+
+
+def test_one_stray_time(spark):
+    stray = frame(spark, [(DAY, 1.0), (DAY + dt.timedelta(days=50 * 365), 2.0)], "t timestamp_ntz, v double")
+    steps = 50 * 365 * 24 * 60
+    assert Q.missing_times(stray, "t", "minute").count() == steps - 1
+    from gridtide.operators.series import regular_series
+
+    line = regular_series(stray, [], "t", "v", "minute").agg(F.count("*").alias("n"), F.max("pos").alias("last"), F.sum("value").alias("v")).first()
+    assert (line.n, line["last"], line.v) == (steps + 1, steps, 3.0)
+
+
+def test_density_by_hand(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    values = {"a": rng.normal(size=300), "b": np.round(rng.exponential(size=200), 1), "flat": np.ones(5), "one": np.ones(1)}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [(None, 1.0), ("a", None)]
+    df = frame(spark, rows, "k string, v double").repartition(5)
+    for most, held, block in ((10_000, 1000, 4096), (0, 0, 13)):
+        monkeypatch.setattr(X, "MOST_SHAPES", most)
+        monkeypatch.setattr(X, "VECTORS_HELD", held)
+        monkeypatch.setattr(X, "VALUES_AT_ONCE", block)
+        got = X.density_curves(df, "k", "v", points=50).toPandas()
+        assert set(got.k) == {"a", "b"}
+        for k in "ab":
+            v = values[k]
+            h = v.std(ddof=1) * len(v) ** -0.2 * 0.5
+            x = np.linspace(v.min() - 3 * h, v.max() + 3 * h, 50)
+            want = np.exp(-(((x[:, None] - v) / h) ** 2) / 2).sum(axis=1) / (len(v) * h * np.sqrt(2 * np.pi))
+            mine = got[got.k == k].sort_values("point")
+            np.testing.assert_allclose(mine.x, x, atol=1e-9)
+            np.testing.assert_allclose(mine.density, want, rtol=1e-9)
+    plan = X.density_curves(df, "k", "v")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+    assert X.density_curves(df.limit(0), "k", "v").count() == 0
+
+
 def test_unlisted_values_are_errors(spark):
     rows = frame(spark, [(DAY, 1, "p", "solar", 2.0), (DAY, 1, "q", "nuclear", 1.0), (DAY, 1, "s", None, 1.0)], "d timestamp_ntz, h int, plant string, kind string, mwh double")
     names = {"date": "d", "hour": "h", "plant": "plant", "kind": "kind", "energy": "mwh"}
