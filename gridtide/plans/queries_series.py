@@ -8,6 +8,7 @@ from gridtide.operators import decomposition as D, patterns as P, spectrum as S,
 from gridtide.operators.statistics import covariance_matrix
 from gridtide.plans.fixtures import HOURLY_KIND_SQL, HOURLY_SQL, KINDS, hourly_by_kind, hourly_total
 from gridtide.plans.registry import query, steady_round as r
+from gridtide.plans.stl_sql import mstl_parts, stl_parts
 
 KEYS = ["series_id"]
 
@@ -203,11 +204,29 @@ def kpss_test(spark, sf_dir):
     return out.select("series_id", "lags", r(F.col("test_statistic")).alias("test_statistic"), r(F.col("p_value"), 6).alias("p_value"))
 
 
-@query("stl_components")
-def stl_components(spark, sf_dir):
+def _stl(spark, sf_dir):
     return D.stl(hourly_by_kind(spark, sf_dir), KEYS, 24)
 
 
+def _rounded(parts, digits=4):
+    return parts.select("series_id", "pos", *[r(F.col(c), digits).alias(c) for c in parts.columns if c not in ("series_id", "pos")])
+
+
+# Trend windows: the next odd number from 1.5 period / (1 - 1.5 / seasonal window).
+HOURLY_Y_SQL = f"{HOURLY_KIND_SQL}, ser AS MATERIALIZED (SELECT series_id AS s, pos, value AS y, count(*) OVER (PARTITION BY series_id) AS n FROM hk)"
+STL_SQL = f"WITH {HOURLY_Y_SQL}, {', '.join(stl_parts('stl', 'ser', 24, 7, 47))} "
+MSTL_SQL = f"WITH {HOURLY_Y_SQL}, {', '.join(mstl_parts('mstl', 'ser', [(24, 11, 43), (168, 15, 281)]))} "
+
+
+@query(
+    "stl_components",
+    STL_SQL + """SELECT s AS series_id, pos, round(y, 4) + 0.0 AS observed, round(trend, 4) + 0.0 AS trend,
+      round(season, 4) + 0.0 AS seasonal, round(y - trend - season, 4) + 0.0 AS resid FROM stl WHERE n >= 48""",
+)
+def stl_components(spark, sf_dir):
+    return _rounded(_stl(spark, sf_dir))
+
+
 @query("stl_robust_components")
 def stl_robust_components(spark, sf_dir):
     return D.stl(hourly_by_kind(spark, sf_dir), KEYS, 24, robust=True)
@@ -223,17 +242,26 @@ INVARIANT_SQL = f"WITH {HOURLY_KIND_SQL} SELECT series_id, pos, round(value, 4)
 
 @query("stl_invariant", INVARIANT_SQL)
 def stl_invariant(spark, sf_dir):
-    return _invariant(stl_components(spark, sf_dir), F.col("seasonal"))
+    return _invariant(_stl(spark, sf_dir), F.col("seasonal"))
 
 
-@query("mstl_components")
-def mstl_components(spark, sf_dir):
+def _mstl(spark, sf_dir):
     return D.mstl(hourly_by_kind(spark, sf_dir), KEYS, [24, 168])
 
 
+@query(
+    "mstl_components",
+    MSTL_SQL + """SELECT a.s AS series_id, a.pos, round(y, 4) + 0.0 AS observed, round(trend, 4) + 0.0 AS trend,
+      round(season_24, 4) + 0.0 AS seasonal_24, round(season_168, 4) + 0.0 AS seasonal_168, round(rest - trend, 4) + 0.0 AS resid
+    FROM mstl a JOIN ser b ON a.s = b.s AND a.pos = b.pos WHERE a.n >= 336""",
+)
+def mstl_components(spark, sf_dir):
+    return _rounded(_mstl(spark, sf_dir))
+
+
 @query("mstl_invariant", INVARIANT_SQL)
 def mstl_invariant(spark, sf_dir):
-    return _invariant(mstl_components(spark, sf_dir), F.col("seasonal_24") + F.col("seasonal_168"))
+    return _invariant(_mstl(spark, sf_dir), F.col("seasonal_24") + F.col("seasonal_168"))
 
 
 def _wide(spark, sf_dir):
@@ -268,4 +296,4 @@ def residual_cov(spark, sf_dir):
 
 @query("residual_tests")
 def residual_tests(spark, sf_dir):
-    return Z.residual_tests(stl_components(spark, sf_dir), KEYS)
+    return Z.residual_tests(_stl(spark, sf_dir), KEYS)
