@@ -8,7 +8,7 @@ from gridtide.operators import decomposition as D, patterns as P, spectrum as S,
 from gridtide.operators.statistics import covariance_matrix
 from gridtide.plans.fixtures import HOURLY_KIND_SQL, HOURLY_SQL, KINDS, hourly_by_kind, hourly_total
 from gridtide.plans.registry import query, steady_round as r
-from gridtide.plans.stl_sql import mstl_parts, stl_parts
+from gridtide.plans.stl_sql import mstl_parts, robust_parts, stl_parts
 
 KEYS = ["series_id"]
 
@@ -39,17 +39,14 @@ def pattern_ma(spark, sf_dir):
     return P.smooth_moving_average(_pattern(spark, sf_dir), KEYS, 24, 4).withColumn("pattern", r(F.col("pattern")))
 
 
-_SAVGOL = ", ".join(
-    f"({t}, {j}, {w:.17g})" for t, row in enumerate(P.savgol_weights(7, 2)) for j, w in enumerate(row)
-)
-
-
 @query(
     "pattern_savgol",
-    PATTERN_SQL + f""", w(t, j, w) AS (VALUES {_SAVGOL}),
-    s AS (SELECT series_id, phase, greatest(0, least(phase - 3, 17)) AS start FROM pat)
-    SELECT s.series_id, s.phase, round(sum(CAST(w.w AS DOUBLE) * pat.pattern), 6) + 0.0 AS pattern FROM s JOIN w ON w.t = s.phase - s.start
-    JOIN pat ON pat.series_id = s.series_id AND pat.phase = s.start + w.j GROUP BY ALL""",
+    # The parabola through seven points from the sums of u, u^2 and u^4 for u = -3..3: 7 points, 28 and 196.
+    PATTERN_SQL + """, s AS (SELECT series_id, phase, greatest(0, least(phase - 3, 17)) + 3 AS middle FROM pat),
+    m AS (SELECT s.series_id, s.phase, s.phase - middle AS u, sum(p.pattern) AS y0, sum((p.phase - middle) * p.pattern) AS y1,
+          sum((p.phase - middle) * (p.phase - middle) * p.pattern) AS y2
+          FROM s JOIN pat p ON p.series_id = s.series_id AND p.phase BETWEEN middle - 3 AND middle + 3 GROUP BY ALL)
+    SELECT series_id, phase, round((y0 - 28 * (7 * y2 - 28 * y0) / 588) / 7 + u * y1 / 28 + u * u * (7 * y2 - 28 * y0) / 588, 6) + 0.0 AS pattern FROM m""",
 )
 def pattern_savgol(spark, sf_dir):
     return P.smooth_savgol(_pattern(spark, sf_dir), KEYS, 24, 7, 2).withColumn("pattern", r(F.col("pattern")))
@@ -227,9 +224,14 @@ def stl_components(spark, sf_dir):
     return _rounded(_stl(spark, sf_dir))
 
 
-@query("stl_robust_components")
+@query(
+    "stl_robust_components",
+    f"WITH {HOURLY_Y_SQL}, {', '.join(robust_parts('stl', 'ser', 24, 7, 47, 2, 15))} " + """SELECT s AS series_id, pos,
+      round(y, 4) + 0.0 AS observed, round(trend, 4) + 0.0 AS trend, round(season, 4) + 0.0 AS seasonal,
+      round(y - trend - season, 4) + 0.0 AS resid FROM stl WHERE n >= 48""",
+)
 def stl_robust_components(spark, sf_dir):
-    return D.stl(hourly_by_kind(spark, sf_dir), KEYS, 24, robust=True)
+    return _rounded(D.stl(hourly_by_kind(spark, sf_dir), KEYS, 24, robust=True))
 
 
 def _invariant(parts, season):
@@ -277,21 +279,67 @@ def _wide(spark, sf_dir):
     return total.join(sums, "ts", "left").na.fill(0.0, KINDS)
 
 
-@query("stl_columns")
+WIDE_Y_SQL = f"""{HOURLY_SQL}, kinds AS (SELECT unnest([{', '.join(f"'{k}'" for k in KINDS)}]) AS s),
+ser AS MATERIALIZED (
+  SELECT s, pos, coalesce(v, 0.0) AS y, (SELECT count(*) FROM hourly) AS n FROM kinds CROSS JOIN hourly LEFT JOIN
+    (SELECT event_type, date_trunc('hour', ts) AS h, sum(value) AS v FROM events GROUP BY ALL) e ON event_type = s AND h = hourly.ts)"""
+WIDE_STL_SQL = f"WITH {WIDE_Y_SQL}, {', '.join(stl_parts('stl', 'ser', 24, 7, 47))} "
+_PARTS = {"observed": "y", "trend": "trend", "seasonal": "season", "resid": "y - trend - season"}
+
+
+@query(
+    "stl_columns",
+    WIDE_STL_SQL + "SELECT pos, " + ", ".join(
+        f"round(max({c}) FILTER (WHERE s = '{k}'), 4) + 0.0 AS {name}_{k}" for k in KINDS for name, c in _PARTS.items()
+    ) + " FROM stl WHERE n >= 48 GROUP BY pos",
+)
 def stl_columns(spark, sf_dir):
-    return D.decompose_columns(_wide(spark, sf_dir), "pos", KINDS, [24])
+    parts = D.decompose_columns(_wide(spark, sf_dir), "pos", KINDS, [24])
+    return parts.select("pos", *[r(F.col(c), 4).alias(c) for c in parts.columns if c != "pos"])
 
 
-@query("seasonal_patterns")
+@query(
+    "seasonal_patterns",
+    f"WITH {WIDE_Y_SQL}, {', '.join(mstl_parts('mstl', 'ser', [(24, 11, 43), (168, 15, 281)]))}, phases AS (SELECT unnest(generate_series(0, 167)) AS phase) SELECT phase, "
+    + ", ".join(
+        f"(SELECT round(avg(season_{p}), 4) + 0.0 FROM mstl WHERE s = '{k}' AND pos % {p} = phase) AS pattern_{k}_period_{p}"
+        for k in KINDS for p in (24, 168)
+    ) + " FROM phases WHERE (SELECT max(n) FROM mstl) >= 336",
+)
 def seasonal_patterns(spark, sf_dir):
     parts = D.decompose_columns(_wide(spark, sf_dir), "pos", KINDS, [24, 168])
-    return P.all_patterns(parts, KINDS, [24, 168])
+    found = P.all_patterns(parts, KINDS, [24, 168])
+    return found.select("phase", *[r(F.col(c), 4).alias(c) for c in found.columns if c != "phase"])
 
 
-@query("residual_cov")
+@query(
+    "residual_cov",
+    WIDE_STL_SQL + """, e AS (SELECT s, pos, y - trend - season AS e FROM stl WHERE n >= 48)
+    SELECT 'resid_' || a.s AS a, 'resid_' || b.s AS b, round(covar_samp(a.e, b.e), 4) + 0.0 AS value
+    FROM e a JOIN e b ON a.pos = b.pos GROUP BY a.s, b.s""",
+)
 def residual_cov(spark, sf_dir):
     parts = D.decompose_columns(_wide(spark, sf_dir), "pos", KINDS, [24])
-    return covariance_matrix(parts, [f"resid_{k}" for k in KINDS])
+    return covariance_matrix(parts, [f"resid_{k}" for k in KINDS]).withColumn("value", r(F.col("value"), 4))
+
+
+@query(
+    "residual_level",
+    STL_SQL + """, m AS (SELECT s, avg(y - trend - season) AS mean FROM stl WHERE n >= 48 GROUP BY 1),
+    e AS MATERIALIZED (SELECT s, pos, n, y - trend - season - mean AS e FROM stl JOIN m USING (s)),
+    prod AS MATERIALIZED (SELECT a.s, a.n, a.pos - b.pos AS lag, sum(a.e * b.e) AS p FROM e a JOIN e b ON a.s = b.s AND b.pos BETWEEN a.pos - 400 AND a.pos GROUP BY ALL),
+    q AS (SELECT s, n, sum(CASE WHEN lag = 0 THEN p ELSE 2 * p END) AS s0, sum(2 * lag * p) AS s1 FROM prod WHERE lag <= floor(pow(n, 2.0 / 9.0)) GROUP BY ALL),
+    l AS (SELECT s, CAST(floor(1.1447 * pow((s1 / s0) * (s1 / s0), 1.0 / 3.0) * pow(n, 1.0 / 3.0)) AS INTEGER) AS lags FROM q),
+    v AS (SELECT prod.s, lags, sum(CASE WHEN lag = 0 THEN p ELSE 2 * p * (1 - CAST(lag AS DOUBLE) / (lags + 1)) END) / n AS lrv
+          FROM prod JOIN l ON l.s = prod.s AND lag <= lags GROUP BY prod.s, lags, n),
+    c AS (SELECT s, n, sum(e) OVER (PARTITION BY s ORDER BY pos) AS c FROM e),
+    k AS (SELECT v.s, lags, sum(c * c) / (CAST(n AS DOUBLE) * n) / lrv AS stat FROM v JOIN c ON c.s = v.s GROUP BY v.s, lags, n, lrv)
+    SELECT s AS series_id, lags, round(stat, 6) + 0.0 AS test_statistic, stat < 0.463 AS is_stationary FROM k""",
+)
+def residual_level(spark, sf_dir):
+    """The second of the residual tests by itself."""
+    tests = Z.residual_tests(_stl(spark, sf_dir), KEYS).select("series_id", "kpss_test.*")
+    return tests.select("series_id", "lags", r(F.col("test_statistic")).alias("test_statistic"), "is_stationary")
 
 
 @query("residual_tests")
