@@ -6,6 +6,8 @@ Ring columns: ``region_id, region, ring_id, seq, lon, lat`` in lon/lat degrees.
 
 from __future__ import annotations
 
+import warnings
+
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -175,15 +177,24 @@ def mask_cells(cells: DataFrame, rings: DataFrame) -> DataFrame:
     return with_region(cells.select("latitude", "longitude").distinct(), rings)
 
 
-def valid_time(grid: DataFrame, out: str = "datetime") -> DataFrame:
-    """Time a value is valid for: time + step, else valid_time, time or datetime."""
+def valid_time(grid: DataFrame, out: str = "datetime", time_column: str | None = None, warn_only: bool = False) -> DataFrame:
+    """Time a value is valid for: the caller's column if the table has it, time + step, else valid_time, time or datetime.
+
+    A table without any of them is an error, or with ``warn_only`` is returned unchanged with a warning.
+    """
     have = set(grid.columns)
-    if {"time", "step_hours"} <= have:
-        moment: Column = F.col("time") + F.make_dt_interval(hours=F.col("step_hours").cast("int"))
+    if time_column in have:
+        moment: Column = F.col(time_column)
+    elif {"time", "step_hours"} <= have:
+        moment = F.col("time") + F.make_dt_interval(hours=F.col("step_hours").cast("int"))
     else:
         known = [c for c in ("valid_time", "time", "datetime") if c in have]
         if not known:
-            raise ValueError(f"no time column among {sorted(have)}")
+            message = f"no time column among {sorted(have)}"
+            if warn_only:
+                warnings.warn(message, stacklevel=2)
+                return grid
+            raise ValueError(message)
         moment = F.col(known[0])
     return grid.withColumn(out, moment.cast("timestamp_ntz"))
 

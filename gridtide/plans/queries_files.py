@@ -9,6 +9,7 @@ from gridtide.plans import forecast
 from gridtide.plans.fixtures import (
     GENERATION_SQL, GRID_SQL, HOURLY_KIND_SQL, KINDS, generation, grid, hourly_by_kind, rings, table,
 )
+from gridtide.plans.queries_series import STL_SQL
 from gridtide.plans.registry import query, steady_round as r
 from gridtide.plans.scratch import fresh_folder
 from gridtide.sources import tabular, weather
@@ -103,13 +104,35 @@ def ingest_report(spark, sf_dir):
 
 @query(
     "component_files",
-    f"""WITH {HOURLY_KIND_SQL} SELECT series_id, pos, round(value, 3) + 0.0 AS total FROM hk""",
+    STL_SQL + ", e AS (SELECT * FROM stl WHERE n >= 48) " + " UNION ALL ".join(
+        f"SELECT s AS series_id, pos, '{name}' AS component, round({cell}, 4) + 0.0 AS value FROM e"
+        for name, cell in (("observed", "y"), ("trend", "trend"), ("seasonal", "season"), ("resid", "y - trend - season"))
+    ),
 )
 def component_files(spark, sf_dir):
+    """One folder per component, read back by its folder name."""
     folder = fresh_folder(spark, "components")
     tabular.write_components(D.stl(hourly_by_kind(spark, sf_dir), ["series_id"], 24), folder, form="parquet")
-    parts = spark.read.parquet(folder).where(F.col("component") != "observed")
-    return parts.groupBy("series_id", "pos").agg(r(F.sum("value"), 3).alias("total"))
+    return spark.read.parquet(folder).select("series_id", "pos", "component", r(F.col("value"), 4).alias("value"))
+
+
+@query(
+    "mapped_files",
+    "SELECT event_type AS kind, count(*) AS n, max(value) AS top, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY 1",
+)
+def mapped_files(spark, sf_dir):
+    """A function over batches of each file's rows; its records are put together per file."""
+    folder = fresh_folder(spark, "mapped")
+    table(spark, sf_dir, "events").select("event_type", "event_id", "value").write.partitionBy("event_type").parquet(folder, mode="overwrite")
+
+    def summed(frame):
+        return frame.groupby("file", as_index=False).agg(n=("value", "count"), top=("value", "max"), total=("value", "sum"))
+
+    rows = spark.read.parquet(folder).withColumnRenamed("event_type", "file")
+    parts = tabular.map_files(rows, summed, "file string, n bigint, top double, total double")
+    return parts.groupBy(F.col("file").alias("kind")).agg(
+        F.sum("n").alias("n"), F.max("top").alias("top"), r(F.sum("total"), 4).alias("total"),
+    )
 
 
 @query(

@@ -96,6 +96,18 @@ def duplicate_hours(spark, sf_dir):
     return quality.duplicate_hours(_hours(spark, sf_dir), "fecha_opreal", "hora", ["kind"])
 
 
+@query(
+    "duplicate_hour_maps",
+    f"""WITH {HOURS_SQL}, d AS (SELECT kind, fecha_opreal, hora, count(*) AS n FROM hh WHERE hora BETWEEN 0 AND 23 GROUP BY ALL HAVING count(*) > 1)
+    SELECT kind, fecha_opreal, string_agg(hora || ':' || n, ',' ORDER BY hora) AS duplicates FROM d WHERE kind IS NOT NULL AND fecha_opreal IS NOT NULL GROUP BY ALL""",
+)
+def duplicate_hour_maps(spark, sf_dir):
+    """The map of each day as text."""
+    maps = quality.duplicate_hour_maps(_hours(spark, sf_dir), "fecha_opreal", "hora", ["kind"])
+    cells = F.transform(F.map_entries("duplicates"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string")))
+    return maps.withColumn("duplicates", F.array_join(cells, ","))
+
+
 @query(
     "hour_issues",
     f"""WITH {HOURS_SQL}

@@ -147,6 +147,28 @@ def local_datetime_dst(spark, sf_dir):
     return T.market_datetime_utc(rows, "o_orderkey", hour25="same_date").select("o_orderkey", "datetime_utc")
 
 
+_SANTIAGO = "timezone('America/Santiago', {})"
+
+
+def _second_pass(wall: str) -> str:
+    """Instant of the second pass of a wall time, null where the clock shows it once."""
+    first = _SANTIAGO.format(wall)
+    back, ahead = (f"{_SANTIAGO.format(f'{first} {sign} INTERVAL 1 HOUR')} = {wall}" for sign in "-+")
+    return f"CASE WHEN {back} THEN {first} WHEN {ahead} THEN {first} + INTERVAL 1 HOUR END"
+
+
+@query(
+    "market_hour_25",
+    f"""WITH t AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)
+    SELECT strftime(d, '%Y-%m-%d') AS day, timezone('UTC', coalesce({_second_pass("(d + INTERVAL 23 HOUR)")}, {_second_pass("(d + INTERVAL 24 HOUR)")},
+      {_SANTIAGO.format("d + INTERVAL 1 HOUR")})) AS datetime_utc FROM t""",
+)
+def market_hour_25(spark, sf_dir):
+    """Hour 25 of every day by the default rule."""
+    days = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("fecha_opreal"), F.lit(25).alias("hora_opreal")).distinct()
+    return T.market_datetime_utc(days, "hora_opreal").select(T.iso_date("fecha_opreal").alias("day"), "datetime_utc")
+
+
 @query(
     "row_totals",
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridtide.functions.columns import lonlat_columns
 from gridtide.operators import spatial
 from gridtide.plans import forecast
 from gridtide.plans.fixtures import GRID_SQL, MASK_SQL, grid, rings
@@ -52,6 +53,28 @@ def valid_time(spark, sf_dir):
     return spatial.valid_time(grid(spark, sf_dir))
 
 
+@query(
+    "chosen_time",
+    f"WITH {GRID_SQL} SELECT variable, time + INTERVAL 3 DAY AS datetime, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM grid GROUP BY ALL",
+)
+def chosen_time(spark, sf_dir):
+    """A time column of the caller's takes precedence over time and step."""
+    issued = grid(spark, sf_dir).withColumn("issued", F.col("time") + F.expr("interval 3 days"))
+    timed = spatial.valid_time(issued, time_column="issued")
+    return timed.groupBy("variable", "datetime").agg(F.count("*").alias("n"), r(F.sum("value"), 4).alias("total"))
+
+
+@query(
+    "named_coordinates",
+    f"WITH {GRID_SQL}, {MASK_SQL} SELECT region_id, region, count(*) AS n FROM grid JOIN mask USING (latitude, longitude) GROUP BY ALL",
+)
+def named_coordinates(spark, sf_dir):
+    """A grid whose coordinates have names of their own, brought to the known ones and placed in regions."""
+    own = grid(spark, sf_dir).withColumnsRenamed({"longitude": "x", "latitude": "y"})
+    placed = spatial.with_region(lonlat_columns(own, "x", "y"), rings(spark))
+    return placed.groupBy("region_id", "region").agg(F.count("*").alias("n"))
+
+
 @query("first_slice", f"WITH {GRID_SQL} SELECT grid.* FROM grid JOIN (SELECT variable, min(time) AS t FROM grid GROUP BY 1) m ON m.variable = grid.variable AND t = time")
 def first_slice(spark, sf_dir):
     return spatial.first_slice(grid(spark, sf_dir))

@@ -154,6 +154,18 @@ def test_pattern_windows(spark):
     assert ends[0].pattern == pytest.approx(0.5)
 
 
+def test_time_columns(spark):
+    day = dt.timedelta(days=1)
+    rows = frame(spark, [(DAY, 5, DAY + day)], "time timestamp_ntz, step_hours int, issued timestamp_ntz")
+    assert S.valid_time(rows, time_column="issued").first().datetime == DAY + day
+    assert S.valid_time(rows, time_column="absent").first().datetime == DAY + dt.timedelta(hours=5)
+    bare = frame(spark, [(1,)], "x int")
+    with pytest.raises(ValueError):
+        S.valid_time(bare, time_column="issued")
+    with pytest.warns(UserWarning):
+        assert S.valid_time(bare, warn_only=True).columns == ["x"]
+
+
 def test_custom_coordinates_and_preview(spark):
     cells = frame(spark, [(-40.0, -70.0)], "lat double, lon double")
     assert S.mask_cells(C.lonlat_columns(cells, "lon", "lat"), rings(spark)).first().region == "South"
