@@ -17,6 +17,7 @@ from gridtide.session import cut_lineage
 
 SLICE_ROWS = 4_000_000
 MOST_SLICES = 4096
+MOST_CUTS = 4_000_000  # numbers that are broadcast at most
 FANOUT = 64
 
 
@@ -50,9 +51,12 @@ def add_slices(
     coarse = F.filter("_cuts", lambda _, i: i % FANOUT == FANOUT - 1)
     cuts = cut_lineage(cuts.withColumn("_coarse", coarse))
     tied = F.max(F.size("_cuts") > F.size(F.array_distinct("_cuts")))
-    crowded = bool(cuts.agg(tied).first()[0])
+    crowded, held = cuts.agg(tied, F.sum(F.size("_cuts") + F.size("_coarse"))).first()
+    crowded = bool(crowded)
+    # Keys that are cut have many rows each; a shuffle by key would gather them in one task.
+    known = F.broadcast(cuts) if (held or 0) <= MOST_CUTS else cuts
     joined = df.withColumn("_v", value)
-    joined = joined.join(cuts, keys, "left") if keys else joined.join(F.broadcast(cuts), how="left")
+    joined = joined.join(known, keys, "left") if keys else joined.join(F.broadcast(cuts), how="left")
     if wanted <= FANOUT:
         place = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
     else:

@@ -66,31 +66,37 @@ def rank_values(
 
 
 def _bracketed(rows: DataFrame, keys, shares, largest: int, direct_rows: int, slice_rows: int) -> DataFrame:
-    """Counts per kept value with running totals; skipped rows are filed between the brackets."""
+    """Counts per kept value with running totals; skipped rows are filed between the brackets.
+
+    Only keys with more than ``direct_rows`` rows have brackets. They are at most one in as many rows, so they
+    are broadcast: a shuffle of the rows by key would gather all rows of a large key in one task.
+    """
     probs = sorted({min(1.0, max(0.0, p + s * MARGIN)) for p in shares for s in (-1, 1)})
     summary = rows.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.percentile_approx("_x", [float(p) for p in probs], ACCURACY).alias("_s"),
     )
-    summary = cut_lineage(summary)  # one sketch for all uses
+    large = F.col("_n") > direct_rows
+    summary = cut_lineage(summary.where(large) if keys else summary)  # one sketch for all uses
 
     def edge(p: float, sign: int) -> Column:
         return F.col("_s")[probs.index(min(1.0, max(0.0, p + sign * MARGIN)))]
 
     brackets = [(edge(p, -1), edge(p, 1)) for p in shares]
-    small = F.col("_n") <= direct_rows
-    kept = reduce(lambda a, b: a | b, [F.col("_x").between(lo, hi) for lo, hi in brackets], small)
+    kept = reduce(lambda a, b: a | b, [F.col("_x").between(lo, hi) for lo, hi in brackets], ~large)
+    kept = F.coalesce(kept, F.lit(True))  # a small key has no summary
     # A skipped value is filed right after the highest bracket end below it.
     ends = [F.when(hi < F.col("_x"), hi) for _, hi in brackets]
     filed = F.greatest(*ends) if len(ends) > 1 else ends[0]
 
-    joined = rows.join(summary, keys) if keys else attach_one(rows, summary)
+    known = [F.col(k).isNotNull() for k in keys]
+    joined = rows.where(reduce(lambda a, b: a & b, known)).join(F.broadcast(summary), keys, "left") if keys else attach_one(rows, summary)
     counted = joined.select(
         *keys,
         F.when(kept, F.col("_x")).otherwise(filed).alias("_x"),
         (~kept).cast("int").alias("_skipped"),
-    ).groupBy(*keys, "_x", "_skipped").agg(F.count("*").alias("_c"))
+        "_n",
+    ).groupBy(*keys, "_x", "_skipped").agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
     # Rows below all brackets have no value; they come first.
-    sizes = summary.select(*keys, "_n")
     order = [F.col("_x").asc_nulls_first(), F.col("_skipped")]
     slices: list[str] = []
     if largest * 2 * MARGIN * len(brackets) > slice_rows:
@@ -101,7 +107,11 @@ def _bracketed(rows: DataFrame, keys, shares, largest: int, direct_rows: int, sl
             slices = ["_b"]
             counted = counted.withColumn("_b", F.when(F.col("_x").isNull(), -1).otherwise(F.col("_b")))
     counted = running_sum(counted, keys, order, {"_cum": F.col("_c")}, slices)
-    return counted.join(sizes, keys) if keys else attach_one(counted, sizes)
+    if not keys:
+        return counted
+    # A small key is added up in one place, a large one brings its size along.
+    whole = W.partitionBy(*keys, *[F.when(F.col("_n").isNotNull(), F.col(s)) for s in slices])
+    return counted.withColumn("_n", F.coalesce("_n", F.sum("_c").over(whole)))
 
 
 def exact_quantiles(

@@ -103,6 +103,35 @@ def test_quantiles(spark, direct, rows_per_slice):
             assert row[name] == pytest.approx(np.quantile(frames[row.k], q), rel=1e-12), (row.k, name)
 
 
+@pytest.fixture
+def no_small_joins(spark):
+    """Spark broadcasts only what it is told to, as when few keys leave most partitions of a shuffle empty."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_a_large_key_are_not_gathered_for_its_quantiles(spark, no_small_joins):
+    rows = [("a", float(i % 97)) for i in range(400)] + [("b", float(i)) for i in range(7)] + [(None, 1.0)] * 30
+    found = exact_quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"q": 0.5}, 20)
+    assert "SortMergeJoin" not in plan(found)
+    assert {r.k: r.q for r in found.collect()} == {"a": float(np.median([i % 97 for i in range(400)])), "b": 3.0}
+
+
+def test_rows_of_a_large_key_are_not_gathered_for_its_slices(spark, no_small_joins):
+    df = spark.range(300).selectExpr("if(id < 290, 'a', 'b') as k", "cast(id as double) as v")
+    cut, crowded = O.add_slices(df, ["k"], F.col("v"), "s", 290, slice_rows=50)
+    assert "SortMergeJoin" not in plan(cut) and not crowded
+    rows = cut.orderBy("v").collect()
+    numbers = [r.s for r in rows if r.k == "a"]
+    assert numbers == sorted(numbers) and len(set(numbers)) > 5 and {r.s for r in rows if r.k == "b"} == {0}
+
+
 def test_rank_without_keys(spark):
     df = spark.range(1000).select(F.col("id").cast("double").alias("v"))
     row = rank_values(df, [], "v", {"x": (0.5, F.floor(F.col("_n") / 2))}, 10).first()
