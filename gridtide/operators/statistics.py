@@ -54,6 +54,12 @@ def variance_by(df: DataFrame, by, value: str, out: str = "variance") -> DataFra
     return df.na.drop(subset=list(by)).groupBy(*by).agg(F.var_samp(value).alias(out))
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame, by) -> DataFrame:
+    """Rows joined with one row per group, broadcast while there are at most ``MOST_SHAPES``; few groups shuffled would be gathered in as many tasks."""
+    groups = cut_lineage(groups)
+    return rows.join(F.broadcast(groups) if groups.count() <= MOST_SHAPES else groups, by)
+
+
 def box_statistics(df: DataFrame, by, value: str) -> DataFrame:
     """Quartiles, whiskers at most 1.5 IQR away, and outlier count per group."""
     by = list(by)
@@ -62,7 +68,7 @@ def box_statistics(df: DataFrame, by, value: str) -> DataFrame:
     x = F.col(value)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     fits = x.between(F.col("q1") - reach, F.col("q3") + reach)
-    joined = rows.join(boxes, by)
+    joined = _with_groups(rows, boxes, by)
     return joined.groupBy(*by, "q1", "median", "q3").agg(
         F.min(F.when(fits, x)).alias("whisker_low"),
         F.max(F.when(fits, x)).alias("whisker_high"),
@@ -76,7 +82,7 @@ def box_outliers(df: DataFrame, by, value: str) -> DataFrame:
     rows = df.na.drop(subset=[*by, value])
     boxes = exact_quantiles(rows, by, value, {"q1": 0.25, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    return rows.join(boxes, by).where(
+    return _with_groups(rows, boxes, by).where(
         ~F.col(value).between(F.col("q1") - reach, F.col("q3") + reach),
     ).drop("q1", "q3")
 

@@ -52,6 +52,33 @@ def test_roll_up_nulls(spark):
         R.roll_up(df, "t", "day", "mode", ["v"])
 
 
+def joins_by_shuffle(spark, build):
+    """Shuffle joins of a plan in which Spark broadcasts only what it is told to."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = build()
+        return df._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin"), df.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_medians_of_a_large_period_do_not_gather_its_rows(spark):
+    hours = spark.range(1_200_000).selectExpr("if(id < 1100000, timestamp_ntz'2024-03-01', timestamp_ntz'2023-03-01') as t", "cast(id % 1001 as double) as v")
+    shuffled, rows = joins_by_shuffle(spark, lambda: R.roll_up(hours, "t", "year", ["median", "count"], ["v"]))
+    assert shuffled == 1  # periods with their medians, one row each
+    want = {2024: np.median(np.arange(1_100_000) % 1001), 2023: np.median(np.arange(1_100_000, 1_200_000) % 1001)}
+    assert {r.datetime.year: r.v_median for r in rows} == want
+
+
+def test_boxes_do_not_gather_the_rows_of_a_group(spark):
+    df = frame(spark, [("a", float(i)) for i in range(9)] + [("a", 99.0), ("b", 1.0), ("b", None), (None, 1.0)], "k string, v double")
+    shuffled, rows = joins_by_shuffle(spark, lambda: X.box_statistics(df, ["k"], "v"))
+    assert shuffled == 0 and {(r.k, r.median, r.whisker_low, r.whisker_high, r.outliers) for r in rows} == {("a", 4.5, 0.0, 8.0, 1), ("b", 1.0, 1.0, 1.0, 0)}
+    shuffled, rows = joins_by_shuffle(spark, lambda: X.box_outliers(df, ["k"], "v"))
+    assert shuffled == 0 and [(r.k, r.v) for r in rows] == [("a", 99.0)]
+
+
 def test_labels(spark):
     df = frame(spark, [(5.0,), (30.0,), (200.0,), (1000.0,), (9000.0,), (27.0,)], "h double")
     got = [r[0] for r in df.select(C.period_label("h")).collect()]
