@@ -21,6 +21,7 @@ ROWS = 1 << 13  # hashed features of the class softmax
 BLOCK_BYTES = 6 << 20  # text that is counted and scored together
 PART_KEYS = 1 << 21  # about so many counted keys meet in one task
 PULL = 30.0  # pseudo-tokens that draw a word's share after another word towards its share of the class
+PIECE = 16  # rows of a run that are added up by pairs in one go
 _END = np.uint64(0x656E64)
 _NONE = np.uint64(0x6E6F6E65)
 
@@ -42,8 +43,10 @@ class Tokens:
         """The value ``k`` tokens before, ``none`` where the text begins later."""
         out = np.full(len(values), none, values.dtype)
         out[k:] = values[:-k]
-        place = np.arange(len(values)) - np.repeat(self.first[:-1], np.diff(self.first))
-        return np.where(place >= k, out, none)
+        for j in range(k):
+            early = self.first[:-1] + j
+            out[early[early < self.first[1:]]] = none
+        return out
 
 
 def word_shapes(data: np.ndarray, words: Words) -> np.ndarray:
@@ -108,7 +111,10 @@ def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarr
     for j in range(1, rows.shape[1]):
         logit += weights.take(rows[:, j], axis=0)
     logit += bias
-    logit -= logit.max(axis=1, keepdims=True)
+    top = logit
+    while top.shape[1] > 1 and top.shape[1] % 2 == 0:  # by halves: many short rows are slow to reduce one by one
+        top = np.maximum(top[:, : top.shape[1] // 2], top[:, top.shape[1] // 2 :])
+    logit -= top.max(axis=1, keepdims=True)
     return logit
 
 
@@ -143,6 +149,38 @@ def run_sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return values.take(begin, axis=0)
 
 
+def picked_sums(values: np.ndarray, at: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``values[at]`` by runs that start at ``begin``: :func:`run_sums` of them, to the last bit, without a copy of all.
+
+    Runs are cut into pieces of ``PIECE``, the longest first, so that the pieces with a j-th row are the first ones of all.
+    """
+    length = np.diff(np.append(begin, len(at)))
+    pieces = -(-length // PIECE)
+    lead = np.cumsum(pieces) - pieces  # a run's first piece
+    number = np.arange(int(pieces.sum())) - np.repeat(lead, pieces)
+    size = np.minimum(np.repeat(length, pieces) - number * PIECE, PIECE)
+    order = np.argsort((PIECE - size).astype(np.uint8), kind="stable")
+    start = (np.repeat(begin, pieces) + number * PIECE)[order]
+    reach = np.searchsorted(-size[order], -np.arange(PIECE))  # pieces with more than j rows
+
+    def summed(j: int, width: int) -> np.ndarray:
+        if width == 1:
+            return values.take(at[start[: reach[j]] + j], axis=0)
+        left, half = summed(j, width // 2), j + width // 2
+        if reach[half]:
+            left[: reach[half]] += summed(half, width // 2)
+        return left
+
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    sums = summed(0, PIECE)
+    total = sums.take(back[lead], axis=0)
+    many = np.flatnonzero(pieces > 1)
+    if len(many):
+        total[many] = run_sums(sums.take(back[np.repeat(pieces > 1, pieces)], axis=0), np.cumsum(pieces[many]) - pieces[many])
+    return total
+
+
 def held_out(docs: DataFrame) -> Column:
     """Every seventh document or so, by the check sum of its id."""
     return F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary")) % 7 == 2
@@ -162,18 +200,12 @@ def gradient_step(weights: np.ndarray, energy: np.ndarray, met: np.ndarray, bias
     own = weights.take(row, axis=0)
     slope = class_shares(own, bias, local.reshape(k, n).T)
     slope[np.arange(n), kind] -= 1
-    token = order % n
-    length = np.diff(np.append(begin, n * k))
-    total = slope.take(token[begin], axis=0)
-    many = np.flatnonzero(length > 1)
-    if len(many):
-        runs = length[many]
-        total[many] = run_sums(slope.take(token[np.repeat(length > 1, length)], axis=0), np.concatenate([[0], np.cumsum(runs)[:-1]]))
+    total = picked_sums(slope, order % n, begin)
     spent = energy[row] + np.einsum("ij,ij->i", total, total)
     energy[row] = spent
     total *= (rate / np.sqrt(spent))[:, None]
-    weights[row] = own - total
-    met[row] += length
+    weights[row] = np.subtract(own, total, out=own)
+    met[row] += np.diff(np.append(begin, n * k))
 
 
 def train(coded: DataFrame, head: np.ndarray, bias: np.ndarray, rounds: int = 2, rate: float = 1.0, batch: int = 4096) -> np.ndarray:
@@ -255,6 +287,12 @@ def _packed_keys(keys: np.ndarray) -> bytes:
     return packed(np.diff(keys, prepend=np.uint64(0)))
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The different keys in order; ``np.unique`` would hash them first, which takes many times as long for keys that rarely repeat."""
+    found = np.sort(keys)
+    return found[np.concatenate([[True], found[1:] != found[:-1]])[: len(found)]]
+
+
 def _all(parts: list[np.ndarray], dtype: type) -> np.ndarray:
     return np.concatenate([np.zeros(0, dtype), *parts])
 
@@ -378,7 +416,7 @@ def key_totals(coded: DataFrame, keys_of: Callable[[Run], tuple[np.ndarray, np.n
             keys, used, shape = keys_of(run)
             if not len(keys):
                 continue
-            own, at = np.unique(keys, return_index=shape is not None) if shape is not None else (np.unique(keys), None)
+            own, at = np.unique(keys, return_index=True) if shape is not None else (distinct(keys), None)
             n = np.zeros(len(own), np.uint32)
             trained, times = np.unique(keys[used], return_counts=True)
             n[np.searchsorted(own, trained)] = times

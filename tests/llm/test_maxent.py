@@ -1,5 +1,6 @@
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -159,3 +160,36 @@ def test_run_sums_match_plain_sums():
         begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         values = rng.normal(size=(int(np.sum(lengths)), 7))
         assert np.allclose(maxent.run_sums(values.copy(), begin), [values[b : b + n].sum(0) for b, n in zip(begin, lengths, strict=True)])
+
+
+@pytest.mark.parametrize("lengths", [[1], [16], [17, 1], [1, 1, 5, 2, 1, 64, 3, 33], [700, 2, 255]])
+def test_picked_sums_equal_run_sums_to_the_last_bit(lengths):
+    rng = np.random.default_rng(4)
+    begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    values, at = rng.normal(size=(50, 7)).astype(np.float32), rng.integers(0, 50, int(np.sum(lengths)))
+    assert (maxent.picked_sums(values, at, begin) == maxent.run_sums(values[at], begin)).all()
+
+
+def test_distinct_keys_cost_about_a_sort():
+    for some in ([], [5], [7, 7, 7], [2**64 - 1, 0, 3, 0]):
+        keys = np.array(some, np.uint64)
+        assert maxent.distinct(keys).tolist() == sorted(set(some))
+    keys = maxent.mixed(np.arange(1_000_000, dtype=np.uint64) % np.uint64(900_000))
+
+    def seconds(work):
+        spent = []
+        for _ in range(3):
+            begin = time.process_time()
+            work()
+            spent.append(time.process_time() - begin)
+        return min(spent)
+
+    assert len(maxent.distinct(keys)) == 900_000
+    assert seconds(lambda: maxent.distinct(keys)) < 5 * seconds(lambda: np.sort(keys))
+
+
+def test_tokens_before_stay_within_the_text():
+    t = maxent.Tokens(np.arange(10, 17, dtype=np.uint64), np.arange(7), np.array([0, 1, 1, 3, 7]))
+    assert [t.back(t.kind, k, -1).tolist() for k in (1, 2, 3)] == [[-1, -1, 1, -1, 3, 4, 5], [-1, -1, -1, -1, -1, 3, 4], [-1, -1, -1, -1, -1, -1, 3]]
+    none = maxent.Tokens(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.array([0]))
+    assert none.back(none.kind, 2, -1).tolist() == []
