@@ -149,6 +149,17 @@ def run_sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return values.take(begin, axis=0)
 
 
+def _piece_sums(values: np.ndarray, at: np.ndarray, start: np.ndarray, reach: np.ndarray, j: int, width: int) -> np.ndarray:
+    """Sums by pairs of the rows ``j`` to ``j + width`` of the pieces that have a j-th row."""
+    if width == 1:
+        return values.take(at[start[: reach[j]] + j], axis=0)
+    half = j + width // 2
+    left = _piece_sums(values, at, start, reach, j, width // 2)
+    if reach[half]:
+        left[: reach[half]] += _piece_sums(values, at, start, reach, half, width // 2)
+    return left
+
+
 def picked_sums(values: np.ndarray, at: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Sums of the rows ``values[at]`` by runs that start at ``begin``: :func:`run_sums` of them, to the last bit, without a copy of all.
 
@@ -162,18 +173,9 @@ def picked_sums(values: np.ndarray, at: np.ndarray, begin: np.ndarray) -> np.nda
     order = np.argsort((PIECE - size).astype(np.uint8), kind="stable")
     start = (np.repeat(begin, pieces) + number * PIECE)[order]
     reach = np.searchsorted(-size[order], -np.arange(PIECE))  # pieces with more than j rows
-
-    def summed(j: int, width: int) -> np.ndarray:
-        if width == 1:
-            return values.take(at[start[: reach[j]] + j], axis=0)
-        left, half = summed(j, width // 2), j + width // 2
-        if reach[half]:
-            left[: reach[half]] += summed(half, width // 2)
-        return left
-
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
-    sums = summed(0, PIECE)
+    sums = _piece_sums(values, at, start, reach, 0, PIECE)
     total = sums.take(back[lead], axis=0)
     many = np.flatnonzero(pieces > 1)
     if len(many):

@@ -1,3 +1,4 @@
+import gc
 import math
 import re
 import time
@@ -170,6 +171,19 @@ def test_picked_sums_equal_run_sums_to_the_last_bit(lengths):
     assert (maxent.picked_sums(values, at, begin) == maxent.run_sums(values[at], begin)).all()
 
 
+def test_a_gradient_step_leaves_nothing_behind():
+    """Arrays held by a reference cycle would pile up until Python looks for cycles."""
+    weights, bias = np.zeros((maxent.ROWS, maxent.CLASSES), np.float32), np.zeros(maxent.CLASSES, np.float32)
+    rows = np.random.default_rng(6).integers(0, 40, (300, 4))
+    gc.collect()
+    gc.disable()
+    try:
+        maxent.gradient_step(weights, np.full(maxent.ROWS, 10, np.float32), np.zeros(maxent.ROWS), bias, rows, rows[:, 0], 1.0)
+        assert gc.collect() == 0
+    finally:
+        gc.enable()
+
+
 def test_distinct_keys_cost_about_a_sort():
     for some in ([], [5], [7, 7, 7], [2**64 - 1, 0, 3, 0]):
         keys = np.array(some, np.uint64)
